@@ -11,7 +11,7 @@ def pattern_items(text: Column, comma_first: bool = False) -> Column:
     splitter = F.when(text.contains(",") if comma_first else ~text.contains("_"), F.split(text, ",")).otherwise(
         F.split(text, "_")
     )
-    return F.filter(F.transform(splitter, F.trim), lambda x: x != "")
+    return F.filter(F.transform(splitter, lambda x: F.trim(x)), lambda x: x != "")
 
 
 def pattern_key(text: Column, comma_first: bool = False) -> Column:
@@ -21,7 +21,7 @@ def pattern_key(text: Column, comma_first: bool = False) -> Column:
 
 def part_labels(text: Column) -> Column:
     """Part labels named in a field such as ``1,2`` or ``2_1``, in given order."""
-    return F.filter(F.transform(F.split(text, "::|[-,/_]"), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(text, "::|[-,/_]"), lambda x: F.trim(x)), lambda x: x != "")
 
 
 def score_label(title: Column, fallback: Column) -> Column:

@@ -26,7 +26,7 @@ def _pick(values: list, index: Column) -> Column:
     return F.element_at(F.array(*[F.lit(v) for v in values]), (index + 1).cast("int"))
 
 
-def _lookup(table: dict, key: Column) -> Column:
+def lookup(table: dict, key: Column) -> Column:
     pairs = [F.lit(x) for item in table.items() for x in item]
     return F.try_element_at(F.create_map(*pairs), key)
 
@@ -57,7 +57,7 @@ def name_to_midi(token: Column) -> Column:
     """C#4 or B-3 -> MIDI number; null when the token is not a pitch."""
     text = F.trim(token)
     marks = F.regexp_extract(text, PITCH_TOKEN, 2)
-    base = _lookup(LETTER_SEMITONES, F.lower(F.regexp_extract(text, PITCH_TOKEN, 1)))
+    base = lookup(LETTER_SEMITONES, F.lower(F.regexp_extract(text, PITCH_TOKEN, 1)))
     sharps = F.length(F.replace(marks, F.lit("-"), F.lit("")))
     flats = F.length(F.replace(marks, F.lit("#"), F.lit("")))
     number = F.regexp_extract(text, PITCH_TOKEN, 3).try_cast("int")
@@ -69,7 +69,7 @@ def accidental_semitones(token: Column) -> Column:
     text = F.lower(F.trim(token))
     return (
         F.when(text.isNull() | (text == ""), F.lit(0))
-        .when(_lookup(ACCIDENTAL_SEMITONES, text).isNotNull(), _lookup(ACCIDENTAL_SEMITONES, text))
+        .when(lookup(ACCIDENTAL_SEMITONES, text).isNotNull(), lookup(ACCIDENTAL_SEMITONES, text))
         .when(text.rlike("^s+$"), F.length(text))
         .when(text.rlike("^f+$"), -F.length(text))
         .otherwise(F.lit(0))
@@ -83,7 +83,7 @@ def first_nonempty(*cols: Column) -> Column:
 
 def spelled_pitch_class(pname: Column, *accidentals: Column) -> Column:
     """Pitch class of a letter name and the first accidental that is present."""
-    base = _lookup(LETTER_SEMITONES, F.lower(pname))
+    base = lookup(LETTER_SEMITONES, F.lower(pname))
     return F.pmod(base + accidental_semitones(first_nonempty(*accidentals)), F.lit(12)).cast("int")
 
 

@@ -162,3 +162,461 @@ FROM (SELECT *, count(*) OVER (PARTITION BY piece_id, pattern_string) AS total,
       FROM ngrams)
 WHERE place = 1
 """
+
+# Pitch-class weights --------------------------------------------------------
+
+FIFTHS = "['C','G','D','A','E','B','F#','C#','A-','E-','B-','F']"
+CHROMATIC = "['C','C#','D','E-','E','F','F#','G','A-','A','B-','B']"
+
+
+def weights(by_staff: bool = False, active_only: bool = True, order: str = FIFTHS) -> str:
+    keys = "piece_id, staff" if by_staff else "piece_id"
+    keep = "WHERE EXISTS (SELECT 1 FROM sounding x WHERE x.pc = g.pc)" if active_only else ""
+    return f""",
+sounding AS (SELECT *, CAST(part AS VARCHAR) AS staff FROM note_events WHERE midi IS NOT NULL),
+sums AS (SELECT {keys}, pc, sum(dur_ppq) AS weight FROM sounding GROUP BY {keys}, pc),
+totals AS (SELECT {keys}, sum(dur_ppq) AS total, count(*) AS note_count FROM sounding GROUP BY {keys}),
+grid AS (SELECT t.*, CAST(k.pc AS INTEGER) AS pc FROM totals t, range(12) k(pc))
+SELECT {keys}, {CHROMATIC}[g.pc + 1] AS pc_label,
+       CAST(list_position({order}, {CHROMATIC}[g.pc + 1]) - 1 AS INTEGER) AS position,
+       CAST(coalesce(weight, 0) AS BIGINT) AS weight_ppq,
+       round(coalesce(weight, 0) / CAST(total AS DOUBLE), 9) AS share, note_count
+FROM grid g LEFT JOIN sums USING ({keys}, pc) {keep}
+"""
+
+
+PITCH_NAMES = """
+SELECT midi, token, midi AS midi_again, pc,
+       CAST(count(*) AS BIGINT) AS notes FROM note_events WHERE midi IS NOT NULL GROUP BY ALL
+"""
+
+KEYS = f""",
+profiles(mode, degree, weight) AS (VALUES
+  {", ".join(f"('major', {i}, {w})" for i, w in enumerate(
+      [6.35, 2.23, 3.48, 2.33, 4.38, 4.09, 2.52, 5.19, 2.39, 3.66, 2.29, 2.88]))},
+  {", ".join(f"('minor', {i}, {w})" for i, w in enumerate(
+      [6.33, 2.68, 3.52, 5.38, 2.60, 3.53, 2.54, 4.75, 3.98, 2.69, 3.34, 3.17]))}),
+sums AS (SELECT piece_id, pc, sum(dur_ppq) AS weight FROM note_events WHERE midi IS NOT NULL GROUP BY piece_id, pc),
+grid AS (SELECT piece_id, k.pc, coalesce(weight, 0) AS weight
+         FROM (SELECT DISTINCT piece_id FROM sums) CROSS JOIN range(12) k(pc) LEFT JOIN sums USING (piece_id, pc)),
+fits AS (SELECT piece_id, mode, tonic, corr(CAST(g.weight AS DOUBLE), CAST(p.weight AS DOUBLE)) AS r
+         FROM grid g CROSS JOIN range(12) t(tonic) JOIN profiles p ON p.degree = (g.pc - tonic + 12) % 12
+         GROUP BY piece_id, mode, tonic),
+keys AS (
+  SELECT piece_id, CASE mode WHEN 'major' THEN {CHROMATIC}[tonic + 1] ELSE lower({CHROMATIC}[tonic + 1]) END
+         || ' ' || mode AS key_name, round(r, 6) AS confidence
+  FROM fits QUALIFY row_number() OVER (PARTITION BY piece_id ORDER BY r DESC, mode, tonic) = 1)
+"""
+
+RANGES = """,
+ranges AS (
+  SELECT piece_id, part, min(midi) AS lowest_midi, max(midi) AS highest_midi,
+         arg_min(token, midi) AS lowest_note, arg_max(token, midi) AS highest_note,
+         max(midi) - min(midi) AS range_semitones
+  FROM note_events WHERE midi IS NOT NULL GROUP BY piece_id, part)
+"""
+
+RANGE_AXIS = """
+SELECT piece_id, min(lowest_midi) AS x_min_midi, max(highest_midi) AS x_max_midi, count(*) AS staves,
+       array_to_string(range(min(lowest_midi), max(highest_midi) + 1), ',') AS tick_values,
+       array_to_string([['C','C#','D','E-','E','F','F#','G','A-','A','B-','B'][x % 12 + 1] || CAST(x // 12 - 1 AS VARCHAR)
+                        FOR x IN range(min(lowest_midi), max(highest_midi) + 1)], ',') AS tick_labels
+FROM ranges GROUP BY piece_id
+"""
+
+META = """,
+metadata AS (SELECT concat('u', n_nationkey) AS piece_id, concat('Piece ', n_nationkey) AS title,
+                    n_name AS composer, CAST(n_nationkey AS BIGINT) AS score_index FROM nation)
+"""
+
+SUMMARY = """
+SELECT count(DISTINCT piece_id) AS score_count, max(round(weight / CAST(total AS DOUBLE), 9)) AS radial_max,
+       (SELECT string_agg(DISTINCT composer, ', ' ORDER BY composer) FROM metadata
+        WHERE piece_id IN (SELECT piece_id FROM sums)) AS composer
+FROM (SELECT piece_id, weight, sum(weight) OVER (PARTITION BY piece_id) AS total FROM sums)
+"""
+
+# Heatmap --------------------------------------------------------------------
+
+TOP = """,
+top AS (
+  SELECT pattern_string, count(*) AS count FROM ngrams GROUP BY pattern_string
+  ORDER BY count DESC, pattern_string LIMIT 3),
+coloured AS (SELECT *, CAST((row_number() OVER (ORDER BY count DESC, pattern_string) - 1) % 8 AS INTEGER) AS colour FROM top)
+"""
+
+HEATMAP_ROWS = """
+SELECT concat_ws('::', piece_id, part) AS id, piece_id, part, concat(title, ' - Staff ', part) AS label,
+       coalesce(max(CASE WHEN midi IS NOT NULL THEN end_ppq END), 0) / 480.0::DOUBLE AS end_q
+FROM note_events JOIN metadata USING (piece_id) GROUP BY piece_id, part, title
+"""
+
+HEATMAP_OCCURRENCES = """
+SELECT concat_ws('::', piece_id, part, pattern_string, CAST(onset_ppq / 480.0::DOUBLE AS VARCHAR)) AS id,
+       concat_ws('::', piece_id, part) AS row_id, piece_id, part, pattern_string,
+       onset_ppq / 480.0::DOUBLE AS start_q, last_end / 480.0::DOUBLE AS end_q,
+       (last_end - onset_ppq) / 480.0::DOUBLE AS duration, measure, beat, note_ids, colour
+FROM ngrams JOIN coloured USING (pattern_string) WHERE last_end > onset_ppq
+"""
+
+# Span resolution ------------------------------------------------------------
+
+SPANS = """,
+placed AS (SELECT *, row_number() OVER (PARTITION BY piece_id, part ORDER BY seq) AS place
+           FROM note_events WHERE midi IS NOT NULL),
+spans AS (SELECT piece_id, seq * 8 + part AS index, seq % 5 AS kind, part, onset_ppq FROM note_events),
+starts AS (
+  SELECT s.piece_id, s.index, p.part, p.place AS from_place, CASE s.kind WHEN 2 THEN 3 ELSE 2 END AS note_count
+  FROM spans s JOIN placed p ON p.piece_id = s.piece_id AND p.onset_ppq = s.onset_ppq
+       AND (CASE s.kind WHEN 2 THEN p.part = s.part ELSE p.part IN (1, 2) END)
+  WHERE s.kind IN (2, 4)),
+hits AS (
+  SELECT s.piece_id, s.index, p.part, p.part AS part_order, p.place, p.note_id
+  FROM spans s JOIN placed p ON p.piece_id = s.piece_id AND p.onset_ppq >= s.onset_ppq
+       AND p.onset_ppq < s.onset_ppq + 960 AND (s.kind = 1 OR p.part = s.part) WHERE s.kind IN (0, 1)
+  UNION ALL
+  SELECT s.piece_id, s.index, p.part, p.part, p.place, p.note_id
+  FROM spans s JOIN placed p ON p.piece_id = s.piece_id AND p.onset_ppq = s.onset_ppq WHERE s.kind = 3
+  UNION ALL
+  SELECT s.piece_id, s.index, p.part, CASE s.note_count WHEN 2 THEN 3 - p.part ELSE p.part END, p.place, p.note_id
+  FROM starts s JOIN placed p ON p.piece_id = s.piece_id AND p.part = s.part
+       AND p.place >= s.from_place AND p.place < s.from_place + s.note_count),
+listed AS (SELECT piece_id, index, string_agg(note_id, ',' ORDER BY part_order, place) AS note_ids
+           FROM hits GROUP BY piece_id, index),
+parts AS (SELECT piece_id, index, string_agg(part, ',' ORDER BY part_order) AS matched_parts
+          FROM (SELECT DISTINCT piece_id, index, part, part_order FROM hits) GROUP BY piece_id, index)
+SELECT piece_id, index, coalesce(matched_parts, '') AS matched_parts, coalesce(note_ids, '') AS note_ids
+FROM spans LEFT JOIN listed USING (piece_id, index) LEFT JOIN parts USING (piece_id, index)
+"""
+
+# Sonorities -----------------------------------------------------------------
+
+
+def sonorities(compound: bool = True, sort: bool = False) -> str:
+    token = quality("l.midi", "l.dpos", "c.midi", "c.dpos")
+    if not compound:
+        token = token.replace("abs(c.dpos - l.dpos) + 1) END", "abs(c.dpos - l.dpos) % 7 + 1) END")
+    order = "l.midi - c.midi, c.part" if sort else "c.part"
+    return f""",
+points AS (SELECT DISTINCT piece_id, onset_ppq AS t, measure, beat FROM note_events),
+covers AS (SELECT p.piece_id, p.t, n.part, n.midi, n.dpos, n.onset_ppq AS since
+           FROM points p JOIN note_events n ON n.piece_id = p.piece_id AND n.onset_ppq <= p.t AND p.t < n.end_ppq
+           WHERE n.midi IS NOT NULL),
+lowest AS (SELECT * FROM covers QUALIFY row_number() OVER (PARTITION BY piece_id, t ORDER BY midi, part DESC) = 1),
+stacks AS (SELECT c.piece_id, c.t, string_agg({token}, '/' ORDER BY {order}) AS sonority
+           FROM covers c JOIN lowest l ON l.piece_id = c.piece_id AND l.t = c.t AND l.part <> c.part
+           GROUP BY c.piece_id, c.t),
+sonorities AS (
+  SELECT p.piece_id, p.t AS onset_ppq, p.measure, p.beat, l.midi AS low_midi, l.dpos AS low_dpos,
+         coalesce(l.part, 0) AS low_part, coalesce(l.since, -1) AS low_since, coalesce(s.sonority, '') AS sonority
+  FROM points p LEFT JOIN lowest l USING (piece_id, t) LEFT JOIN stacks s USING (piece_id, t))
+"""
+
+
+SONORITY_ROWS = "SELECT piece_id, onset_ppq, measure, beat, low_midi, low_part, sonority FROM sonorities"
+
+LOW_LINE = f""",
+moved AS (
+  SELECT *, lag(low_since) OVER w IS NULL OR lag(low_since) OVER w <> low_since
+            OR lag(low_part) OVER w <> low_part AS moves,
+         (SELECT max(end_ppq) FROM note_events n WHERE n.piece_id = s.piece_id) AS end_ppq
+  FROM sonorities s WINDOW w AS (PARTITION BY piece_id ORDER BY onset_ppq)),
+ahead AS (
+  SELECT *, first_value(CASE WHEN moves THEN coalesce(low_midi, -1) END IGNORE NULLS) OVER w AS next_midi,
+         first_value(CASE WHEN moves THEN coalesce(low_dpos, -1) END IGNORE NULLS) OVER w AS next_dpos
+  FROM moved WINDOW w AS (PARTITION BY piece_id ORDER BY onset_ppq
+                          ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING)),
+stepped AS (
+  SELECT *, CASE WHEN NOT moves OR low_midi IS NULL OR next_midi IS NULL THEN 'Held'
+                 WHEN next_midi = -1 THEN 'Rest'
+                 ELSE {quality('low_midi', 'low_dpos', 'next_midi', 'next_dpos')} END AS low_line,
+         CASE WHEN beat = 1 THEN 1.0::DOUBLE WHEN beat = 3 THEN 0.5::DOUBLE
+              WHEN beat = floor(beat) THEN 0.25::DOUBLE
+              WHEN beat * 2 = floor(beat * 2) THEN 0.125::DOUBLE
+              WHEN beat * 4 = floor(beat * 4) THEN 0.0625::DOUBLE ELSE 0.03125::DOUBLE END AS strength
+  FROM ahead),
+items AS (SELECT *, low_line || '_' || sonority AS item FROM stepped)
+"""
+
+LOW_LINE_ROWS = "SELECT piece_id, onset_ppq, low_line, sonority, item FROM items"
+
+
+def sonority_ngrams(n: int, where: str = "true") -> str:
+    pattern = " || '_' || ".join(["item", *[f"lead(item, {k}) OVER w" for k in range(1, n)]])
+    return f""",
+grams AS (
+  SELECT * FROM (
+    SELECT *, {pattern} AS pattern_string, onset_ppq / 480.0::DOUBLE AS start_q,
+           greatest(0.0::DOUBLE, least(1.0::DOUBLE, onset_ppq / CAST(end_ppq AS DOUBLE))) AS progress
+    FROM items WHERE sonority <> '' AND ({where}) WINDOW w AS (PARTITION BY piece_id ORDER BY onset_ppq))
+  WHERE pattern_string IS NOT NULL)
+"""
+
+
+GRAM_ROWS = "SELECT piece_id, measure, beat, onset_ppq, start_q, progress, pattern_string FROM grams"
+
+INTRODUCED = """,
+stats AS (SELECT piece_id, score_index, pattern_string, count(*) AS count, min(progress) AS first_progress
+          FROM grams JOIN metadata USING (piece_id) GROUP BY ALL),
+introduced AS (SELECT * FROM stats QUALIFY score_index = min(score_index) OVER (PARTITION BY pattern_string))
+"""
+
+INTRODUCED_ROWS = """
+SELECT score_index, piece_id, concat_ws('::', piece_id, pattern_string) AS row_id, pattern_string, count, first_progress
+FROM introduced
+"""
+
+INTRODUCED_OCCURRENCES = """
+SELECT score_index, piece_id, concat_ws('::', piece_id, pattern_string) AS row_id,
+       concat_ws('::', piece_id, pattern_string, CAST(start_q AS VARCHAR)) AS id, pattern_string, measure, beat,
+       start_q, progress, count AS count_in_score
+FROM grams JOIN introduced USING (piece_id, pattern_string)
+"""
+
+SCORE_FACTS = """
+SELECT score_index, piece_id, count(DISTINCT pattern_string) AS pattern_count, max(start_q) AS end_q
+FROM grams JOIN metadata USING (piece_id) GROUP BY ALL
+"""
+
+SONORITY_SUMMARY = """
+SELECT (SELECT count(*) FROM introduced) AS pattern_count,
+       (SELECT count(DISTINCT score_index) FROM introduced) AS score_count,
+       count(*) AS occurrence_count, min(progress) AS first_progress, max(progress) AS last_progress
+FROM grams JOIN introduced USING (piece_id, pattern_string)
+"""
+
+MOST_RECURRING = """
+SELECT pattern_string, count, first_progress FROM introduced ORDER BY count DESC, first_progress, pattern_string LIMIT 5
+"""
+
+# Cadences -------------------------------------------------------------------
+
+
+def _number(m0: str, d0: str, m1: str, d1: str) -> str:
+    return f"(CASE WHEN {d1} >= {d0} THEN ({d1} - {d0}) % 7 + 1 ELSE -(({d0} - {d1}) % 7 + 1) END)"
+
+
+def _step(d0: str, d1: str) -> str:
+    return f"(CASE WHEN {d1} >= {d0} THEN {d1} - {d0} + 1 ELSE {d1} - {d0} - 1 END)"
+
+
+CADENCES = f""",
+near AS (
+  SELECT *, lead(midi) OVER w AS nm, lead(dpos) OVER w AS nd, lag(midi) OVER w AS pm, lag(dpos) OVER w AS pd,
+         lead(measure) OVER w AS nmeasure, lead(beat) OVER w AS nbeat
+  FROM note_events WINDOW w AS (PARTITION BY piece_id, part ORDER BY seq)),
+pairs AS (
+  SELECT l.piece_id, l.part AS low_part, h.part AS high_part, l.end_ppq AS onset_ppq, l.nmeasure AS measure,
+         l.nbeat AS beat, {_step('l.dpos', 'l.nd')} AS low_step,
+         {_number('', 'l.dpos', '', 'h.dpos')} AS number,
+         CASE WHEN h.end_ppq = l.end_ppq THEN h.nm ELSE h.midi END AS gm,
+         CASE WHEN h.end_ppq = l.end_ppq THEN h.nd ELSE h.dpos END AS gd, h.dpos AS hd, l.nd AS lnd, l.nm AS lnm,
+         l.nm - l.midi = -1 AND ((h.midi - l.midi) % 12 + 12) % 12 = 9 AS phrygian,
+         CASE WHEN h.onset_ppq > l.onset_ppq AND h.pd - h.dpos = 1
+              THEN {_number('', 'l.dpos', '', 'h.pd')} END AS held_high,
+         CASE WHEN l.onset_ppq > h.onset_ppq AND l.pd - l.dpos = 1
+              THEN {_number('', 'l.pd', '', 'h.dpos')} END AS held_low
+  FROM near l JOIN near h ON l.piece_id = h.piece_id AND l.part > h.part
+       AND l.onset_ppq < h.end_ppq AND h.onset_ppq < l.end_ppq
+  WHERE l.midi IS NOT NULL AND h.midi IS NOT NULL AND l.nm IS NOT NULL AND l.end_ppq <= h.end_ppq),
+solved AS (SELECT *, coalesce({_number('', 'lnd', '', 'gd')} = 1 AND gd IS NOT NULL, false) AS reached,
+                  CASE WHEN gd IS NOT NULL THEN {_step('hd', 'gd')} END AS high_step,
+                  CASE WHEN gm IS NULL OR lnm < gm THEN lnm ELSE gm END AS tone_midi FROM pairs),
+formulas AS (
+  SELECT *, 1 AS rank, 'Authentic' AS cad_type, 'B' AS low_function, 'Ct' AS high_function FROM solved
+    WHERE reached AND low_step IN (4, -5) AND number = 3 AND high_step = 2
+  UNION ALL
+  SELECT *, 2, 'Phrygian', 'T', 'Ct' FROM solved
+    WHERE reached AND low_step = -2 AND number = 6 AND high_step = 2 AND phrygian
+  UNION ALL
+  SELECT *, 3, 'Clausula Vera', 'T', 'Ct' FROM solved
+    WHERE reached AND low_step = -2 AND number = 6 AND high_step = 2 AND NOT phrygian
+  UNION ALL
+  SELECT *, 4, 'Clausula Vera', 'Ct', 'T' FROM solved
+    WHERE reached AND low_step = 2 AND number = 3 AND high_step = -2
+  UNION ALL
+  SELECT *, 5, 'Plagal', 'B', 'Ct' FROM solved
+    WHERE reached AND low_step IN (5, -4) AND number = 5 AND high_step = 1
+  UNION ALL
+  SELECT *, 9, 'Evaded', CASE WHEN low_step = -2 THEN 'T' WHEN low_step = 2 THEN 'Ct' ELSE 'B' END,
+         CASE WHEN low_step = 2 THEN 'T' ELSE 'Ct' END FROM solved
+    WHERE NOT reached AND ((low_step IN (4, -5) AND number = 3 AND held_high = 4)
+       OR (low_step = -2 AND number = 6 AND held_high = 7) OR (low_step = 2 AND number = 3 AND held_low = 2))),
+voices AS (SELECT piece_id, onset_ppq, low_part AS part, low_function AS function FROM formulas
+           UNION SELECT piece_id, onset_ppq, high_part, high_function FROM formulas),
+cadences AS (
+  SELECT f.piece_id, f.onset_ppq, min(f.measure) AS measure, min(f.beat) AS beat, arg_min(f.cad_type, f.rank) AS cad_type,
+         {CHROMATIC}[min(f.tone_midi) % 12 + 1] AS tone,
+         (SELECT string_agg(function, ',' ORDER BY part, function) FROM voices v
+          WHERE v.piece_id = f.piece_id AND v.onset_ppq = f.onset_ppq) AS cvfs
+  FROM formulas f GROUP BY f.piece_id, f.onset_ppq)
+"""
+
+CADENCE_ROWS = """
+SELECT c.piece_id, composer, title, measure, beat, onset_ppq, onset_ppq / CAST(e.end_ppq AS DOUBLE) AS progress,
+       cad_type, tone, cvfs
+FROM cadences c JOIN metadata USING (piece_id)
+JOIN (SELECT piece_id, max(end_ppq) AS end_ppq FROM note_events GROUP BY piece_id) e USING (piece_id)
+"""
+
+# Excerpts -------------------------------------------------------------------
+
+EXCERPT = """
+SELECT piece_id, part, onset_ppq, midi, CASE WHEN v % 128 = 0 THEN 64 ELSE CAST(v % 128 AS INTEGER) END AS velocity,
+       round((onset_ppq / 480.0::DOUBLE - 8.5) * 60.0 / 96, 9) AS at_sec,
+       round(dur_ppq / 480.0::DOUBLE * 60.0 / 96, 9) AS for_sec
+FROM note_events WHERE midi IS NOT NULL AND onset_ppq / 480.0::DOUBLE >= 8.5 AND onset_ppq / 480.0::DOUBLE < 40.25
+"""
+
+EXCERPT_BOUNDS = """
+SELECT piece_id, 8.5::DOUBLE * 60 / 96 AS start_sec, least(40.25::DOUBLE * 60 / 96, end_q * 60 / 96) AS end_sec,
+       least(40.25::DOUBLE * 60 / 96, end_q * 60 / 96) - 8.5::DOUBLE * 60 / 96 AS duration_sec
+FROM (SELECT piece_id, max(end_ppq) / 480.0::DOUBLE AS end_q FROM note_events GROUP BY piece_id)
+"""
+
+MEASURE_RANGE = """
+SELECT piece_id, part, seq, measure, onset_ppq, midi FROM note_events WHERE measure BETWEEN 5 AND 12
+"""
+
+# Profile --------------------------------------------------------------------
+
+
+def most_common(table: str, column: str, alias: str, where: str = "true") -> str:
+    return f"""
+  SELECT piece_id, {column} AS {alias}, n AS {alias}_count
+  FROM (SELECT piece_id, {column}, count(*) AS n FROM ({table}) WHERE {where} GROUP BY piece_id, {column})
+  QUALIFY row_number() OVER (PARTITION BY piece_id ORDER BY n DESC, {column}) = 1"""
+
+PROFILE = f""",
+harmonic AS ({HARMONIC}),
+top_ngram AS ({most_common('SELECT * FROM ngrams', 'pattern_string', 'top_pattern')}),
+top_harmony AS ({most_common('SELECT * FROM harmonic', 'value', 'top_harmony', "value <> 'Rest'")}),
+closes AS (SELECT piece_id, count(DISTINCT onset_ppq) AS cadences FROM formulas GROUP BY piece_id)
+SELECT s.piece_id, notes, parts, title, composer, key_name, confidence, top_pattern, top_pattern_count,
+       top_harmony, top_harmony_count, coalesce(cadences, 0) AS cadences
+FROM (SELECT piece_id, count(midi) AS notes, count(DISTINCT part) AS parts FROM note_events GROUP BY piece_id) s
+LEFT JOIN metadata USING (piece_id) LEFT JOIN keys USING (piece_id) LEFT JOIN top_ngram USING (piece_id)
+LEFT JOIN top_harmony USING (piece_id) LEFT JOIN closes USING (piece_id)
+"""
+
+# Repeats --------------------------------------------------------------------
+
+MEASURES = """
+WITH measures AS (
+  SELECT concat('o', o_custkey % 10) AS piece_id, o_orderkey // 4000 + 1 AS section_seq, o_orderkey AS measure_seq,
+         CAST(o_orderkey AS DOUBLE) AS n,
+         o_orderpriority = '1-URGENT' AND o_orderstatus = 'O' AS opens,
+         o_orderpriority = '5-LOW' AND o_orderstatus = 'F' AS closes,
+         o_orderpriority = '2-HIGH' AND o_orderstatus = 'P' AS ending,
+         CASE o_orderkey % 4 WHEN 0 THEN 1 WHEN 1 THEN 2 WHEN 3 THEN 1 END AS ending_pass,
+         o_orderpriority = '2-HIGH' AND o_orderstatus = 'P' AND o_totalprice > 250000 AS after_other
+  FROM orders)
+"""
+
+# A region is an rptend with an rptstart since the rptend before it; endings that
+# follow directly are part of it.
+PERFORMED = """,
+closing AS (
+  SELECT piece_id, section_seq, measure_seq AS e,
+         coalesce(lag(measure_seq) OVER (PARTITION BY piece_id, section_seq ORDER BY measure_seq), -1) AS before
+  FROM measures WHERE closes),
+regions AS (
+  SELECT c.piece_id, c.section_seq, c.e, min(m.measure_seq) AS s,
+         (SELECT min(x.measure_seq) FROM measures x WHERE x.piece_id = c.piece_id AND x.section_seq = c.section_seq
+          AND x.measure_seq > c.e AND (NOT x.ending OR x.after_other)) AS stop
+  FROM closing c JOIN measures m ON m.piece_id = c.piece_id AND m.section_seq = c.section_seq AND m.opens
+       AND m.measure_seq > c.before AND m.measure_seq <= c.e
+  GROUP BY c.piece_id, c.section_seq, c.e),
+inside AS (
+  SELECT m.*, r.s AS region,
+         max(CASE WHEN m.ending AND m.measure_seq % 4 <> 2 THEN 1 ELSE 0 END) OVER (PARTITION BY m.piece_id, m.section_seq, r.s) AS numbered,
+         last_value(CASE WHEN m.ending THEN m.ending_pass END IGNORE NULLS) OVER (
+           PARTITION BY m.piece_id, m.section_seq, r.s ORDER BY m.measure_seq) AS in_force
+  FROM measures m JOIN regions r ON m.piece_id = r.piece_id AND m.section_seq = r.section_seq AND m.measure_seq >= r.s
+       AND (m.measure_seq <= r.e OR (m.ending AND m.measure_seq < coalesce(r.stop, 9e18)))),
+played AS (
+  SELECT piece_id, measure_seq, n, region, stage FROM inside, (VALUES (10), (20)) v(stage)
+  WHERE numbered = 0 OR (NOT ending AND in_force IS NULL)
+  UNION ALL
+  SELECT piece_id, measure_seq, n, region, in_force * 10 + 1 FROM inside
+  WHERE numbered = 1 AND in_force IS NOT NULL AND (NOT ending OR ending_pass IS NOT NULL)
+  UNION ALL
+  SELECT piece_id, measure_seq, n, measure_seq, 10 FROM measures m
+  WHERE NOT ending AND NOT EXISTS (SELECT 1 FROM inside i WHERE i.piece_id = m.piece_id AND i.measure_seq = m.measure_seq))
+SELECT piece_id, row_number() OVER (PARTITION BY piece_id ORDER BY region, stage, measure_seq) AS performed_seq,
+       measure_seq, n, CAST(stage // 10 AS INTEGER) AS pass
+FROM played
+"""
+
+# Catalogue ------------------------------------------------------------------
+
+SCORES = """
+WITH scores AS (
+  SELECT concat(['Bach','Bartok','Morley','CRIM','Other'][doc_id % 5 + 1], '_', doc_id // 5, '.mei') AS filename,
+         concat('/scores/', doc_id) AS path, 'builtin' AS source, doc_id AS registered_at FROM documents
+  UNION ALL
+  SELECT concat(['Bach','Bartok','Morley','CRIM','Other'][doc_id % 5 + 1], '_', doc_id // 7, '.mei'),
+         concat('/inbox/', doc_id), 'registered', doc_id FROM documents)
+"""
+
+COLLECTIONS = """,
+listed AS (
+  SELECT DISTINCT CASE WHEN filename LIKE 'Bach%' THEN 'bach_inventions' WHEN filename LIKE 'Bartok%' THEN 'bartok_mikrokosmos'
+                       WHEN filename LIKE 'Morley%' THEN 'morley_canzonets' WHEN filename LIKE 'CRIM%' THEN 'crim_corpus' END
+         AS collection, filename FROM scores WHERE source = 'builtin'
+  UNION SELECT 'registered', filename FROM scores WHERE source = 'registered'
+  UNION SELECT 'all_files', filename FROM scores)
+"""
+
+RESOLVED = """
+SELECT filename, source, path FROM scores
+QUALIFY row_number() OVER (PARTITION BY filename ORDER BY source = 'registered' DESC, registered_at DESC, path DESC) = 1
+"""
+
+UNREGISTERED = """
+SELECT filename, path, source FROM scores s
+WHERE source = 'builtin' OR NOT EXISTS (
+  SELECT 1 FROM (SELECT concat(['Bach','Bartok','Morley','CRIM','Other'][item_id % 5 + 1], '_', item_id, '.mei') AS filename
+                 FROM benchmark) b WHERE b.filename = s.filename)
+"""
+
+NAME_ERRORS = """
+SELECT page_id, CASE WHEN trim(name) = '' THEN 'filename is required'
+            WHEN contains(name, '/') OR contains(name, chr(92)) OR trim(name) IN ('.', '..')
+              THEN 'filename must be a simple basename'
+            WHEN NOT ends_with(lower(trim(name)), '.mei') THEN 'filename must end with .mei' END AS error
+FROM (SELECT page_id, CASE page_id % 4 WHEN 0 THEN url WHEN 1 THEN concat(split_part(url, '/', -1), '.MEI')
+                      WHEN 2 THEN split_part(url, '/', -1) ELSE '  ' END AS name FROM pages)
+"""
+
+PIECE_LIST = """
+SELECT source AS piece_id, row_number() OVER (ORDER BY min(doc_id)) - 1 AS score_index
+FROM documents WHERE source <> '' GROUP BY source
+"""
+
+# Scalar functions -----------------------------------------------------------
+
+SPELLED = """
+SELECT p_partkey, pname, accid,
+       CAST(CASE WHEN accid IN ('n', '', 'q') THEN 0 WHEN accid IN ('s', 'ss', 'sss') THEN length(accid)
+            WHEN accid = 'x' THEN 2 WHEN accid = 'xs' THEN 3 WHEN accid = 'tf' THEN -3 ELSE -length(accid) END AS INTEGER) AS semitones,
+       CAST(((CASE pname WHEN 'c' THEN 0 WHEN 'd' THEN 2 WHEN 'e' THEN 4 WHEN 'f' THEN 5 WHEN 'g' THEN 7 WHEN 'a' THEN 9
+        ELSE 11 END + CASE WHEN accid IN ('n', '', 'q') THEN 0 WHEN accid IN ('s', 'ss', 'sss') THEN length(accid)
+            WHEN accid = 'x' THEN 2 WHEN accid = 'xs' THEN 3 WHEN accid = 'tf' THEN -3 ELSE -length(accid) END) % 12 + 12) % 12
+        AS INTEGER) AS pc
+FROM (SELECT p_partkey, ['c','d','e','f','g','a','b'][p_partkey % 7 + 1] AS pname,
+             ['n','s','ss','x','xs','f','ff','tf','sss','ffff','','q'][p_size % 12 + 1] AS accid FROM part)
+"""
+
+PATTERN_KEYS = """
+SELECT p_partkey, array_to_string([trim(x) FOR x IN
+         CASE WHEN contains(text, '_') THEN string_split(text, '_') ELSE string_split(text, ',') END IF trim(x) <> ''], '_')
+         AS pattern_key,
+       array_to_string([trim(x) FOR x IN
+         CASE WHEN contains(text, ',') THEN string_split(text, ',') ELSE string_split(text, '_') END IF trim(x) <> ''], '_')
+         AS module_key,
+       array_to_string([trim(x) FOR x IN string_split_regex(labels, '::|[-,/_]') IF trim(x) <> ''], '|') AS parts
+FROM (SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN replace(p_name, ' ', '__') WHEN 1 THEN replace(p_name, ' ', ', ,')
+                        ELSE concat(replace(p_name, ' ', '_'), ',', p_size) END AS text,
+             concat(p_size, ['::', '-', ' , ', '/', '_'][p_partkey % 5 + 1], p_partkey % 9) AS labels FROM part)
+"""

@@ -11,7 +11,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from noteloom.functions import pitch
-from noteloom.operators.ordered import running
+from noteloom.operators.notes import PART
+from noteloom.operators.ordered import halo, neighbours, running, settle
 from noteloom.sources.tables import stored_once
 
 PPQ = 480
@@ -124,4 +125,92 @@ def metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit("u"), F.col("n_nationkey")).alias("piece_id"),
         F.concat(F.lit("Piece "), F.col("n_nationkey")).alias("title"),
         F.col("n_name").alias("composer"),
+        F.col("n_nationkey").cast("bigint").alias("score_index"),
+    )
+
+
+def meter_missing(events: DataFrame, pieces: list[str]) -> DataFrame:
+    """The same events with no metre stated in some pieces."""
+    unknown = F.col("piece_id").isin(pieces)
+    return events.withColumns(
+        {c: F.when(~unknown, F.col(c)) for c in ("meter_count", "meter_unit")}
+    )
+
+
+def tie_flags(events: DataFrame) -> DataFrame:
+    """Every repeated pitch on a place divisible by three is tied to the note before."""
+    same = F.lag("midi").over(neighbours(PART, "seq")) == F.col("midi")
+    tied = F.coalesce(same & (F.col("seq") % 3 == 0), F.lit(False))
+    return settle(halo(events, "seq", before=1).withColumn("tied_from_prev", tied))
+
+
+def spans(events: DataFrame) -> DataFrame:
+    """Each event asks for notes around it, in one of five ways."""
+    kind = F.col("seq") % 5
+    start_q = F.col("onset_ppq") / F.col("ppq")
+    part = F.col("part").cast("string")
+    return events.select(
+        "piece_id",
+        (F.col("seq") * 8 + F.col("part")).alias("index"),
+        F.when(kind.isin(2, 3), F.col("measure")).alias("start_measure"),
+        F.when(kind.isin(2, 3), 1 + F.col("measure_onset_ppq") / F.col("ppq")).alias("start_beat"),
+        F.when(kind.isin(0, 1, 2), start_q).alias("start_q"),
+        F.when(kind == 4, start_q).alias("start_offset"),
+        F.when(kind == 0, start_q + 2).alias("end_q"),
+        F.when(kind == 1, F.lit(2.0)).alias("duration"),
+        F.when(kind == 2, 3).when(kind == 4, 2).alias("note_count"),
+        F.when(kind == 0, part).alias("column"),
+        F.when(kind == 2, part).alias("part"),
+        F.when(kind == 4, F.lit("2_1")).alias("voice_pair"),
+    )
+
+
+def measures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as measures: priority and status place repeat signs and endings."""
+    key = F.col("o_orderkey")
+    sign = F.concat_ws(" ", "o_orderpriority", "o_orderstatus")
+    ending = sign == "2-HIGH P"
+    passes = (
+        F.when(key % 4 == 0, F.array(F.lit(1)))
+        .when(key % 4 == 1, F.array(F.lit(2)))
+        .when(key % 4 == 3, F.array(F.lit(1), F.lit(2)))
+        .otherwise(F.array().cast("array<int>"))
+    )
+    return table(spark, sf_dir, "orders").select(
+        F.concat(F.lit("o"), F.col("o_custkey") % 10).alias("piece_id"),
+        F.expr("o_orderkey div 4000 + 1").alias("section_seq"),
+        key.alias("measure_seq"),
+        key.cast("double").alias("n"),
+        F.when(sign == "1-URGENT O", F.lit("rptstart")).alias("left"),
+        F.when(sign == "5-LOW F", F.lit("rptend")).alias("right"),
+        F.when(ending, key).alias("ending_seq"),
+        F.when(ending, passes).alias("ending_passes"),
+        (ending & (F.col("o_totalprice") > 250000)).alias("after_other"),
+    )
+
+
+def catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as score files, once built in and once registered."""
+    docs = table(spark, sf_dir, "documents").select("doc_id")
+    prefix = F.element_at(
+        F.array(*[F.lit(p) for p in ("Bach", "Bartok", "Morley", "CRIM", "Other")]), (F.col("doc_id") % 5 + 1).cast("int")
+    )
+
+    def files(source: str, folder: str, per: int) -> DataFrame:
+        return docs.select(
+            F.concat(prefix, F.lit("_"), F.expr(f"doc_id div {per}"), F.lit(".mei")).alias("filename"),
+            F.concat(F.lit(folder), F.col("doc_id")).alias("path"),
+            F.lit(source).alias("source"),
+            F.col("doc_id").alias("registered_at"),
+        )
+
+    return files("builtin", "/scores/", 5).unionByName(files("registered", "/inbox/", 7))
+
+
+def removals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prefix = F.element_at(
+        F.array(*[F.lit(p) for p in ("Bach", "Bartok", "Morley", "CRIM", "Other")]), (F.col("item_id") % 5 + 1).cast("int")
+    )
+    return table(spark, sf_dir, "benchmark").select(
+        F.concat(prefix, F.lit("_"), F.col("item_id"), F.lit(".mei")).alias("filename")
     )

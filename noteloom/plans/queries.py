@@ -4,11 +4,26 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from noteloom.operators import intervals, ngrams, notes
+from noteloom.functions import patterns, pitch
+from noteloom.operators import (
+    cadence,
+    distribution,
+    excerpt,
+    heatmap,
+    intervals,
+    ngrams,
+    notes,
+    profile,
+    repeats,
+    sonority,
+    spans,
+)
 from noteloom.plans import oracle, projection
+from noteloom.sources import catalogue
+from noteloom.sources.tables import stored_once
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -103,3 +118,331 @@ _register(
     lambda s, d: _joined(ngrams.first_occurrences(ngrams.melodic_ngrams(_events(s, d), 3)), "note_ids"),
     EVENTS + oracle.ngrams(3) + oracle.FIRST_OCCURRENCES,
 )
+
+# Pitch classes, keys and ranges ---------------------------------------------
+
+
+def _rounded(df: DataFrame, digits: int, *names: str) -> DataFrame:
+    return df.withColumns({name: F.round(name, digits) for name in names})
+
+
+_register(
+    "pitch_class_weights",
+    lambda s, d: _rounded(distribution.weighted_distribution(_events(s, d)), 9, "share"),
+    EVENTS + oracle.weights(),
+)
+_register(
+    "pitch_class_weights_by_staff",
+    lambda s, d: _rounded(
+        distribution.weighted_distribution(_events(s, d), by_staff=True, order="chromatic", limit_to_active=False),
+        9, "share",
+    ),
+    EVENTS + oracle.weights(by_staff=True, active_only=False, order=oracle.CHROMATIC),
+)
+_register(
+    "pitch_class_weights_lineitem",
+    lambda s, d: _rounded(distribution.weighted_distribution(_lines(s, d)), 9, "share"),
+    LINEITEM + oracle.weights(),
+)
+_register(
+    "weights_summary",
+    lambda s, d: _rounded(
+        distribution.distribution_summary(
+            distribution.weighted_distribution(_events(s, d)), projection.metadata(s, d)
+        ),
+        9, "radial_max",
+    ),
+    EVENTS + oracle.META + oracle.KEYS + oracle.SUMMARY,
+)
+_register(
+    "key_finding",
+    lambda s, d: _rounded(distribution.keys_of(_events(s, d)), 6, "confidence"),
+    EVENTS + oracle.KEYS + "SELECT * FROM keys",
+)
+_register(
+    "key_finding_lineitem",
+    lambda s, d: _rounded(distribution.keys_of(_lines(s, d)), 6, "confidence"),
+    LINEITEM + oracle.KEYS + "SELECT * FROM keys",
+)
+_register(
+    "corpus_key_distribution",
+    lambda s, d: distribution.key_distribution(distribution.keys_of(_lines(s, d))),
+    LINEITEM + oracle.KEYS + "SELECT key_name, count(*) AS pieces FROM keys GROUP BY key_name",
+)
+_register(
+    "voice_ranges",
+    lambda s, d: distribution.voice_ranges(_events(s, d)),
+    EVENTS + oracle.RANGES + "SELECT * FROM ranges",
+)
+_register(
+    "voice_range_axis",
+    lambda s, d: _joined(
+        distribution.range_axis(distribution.voice_ranges(_events(s, d))), "tick_values", "tick_labels"
+    ),
+    EVENTS + oracle.RANGES + oracle.RANGE_AXIS,
+)
+_register(
+    "pitch_names",
+    lambda s, d: _events(s, d).filter("midi is not null").select(
+        "midi",
+        pitch.midi_to_name(F.col("midi")).alias("token"),
+        pitch.name_to_midi(pitch.midi_to_name(F.col("midi"))).alias("midi_again"),
+        pitch.pitch_class(F.col("midi")).alias("pc"),
+    ).groupBy("midi", "token", "midi_again", "pc").agg(F.count(F.lit(1)).alias("notes")),
+    EVENTS + oracle.PITCH_NAMES,
+)
+
+
+def _spelled(s: SparkSession, d: str) -> DataFrame:
+    def pick(values: list[str], index: str) -> Column:
+        return F.element_at(F.array(*[F.lit(v) for v in values]), F.expr(f"cast({index} + 1 as int)"))
+
+    named = projection.table(s, d, "part").select(
+        "p_partkey",
+        pick(list("cdefgab"), "p_partkey % 7").alias("pname"),
+        pick(["n", "s", "ss", "x", "xs", "f", "ff", "tf", "sss", "ffff", "", "q"], "p_size % 12").alias("accid"),
+    )
+    return named.select(
+        "*",
+        pitch.accidental_semitones(F.col("accid")).alias("semitones"),
+        pitch.spelled_pitch_class(F.col("pname"), F.lit(None).cast("string"), F.col("accid")).alias("pc"),
+    )
+
+
+_register("accidentals", _spelled, oracle.SPELLED)
+
+
+def _pattern_keys(s: SparkSession, d: str) -> DataFrame:
+    text = F.expr(
+        "case p_partkey % 3 when 0 then replace(p_name, ' ', '__') when 1 then replace(p_name, ' ', ', ,')"
+        " else concat(replace(p_name, ' ', '_'), ',', p_size) end"
+    )
+    labels = F.expr(
+        "concat(p_size, element_at(array('::', '-', ' , ', '/', '_'), cast(p_partkey % 5 + 1 as int)), p_partkey % 9)"
+    )
+    return projection.table(s, d, "part").select(
+        "p_partkey",
+        patterns.pattern_key(text).alias("pattern_key"),
+        patterns.pattern_key(text, comma_first=True).alias("module_key"),
+        F.array_join(patterns.part_labels(labels), "|").alias("parts"),
+    )
+
+
+_register("pattern_keys", _pattern_keys, oracle.PATTERN_KEYS)
+
+# Heatmap --------------------------------------------------------------------
+
+_META = EVENTS + oracle.META
+
+
+def _trigrams(s: SparkSession, d: str) -> DataFrame:
+    return ngrams.melodic_ngrams(_events(s, d), 3)
+
+
+_register(
+    "ngram_heatmap_patterns",
+    lambda s, d: heatmap.top_patterns(_trigrams(s, d), 3),
+    EVENTS + oracle.ngrams(3) + oracle.TOP + "SELECT * FROM coloured",
+)
+_register(
+    "ngram_heatmap_rows",
+    lambda s, d: heatmap.timeline_rows(_events(s, d), projection.metadata(s, d)),
+    _META + oracle.HEATMAP_ROWS,
+)
+_register(
+    "ngram_heatmap_occurrences",
+    lambda s, d: _joined(heatmap.occurrences(_trigrams(s, d), 3), "note_ids"),
+    EVENTS + oracle.ngrams(3) + oracle.TOP + oracle.HEATMAP_OCCURRENCES,
+)
+_register(
+    "ngram_heatmap_axis",
+    lambda s, d: heatmap.time_axis(
+        heatmap.timeline_rows(_events(s, d), projection.metadata(s, d)), heatmap.occurrences(_trigrams(s, d), 3)
+    ),
+    EVENTS + "SELECT max(end_ppq) / 480.0::DOUBLE AS x_max FROM note_events WHERE midi IS NOT NULL",
+)
+
+# Spans ----------------------------------------------------------------------
+
+_register(
+    "span_resolution",
+    lambda s, d: _joined(
+        spans.resolve_spans(_events(s, d), projection.spans(_events(s, d))), "matched_parts", "note_ids"
+    ).select("piece_id", "index", "matched_parts", "note_ids"),
+    EVENTS + oracle.SPANS,
+)
+
+# Sonorities -----------------------------------------------------------------
+
+
+def _sonorities(s: SparkSession, d: str) -> DataFrame:
+    return stored_once(s, f"sonorities:{d}", lambda: sonority.sonorities(_events(s, d)))
+
+
+def _items(s: SparkSession, d: str) -> DataFrame:
+    return sonority.low_line_items(_sonorities(s, d))
+
+
+def _grams(s: SparkSession, d: str) -> DataFrame:
+    return stored_once(s, f"sonority-bigrams:{d}", lambda: sonority.sonority_ngrams(_items(s, d), 2))
+
+
+def _introduced(s: SparkSession, d: str) -> DataFrame:
+    return sonority.introduced_patterns(_grams(s, d), projection.metadata(s, d).select("piece_id", "score_index"))
+
+
+def _sonority_rows(df: DataFrame) -> DataFrame:
+    return df.select("piece_id", "onset_ppq", "measure", notes.beat().alias("beat"), "low_midi", "low_part", "sonority")
+
+
+_STACKS = EVENTS + oracle.META + oracle.sonorities()
+_ITEMS = _STACKS + oracle.LOW_LINE
+_GRAMS = _ITEMS + oracle.sonority_ngrams(2)
+
+_register("sonorities", lambda s, d: _sonority_rows(_sonorities(s, d)), _STACKS + oracle.SONORITY_ROWS)
+_register(
+    "sonorities_simple_sorted",
+    lambda s, d: _sonority_rows(sonority.sonorities(_events(s, d), compound=False, sort=True)),
+    EVENTS + oracle.sonorities(compound=False, sort=True) + oracle.SONORITY_ROWS,
+)
+_register(
+    "low_line_items",
+    lambda s, d: _items(s, d).select("piece_id", "onset_ppq", "low_line", "sonority", "item"),
+    _ITEMS + oracle.LOW_LINE_ROWS,
+)
+_register(
+    "sonority_ngrams_on_beats",
+    lambda s, d: sonority.sonority_ngrams(sonority.on_strong_beats(_items(s, d), 0.25), 2),
+    _ITEMS + oracle.sonority_ngrams(2, "strength >= 0.25") + oracle.GRAM_ROWS,
+)
+
+
+def _without_metre(s: SparkSession, d: str) -> DataFrame:
+    return projection.meter_missing(_sonorities(s, d), ["u3", "u7"])
+
+
+_register(
+    "beat_strength_fallback",
+    lambda s, d: sonority.sonority_ngrams(
+        sonority.on_strong_beats(sonority.low_line_items(_without_metre(s, d)), 0.0), 2
+    ),
+    _GRAMS + oracle.GRAM_ROWS,
+)
+_register(
+    "beat_strength_warnings",
+    lambda s, d: sonority.fallback_warnings(_without_metre(s, d)),
+    _STACKS
+    + "SELECT DISTINCT piece_id, concat('Beat-strength filtering was skipped because there are no beat-strength"
+    " values for ', piece_id, '.') AS warning FROM sonorities WHERE sonority <> '' AND piece_id IN ('u3', 'u7')",
+)
+_register("sonority_rows", _introduced, _GRAMS + oracle.INTRODUCED + oracle.INTRODUCED_ROWS)
+_register(
+    "sonority_occurrences",
+    lambda s, d: sonority.introduced_occurrences(_grams(s, d), _introduced(s, d)),
+    _GRAMS + oracle.INTRODUCED + oracle.INTRODUCED_OCCURRENCES,
+)
+_register(
+    "sonority_scores",
+    lambda s, d: sonority.score_facts(_grams(s, d), projection.metadata(s, d).select("piece_id", "score_index")),
+    _GRAMS + oracle.SCORE_FACTS,
+)
+_register(
+    "sonority_summary",
+    lambda s, d: sonority.summary(
+        _introduced(s, d), sonority.introduced_occurrences(_grams(s, d), _introduced(s, d))
+    ),
+    _GRAMS + oracle.INTRODUCED + oracle.SONORITY_SUMMARY,
+)
+_register(
+    "sonority_most_recurring",
+    lambda s, d: sonority.most_recurring(_introduced(s, d)),
+    _GRAMS + oracle.INTRODUCED + oracle.MOST_RECURRING,
+)
+
+# Cadences and profiles ------------------------------------------------------
+
+_register(
+    "cadences",
+    lambda s, d: _joined(cadence.cadences(_events(s, d), projection.metadata(s, d)), "cvfs"),
+    _META + oracle.CADENCES + oracle.CADENCE_ROWS,
+)
+_register(
+    "piece_profile",
+    lambda s, d: _rounded(profile.piece_profile(_events(s, d), projection.metadata(s, d)), 6, "confidence"),
+    _META + oracle.CADENCES + oracle.KEYS + oracle.ngrams(4) + oracle.PROFILE,
+)
+
+# Excerpts and repeats -------------------------------------------------------
+
+_register(
+    "excerpt",
+    lambda s, d: _rounded(excerpt.excerpt(_events(s, d), 8.5, 40.0, 96), 9, "at_sec", "for_sec"),
+    EVENTS + oracle.EXCERPT,
+)
+_register(
+    "excerpt_bounds",
+    lambda s, d: excerpt.excerpt_bounds(_events(s, d), 8.5, 40.0, 96),
+    EVENTS + oracle.EXCERPT_BOUNDS,
+)
+_register(
+    "measure_range",
+    lambda s, d: excerpt.measure_range(_events(s, d), 5, 12).select(
+        "piece_id", "part", "seq", "measure", "onset_ppq", "midi"
+    ),
+    EVENTS + oracle.MEASURE_RANGE,
+)
+_register(
+    "performed_order",
+    lambda s, d: repeats.performed_order(projection.measures(s, d)),
+    oracle.MEASURES + oracle.PERFORMED,
+)
+
+# Catalogue ------------------------------------------------------------------
+
+_register(
+    "collections",
+    lambda s, d: catalogue.collections(projection.catalogue(s, d)),
+    oracle.SCORES + oracle.COLLECTIONS + "SELECT * FROM listed WHERE collection IS NOT NULL",
+)
+_register(
+    "collection_counts",
+    lambda s, d: catalogue.collection_counts(projection.catalogue(s, d)),
+    oracle.SCORES + oracle.COLLECTIONS
+    + "SELECT collection, count(*) AS files FROM listed WHERE collection IS NOT NULL GROUP BY collection",
+)
+_register(
+    "catalogue_resolution",
+    lambda s, d: catalogue.resolve(projection.catalogue(s, d)),
+    oracle.SCORES + oracle.RESOLVED,
+)
+_register(
+    "registered_scores",
+    lambda s, d: catalogue.registered(projection.catalogue(s, d)),
+    oracle.SCORES + "SELECT DISTINCT filename FROM scores WHERE source = 'registered'",
+)
+_register(
+    "unregister",
+    lambda s, d: catalogue.unregister(projection.catalogue(s, d), projection.removals(s, d)).select(
+        "filename", "path", "source"
+    ),
+    oracle.SCORES + oracle.UNREGISTERED,
+)
+
+
+def _name_errors(s: SparkSession, d: str) -> DataFrame:
+    last = F.element_at(F.split("url", "/"), -1)
+    kind = F.col("page_id") % 4
+    name = (
+        F.when(kind == 0, F.col("url")).when(kind == 1, F.concat(last, F.lit(".MEI"))).when(kind == 2, last).otherwise("  ")
+    )
+    return projection.table(s, d, "pages").select("page_id", catalogue.name_error(name).alias("error"))
+
+
+_register("name_errors", _name_errors, oracle.NAME_ERRORS)
+_register(
+    "piece_list",
+    lambda s, d: catalogue.piece_list(
+        projection.table(s, d, "documents").select(F.col("doc_id").alias("pos"), F.col("source").alias("name"))
+    ),
+    oracle.PIECE_LIST,
+)
