@@ -53,21 +53,22 @@ def sounding_pairs(events: DataFrame, columns: list[str], quarters: int = SLICE_
     piece is. A pair is kept in the block its common onset falls in.
     """
     sliced = time_slices(events, quarters)
-    # Both sides carry the same columns, so that one shuffle can serve both.
-    carried = ["part", "ppq", "onset_ppq", "end_ppq", "measure", "measure_onset_ppq", *columns]
-    low = sliced.select("piece_id", "slice", *[F.col(c).alias(f"low_{c}") for c in carried])
-    high = sliced.select("piece_id", "slice", *[F.col(c).alias(f"high_{c}") for c in carried])
+    # Both sides carry the same columns, so that one shuffle can serve both; the
+    # parts of a piece share its ppq.
+    keys = ["piece_id", "slice", "ppq"]
+    carried = ["part", "onset_ppq", "end_ppq", "measure", "measure_onset_ppq", *columns]
+    low = sliced.select(*keys, *[F.col(c).alias(f"low_{c}") for c in carried])
+    high = sliced.select(*keys, *[F.col(c).alias(f"high_{c}") for c in carried])
     onset = F.greatest("low_onset_ppq", "high_onset_ppq")
-    pairs = low.join(high, ["piece_id", "slice"]).filter(
+    pairs = low.join(high, keys).filter(
         (F.col("low_part") > F.col("high_part"))
         & (F.col("low_onset_ppq") < F.col("high_end_ppq"))
         & (F.col("high_onset_ppq") < F.col("low_end_ppq"))
-        & (F.floor(onset / (F.col("low_ppq") * quarters)) == F.col("slice"))
+        & (F.floor(onset / (F.col("ppq") * quarters)) == F.col("slice"))
     )
     later = F.col("low_onset_ppq") >= F.col("high_onset_ppq")
     return pairs.withColumns(
         {
-            "ppq": F.col("low_ppq"),
             "onset_ppq": onset,
             "measure": F.when(later, F.col("low_measure")).otherwise(F.col("high_measure")),
             "measure_onset_ppq": F.when(later, F.col("low_measure_onset_ppq")).otherwise(

@@ -56,13 +56,17 @@ def combine(events: DataFrame, unisons: bool = False, block_rows: int = BLOCK_RO
         PART,
         ["seq"],
         block_of("seq", block_rows),
-        sums={"run": F.col("starts").cast("bigint")},
+        sums={
+            "run": F.col("starts").cast("bigint"),
+            "notes_before": (F.col("starts") & F.col("midi").isNotNull()).cast("bigint"),
+        },
         nexts={"next_onset": F.when(F.col("starts"), F.col("onset_ppq"))},
         totals={"part_end": ("max", end_ppq())},
     )
     merged = placed.filter("starts").withColumns(
         {
             "seq": F.col("run") + 1,
+            "note_place": F.when(F.col("midi").isNotNull(), F.col("notes_before")),
             "dur_ppq": F.coalesce("next_onset", "part_end") - F.col("onset_ppq"),
         }
     )
@@ -74,13 +78,21 @@ def merge_ties(events: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
 
     The merged note has the summed duration and the ids of all its members.
     """
+    head = ~F.col("tied_from_prev")
     counted = running(
-        events, PART, ["seq"], block_of("seq", block_rows),
-        sums={"heads": (~F.col("tied_from_prev")).cast("bigint")},
+        events.drop("note_place"), PART, ["seq"], block_of("seq", block_rows),
+        sums={
+            "heads": head.cast("bigint"),
+            "note_place": (head & F.col("midi").isNotNull()).cast("bigint"),
+        },
     )
     # The head is the first row of its chain, so it opens a new run itself.
-    counted = counted.withColumn("run", F.col("heads") + (~F.col("tied_from_prev")).cast("bigint"))
-    kept = [c for c in events.columns if c not in (*PART, "seq", "dur_ppq", "note_ids", "tied_from_prev")]
+    counted = counted.withColumns({
+        "run": F.col("heads") + head.cast("bigint"),
+        "note_place": F.when(F.col("midi").isNotNull(), F.col("note_place")),
+    })
+    dropped = (*PART, "seq", "dur_ppq", "note_ids", "tied_from_prev", "heads", "run")
+    kept = [c for c in counted.columns if c not in dropped]
     merged = counted.groupBy(*PART, "run").agg(
         F.sum("dur_ppq").alias("dur_ppq"),
         F.min_by(F.struct(*kept), "seq").alias("head"),

@@ -14,7 +14,6 @@ from pyspark.sql import functions as F
 
 from noteloom.functions import patterns
 from noteloom.operators.notes import PART, beat
-from noteloom.operators.ordered import BLOCK_ROWS, block_of, running
 
 SLICE_Q = 4
 SLICE_NOTES = 64
@@ -35,16 +34,11 @@ SPAN_FIELDS = {
 }
 
 
-def note_index(events: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """Sounding events numbered within their part, with comparable locations."""
-    numbered = running(
-        events.select(*PART, "seq", "onset_ppq", "ppq", "measure", "measure_onset_ppq", "note_ids", "midi"),
-        PART, ["seq"], block_of("seq", block_rows),
-        sums={"place": F.col("midi").isNotNull().cast("bigint")},
-    )
-    return numbered.filter("midi is not null").select(
+def note_index(events: DataFrame) -> DataFrame:
+    """Sounding events with their number in the part and comparable locations."""
+    return events.filter("note_place is not null").select(
         *PART,
-        "place",
+        F.col("note_place").alias("place"),
         patterns.location(F.col("measure")).alias("at_measure"),
         patterns.location(beat()).alias("at_beat"),
         patterns.location(F.col("onset_ppq") / F.col("ppq")).alias("at_q"),
@@ -139,9 +133,9 @@ def _counted(requests: DataFrame, notes: DataFrame) -> DataFrame:
     ).filter("place >= from_place and place < until")
 
 
-def resolve(events: DataFrame, spans: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
+def resolve(events: DataFrame, spans: DataFrame) -> DataFrame:
     """One row per span and note it matches, in long form: any span length works."""
-    notes = note_index(events, block_rows)
+    notes = note_index(events)
     requests = _requests(spans)
     columns = ["piece_id", "index", "part", "place", "wanted", "note_ids"]
     found = (
@@ -156,9 +150,9 @@ def resolve(events: DataFrame, spans: DataFrame, block_rows: int = BLOCK_ROWS) -
     )
 
 
-def resolve_spans(events: DataFrame, spans: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
+def resolve_spans(events: DataFrame, spans: DataFrame) -> DataFrame:
     """Spans with their matched parts and note ids; spans without a match stay."""
-    found = resolve(events, spans, block_rows)
+    found = resolve(events, spans)
     listed = F.array_sort(F.collect_list(F.struct("part_order", "place", "part", "note_ids")))
     gathered = found.groupBy("piece_id", "index").agg(listed.alias("hits"))
     none = F.array().cast("array<string>")

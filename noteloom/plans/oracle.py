@@ -620,3 +620,18 @@ FROM (SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN replace(p_name, ' ', '__'
                         ELSE concat(replace(p_name, ' ', '_'), ',', p_size) END AS text,
              concat(p_size, ['::', '-', ' , ', '/', '_'][p_partkey % 5 + 1], p_partkey % 9) AS labels FROM part)
 """
+
+# Ties -----------------------------------------------------------------------
+
+TIES = """,
+heads AS (
+  SELECT *, coalesce(lag(midi) OVER w = midi AND seq % 3 = 0, false) AS tied
+  FROM note_events WINDOW w AS (PARTITION BY piece_id, part ORDER BY seq)),
+chains AS (SELECT *, sum(CASE WHEN tied THEN 0 ELSE 1 END) OVER (PARTITION BY piece_id, part ORDER BY seq) AS chain FROM heads),
+joined AS (
+  SELECT piece_id, part, CAST(chain AS BIGINT) AS seq, min(onset_ppq) AS onset_ppq, CAST(sum(dur_ppq) AS BIGINT) AS dur_ppq,
+         min(midi) AS midi, coalesce(string_agg(note_id, ',' ORDER BY seq) FILTER (WHERE midi IS NOT NULL), '') AS note_ids
+  FROM chains GROUP BY piece_id, part, chain)
+SELECT *, CASE WHEN midi IS NOT NULL THEN count(midi) OVER (PARTITION BY piece_id, part ORDER BY seq) - 1 END AS note_place
+FROM joined
+"""

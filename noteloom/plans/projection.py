@@ -30,15 +30,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def _with_time(df: DataFrame, order: list[str], block: Column) -> DataFrame:
     """Number the rows of each part, lay them end to end, and spell the pitches."""
+    midi = F.col("midi")
     timed = running(
-        df, ["piece_id", "part"], order, block, sums={"earlier": F.lit(1), "onset_ppq": F.col("dur_ppq")}
+        df, PART, order, block,
+        sums={
+            "earlier": F.lit(1),
+            "onset_ppq": F.col("dur_ppq"),
+            "note_place": F.col("midi").isNotNull().cast("int"),
+        },
     )
-    midi = F.col("midi")
     return timed.select(
         "piece_id",
         "part",
         F.col("part").cast("string").alias("staff"),
         (F.col("earlier") + 1).cast("bigint").alias("seq"),
+        F.when(midi.isNotNull(), F.col("note_place").cast("bigint")).alias("note_place"),
         F.col("onset_ppq").cast("bigint").alias("onset_ppq"),
         "dur_ppq",
         F.lit(PPQ).alias("ppq"),

@@ -446,3 +446,16 @@ _register(
     ),
     oracle.PIECE_LIST,
 )
+
+# Ties -----------------------------------------------------------------------
+
+
+def _merged_ties(s: SparkSession, d: str) -> DataFrame:
+    merged = notes.merge_ties(projection.tie_flags(_events(s, d)))
+    return merged.select(
+        "piece_id", "part", "seq", "note_place", "onset_ppq", "dur_ppq", "midi",
+        F.coalesce(F.array_join("note_ids", ","), F.lit("")).alias("note_ids"),
+    )
+
+
+_register("merged_ties", _merged_ties, EVENTS + oracle.TIES)
