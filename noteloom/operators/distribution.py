@@ -114,7 +114,7 @@ def _centred(profile: list[float]) -> list[float]:
     return [(p - mean) / size for p in profile]
 
 
-def keys_of(events: DataFrame, profile: str = "krumhansl") -> DataFrame:
+def keys_of(events: DataFrame, profile: str = "aarden") -> DataFrame:
     """Best key of every piece and its correlation with the key's profile.
 
     Each correlation is a weighted sum of the twelve totals with constants known

@@ -250,7 +250,9 @@ def summary(rows: DataFrame, occurrences: DataFrame) -> DataFrame:
         F.min("progress").alias("first_progress"),
         F.max("progress").alias("last_progress"),
     )
-    return shown.join(F.broadcast(span), how="inner")
+    # Two one-row tables side by side, without a join.
+    both = shown.unionByName(span, allowMissingColumns=True)
+    return both.agg(*[F.max(c).alias(c) for c in both.columns])
 
 
 def most_recurring(rows: DataFrame, top: int = 5) -> DataFrame:

@@ -193,9 +193,9 @@ SELECT midi, token, midi AS midi_again, pc,
 KEYS = f""",
 profiles(mode, degree, weight) AS (VALUES
   {", ".join(f"('major', {i}, {w})" for i, w in enumerate(
-      [6.35, 2.23, 3.48, 2.33, 4.38, 4.09, 2.52, 5.19, 2.39, 3.66, 2.29, 2.88]))},
+      [17.7661, 0.145624, 14.9265, 0.160186, 19.8049, 11.3587, 0.291248, 22.062, 0.145624, 8.15494, 0.232998, 4.95122]))},
   {", ".join(f"('minor', {i}, {w})" for i, w in enumerate(
-      [6.33, 2.68, 3.52, 5.38, 2.60, 3.53, 2.54, 4.75, 3.98, 2.69, 3.34, 3.17]))}),
+      [18.2648, 0.737619, 14.0499, 16.8599, 0.702494, 14.4362, 0.702494, 18.6161, 4.56621, 1.93186, 7.37619, 1.75623]))}),
 sums AS (SELECT piece_id, pc, sum(dur_ppq) AS weight FROM note_events WHERE midi IS NOT NULL GROUP BY piece_id, pc),
 grid AS (SELECT piece_id, k.pc, coalesce(weight, 0) AS weight
          FROM (SELECT DISTINCT piece_id FROM sums) CROSS JOIN range(12) k(pc) LEFT JOIN sums USING (piece_id, pc)),
