@@ -140,7 +140,7 @@ def flatten_document(content: bytes, piece_id: str) -> Iterator[dict]:
                     for child in layer:
                         yield from events(child, shared | here | {
                             "staff": n, "layer": voice[1], "part": part,
-                            "ppq": staff_ppq.get(n, DEFAULT_PPQ), "text": element.get("n", "0"),
+                            "ppq": staff_ppq.get(n, default), "text": element.get("n", "0"),
                         }, (None, None))
             return
         for child in element:
