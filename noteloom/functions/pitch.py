@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Spelling of the twelve pitch classes, diatonic step of each
@@ -107,6 +107,7 @@ def interval(kind: str, midi_from: Column, dpos_from: Column, midi_to: Column, d
 
     ``c`` semitones, ``z`` diatonic steps, ``d`` signed number with unison 1,
     ``q`` number with quality. ``compound=False`` folds the size into one octave.
+    For ``q`` over many rows use ``add_interval``, which computes each part once.
     """
     if kind not in KINDS:
         raise ValueError(f"kind must be one of {', '.join(KINDS)}")
@@ -122,9 +123,16 @@ def interval(kind: str, midi_from: Column, dpos_from: Column, midi_to: Column, d
         return F.when(steps < 0, -shown).otherwise(shown).cast("int").cast("string")
     if kind == "d":
         return F.when(steps < 0, -(shown + 1)).otherwise(shown + 1).cast("int").cast("string")
-    span = F.when(down, -semis).otherwise(semis)
+    return _token(down, size, _delta(semis, size, down), compound)
+
+
+def _delta(semis: Column, size: Column, down: Column) -> Column:
+    """Semitones by which an interval exceeds the major or perfect one of its size."""
     expected = _pick(NATURAL_SEMITONES, size % 7) + 12 * F.floor(size / 7)
-    delta = (span - expected).cast("int")
+    return (F.when(down, -semis).otherwise(semis) - expected).cast("int")
+
+
+def _token(down: Column, size: Column, delta: Column, compound: bool) -> Column:
     wide = F.repeat(F.lit("A"), delta)
     quality = F.when(
         (size % 7).isin(0, 3, 4),
@@ -133,5 +141,21 @@ def interval(kind: str, midi_from: Column, dpos_from: Column, midi_to: Column, d
         F.when(delta == 0, F.lit("M")).when(delta == -1, F.lit("m")).when(delta > 0, wide)
         .otherwise(F.repeat(F.lit("d"), -delta - 1))
     )
-    return F.concat(F.when(down, F.lit("-")).otherwise(F.lit("")), quality,
-                    (shown + 1).cast("int").cast("string"))
+    number = size if compound else size % 7
+    return F.concat(F.when(down, F.lit("-")).otherwise(F.lit("")), quality, (number + 1).cast("int").cast("string"))
+
+
+def add_interval(df: DataFrame, name: str, kind: str, low: str, high: str, compound: bool = True) -> DataFrame:
+    """Add the interval from ``<low>midi, <low>dpos`` to ``<high>midi, <high>dpos``."""
+    ends = [F.col(f"{side}{field}") for side in (low, high) for field in ("midi", "dpos")]
+    if kind != "q":
+        return df.withColumn(name, interval(kind, *ends, compound=compound))
+    semis, steps = ends[2] - ends[0], ends[3] - ends[1]
+    sized = df.withColumns({"__semis": semis, "__steps": steps}).withColumns({
+        "__size": F.abs("__steps"),
+        "__down": (F.col("__steps") < 0) | ((F.col("__steps") == 0) & (F.col("__semis") < 0)),
+    })
+    size, down = F.col("__size"), F.col("__down")
+    judged = sized.withColumn("__delta", _delta(F.col("__semis"), size, down))
+    token = _token(down, size, F.col("__delta"), compound)
+    return judged.withColumn(name, token).drop("__semis", "__steps", "__size", "__down", "__delta")

@@ -18,15 +18,17 @@ def melodic_intervals(events: DataFrame, kind: str = "d", compound: bool = True,
                       block_rows: int = BLOCK_ROWS) -> DataFrame:
     """Interval from the note before; ``Rest`` at a rest, nothing right after one."""
     window = neighbours(PART, "seq")
-    before = halo(events, "seq", before=1, size=block_rows)
-    step = pitch.interval(
-        kind, F.lag("midi").over(window), F.lag("dpos").over(window), F.col("midi"), F.col("dpos"), compound
+    told = settle(
+        halo(events, "seq", before=1, size=block_rows).withColumns(
+            {f"from_{c}": F.lag(c).over(window) for c in ("seq", "midi", "dpos")}
+        )
     )
     rest = F.col("midi").isNull()
-    repeated_rest = rest & F.lag("midi").over(window).isNull() & F.lag("seq").over(window).isNotNull()
-    value = F.when(rest & ~repeated_rest, F.lit("Rest")).otherwise(step)
-    return settle(before.withColumn("value", value)).filter("value is not null").select(
-        "piece_id", "part", "measure", beat().alias("beat"), "onset_ppq", "value"
+    follows_rest = F.col("from_midi").isNull() & F.col("from_seq").isNotNull()
+    shown = told.filter((rest & ~follows_rest) | (~rest & F.col("from_midi").isNotNull()))
+    return pitch.add_interval(shown, "step", kind, "from_", "", compound).select(
+        "piece_id", "part", "measure", beat().alias("beat"), "onset_ppq",
+        F.when(rest, F.lit("Rest")).otherwise(F.col("step")).alias("value"),
     )
 
 
@@ -60,7 +62,9 @@ def sounding_pairs(events: DataFrame, columns: list[str], quarters: int = SLICE_
     low = sliced.select(*keys, *[F.col(c).alias(f"low_{c}") for c in carried])
     high = sliced.select(*keys, *[F.col(c).alias(f"high_{c}") for c in carried])
     onset = F.greatest("low_onset_ppq", "high_onset_ppq")
-    pairs = low.join(high, keys).filter(
+    # Blocks multiply rows in ways file sizes do not show, so neither side is
+    # broadcast on the strength of its file.
+    pairs = low.join(high.hint("merge"), keys).filter(
         (F.col("low_part") > F.col("high_part"))
         & (F.col("low_onset_ppq") < F.col("high_end_ppq"))
         & (F.col("high_onset_ppq") < F.col("low_end_ppq"))
@@ -85,14 +89,11 @@ def voice_pair() -> Column:
 def harmonic_intervals(events: DataFrame, kind: str = "q", compound: bool = True) -> DataFrame:
     """Interval from the lower to the upper part wherever one of the two moves."""
     pairs = sounding_pairs(events, ["midi", "dpos"])
-    token = pitch.interval(
-        kind, F.col("low_midi"), F.col("low_dpos"), F.col("high_midi"), F.col("high_dpos"), compound
-    )
-    return pairs.select(
+    return pitch.add_interval(pairs, "token", kind, "low_", "high_", compound).select(
         "piece_id",
         voice_pair().alias("voice_pair"),
         "measure",
         beat().alias("beat"),
         "onset_ppq",
-        F.coalesce(token, F.lit("Rest")).alias("value"),
+        F.coalesce("token", F.lit("Rest")).alias("value"),
     )

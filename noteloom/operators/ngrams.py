@@ -41,10 +41,8 @@ def melodic_ngrams(
             | F.col("section_start")
         )
         rows = rows.withColumn("opens", opens)
-    step = pitch.interval(
-        kind, F.col("midi"), F.col("dpos"), F.lead("midi").over(window), F.lead("dpos").over(window), compound
-    )
-    rows = rows.withColumn("step", step)
+    rows = rows.withColumns({f"to_{c}": F.lead(c).over(window) for c in ("midi", "dpos")})
+    rows = pitch.add_interval(rows, "step", kind, "", "to_", compound)
     steps = [F.col("step"), *[F.lead("step", k).over(window) for k in range(1, n)]]
     pattern = F.concat(*[piece for s in steps for piece in (F.lit("_"), s)][1:])
     rows = rows.withColumns(

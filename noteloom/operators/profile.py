@@ -24,7 +24,8 @@ def piece_profile(events: DataFrame, metadata: DataFrame, n: int = 4) -> DataFra
         F.count("midi").alias("notes"), F.count_distinct("part").alias("parts")
     )
     pattern = _most_common(ngrams.melodic_ngrams(events, n), "pattern_string", "top_pattern")
-    sounding = intervals.harmonic_intervals(events).filter("value != 'Rest'")
+    # Without the rests up front, so that no token is made just to be dropped.
+    sounding = intervals.harmonic_intervals(events.filter("midi is not null"))
     harmony = _most_common(sounding, "value", "top_harmony")
     closes = cadence.cadence_formulas(events).groupBy("piece_id").agg(
         F.count_distinct("onset_ppq").alias("cadences")

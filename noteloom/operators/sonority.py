@@ -74,13 +74,27 @@ def _onset_block() -> Column:
     return F.expr(f"cast(onset_ppq div {BLOCK_TICKS} as bigint)")
 
 
-def low_line_items(table: DataFrame, block: Column | None = None) -> DataFrame:
+def _kept(minimum: float) -> Column:
+    """Whether an item takes part in n-grams: two voices, on a strong enough beat.
+
+    A piece without any beat strength keeps all its items; asking for a minimum
+    above 0 there is an error, raised while the job runs.
+    """
+    refused = F.raise_error(
+        F.concat(F.lit("Cannot apply minimum_beat_strength: no beat-strength values for "), F.col("piece_id"))
+    ).cast("boolean")
+    strong = F.when(F.col("metrical") == 1, F.coalesce(F.col("strength") >= minimum, F.lit(False))).otherwise(
+        F.lit(True) if minimum <= 0 else refused
+    )
+    return (F.col("sonority") != "") & strong
+
+
+def low_line_items(table: DataFrame, minimum_beat_strength: float = 0.0, block: Column | None = None) -> DataFrame:
     """The lowest line's next step at every onset, joined to the sonority.
 
     The low line has an entry where the lowest note is another than at the onset
-    before; elsewhere it is ``Held``. A step into silence reads ``Rest``. Adds
-    ``metrical`` (whether the piece has any beat strength) and ``end_ppq`` of the
-    piece.
+    before; elsewhere it is ``Held``. A step into silence reads ``Rest``. ``kept``
+    items form n-grams and are numbered by ``place`` within their piece.
     """
     block = _onset_block() if block is None else block
     strength = metre.beat_strength(
@@ -97,20 +111,22 @@ def low_line_items(table: DataFrame, block: Column | None = None) -> DataFrame:
         },
     )
     moves = F.col("low_before").isNull() | (F.col("low_before") != F.col("low_key"))
-    seen = seen.withColumn("moves", moves)
+    seen = seen.withColumns({"moves": moves, "kept": _kept(minimum_beat_strength)})
     # The next entry's pitch as one integer; -1 stands for silence.
     spelled = F.coalesce(F.col("low_midi") * 1024 + F.col("low_dpos"), F.lit(-1))
     ahead = running(
-        seen, ["piece_id"], ["onset_ppq"], block, nexts={"next_low": F.when(F.col("moves"), spelled)}
+        seen, ["piece_id"], ["onset_ppq"], block,
+        sums={"place": F.col("kept").cast("bigint")},
+        nexts={"next_low": F.when(F.col("moves"), spelled)},
     )
-    next_midi = F.floor(F.col("next_low") / 1024)
+    ahead = ahead.withColumns({
+        "next_midi": F.expr("cast(next_low div 1024 as int)"),
+        "next_dpos": F.expr("cast(next_low % 1024 as int)"),
+    })
+    ahead = pitch.add_interval(ahead, "motion", "q", "low_", "next_")
     step = F.when(
         F.col("moves") & F.col("low_midi").isNotNull(),
-        F.when(F.col("next_low") == -1, F.lit("Rest")).otherwise(
-            pitch.interval(
-                "q", F.col("low_midi"), F.col("low_dpos"), next_midi.cast("int"), (F.col("next_low") % 1024).cast("int")
-            )
-        ),
+        F.when(F.col("next_low") == -1, F.lit("Rest")).otherwise(F.col("motion")),
     )
     low_line = F.coalesce(step, F.lit("Held"))
     return ahead.select(
@@ -120,27 +136,14 @@ def low_line_items(table: DataFrame, block: Column | None = None) -> DataFrame:
         "measure",
         "measure_onset_ppq",
         "end_ppq",
-        "strength",
-        (F.col("metrical") == 1).alias("metrical"),
+        "kept",
+        "place",
         low_line.alias("low_line"),
         "sonority",
         F.concat_ws("_", low_line, "sonority").alias("item"),
     )
 
 
-def on_strong_beats(items: DataFrame, minimum: float = 0.0) -> DataFrame:
-    """Items on beats of at least ``minimum`` strength.
-
-    A piece without any beat strength is kept whole; asking for a minimum above 0
-    there is an error, raised while the job runs.
-    """
-    refused = F.raise_error(
-        F.concat(F.lit("Cannot apply minimum_beat_strength: no beat-strength values for "), F.col("piece_id"))
-    ).cast("boolean")
-    unfiltered = F.lit(True) if minimum <= 0 else refused
-    return items.filter(F.when(F.col("metrical"), F.coalesce(F.col("strength") >= minimum, F.lit(False))).otherwise(unfiltered))
-
-
 def fallback_warnings(table: DataFrame) -> DataFrame:
     """One line per piece whose beat-strength filter had to be skipped."""
     strength = metre.beat_strength(
@@ -155,22 +158,15 @@ def fallback_warnings(table: DataFrame) -> DataFrame:
     return seen.filter(~F.col("metrical")).select("piece_id", text.alias("warning"))
 
 
-def sonority_ngrams(items: DataFrame, n: int = 4, block_rows: int = BLOCK_ROWS,
-                    block: Column | None = None) -> DataFrame:
-    """Runs of ``n`` items of a piece, at the onset and progress of the first."""
+def sonority_ngrams(items: DataFrame, n: int = 4, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """Runs of ``n`` kept items of a piece, at the onset and progress of the first."""
     if n < 1:
         raise ValueError("n must be at least 1")
-    block = _onset_block() if block is None else block
-    kept = items.filter("sonority != ''")
-    if n == 1:
-        found = kept.withColumn("pattern_string", F.col("item"))
-    else:
-        counted = running(kept, ["piece_id"], ["onset_ppq"], block, sums={"place": F.lit(1)})
-        window = neighbours(["piece_id"], "place")
-        rows = halo(counted.withColumn("place", F.col("place").cast("bigint")), "place", after=n - 1, size=block_rows)
-        pieces = [F.col("item"), *[F.lead("item", k).over(window) for k in range(1, n)]]
-        pattern = F.concat(*[x for p in pieces for x in (F.lit("_"), p)][1:])
-        found = settle(rows.withColumn("pattern_string", pattern)).filter("pattern_string is not null")
+    window = neighbours(["piece_id"], "place")
+    rows = halo(items.filter("kept"), "place", after=n - 1, size=block_rows)
+    parts = [F.col("item"), *[F.lead("item", k).over(window) for k in range(1, n)]]
+    pattern = F.concat(*[x for p in parts for x in (F.lit("_"), p)][1:])
+    found = settle(rows.withColumn("pattern_string", pattern)).filter("pattern_string is not null")
     return found.select(
         "piece_id",
         "measure",
@@ -186,7 +182,7 @@ def corpus_ngrams(events: DataFrame, n: int = 4, compound: bool = True, sort: bo
                   minimum_beat_strength: float = 0.0) -> DataFrame:
     """From note events to sonority n-grams; the sonorities are stored on the way."""
     table = store(sonorities(events, compound, sort), "sonorities")
-    return sonority_ngrams(on_strong_beats(low_line_items(table), minimum_beat_strength), n)
+    return sonority_ngrams(low_line_items(table, minimum_beat_strength), n)
 
 
 def introduced_patterns(ngrams: DataFrame, pieces: DataFrame) -> DataFrame:
@@ -232,11 +228,11 @@ def introduced_occurrences(ngrams: DataFrame, introduced: DataFrame) -> DataFram
 def score_facts(ngrams: DataFrame, pieces: DataFrame) -> DataFrame:
     """Per score: distinct patterns and the last start."""
     return (
-        ngrams.join(pieces, "piece_id")
-        .groupBy("score_index", "piece_id", "pattern_string")
+        ngrams.groupBy("piece_id", "pattern_string")
         .agg(F.max("start_q").alias("last"))
-        .groupBy("score_index", "piece_id")
+        .groupBy("piece_id")
         .agg(F.count(F.lit(1)).alias("pattern_count"), F.max("last").alias("end_q"))
+        .join(pieces, "piece_id")
     )
 
 

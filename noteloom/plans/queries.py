@@ -312,7 +312,7 @@ _register(
 )
 _register(
     "sonority_ngrams_on_beats",
-    lambda s, d: sonority.sonority_ngrams(sonority.on_strong_beats(_items(s, d), 0.25), 2),
+    lambda s, d: sonority.sonority_ngrams(sonority.low_line_items(_sonorities(s, d), 0.25), 2),
     _ITEMS + oracle.sonority_ngrams(2, "strength >= 0.25") + oracle.GRAM_ROWS,
 )
 
@@ -323,9 +323,7 @@ def _without_metre(s: SparkSession, d: str) -> DataFrame:
 
 _register(
     "beat_strength_fallback",
-    lambda s, d: sonority.sonority_ngrams(
-        sonority.on_strong_beats(sonority.low_line_items(_without_metre(s, d)), 0.0), 2
-    ),
+    lambda s, d: sonority.sonority_ngrams(sonority.low_line_items(_without_metre(s, d)), 2),
     _GRAMS + oracle.GRAM_ROWS,
 )
 _register(

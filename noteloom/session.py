@@ -21,6 +21,7 @@ def local_session(cores: str = "*", shuffle_partitions: int = 8, app: str = "not
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", "12g")
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .getOrCreate()
     )
 

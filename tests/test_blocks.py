@@ -46,9 +46,9 @@ def test_ties_and_cadences(spark, sf_dir, events, size):
 def test_sonorities(events):
     table = sonority.sonorities(events)
     small = F.expr("cast(onset_ppq div 2000 as bigint)")
-    same(sonority.low_line_items(table, small), sonority.low_line_items(table))
-    items = sonority.low_line_items(table)
-    same(sonority.sonority_ngrams(items, 3, 5, small), sonority.sonority_ngrams(items, 3))
+    same(sonority.low_line_items(table, block=small), sonority.low_line_items(table))
+    items = sonority.low_line_items(table, 0.25)
+    same(sonority.sonority_ngrams(items, 3, 5), sonority.sonority_ngrams(items, 3))
 
 
 @pytest.mark.parametrize("quarters", [1, 5, 40])

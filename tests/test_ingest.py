@@ -245,7 +245,8 @@ def test_analysis_of_a_document(ingest):
 
 def test_minimum_strength_without_a_metre_is_an_error(ingest):
     body = "<section>" + measure(1, line("g4:480 a4:480", "a"), line("e3:960", "b")) + "</section>"
-    items = sonority.low_line_items(sonority.sonorities(mei.note_events(ingest(one=score(body)))))
-    assert sonority.on_strong_beats(items, 0.0).count() == 2
+    table = sonority.sonorities(mei.note_events(ingest(one=score(body))))
+    assert sonority.low_line_items(table).filter("kept").count() == 2
+    assert sonority.fallback_warnings(table).count() == 1
     with pytest.raises(Exception, match="minimum_beat_strength"):
-        sonority.on_strong_beats(items, 0.5).collect()
+        sonority.sonority_ngrams(sonority.low_line_items(table, 0.5), 1).collect()
