@@ -542,10 +542,78 @@ played AS (
   WHERE numbered = 1 AND in_force IS NOT NULL AND (NOT ending OR ending_pass IS NOT NULL)
   UNION ALL
   SELECT piece_id, measure_seq, n, measure_seq, 10 FROM measures m
-  WHERE NOT ending AND NOT EXISTS (SELECT 1 FROM inside i WHERE i.piece_id = m.piece_id AND i.measure_seq = m.measure_seq))
-SELECT piece_id, row_number() OVER (PARTITION BY piece_id ORDER BY region, stage, measure_seq) AS performed_seq,
-       measure_seq, n, CAST(stage // 10 AS INTEGER) AS pass
-FROM played
+  WHERE NOT ending AND NOT EXISTS (SELECT 1 FROM inside i WHERE i.piece_id = m.piece_id AND i.measure_seq = m.measure_seq)),
+performed AS (
+  SELECT piece_id, row_number() OVER (PARTITION BY piece_id ORDER BY region, stage, measure_seq) AS performed_seq,
+         measure_seq, n, CAST(stage // 10 AS INTEGER) AS pass
+  FROM played)
+"""
+
+EVENT_MEASURES = """,
+measures AS (
+  SELECT DISTINCT piece_id, 1 AS section_seq, onset_ppq // 1920 + 1 AS measure_seq,
+         CAST(onset_ppq // 1920 + 1 AS DOUBLE) AS n, (onset_ppq // 1920 + 1) % 8 = 3 AS opens,
+         (onset_ppq // 1920 + 1) % 8 = 6 AS closes, false AS ending, CAST(NULL AS INTEGER) AS ending_pass, false AS after_other
+  FROM note_events)
+"""
+
+PERFORMED_EVENTS = """,
+lengths AS (SELECT piece_id, onset_ppq // 1920 + 1 AS measure_seq, max(onset_ppq % 1920 + dur_ppq) AS length
+            FROM note_events GROUP BY ALL),
+laid AS (SELECT piece_id, performed_seq, measure_seq,
+                coalesce(sum(length) OVER (PARTITION BY piece_id ORDER BY performed_seq
+                         ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start
+         FROM performed JOIN lengths USING (piece_id, measure_seq))
+SELECT e.piece_id, part, seq, performed_seq, CAST(start + onset_ppq % 1920 AS BIGINT) AS onset_ppq
+FROM note_events e JOIN laid l ON l.piece_id = e.piece_id AND l.measure_seq = e.onset_ppq // 1920 + 1
+"""
+
+# Documents ------------------------------------------------------------------
+
+DOCUMENTS = """
+WITH docs AS (
+  SELECT *, concat('order_', o_orderkey, '.mei') AS piece_id,
+         CASE WHEN o_orderpriority = '5-LOW' AND o_orderstatus = 'F' THEN 'root'
+              WHEN o_orderpriority = '1-URGENT' AND o_orderstatus = 'O' THEN 'cut' ELSE 'good' END AS state
+  FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem))
+"""
+
+DOCUMENT_STATES = """
+SELECT piece_id, state = 'good' AS is_valid, CASE state WHEN 'root' THEN 'MEI file must have an <mei> root element'
+       WHEN 'cut' THEN 'MEI file is not well-formed XML' END AS error FROM docs
+"""
+
+DOCUMENT_METADATA = """
+SELECT piece_id, concat('Order ', o_orderkey) AS title, concat('Customer ', o_custkey) AS composer,
+       o_orderpriority AS analysts, strftime(o_orderdate, '%Y-%m-%d') AS publication_date
+FROM docs WHERE state = 'good'
+"""
+
+DOCUMENT_EVENTS = """,
+notes AS (
+  SELECT d.piece_id, dense_rank() OVER (PARTITION BY d.piece_id ORDER BY l_linenumber % 2) AS part,
+         CAST(1 + l_linenumber % 2 AS VARCHAR) AS staff, l_linenumber % 2 AS s, l_partkey, l_suppkey, l_linenumber,
+         CAST(l_quantity AS BIGINT) AS q
+  FROM docs d JOIN lineitem ON l_orderkey = o_orderkey WHERE state = 'good'),
+timed AS (
+  SELECT *, CAST([960, 480, 360, 120][q % 4 + 1] AS BIGINT) AS dur_ppq,
+         CASE WHEN q % 11 <> 0 THEN CAST(12 * (4 + q % 3) + [0,2,4,5,7,9,11][l_partkey % 7 + 1] + [0,1,-1,-2][l_suppkey % 4 + 1]
+              AS INTEGER) END AS midi,
+         CASE WHEN q % 11 <> 0 THEN CAST(7 * (3 + q % 3) + l_partkey % 7 AS INTEGER) END AS dpos,
+         CASE WHEN q % 11 <> 0 THEN concat('n', l_partkey, '-', l_suppkey, '-', l_linenumber) END AS note_ids
+  FROM notes)
+SELECT piece_id, CAST(part AS INTEGER) AS part, staff, row_number() OVER w AS seq,
+       CAST(coalesce(sum(dur_ppq) OVER (PARTITION BY piece_id, part ORDER BY l_partkey, l_suppkey, l_linenumber
+            ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS onset_ppq,
+       dur_ppq, 7.0::DOUBLE AS measure, midi, dpos, note_ids
+FROM timed WINDOW w AS (PARTITION BY piece_id, part ORDER BY l_partkey, l_suppkey, l_linenumber)
+"""
+
+NOTES_WIDE = """
+SELECT piece_id, measure, beat, onset_ppq, max(CASE WHEN part = 1 THEN token END) AS p1,
+       max(CASE WHEN part = 2 THEN token END) AS p2, max(CASE WHEN part = 3 THEN token END) AS p3,
+       max(CASE WHEN part = 4 THEN token END) AS p4, max(CASE WHEN part = 5 THEN token END) AS p5
+FROM (""" + NOTE_TABLE + """) GROUP BY piece_id, measure, beat, onset_ppq
 """
 
 # Catalogue ------------------------------------------------------------------

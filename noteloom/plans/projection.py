@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from noteloom.functions import pitch
 from noteloom.operators.notes import PART
 from noteloom.operators.ordered import halo, neighbours, running, settle
+from noteloom.sources import mei
 from noteloom.sources.tables import stored_once
 
 PPQ = 480
@@ -49,6 +50,7 @@ def _with_time(df: DataFrame, order: list[str], block: Column) -> DataFrame:
         "dur_ppq",
         F.lit(PPQ).alias("ppq"),
         F.expr(f"cast(onset_ppq div {MEASURE_PPQ} + 1 as double)").alias("measure"),
+        F.expr(f"onset_ppq div {MEASURE_PPQ} + 1").alias("measure_seq"),
         F.expr(f"cast(onset_ppq % {MEASURE_PPQ} as bigint)").alias("measure_onset_ppq"),
         F.lit(4).alias("meter_count"),
         F.lit(4).alias("meter_unit"),
@@ -220,3 +222,74 @@ def removals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "benchmark").select(
         F.concat(prefix, F.lit("_"), F.col("item_id"), F.lit(".mei")).alias("filename")
     )
+
+
+def measures_of(events: DataFrame) -> DataFrame:
+    """The measures of projected events, with a repeat in every eight of them."""
+    seq = F.col("measure_seq")
+    return events.select("piece_id", "measure_seq").distinct().select(
+        "piece_id",
+        F.lit(1).cast("bigint").alias("section_seq"),
+        "measure_seq",
+        seq.cast("double").alias("n"),
+        F.when(seq % 8 == 3, F.lit("rptstart")).alias("left"),
+        F.when(seq % 8 == 6, F.lit("rptend")).alias("right"),
+        F.lit(None).cast("bigint").alias("ending_seq"),
+        F.lit(None).cast("array<int>").alias("ending_passes"),
+        F.lit(False).alias("after_other"),
+    )
+
+
+def score_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every order written as a small MEI document; its lines are the notes.
+
+    Two kinds of order give broken documents: one with another root element, one
+    cut off before its end.
+    """
+    quantity = F.expr("cast(l_quantity as bigint)")
+
+    def pick(values: list[str], index: Column) -> Column:
+        return F.element_at(F.array(*[F.lit(v) for v in values]), (index + 1).cast("int"))
+
+    timing = pick(['dur.ppq="960"', 'dur="4"', 'dur="8" dots="1"', 'dur.ppq="120"'], quantity % 4)
+    accidental = pick(["", ' accid="s"', ' accid.ges="f"', ""], F.col("l_suppkey") % 4)
+    inner = F.when(F.col("l_suppkey") % 4 == 3, F.lit('<accid accid="ff"/>')).otherwise(F.lit(""))
+    note = F.concat(
+        F.lit('<note xml:id="n'), F.concat_ws("-", "l_partkey", "l_suppkey", "l_linenumber"), F.lit('" pname="'),
+        pick(list("cdefgab"), F.col("l_partkey") % 7), F.lit('" oct="'), (3 + quantity % 3).cast("string"),
+        F.lit('" '), timing, accidental, F.lit(">"), inner, F.lit("</note>"),
+    )
+    event = F.when(quantity % 11 == 0, F.concat(F.lit("<rest "), timing, F.lit("/>"))).otherwise(note)
+    lines = table(spark, sf_dir, "lineitem").select(
+        F.col("l_orderkey").alias("o_orderkey"),
+        (1 + F.col("l_linenumber") % 2).alias("staff"),
+        F.struct("l_partkey", "l_suppkey", "l_linenumber", event.alias("xml")).alias("line"),
+    )
+    layers = lines.groupBy("o_orderkey", "staff").agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list("line")), lambda x: x["xml"]), "").alias("xml")
+    )
+    staff = F.concat(
+        F.lit('<staff n="'), F.col("staff").cast("string"), F.lit('"><layer n="1">'), F.col("xml"), F.lit("</layer></staff>")
+    )
+    bodies = layers.groupBy("o_orderkey").agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("staff", staff.alias("xml")))), lambda x: x["xml"]), "").alias("body")
+    )
+    orders = table(spark, sf_dir, "orders").join(bodies, "o_orderkey")
+    sign = F.concat_ws(" ", "o_orderpriority", "o_orderstatus")
+    root = F.when(sign == "5-LOW F", F.lit("score")).otherwise(F.lit("mei"))
+    text = F.concat(
+        F.lit("<"), root, F.lit(' xmlns="http://www.music-encoding.org/ns/mei"><meiHead><fileDesc><titleStmt><title>Order '),
+        F.col("o_orderkey"), F.lit('</title><respStmt><persName role="composer">Customer '), F.col("o_custkey"),
+        F.lit('</persName><persName role="analyst">'), F.col("o_orderpriority"),
+        F.lit('</persName></respStmt></titleStmt><pubStmt><date isodate="'), F.date_format("o_orderdate", "yyyy-MM-dd"),
+        F.lit('"/></pubStmt></fileDesc></meiHead><music><body><mdiv><score><scoreDef ppq="480"/><section><measure n="7">'),
+        F.col("body"), F.lit("</measure></section></score></mdiv></body></music></"), root, F.lit(">"),
+    )
+    cut = F.when(sign == "1-URGENT O", F.substring(text, F.lit(1), F.length(text) - 10)).otherwise(text)
+    return orders.select(
+        F.concat(F.lit("order_"), F.col("o_orderkey"), F.lit(".mei")).alias("piece_id"), cut.cast("binary").alias("content")
+    )
+
+
+def document_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stored_once(spark, f"documents:{sf_dir}", lambda: mei.elements(score_documents(spark, sf_dir)))

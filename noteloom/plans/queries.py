@@ -22,7 +22,7 @@ from noteloom.operators import (
     spans,
 )
 from noteloom.plans import oracle, projection
-from noteloom.sources import catalogue
+from noteloom.sources import catalogue, mei, sinks
 from noteloom.sources.tables import stored_once
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -50,6 +50,17 @@ _lines = projection.note_events_lineitem
 
 _register("notes_table", lambda s, d: notes.note_table(_events(s, d)), EVENTS + oracle.NOTE_TABLE)
 
+
+
+
+def _notes_wide(s: SparkSession, d: str) -> DataFrame:
+    index = ["piece_id", "measure", "beat", "onset_ppq"]
+    table = sinks.wide(notes.note_table(_events(s, d)), index, "part", "token", [1, 2, 3, 4, 5])
+    return table.withColumnsRenamed({str(p): f"p{p}" for p in range(1, 6)})
+
+
+_register("notes_wide", _notes_wide, EVENTS + oracle.NOTES_WIDE)
+
 for _kind in ("c", "z", "d", "q"):
     _register(
         f"melodic_{_kind}",
@@ -392,7 +403,20 @@ _register(
 _register(
     "performed_order",
     lambda s, d: repeats.performed_order(projection.measures(s, d)),
-    oracle.MEASURES + oracle.PERFORMED,
+    oracle.MEASURES + oracle.PERFORMED + "SELECT * FROM performed",
+)
+
+
+def _performed_events(s: SparkSession, d: str) -> DataFrame:
+    events = _events(s, d)
+    order = repeats.performed_order(projection.measures_of(events))
+    return repeats.performed_events(events, order).select("piece_id", "part", "seq", "performed_seq", "onset_ppq")
+
+
+_register(
+    "performed_events",
+    _performed_events,
+    EVENTS + oracle.EVENT_MEASURES + oracle.PERFORMED + oracle.PERFORMED_EVENTS,
 )
 
 # Catalogue ------------------------------------------------------------------
@@ -457,3 +481,36 @@ def _merged_ties(s: SparkSession, d: str) -> DataFrame:
 
 
 _register("merged_ties", _merged_ties, EVENTS + oracle.TIES)
+
+# Documents ------------------------------------------------------------------
+
+
+def _document_states(s: SparkSession, d: str) -> DataFrame:
+    states = mei.scores(projection.document_rows(s, d))
+    # The parser's own words about the place of a fault are left out.
+    return states.withColumn("error", F.substring_index("error", ":", 1))
+
+
+def _document_events(s: SparkSession, d: str) -> DataFrame:
+    events = mei.note_events(projection.document_rows(s, d))
+    return _joined(events, "note_ids").select(
+        "piece_id", "part", "staff", "seq", "onset_ppq", "dur_ppq", "measure", "midi", "dpos", "note_ids"
+    )
+
+
+_register("document_states", _document_states, oracle.DOCUMENTS + oracle.DOCUMENT_STATES)
+_register(
+    "document_metadata",
+    lambda s, d: _joined(mei.metadata(projection.document_rows(s, d)), "analysts").select(
+        "piece_id", "title", "composer", "analysts", "publication_date"
+    ),
+    oracle.DOCUMENTS + oracle.DOCUMENT_METADATA,
+)
+_register("document_events", _document_events, oracle.DOCUMENTS + oracle.DOCUMENT_EVENTS)
+_register(
+    "catalogue_json",
+    lambda s, d: catalogue.as_json(projection.catalogue(s, d)),
+    oracle.SCORES + oracle.COLLECTIONS
+    + "SELECT CAST(json_object('collection', collection, 'filename', filename) AS VARCHAR) AS record FROM listed"
+    " WHERE collection IS NOT NULL",
+)

@@ -27,6 +27,9 @@ TIMED = {"note", "chord", "rest", "mRest", "space", "mSpace"}
 DEFAULT_PPQ = 480
 NAMED_DURATIONS = {"breve": 2, "long": 4, "maxima": 8}
 
+# Rows of finished documents are handed on once there are this many.
+BATCH_ROWS = 5_000
+
 ELEMENTS = (
     "piece_id string, kind string, pos bigint, tag string, measure_seq bigint, section_seq bigint,"
     " ending_seq bigint, after_other boolean, staff string, layer string, part int, ppq int, piece_ppq int,"
@@ -154,10 +157,15 @@ def flatten_document(content: bytes, piece_id: str) -> Iterator[dict]:
 
 
 def _flatten_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    rows: list[dict] = []
     for batch in batches:
         for name, content in zip(batch.column("piece_id"), batch.column("content"), strict=True):
-            rows = list(flatten_document(content.as_py(), name.as_py()))
-            yield pa.RecordBatch.from_pylist(rows, schema=_ARROW)
+            rows += flatten_document(content.as_py(), name.as_py())
+            if len(rows) >= BATCH_ROWS:
+                yield pa.RecordBatch.from_pylist(rows, schema=_ARROW)
+                rows = []
+    if rows:
+        yield pa.RecordBatch.from_pylist(rows, schema=_ARROW)
 
 
 def read_documents(spark: SparkSession, path: str) -> DataFrame:
