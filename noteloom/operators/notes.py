@@ -28,7 +28,7 @@ def _run_starts(events: DataFrame, unisons: bool, block_rows: int) -> DataFrame:
     same = previous.isNull() & F.col("midi").isNull()
     if unisons:
         same = same | (previous == F.col("midi"))
-    return settle(edge.withColumn("starts", first | ~F.coalesce(same, F.lit(False))))
+    return settle(edge.withColumn("starts", first | ~F.coalesce(same, F.lit(False))), keep_block=True)
 
 
 def note_table(events: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
@@ -55,7 +55,7 @@ def combine(events: DataFrame, unisons: bool = False, block_rows: int = BLOCK_RO
         flagged,
         PART,
         ["seq"],
-        block_of("seq", block_rows),
+        None,
         sums={
             "run": F.col("starts").cast("bigint"),
             "notes_before": (F.col("starts") & F.col("midi").isNotNull()).cast("bigint"),

@@ -32,11 +32,12 @@ def running(
     df: DataFrame,
     keys: list[str],
     order: list[str],
-    block: Column,
+    block: Column | None,
     sums: dict[str, Column] | None = None,
     lasts: dict[str, Column] | None = None,
     nexts: dict[str, Column] | None = None,
     totals: dict[str, tuple[str, Column]] | None = None,
+    keep_block: bool = False,
 ) -> DataFrame:
     """Add running values over each key's sequence; the row itself is excluded.
 
@@ -46,14 +47,18 @@ def running(
     ``totals``  ("sum" | "max" | "min", column) over the whole key
 
     ``block`` must not decrease along ``order``; ``lasts`` and ``nexts`` need a
-    single order column.
+    single order column. ``keep_block`` leaves the block in the result; a pass
+    that is given such rows and no ``block`` of its own runs on the same blocks
+    without shuffling them again.
     """
     sums, lasts, nexts, totals = sums or {}, lasts or {}, nexts or {}, totals or {}
     if (lasts or nexts) and len(order) != 1:
         raise ValueError("lasts and nexts need a single order column")
 
     inputs = {**sums, **lasts, **nexts, **{name: col for name, (_, col) in totals.items()}}
-    work = df.select("*", block.alias(_BLOCK), *[col.alias(f"__in_{name}") for name, col in inputs.items()])
+    columns = [c for c in df.columns if c != _BLOCK]
+    cut = F.col(_BLOCK) if block is None else block.alias(_BLOCK)
+    work = df.select(*columns, cut, *[col.alias(f"__in_{name}") for name, col in inputs.items()])
 
     def given(name: str) -> Column:
         return F.col(f"__in_{name}")
@@ -86,14 +91,15 @@ def running(
 
     earlier, later = frames([*keys, _BLOCK], order)
     inside = work.select(
-        *df.columns,
+        *columns,
         _BLOCK,
         *[F.sum(given(name)).over(earlier).alias(f"__l_{name}") for name in sums],
         *[F.last(given(name), ignorenulls=True).over(earlier).alias(f"__l_{name}") for name in lasts],
         *[F.last(given(name), ignorenulls=True).over(later).alias(f"__l_{name}") for name in nexts],
     )
     return inside.join(carried, [*keys, _BLOCK]).select(
-        *df.columns,
+        *columns,
+        *([_BLOCK] if keep_block else []),
         *[
             (F.coalesce(F.col(f"__l_{name}"), F.lit(0)) + F.coalesce(F.col(f"__c_{name}"), F.lit(0))).alias(name)
             for name in sums
@@ -135,5 +141,6 @@ def neighbours(keys: list[str], index: str):
     return Window.partitionBy(*keys, _BLOCK).orderBy(index)
 
 
-def settle(df: DataFrame) -> DataFrame:
-    return df.filter(F.col(_HOME) == F.col(_BLOCK)).drop(_HOME, _BLOCK)
+def settle(df: DataFrame, keep_block: bool = False) -> DataFrame:
+    own = df.filter(F.col(_HOME) == F.col(_BLOCK)).drop(_HOME)
+    return own if keep_block else own.drop(_BLOCK)

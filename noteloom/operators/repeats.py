@@ -54,6 +54,7 @@ def performed_measures(measures: DataFrame, block_rows: int = BLOCK_ROWS) -> Dat
             "last_break": F.when(~F.col("plain") & F.col("after_other"), place),
         },
         totals={"stretches": ("sum", F.col("closes").cast("bigint"))},
+        keep_block=True,
     )
     since_close = F.coalesce(F.col("last_close"), F.lit(-1))
     opened_before = F.coalesce(F.col("last_open") > since_close, F.lit(False))
@@ -69,7 +70,7 @@ def performed_measures(measures: DataFrame, block_rows: int = BLOCK_ROWS) -> Dat
     # The opening measure in force (its own, or the latest one), and for the latest
     # rptend the one before it.
     region = running(
-        seen, SECTION, ["measure_seq"], block,
+        seen, SECTION, ["measure_seq"], None,
         lasts={
             "last_region": F.when(F.col("starts_region"), place),
             "close_before_last": F.when(F.col("closes"), since_close),

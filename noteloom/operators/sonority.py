@@ -109,13 +109,14 @@ def low_line_items(table: DataFrame, minimum_beat_strength: float = 0.0, block:
             "end_ppq": ("max", F.col("to_ppq")),
             "metrical": ("max", F.col("strength").isNotNull().cast("int")),
         },
+        keep_block=True,
     )
     moves = F.col("low_before").isNull() | (F.col("low_before") != F.col("low_key"))
     seen = seen.withColumns({"moves": moves, "kept": _kept(minimum_beat_strength)})
     # The next entry's pitch as one integer; -1 stands for silence.
     spelled = F.coalesce(F.col("low_midi") * 1024 + F.col("low_dpos"), F.lit(-1))
     ahead = running(
-        seen, ["piece_id"], ["onset_ppq"], block,
+        seen, ["piece_id"], ["onset_ppq"], None,
         sums={"place": F.col("kept").cast("bigint")},
         nexts={"next_low": F.when(F.col("moves"), spelled)},
     )
