@@ -1,4 +1,10 @@
-"""Registration of score files as they arrive in a folder."""
+"""Registration of score files: named files at once, or files as they arrive.
+
+Each registration is a batch written under its own name in three tables of a
+folder: ``scores`` (accepted files), ``rejected`` (with the reason) and
+``elements`` (flattened documents). A batch that is run again after a failure
+replaces what its earlier try left, so nothing is registered twice.
+"""
 
 from __future__ import annotations
 
@@ -11,34 +17,57 @@ from noteloom.sources import catalogue, mei
 BINARY_FILE = "path string, modificationTime timestamp, length bigint, content binary"
 
 
-def register_arrivals(spark: SparkSession, inbox: str, out: str, checkpoint: str) -> StreamingQuery:
-    """Validate every new ``*.mei`` file of ``inbox`` once, then stop.
+def _register(files: DataFrame, out: str, batch: str) -> None:
+    """Validate documents (piece_id, path, n_bytes, content) and write one batch."""
+    spark = files.sparkSession
 
-    Accepted scores are appended to ``out/scores``, their flattened elements to
-    ``out/elements``, and rejected files with the reason to ``out/rejected``. Each
-    batch writes under its own number and replaces what an earlier try left, so a
-    batch that is run again after a failure leaves no duplicates.
-    """
-    arrivals = (
-        spark.readStream.format("binaryFile").schema(BINARY_FILE).option("pathGlobFilter", "*.mei").load(inbox)
-    )
+    def part(name: str) -> str:
+        return f"{out}/{name}/batch={batch}"
+
+    mei.elements(files).write.mode("overwrite").parquet(part("elements"))
+    rows = spark.read.schema(mei.ELEMENTS).parquet(part("elements"))
+    named = files.select("piece_id", "path", "n_bytes", F.current_timestamp().alias("registered_at"))
+    candidates = mei.scores(rows).join(named, "piece_id").withColumnRenamed("piece_id", "filename")
+    accepted, rejected = catalogue.registrations(candidates)
+    accepted.write.mode("overwrite").parquet(part("scores"))
+    rejected.write.mode("overwrite").parquet(part("rejected"))
 
-    def register(batch: DataFrame, batch_id: int) -> None:
-        def part(name: str) -> str:
-            return f"{out}/{name}/batch={batch_id}"
 
-        files = mei.with_names(batch)
-        mei.elements(files).write.mode("overwrite").parquet(part("elements"))
-        rows = spark.read.schema(mei.ELEMENTS).parquet(part("elements"))
-        named = files.select("piece_id", "path", "n_bytes", F.current_timestamp().alias("registered_at"))
-        candidates = mei.scores(rows).join(named, "piece_id").withColumnRenamed("piece_id", "filename")
-        accepted, rejected = catalogue.registrations(candidates)
-        accepted.write.mode("overwrite").parquet(part("scores"))
-        rejected.write.mode("overwrite").parquet(part("rejected"))
+def register_files(spark: SparkSession, path: str, out: str, batch: str, filename: str | None = None) -> None:
+    """Register the file or files at ``path``; a single file may be given a name."""
+    files = mei.with_names(spark.read.format("binaryFile").load(path))
+    if filename is not None:
+        files = files.withColumn("piece_id", F.lit(filename.strip()))
+    _register(files, out, batch)
 
+
+def register_arrivals(spark: SparkSession, inbox: str, out: str, checkpoint: str) -> StreamingQuery:
+    """Register every new ``*.mei`` file of ``inbox`` once, then stop."""
+    arrivals = (
+        spark.readStream.format("binaryFile").schema(BINARY_FILE).option("pathGlobFilter", "*.mei").load(inbox)
+    )
     return (
-        arrivals.writeStream.foreachBatch(register)
+        arrivals.writeStream.foreachBatch(
+            lambda files, number: _register(mei.with_names(files), out, f"arrivals-{number:09d}")
+        )
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()
     )
+
+
+def registered_scores(spark: SparkSession, out: str) -> DataFrame:
+    """The latest accepted registration of every name."""
+    latest = F.max(F.struct("registered_at", "batch", "path", "n_bytes"))
+    scores = spark.read.option("basePath", f"{out}/scores").parquet(f"{out}/scores")
+    return scores.groupBy("filename").agg(latest.alias("last")).select("filename", "last.*")
+
+
+def with_registered(builtin: DataFrame, out: str) -> DataFrame:
+    """Flattened built-in documents with registered ones in place of their namesakes."""
+    spark = builtin.sparkSession
+    chosen = registered_scores(spark, out).select(F.col("filename").alias("piece_id"), "batch")
+    own = spark.read.option("basePath", f"{out}/elements").parquet(f"{out}/elements").join(chosen, ["piece_id", "batch"])
+    kept = builtin.join(chosen.select("piece_id"), "piece_id", "left_anti")
+    columns = builtin.columns
+    return kept.select(*columns).unionByName(own.select(*columns))

@@ -6,8 +6,8 @@ import pytest
 from documents import measure, note, score
 
 from noteloom.operators import ngrams, notes
-from noteloom.sources import catalogue, sinks
-from noteloom.streaming.registration import register_arrivals
+from noteloom.sources import catalogue, mei, sinks
+from noteloom.streaming.registration import register_arrivals, register_files, registered_scores, with_registered
 
 
 @pytest.fixture
@@ -76,6 +76,32 @@ def test_registration_stream(spark, tmp_path):
     assert elements.filter("kind = 'event'").count() == 2
 
 
+def test_registered_files_replace_builtin_ones(spark, tmp_path):
+    def piece(name):
+        return score("<section>" + measure(1, note(name, 480)) + "</section>")
+
+    shelf, mine, out = tmp_path / "shelf", tmp_path / "mine", str(tmp_path / "out")
+    for folder, names in ((shelf, {"a": "c4", "b": "d4"}), (mine, {"x": "e4", "y": "f4"})):
+        folder.mkdir()
+        for name, pitch in names.items():
+            (folder / f"{name}.mei").write_text(piece(pitch))
+    builtin = mei.elements(mei.read_documents(spark, str(shelf)))
+    register_files(spark, str(mine / "x.mei"), out, "one", "a.mei")
+    register_files(spark, str(mine / "y.mei"), out, "two")
+    register_files(spark, str(mine / "y.mei"), out, "three", "no/good.mei")
+
+    def pitches():
+        events = mei.note_events(with_registered(builtin, out))
+        return {r.piece_id: r.midi for r in events.collect()}
+
+    assert pitches() == {"a.mei": 64, "b.mei": 62, "y.mei": 65}
+    register_files(spark, str(mine / "y.mei"), out, "four", " a.mei ")
+    assert pitches()["a.mei"] == 65
+    assert sorted(r.filename for r in registered_scores(spark, out).collect()) == ["a.mei", "y.mei"]
+    rejected = spark.read.parquet(f"{out}/rejected").collect()
+    assert [r.error for r in rejected] == ["filename must be a simple basename"]
+
+
 def test_wide_csv(spark, events, tmp_path):
     table = notes.note_table(events)
     wide = sinks.wide(table, ["piece_id", "measure", "beat", "onset_ppq"], "part", "token", [1, 2, 3, 4, 5])
