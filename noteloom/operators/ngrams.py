@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from noteloom.functions import patterns, pitch
+from noteloom.functions import pitch
 from noteloom.operators.notes import PART, beat, combine, end_ppq
 from noteloom.operators.ordered import BLOCK_ROWS, halo, neighbours, settle
 
@@ -83,9 +83,9 @@ def keep_patterns(ngrams: DataFrame, wanted: list[str] | None) -> DataFrame:
     return ngrams.filter(F.col("pattern_string").isin(names)) if names else ngrams
 
 
-def matches(ngrams: DataFrame, wanted: list[str] | None = None) -> DataFrame:
-    """Occurrence records ordered by pattern and place."""
-    return keep_patterns(ngrams, wanted).select(
+def matches(ngrams: DataFrame, wanted: list[str] | None = None, ordered: bool = False) -> DataFrame:
+    """Occurrence records; ``ordered`` sorts them by pattern and place for display."""
+    found = keep_patterns(ngrams, wanted).select(
         "piece_id",
         "pattern_string",
         "part",
@@ -95,7 +95,8 @@ def matches(ngrams: DataFrame, wanted: list[str] | None = None) -> DataFrame:
         "dur_ppq",
         "end_ppq",
         "note_ids",
-    ).orderBy("piece_id", "pattern_string", "onset_ppq", "part")
+    )
+    return found.orderBy("piece_id", "pattern_string", "onset_ppq", "part") if ordered else found
 
 
 def first_occurrences(ngrams: DataFrame) -> DataFrame:

@@ -229,6 +229,13 @@ metadata AS (SELECT concat('u', n_nationkey) AS piece_id, concat('Piece ', n_nat
                     n_name AS composer, CAST(n_nationkey AS BIGINT) AS score_index FROM nation)
 """
 
+TRACES = """
+SELECT piece_id, staff, concat(title, ' - Staff ', staff) AS label,
+       replace(lower(concat(title, ' - Staff ', staff)), ' ', '-') AS trace_id, note_count
+FROM (SELECT piece_id, CAST(part AS VARCHAR) AS staff, count(*) AS note_count FROM note_events WHERE midi IS NOT NULL
+      GROUP BY piece_id, part) JOIN metadata USING (piece_id)
+"""
+
 SUMMARY = """
 SELECT count(DISTINCT piece_id) AS score_count, max(round(weight / CAST(total AS DOUBLE), 9)) AS radial_max,
        (SELECT string_agg(DISTINCT composer, ', ' ORDER BY composer) FROM metadata
@@ -285,6 +292,13 @@ listed AS (SELECT piece_id, index, string_agg(note_id, ',' ORDER BY part_order,
            FROM hits GROUP BY piece_id, index),
 parts AS (SELECT piece_id, index, string_agg(part, ',' ORDER BY part_order) AS matched_parts
           FROM (SELECT DISTINCT piece_id, index, part, part_order FROM hits) GROUP BY piece_id, index)
+"""
+
+SPAN_NOTES = """
+SELECT piece_id, index, part, place - 1 AS place, note_id AS note_ids FROM hits
+"""
+
+RESOLVED_SPANS = """
 SELECT piece_id, index, coalesce(matched_parts, '') AS matched_parts, coalesce(note_ids, '') AS note_ids
 FROM spans LEFT JOIN listed USING (piece_id, index) LEFT JOIN parts USING (piece_id, index)
 """

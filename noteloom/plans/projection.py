@@ -21,7 +21,7 @@ MEASURE_PPQ = 4 * PPQ
 
 # A block of event ids holds at most that many rows, since the id is unique; a
 # block of order keys at most that many orders.
-EVENT_BLOCK = 1 << 20
+EVENT_BLOCK = 1 << 18
 ORDER_BLOCK = 1 << 18
 
 

@@ -165,6 +165,13 @@ _register(
     ),
     EVENTS + oracle.META + oracle.KEYS + oracle.SUMMARY,
 )
+_register(
+    "weights_traces",
+    lambda s, d: distribution.traces(
+        distribution.weighted_distribution(_events(s, d), by_staff=True), projection.metadata(s, d)
+    ),
+    EVENTS + oracle.META + oracle.TRACES,
+)
 _register(
     "key_finding",
     lambda s, d: _rounded(distribution.keys_of(_events(s, d)), 6, "confidence"),
@@ -280,7 +287,12 @@ _register(
     lambda s, d: _joined(
         spans.resolve_spans(_events(s, d), projection.spans(_events(s, d))), "matched_parts", "note_ids"
     ).select("piece_id", "index", "matched_parts", "note_ids"),
-    EVENTS + oracle.SPANS,
+    EVENTS + oracle.SPANS + oracle.RESOLVED_SPANS,
+)
+_register(
+    "span_notes",
+    lambda s, d: _joined(spans.resolve(_events(s, d), projection.spans(_events(s, d))), "note_ids").drop("part_order"),
+    EVENTS + oracle.SPANS + oracle.SPAN_NOTES,
 )
 
 # Sonorities -----------------------------------------------------------------

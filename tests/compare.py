@@ -46,8 +46,9 @@ def difference(spark_df, con, sql: str) -> str | None:
     got, want = rows_of(spark_df.columns, got_rows), rows_of(want_cols, want_rows)
     if got == want:
         return None
-    extra = [r for r in got if r not in set(want)][:3]
-    missing = [r for r in want if r not in set(got)][:3]
+    got_set, want_set = set(got), set(want)
+    extra = [r for r in got if r not in want_set][:3]
+    missing = [r for r in want if r not in got_set][:3]
     return f"rows {len(got)} vs {len(want)}; only spark {extra}; only sql {missing}"
 
 
