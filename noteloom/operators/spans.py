@@ -151,7 +151,11 @@ def resolve(events: DataFrame, spans: DataFrame) -> DataFrame:
 
 
 def resolve_spans(events: DataFrame, spans: DataFrame) -> DataFrame:
-    """Spans with their matched parts and note ids; spans without a match stay."""
+    """Spans with their matched parts and note ids; spans without a match stay.
+
+    Each row lists all ids of its span. ``resolve`` gives the same notes one per
+    row, for spans as long as a piece.
+    """
     found = resolve(events, spans)
     listed = F.array_sort(F.collect_list(F.struct("part_order", "place", "part", "note_ids")))
     gathered = found.groupBy("piece_id", "index").agg(listed.alias("hits"))

@@ -646,7 +646,7 @@ listed AS (
   SELECT DISTINCT CASE WHEN filename LIKE 'Bach%' THEN 'bach_inventions' WHEN filename LIKE 'Bartok%' THEN 'bartok_mikrokosmos'
                        WHEN filename LIKE 'Morley%' THEN 'morley_canzonets' WHEN filename LIKE 'CRIM%' THEN 'crim_corpus' END
          AS collection, filename FROM scores WHERE source = 'builtin'
-  UNION SELECT 'registered', filename FROM scores WHERE source = 'registered'
+  UNION SELECT 'uploaded_mei_files', filename FROM scores WHERE source = 'registered'
   UNION SELECT 'all_files', filename FROM scores)
 """
 

@@ -7,13 +7,16 @@ from pyspark.sql import functions as F
 
 from noteloom.operators.ordered import BLOCK_ROWS, block_of, running
 
-# File-name prefixes and the collections they stand for.
+# File-name prefixes and the collections they stand for, and the two
+# lists that cut across them.
 COLLECTIONS = {
     "Bach": "bach_inventions",
     "Bartok": "bartok_mikrokosmos",
     "Morley": "morley_canzonets",
     "CRIM": "crim_corpus",
 }
+REGISTERED_FILES, ALL_FILES = "uploaded_mei_files", "all_files"
+
 BUILTIN, REGISTERED = "builtin", "registered"
 
 
@@ -68,8 +71,8 @@ def collections(scores: DataFrame) -> DataFrame:
     named = builtin.select(collection_of(F.col("filename")).alias("collection"), "filename").filter(
         "collection is not null"
     )
-    own = scores.filter(F.col("source") == REGISTERED).select(F.lit("registered").alias("collection"), "filename")
-    everything = scores.select(F.lit("all_files").alias("collection"), "filename")
+    own = scores.filter(F.col("source") == REGISTERED).select(F.lit(REGISTERED_FILES).alias("collection"), "filename")
+    everything = scores.select(F.lit(ALL_FILES).alias("collection"), "filename")
     return named.unionByName(own).unionByName(everything).distinct().orderBy("collection", "filename")
 
 

@@ -1,10 +1,14 @@
-"""Wide tables and payloads as CSV and JSON files."""
+"""The stored corpus, and wide tables and payloads as CSV and JSON files."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from noteloom.sources.catalogue import collection_of
+
+LAYOUT = ["collection", "piece_id", "part", "seq"]
+
 
 def wide(table: DataFrame, index: list[str], column: str, value: str, columns: list) -> DataFrame:
     """One column per part or voice pair; ``columns`` are given, so no extra job runs."""
@@ -24,3 +28,18 @@ def write_json(payload: dict[str, DataFrame], path: str) -> None:
     """Write each table of a payload as JSON lines under its own name."""
     for name, table in payload.items():
         table.write.mode("overwrite").json(f"{path}/{name}")
+
+
+def write_events(events: DataFrame, path: str) -> None:
+    """Store note events by collection, each file a range of pieces, parts and places.
+
+    Ranges, unlike hashes, cut a giant piece into several files, and the order
+    inside the files lets a scan skip the row groups of other pieces.
+    """
+    placed = events.withColumn("collection", F.coalesce(collection_of(F.col("piece_id")), F.lit("other")))
+    ranged = placed.repartitionByRange(*LAYOUT).sortWithinPartitions(*LAYOUT)
+    ranged.write.mode("overwrite").partitionBy("collection").parquet(path)
+
+
+def read_events(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(path)

@@ -4,6 +4,7 @@ import json
 
 import pytest
 from documents import measure, note, score
+from pyspark.sql import functions as F
 
 from noteloom.operators import ngrams, notes
 from noteloom.sources import catalogue, mei, sinks
@@ -30,7 +31,7 @@ def test_collections(scores):
     assert listed == {
         "bach_inventions": ["Bach_1.mei"],
         "crim_corpus": ["CRIM_1.mei"],
-        "registered": ["Bach_1.mei", "Mine.mei"],
+        "uploaded_mei_files": ["Bach_1.mei", "Mine.mei"],
         "all_files": ["Bach_1.mei", "CRIM_1.mei", "Mine.mei", "Other.mei"],
     }
     assert json.loads(catalogue.as_json(scores).first().record) == {"collection": "all_files", "filename": "Bach_1.mei"}
@@ -114,6 +115,19 @@ def test_wide_csv(spark, events, tmp_path):
     assert spark.read.text(path).first()[0] == "No notes found"
 
 
+def test_stored_corpus_is_pruned(spark, events, tmp_path):
+    named = events.withColumn("piece_id", F.concat(F.lit("Bach_"), "piece_id")).unionByName(events)
+    path = str(tmp_path / "corpus")
+    sinks.write_events(named, path)
+    back = sinks.read_events(spark, path)
+    assert back.count() == 2 * events.count()
+    one = back.filter("collection = 'bach_inventions' and piece_id = 'Bach_u1'").select("midi")
+    plan = one._jdf.queryExecution().executedPlan().toString()
+    assert "collection" in plan.split("PartitionFilters: [")[1].split("]")[0]
+    assert "EqualTo(piece_id,Bach_u1)" in plan
+    assert one.count() == events.filter("piece_id = 'u1'").count()
+
+
 def test_json_payload(spark, events, tmp_path):
     found = ngrams.melodic_ngrams(events, 3)
     sinks.write_json({"counts": ngrams.count_patterns(found), "matches": ngrams.matches(found, ["2_2_2"])}, str(tmp_path))
