@@ -6,10 +6,12 @@ rows mean (durations, pitches, time, ties, header fields) is worked out by Spark
 
 from __future__ import annotations
 
+import sys
 import xml.etree.ElementTree as ET
 from collections.abc import Iterator
 
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -19,6 +21,9 @@ from noteloom.operators.ordered import BLOCK_ROWS, block_of, halo, neighbours, r
 from noteloom.operators.repeats import ending_numbers
 from noteloom.sources.tables import store
 
+# The flattening travels with the job, so that workers need not have this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 # Containers whose children stand in a layer's time line, the
 # elements that take time, the ppq of a score that states none, and the note
 # values with names, in whole notes.
