@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from noteloom.llm.columns import plain, text_of
+from noteloom.llm.shipping import map_arrow, ship
 
 WORD_CACHE = 1 << 19
 
@@ -163,7 +164,7 @@ def encode_pieces(scores: DataFrame, vocabulary: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary())], ["piece_id", "token_ids"])
 
     work = plain(scores, "piece_id", "content").select("piece_id", text_of().alias("content"))
-    return work.mapInArrow(run, StructType([work.schema["piece_id"]]).add("token_ids", "binary"))
+    return map_arrow(work, run, StructType([work.schema["piece_id"]]).add("token_ids", "binary"))
 
 
 def decode_pieces(encoded: DataFrame, vocabulary: str) -> DataFrame:
@@ -173,6 +174,7 @@ def decode_pieces(encoded: DataFrame, vocabulary: str) -> DataFrame:
     def text(ids: pd.Series) -> pd.Series:
         return ids.map(encoder(vocabulary).decode)
 
+    ship(encoded.sparkSession)
     ids = F.coalesce(F.col("token_ids"), F.lit(b""))
     return plain(encoded, "piece_id", "token_ids").select("piece_id", text(ids).alias("content"))
 
@@ -199,4 +201,4 @@ def round_trip(scores: DataFrame, vocabulary: str) -> DataFrame:
 
     work = plain(scores, "piece_id", "content").select("piece_id", text_of().alias("content"))
     schema = StructType([work.schema["piece_id"]]).add("n_tokens", "long")
-    return work.mapInArrow(run, schema.add("ids_sha256", "string").add("decoded_sha256", "string"))
+    return map_arrow(work, run, schema.add("ids_sha256", "string").add("decoded_sha256", "string"))

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from noteloom.llm.columns import BLANKS, plain, stored, text_of
+from noteloom.llm.shipping import map_arrow
 from noteloom.session import shared_folder
 
 FANOUT = 4
@@ -133,7 +134,7 @@ class LineRuns:
 
 def _hashed(df: DataFrame, others: str) -> DataFrame:
     schema = StructType.fromDDL(", ".join(filter(None, [others, _HASH])))
-    return df.withColumn("content", F.encode(text_of(), "utf-8")).mapInArrow(_line_rows, schema)
+    return map_arrow(df.withColumn("content", F.encode(text_of(), "utf-8")), _line_rows, schema)
 
 
 def _without(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -192,4 +193,4 @@ def drop_common_lines(
     fields = StructType([f for f in work.schema.fields if f.name != "content"])
     for name, kind in (("n_lines", "long"), ("n_dropped", "long"), ("kept", "string")):
         fields = fields.add(name, kind)
-    return joined.select("piece_id", *carry, "content", "drops").mapInArrow(_without, fields)
+    return map_arrow(joined.select("piece_id", *carry, "content", "drops"), _without, fields)

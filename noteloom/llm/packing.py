@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from noteloom.llm.columns import plain, stored, text_of
+from noteloom.llm.shipping import map_arrow
 
 WINDOW = 2048
 STEP = 16
@@ -78,7 +79,7 @@ def cut(scores: DataFrame, ranks_path: str, special_id: int, end_id: int, window
     schema = StructType([work.schema["piece_id"]])
     for name in ("start", "length", "ids_crc32", "doc_tokens"):
         schema = schema.add(name, "long")
-    return work.mapInArrow(run, schema)
+    return map_arrow(work, run, schema)
 
 
 def combinations(bins: int, depth: int) -> list[tuple[int, ...]]:

@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from noteloom.llm import bpe, exact_dedup, line_dedup, packing, sharding
+from noteloom.llm import bpe, exact_dedup, line_dedup, near_pieces, packing, sharding
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -29,6 +29,11 @@ def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return index.append(_scores(spark, sf_dir)).withColumnRenamed("piece_id", "doc_id")
 
 
+def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    linked = near_pieces.near_pieces(_scores(spark, sf_dir), width=4, percent=85)
+    return linked.withColumnRenamed("piece_id", "doc_id")
+
+
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = sharding.shard_pieces(_scores(spark, sf_dir), shards=16)
     return placed.select(
@@ -64,6 +69,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op2_exact_dedup"] = op2_exact_dedup
+QUERIES["op3_ngram_jaccard_join"] = op3_ngram_jaccard_join
 QUERIES["op6_sharding"] = op6_sharding
 QUERIES["op7_line_dedup"] = op7_line_dedup
 QUERIES["op8_bpe"] = op8_bpe

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
 from noteloom.llm.columns import plain, stored, text_of
+from noteloom.llm.shipping import ship
 
 # Constants of the published jump hash: multiplier of its generator, and the numerator of its step.
 GENERATOR = np.uint64(2862933555777941757)
@@ -61,6 +62,7 @@ def shard_pieces(scores: DataFrame, shards: int = 16, stripes: int = 256) -> Dat
     shard nor a repeated id is one task; slices are numbered from their counts,
     at most ``shards * stripes`` rows. Rows that agree in id, size and checksum are interchangeable.
     """
+    ship(scores.sparkSession)
     text = F.col("content").cast("string")
     key = key_of()
     placed = stored(
