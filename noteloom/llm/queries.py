@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from noteloom.llm import bpe, exact_dedup, line_dedup, near_pieces, packing, sharding
+from noteloom.llm import bpe, exact_dedup, line_dedup, near_pieces, packing, sharding, similar_pieces
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -24,6 +24,14 @@ def _scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op1_multi_index_hashing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    profiles = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(
+        F.col("vec_id").alias("piece_id"), F.col("embedding").alias("profile")
+    )
+    found = similar_pieces.similar_pieces(profiles, F.col("piece_id") % 20 == 0, k=20)
+    return found.withColumnRenamed("piece_id", "vec_id")
+
+
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     index = exact_dedup.DigestIndex(spark, f"digests_{uuid.uuid4().hex}")
     return index.append(_scores(spark, sf_dir)).withColumnRenamed("piece_id", "doc_id")
@@ -68,6 +76,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed.withColumnRenamed("piece_id", "doc_id")
 
 
+QUERIES["op1_multi_index_hashing"] = op1_multi_index_hashing
 QUERIES["op2_exact_dedup"] = op2_exact_dedup
 QUERIES["op3_ngram_jaccard_join"] = op3_ngram_jaccard_join
 QUERIES["op6_sharding"] = op6_sharding
