@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from noteloom.llm import bpe, exact_dedup, line_dedup, near_pieces, packing, sharding, similar_pieces
+from noteloom.llm import bpe, exact_dedup, line_dedup, near_pieces, packing, sharding, similar_pieces, web_text
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -42,6 +42,10 @@ def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linked.withColumnRenamed("piece_id", "doc_id")
 
 
+def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return web_text.extract(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = sharding.shard_pieces(_scores(spark, sf_dir), shards=16)
     return placed.select(
@@ -79,6 +83,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES["op1_multi_index_hashing"] = op1_multi_index_hashing
 QUERIES["op2_exact_dedup"] = op2_exact_dedup
 QUERIES["op3_ngram_jaccard_join"] = op3_ngram_jaccard_join
+QUERIES["op4_html_extraction"] = op4_html_extraction
 QUERIES["op6_sharding"] = op6_sharding
 QUERIES["op7_line_dedup"] = op7_line_dedup
 QUERIES["op8_bpe"] = op8_bpe
