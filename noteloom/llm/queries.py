@@ -9,7 +9,18 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from noteloom.llm import bpe, exact_dedup, line_dedup, near_pieces, packing, sharding, similar_pieces, web_text
+from noteloom.llm import (
+    bpe,
+    exact_dedup,
+    language_id,
+    line_dedup,
+    near_pieces,
+    packing,
+    personal_data,
+    sharding,
+    similar_pieces,
+    web_text,
+)
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -46,6 +57,20 @@ def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return web_text.extract(spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
 
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scores = _scores(spark, sf_dir)
+    found = personal_data.find(scores, personal_data.fit(scores))
+    return found.select(
+        F.col("piece_id").alias("doc_id"),
+        "n_email",
+        "n_ip",
+        "n_card",
+        "n_phone",
+        F.sha2("base", 256).alias("base_sha256"),
+        "spans",
+    )
+
+
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = sharding.shard_pieces(_scores(spark, sf_dir), shards=16)
     return placed.select(
@@ -73,6 +98,15 @@ def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coded.withColumnRenamed("piece_id", "doc_id")
 
 
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = F.crc32(F.coalesce(F.col("piece_id").cast("string"), F.lit(""))) % 4 == 2
+    scores = _scores(spark, sf_dir).withColumn("held_out", held_out)
+    model = language_id.fit(scores, scores.filter(~F.col("held_out")))
+    return language_id.predict(scores, model, carry=("held_out",)).select(
+        F.col("piece_id").alias("doc_id"), "held_out", F.col("language_found").alias("lang_pred"), "score"
+    )
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     packed = packing.pack(
         _scores(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.tiktoken"), special_id=50256, end_id=1
@@ -84,9 +118,11 @@ QUERIES["op1_multi_index_hashing"] = op1_multi_index_hashing
 QUERIES["op2_exact_dedup"] = op2_exact_dedup
 QUERIES["op3_ngram_jaccard_join"] = op3_ngram_jaccard_join
 QUERIES["op4_html_extraction"] = op4_html_extraction
+QUERIES["op5_pii"] = op5_pii
 QUERIES["op6_sharding"] = op6_sharding
 QUERIES["op7_line_dedup"] = op7_line_dedup
 QUERIES["op8_bpe"] = op8_bpe
+QUERIES["op9_language_id"] = op9_language_id
 QUERIES["op10_packing"] = op10_packing
 
 _BLANK = "[\\x20\\x09-\\x0D]"
