@@ -17,15 +17,34 @@ def text_of(content: str = "content") -> Column:
     return F.coalesce(F.col(content).cast("string"), F.lit(""))
 
 
+CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """``df`` written to the shared folder and read back, which cuts its lineage.
 
     The operators read such tables more than once and rely on row numbers that
-    were written with them, so a cluster must name a shared folder.
+    were written with them, so a cluster must name a shared folder. Shuffle files of the
+    write go when it ends, not only when the driver collects its garbage.
     """
-    if shared_folder(df.sparkSession) is None:
+    spark = df.sparkSession
+    if shared_folder(spark) is None:
         raise ValueError("set spark.checkpoint.dir to a folder that every executor reaches")
-    return store(df, name)
+    before = spark.conf.get(CLEAN_UP)
+    spark.conf.set(CLEAN_UP, "true")
+    try:
+        return store(df, name)
+    finally:
+        spark.conf.set(CLEAN_UP, before)
+
+
+def forget(*tables: DataFrame) -> None:
+    """Delete stored tables that nothing reads any more."""
+    for table in tables:
+        spark = table.sparkSession
+        for folder in {file.rsplit("/", 1)[0] for file in table.inputFiles()}:
+            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def plain(df: DataFrame, *names: str) -> DataFrame:

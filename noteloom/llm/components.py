@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from noteloom.llm.columns import stored
+from noteloom.llm.columns import forget, stored
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -20,26 +20,21 @@ def components(links: DataFrame) -> DataFrame:
     edges = stored(both.filter("a <> b").distinct(), "edges")
     labels = stored(edges.select(F.col("a").alias("node")).distinct().withColumn("label", F.col("node")), "labels")
     while not edges.isEmpty():
-        lower = edges.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("up"))
-        lower = stored(lower.select(F.col("a").alias("node"), "up"), "pointers")
+        lower = edges.groupBy("a").agg(F.min("b").alias("b"))
+        lower = stored(lower.select(F.col("a").alias("node"), F.least("a", "b").alias("up")), "pointers")
         for _ in range(2):
             above = lower.select(F.col("node").alias("up"), F.col("up").alias("higher"))
-            lower = stored(
-                lower.join(above, "up", "left").select("node", F.coalesce("higher", "up").alias("up")), "pointers"
-            )
-        labels = stored(
-            labels.join(lower.withColumnRenamed("node", "label"), "label", "left").select(
-                "node", F.coalesce("up", "label").alias("label")
-            ),
-            "labels",
-        )
+            jumped = lower.join(above, "up", "left").select("node", F.coalesce("higher", "up").alias("up"))
+            jumped, old = stored(jumped, "pointers"), lower
+            forget(old)
+            lower = jumped
+        found = labels.join(lower.withColumnRenamed("node", "label"), "label", "left")
+        found = stored(found.select("node", F.coalesce("up", "label").alias("label")), "labels")
         ends = lower.select(F.col("node").alias("b"), F.col("up").alias("to_b"))
-        edges = stored(
-            edges.join(lower.withColumnRenamed("node", "a"), "a")
-            .join(ends, "b")
-            .select(F.col("up").alias("a"), F.col("to_b").alias("b"))
-            .filter("a <> b")
-            .distinct(),
-            "edges",
+        redrawn = edges.join(lower.withColumnRenamed("node", "a"), "a").join(ends, "b")
+        redrawn = stored(
+            redrawn.select(F.col("up").alias("a"), F.col("to_b").alias("b")).filter("a <> b").distinct(), "edges"
         )
+        forget(labels, edges, lower)
+        labels, edges = found, redrawn
     return labels

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -11,11 +12,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StructType
 
-from noteloom.llm.columns import plain, stored, text_of
+from noteloom.llm.columns import forget, plain, stored, text_of
 from noteloom.llm.components import components
 from noteloom.llm.shipping import map_arrow
 
-SKETCH_BITS = 20
+SKETCH_BITS = 18
 LONG_LIST = 32
 HUBS = 4
 
@@ -140,8 +141,8 @@ def near_pieces(scores: DataFrame, width: int = 5, percent: int = 80) -> DataFra
     Documents of one set are a class; classes of one size and prefix are a group.
     Groups meet where prefixes share a shingle and sizes and places allow
     enough overlap. The order of shingles is rare first, by counts of all documents
-    in 2^20 hash buckets (8 MB, whatever the corpus); any order gives the same links.
-    Lists longer than ``LONG_LIST`` first try each group with the few groups of the
+    in 2^18 hash buckets (2 MB, whatever the corpus); any order gives the same links.
+    Groups of lists up to ``LONG_LIST`` meet in pairs. In longer lists each group first meets the few groups of the
     list that place the shingle first, the least altered copies; what links gets
     one label. Then every pair of groups with different labels is met in full, so
     no component is missed, while the pairs inside a large group of copies are not made.
@@ -193,11 +194,45 @@ def near_pieces(scores: DataFrame, width: int = 5, percent: int = 80) -> DataFra
     postings = groups.select("group", "n", F.posexplode("prefix").alias("place", "shingle"))
     lists = stored(postings.groupBy("shingle").agg(F.count("*").alias("many")).filter("many > 1"), "lists")
     entries = stored(postings.join(lists, "shingle"), "entries")
-
-    crowded = stored(
-        members.groupBy("group").agg(F.count("*").alias("many")).filter("many > 1").select("group"), "crowded"
+    forget(groups, lists)
+
+    def near_enough(a: str, b: str) -> Column:
+        """Whether sizes and places of a shared shingle leave room for enough overlap."""
+        n_a, n_b = F.col(f"n_{a}"), F.col(f"n_{b}")
+        room = F.least(n_a - F.col(f"place_{a}"), n_b - F.col(f"place_{b}"))
+        sizes = 100 * F.least(n_a, n_b) >= percent * F.greatest(n_a, n_b)
+        return sizes & (room >= _needed(percent, f"n_{a}", f"n_{b}"))
+
+    def side(table: DataFrame, which: str, *names: str) -> DataFrame:
+        return table.select("shingle", *[F.col(c).alias(f"{c}_{which}") for c in (*names, "group", "n", "place")])
+
+    # Short lists: their pairs of groups. Long lists: stars, each group with the least altered groups of the list.
+    short = entries.filter(F.col("many") <= LONG_LIST)
+    short_pairs = stored(
+        side(short, "a").join(side(short, "b"), "shingle")
+        .filter((F.col("group_a") < F.col("group_b")) & near_enough("a", "b"))
+        .select("group_a", "group_b").distinct(),
+        "short-pairs",
+    )
+    band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100.0 / percent) + 1e-9)) if percent < 100 else F.col("n")
+    long_lists = entries.filter(F.col("many") > LONG_LIST).withColumn("band", band)
+    hubs = stored(
+        long_lists.withColumn("turn", F.pmod(F.xxhash64("group"), F.lit(HUBS)))
+        .groupBy("shingle", "band", "turn")
+        .agg(F.min(F.struct("place", "group", "n")).alias("hub"))
+        .select("shingle", "band", *[F.col(f"hub.{c}").alias(f"{c}_b") for c in ("group", "n", "place")]),
+        "hubs",
+    )
+    stars = stored(
+        side(long_lists, "a", "band").withColumnRenamed("band_a", "band").join(hubs, ["shingle", "band"])
+        .filter((F.col("group_a") != F.col("group_b")) & near_enough("a", "b"))
+        .select("group_a", "group_b").distinct(),
+        "stars",
     )
-    reached = entries.select("group").union(crowded).distinct()
+    crowded = members.groupBy("group").agg(F.count("*").alias("many")).filter("many > 1").select("group")
+    reached = [short_pairs.select(F.col("group_a").alias("group")), short_pairs.select(F.col("group_b").alias("group")),
+               long_lists.select("group"), crowded]
+    reached = stored(reduce(DataFrame.union, reached).distinct(), "reached")
     wanted = stored(members.join(reached, "group", "left_semi").select("class", "text_hi", "text_lo"), "wanted")
     texts = keyed.select("text_hi", "text_lo", "content").join(wanted, ["text_hi", "text_lo"])
     sets = stored(
@@ -205,86 +240,67 @@ def near_pieces(scores: DataFrame, width: int = 5, percent: int = 80) -> DataFra
         "sets",
     )
 
-    # First the stars: groups of a long list with its least altered groups, classes of a group with its first.
-    band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100.0 / percent) + 1e-9)) if percent < 100 else F.col("n")
-    long_lists = entries.filter(F.col("many") > LONG_LIST).withColumn("band", band)
-    earliest = F.struct("place", "group", "n")
-    hubs = (
-        long_lists.withColumn("turn", F.pmod(F.xxhash64("group"), F.lit(HUBS)))
-        .groupBy("shingle", "band", "turn")
-        .agg(F.min(earliest).alias("hub"))
-        .select("shingle", "band", F.col("hub.group").alias("hub"), F.col("hub.n").alias("hub_n"),
-                F.col("hub.place").alias("hub_place"))
-    )
-    room = F.least(F.col("n") - F.col("place"), F.col("hub_n") - F.col("hub_place"))
-    stars = (
-        long_lists.join(stored(hubs, "hubs"), ["shingle", "band"])
-        .filter((F.col("group") != F.col("hub")) & (room >= _needed(percent, "n", "hub_n")))
-        .select(F.col("group").alias("a"), F.col("hub").alias("b"))
-    )
+    # A group's first class stands for it: both have the smallest row. Classes of a group meet its first.
+    pairs = short_pairs.union(stars).toDF("a", "b")
     inner = members.filter("class <> group").select(F.col("class").alias("a"), F.col("group").alias("b"))
-    # A group's own first class stands for it: both are the smallest row.
-    first_links = stored(_linked(stars.union(inner).distinct(), sets, percent), "links")
+    first_links = stored(_linked(pairs.union(inner).distinct(), sets, percent), "links")
     labels = components(first_links)
 
-    # Then all groups that may be similar and are not yet under one label.
+    # Then, in full, what may be similar and is not yet under one label: groups of long lists, and the
+    # classes of groups that were met by their first classes alone.
     labelled = stored(
         members.join(labels.withColumnRenamed("node", "class"), "class", "left").select(
             "class", "group", "n", F.coalesce("label", "class").alias("label")
         ),
         "labelled",
     )
-    nodes = stored(labelled.select("group", "label").distinct(), "nodes")
-    placed = entries.select("shingle", "group", "n", "place").join(nodes, "group")
-    open_lists = stored(
-        placed.groupBy("shingle").agg(F.min("label").alias("low"), F.max("label").alias("high"))
-        .filter("low < high").select("shingle"),
-        "open-lists",
-    )
-    placed = stored(placed.join(open_lists, "shingle", "left_semi"), "placed")
-    present = stored(placed.select("shingle", "label").distinct(), "present")
+    forget(labels)
+    nodes = stored(labelled.groupBy("group", "label").agg(F.count("*").alias("classes")), "nodes")
+    placed = stored(long_lists.join(nodes, "group").select("shingle", "group", "n", "place", "label"), "placed")
+    open_lists = placed.groupBy("shingle").agg(F.min("label").alias("low"), F.max("label").alias("high"))
+    open_lists = stored(open_lists.filter("low < high").select("shingle"), "open-lists")
+    present = stored(placed.join(open_lists, "shingle", "left_semi").select("shingle", "label").distinct(), "present")
     meeting = (
         present.withColumnRenamed("label", "label_a")
         .join(present.withColumnRenamed("label", "label_b"), "shingle")
         .filter("label_a < label_b")
     )
-
-    def side(which: str) -> DataFrame:
-        return placed.select("shingle", *[F.col(c).alias(f"{c}_{which}") for c in ("label", "group", "n", "place")])
-
-    room = F.least(F.col("n_a") - F.col("place_a"), F.col("n_b") - F.col("place_b"))
-    small, large = F.least("n_a", "n_b"), F.greatest("n_a", "n_b")
     across = (
-        meeting.join(side("a"), ["shingle", "label_a"])
-        .join(side("b"), ["shingle", "label_b"])
-        .filter((F.col("group_a") != F.col("group_b")) & (100 * small >= percent * large))
-        .filter(room >= _needed(percent, "n_a", "n_b"))
+        meeting.join(side(placed, "a", "label"), ["shingle", "label_a"])
+        .join(side(placed, "b", "label"), ["shingle", "label_b"])
+        .filter((F.col("group_a") != F.col("group_b")) & near_enough("a", "b"))
         .select("group_a", "label_a", "group_b", "label_b")
     )
-    left = nodes.select("group", F.col("label").alias("label_a"))
-    right = nodes.select("group", F.col("label").alias("label_b"))
-    divided = stored(
-        nodes.groupBy("group").agg(F.min("label").alias("low"), F.max("label").alias("high"))
-        .filter("low < high").select("group"),
-        "divided",
+    left = nodes.select(F.col("group").alias("group_a"), F.col("label").alias("label_a"))
+    right = nodes.select(F.col("group").alias("group_b"), F.col("label").alias("label_b"))
+    shared_group = nodes.groupBy("group").agg(F.count("*").alias("labels"), F.sum("classes").alias("all")).filter("all > 1")
+    shared_group = stored(shared_group.select("group", "labels"), "shared-groups")
+    several = shared_group.select("group")
+    touched = short_pairs.join(several.withColumnRenamed("group", "group_a"), "group_a", "left_semi").union(
+        short_pairs.join(several.withColumnRenamed("group", "group_b"), "group_b", "left_semi").select("group_a", "group_b")
     )
+    retried = (
+        touched.distinct().join(left, "group_a").join(right, "group_b").filter("label_a <> label_b")
+        .select("group_a", "label_a", "group_b", "label_b")
+    )
+    divided = shared_group.filter("labels > 1").select(F.col("group").alias("group_a"))
     within = (
-        left.join(divided, "group", "left_semi").join(right, "group").filter("label_a < label_b")
-        .select(F.col("group").alias("group_a"), "label_a", F.col("group").alias("group_b"), "label_b")
+        left.join(divided, "group_a", "left_semi")
+        .join(right.withColumn("group_a", F.col("group_b")), "group_a")
+        .filter("label_a < label_b")
+        .select("group_a", "label_a", "group_b", "label_b")
     )
-    group_pairs = stored(across.union(within).distinct(), "group-pairs")
-    pairs = (
-        group_pairs.join(
-            labelled.select(F.col("group").alias("group_a"), F.col("label").alias("label_a"), F.col("class").alias("a")),
-            ["group_a", "label_a"],
-        )
-        .join(
-            labelled.select(F.col("group").alias("group_b"), F.col("label").alias("label_b"), F.col("class").alias("b")),
-            ["group_b", "label_b"],
+    group_pairs = stored(across.union(retried).union(within).distinct(), "group-pairs")
+
+    def classes_of(which: str) -> DataFrame:
+        return labelled.select(
+            F.col("group").alias(f"group_{which}"), F.col("label").alias(f"label_{which}"), F.col("class").alias(which)
         )
-        .select("a", "b")
-    )
-    labels = components(first_links.union(stored(_linked(pairs, sets, percent), "links")))
+
+    pairs = group_pairs.join(classes_of("a"), ["group_a", "label_a"]).join(classes_of("b"), ["group_b", "label_b"])
+    second_links = stored(_linked(pairs.select("a", "b"), sets, percent), "links")
+    labels = components(first_links.union(second_links))
+    forget(entries, sets, placed, present, hubs, stars, short_pairs, reached, wanted, group_pairs, labelled, nodes)
 
     named_classes = stored(
         classes.select("class", "set_hi", "set_lo", "first_id")

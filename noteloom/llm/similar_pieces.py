@@ -81,7 +81,8 @@ def learn(sample: np.ndarray, norm: float, total: int, k: int, bits: int = CODE_
 
 
 def pack_bits(codes: np.ndarray) -> np.ndarray:
-    return np.packbits(codes, axis=1).view(">u8").astype(np.uint64).reshape(len(codes), -1)
+    padded = np.pad(codes, ((0, 0), (0, -codes.shape[1] % 64)))
+    return np.packbits(padded, axis=1).view(np.uint64)
 
 
 class SubstringIndex:
