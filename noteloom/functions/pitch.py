@@ -94,7 +94,7 @@ def order_position(pc: Column, order: str) -> Column:
         return pc
     if name == "fifths":
         return _pick([FIFTHS_ORDER.index(n) for n in PITCH_CLASS_NAMES], pc)
-    raise ValueError("pitch_class_order must be either 'chromatic' or 'fifths'")
+    raise ValueError(f"no order of pitch classes is called {order!r}")
 
 
 def audible_velocity(vel: Column) -> Column:

@@ -11,11 +11,14 @@ from noteloom.operators.notes import end_ppq
 # The number of distinct pattern colours a timeline cycles through.
 COLOURS = 8
 
+# A timeline shows so many patterns at most; the table of them is then small enough to broadcast.
+MOST = 10_000
+
 
 def top_patterns(ngrams: DataFrame, top_n: int = 2) -> DataFrame:
     """The ``top_n`` most frequent patterns over all pieces, with a colour slot."""
-    if top_n < 1:
-        raise ValueError("top_n must be at least 1")
+    if not 1 <= top_n <= MOST:
+        raise ValueError(f"between 1 and {MOST} patterns can be shown, not {top_n}")
     counts = ngrams.groupBy("pattern_string").agg(F.count(F.lit(1)).alias("count"))
     best = counts.orderBy(F.desc("count"), "pattern_string").limit(top_n)
     rank = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.desc("count"), "pattern_string"))
@@ -25,7 +28,7 @@ def top_patterns(ngrams: DataFrame, top_n: int = 2) -> DataFrame:
 def occurrences(ngrams: DataFrame, top_n: int = 2) -> DataFrame:
     """Every occurrence of the top patterns that lasts.
 
-    The joined side has ``top_n`` rows by construction, so it is broadcast.
+    The joined side has ``top_n`` rows, at most ``MOST``, so it is broadcast.
     """
     chosen = F.broadcast(top_patterns(ngrams, top_n).select("pattern_string", "colour"))
     start = F.col("onset_ppq") / F.col("ppq")

@@ -26,7 +26,7 @@ def melodic_ngrams(
     the ids of the n+1 notes; ``end_ppq`` is where the last of them ends.
     """
     if n < 1:
-        raise ValueError("n must be at least 1")
+        raise ValueError(f"an n-gram has one interval or more, not {n}")
     if combine_unisons:
         events = combine(events, unisons=True, block_rows=block_rows)
 
@@ -71,10 +71,10 @@ def melodic_ngrams(
     )
 
 
-def count_patterns(ngrams: DataFrame) -> DataFrame:
-    """Occurrences per piece and pattern, most frequent first within a piece."""
+def count_patterns(ngrams: DataFrame, ordered: bool = False) -> DataFrame:
+    """Occurrences per piece and pattern; ``ordered`` puts the most frequent first within a piece."""
     counts = ngrams.groupBy("piece_id", "pattern_string").agg(F.count(F.lit(1)).alias("count"))
-    return counts.orderBy("piece_id", F.desc("count"), "pattern_string")
+    return counts.orderBy("piece_id", F.desc("count"), "pattern_string") if ordered else counts
 
 
 def keep_patterns(ngrams: DataFrame, wanted: list[str] | None) -> DataFrame:
@@ -99,19 +99,18 @@ def matches(ngrams: DataFrame, wanted: list[str] | None = None, ordered: bool =
     return found.orderBy("piece_id", "pattern_string", "onset_ppq", "part") if ordered else found
 
 
-def first_occurrences(ngrams: DataFrame) -> DataFrame:
-    """Earliest occurrence of every pattern of a piece, with its total count.
+def first_occurrences(ngrams: DataFrame, ordered: bool = False) -> DataFrame:
+    """Earliest occurrence of every pattern of a piece, with its total count; ``ordered`` sorts them by place.
 
     Count and earliest place come from one aggregation, so a pattern that fills
-    the corpus is reduced before the shuffle. The order number packs onset and
-    part into one integer to keep the aggregation buffer flat.
+    the corpus is reduced before the shuffle.
     """
-    place = F.col("onset_ppq") * 65536 + F.col("part")
+    place = F.struct("onset_ppq", "part")
     firsts = ngrams.groupBy("piece_id", "pattern_string").agg(
         F.count(F.lit(1)).alias("count"),
         F.min_by(F.struct("part", "onset_ppq", "dur_ppq", "end_ppq", "ppq", "note_ids"), place).alias("first"),
     )
-    return firsts.select(
+    found = firsts.select(
         "piece_id",
         "pattern_string",
         "count",
@@ -120,4 +119,5 @@ def first_occurrences(ngrams: DataFrame) -> DataFrame:
         (F.col("first.end_ppq") / F.col("first.ppq")).alias("end_q"),
         F.col("first.part").alias("part"),
         F.col("first.note_ids").alias("note_ids"),
-    ).orderBy("piece_id", "start_q", F.col("part").cast("string"), "pattern_string")
+    )
+    return found.orderBy("piece_id", "start_q", F.col("part").cast("string"), "pattern_string") if ordered else found

@@ -142,12 +142,15 @@ def performed_order(measures: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFr
     )
 
 
-def performed_events(events: DataFrame, order: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """Note events in performed order, with onsets counted anew."""
-    lengths = events.groupBy("piece_id", "measure_seq").agg(
-        F.max(F.col("measure_onset_ppq") + F.col("dur_ppq")).alias("length_ppq")
-    )
-    sized = order.join(lengths, ["piece_id", "measure_seq"], "left")
+def performed_events(
+    events: DataFrame, order: DataFrame, lengths: DataFrame, block_rows: int = BLOCK_ROWS
+) -> DataFrame:
+    """Note events in performed order, with onsets counted anew.
+
+    ``lengths`` (piece_id, measure_seq, length_ppq) are those of the measures themselves, as ``mei.timeline`` gives
+    them: a note held over the barline does not lengthen its measure, and a measure without onsets keeps its time.
+    """
+    sized = order.join(lengths.select("piece_id", "measure_seq", "length_ppq"), ["piece_id", "measure_seq"], "left")
     laid = running(
         sized, ["piece_id"], ["performed_seq"], block_of("performed_seq", block_rows),
         sums={"measure_start_ppq": F.coalesce("length_ppq", F.lit(0))},

@@ -74,7 +74,7 @@ def _onset_block() -> Column:
     return F.expr(f"cast(onset_ppq div {BLOCK_TICKS} as bigint)")
 
 
-def _kept(minimum: float) -> Column:
+def _kept(minimum: float, keep_unmetred: bool) -> Column:
     """Whether an item takes part in n-grams: two voices, on a strong enough beat.
 
     A piece without any beat strength keeps all its items; asking for a minimum
@@ -84,24 +84,28 @@ def _kept(minimum: float) -> Column:
         F.concat(F.lit("Cannot apply minimum_beat_strength: no beat-strength values for "), F.col("piece_id"))
     ).cast("boolean")
     strong = F.when(F.col("metrical") == 1, F.coalesce(F.col("strength") >= minimum, F.lit(False))).otherwise(
-        F.lit(True) if minimum <= 0 else refused
+        F.lit(True) if minimum <= 0 or keep_unmetred else refused
     )
     return (F.col("sonority") != "") & strong
 
 
-def low_line_items(table: DataFrame, minimum_beat_strength: float = 0.0, block: Column | None = None) -> DataFrame:
+def low_line_items(
+    table: DataFrame, minimum_beat_strength: float = 0.0, block: Column | None = None, keep_unmetred: bool = False
+) -> DataFrame:
     """The lowest line's next step at every onset, joined to the sonority.
 
     The low line has an entry where the lowest note is another than at the onset
     before; elsewhere it is ``Held``. A step into silence reads ``Rest``. ``kept``
-    items form n-grams and are numbered by ``place`` within their piece.
+    items form n-grams and are numbered by ``place`` within their piece. With a minimum a piece without metre ends
+    the job, or stays whole with ``keep_unmetred``; ``fallback_warnings`` names such pieces.
     """
     block = _onset_block() if block is None else block
     strength = metre.beat_strength(
         F.col("measure_onset_ppq"), F.col("ppq"), F.col("meter_count"), F.col("meter_unit")
     )
-    # One integer names the lowest note: parts are few, onsets are ticks.
-    named = table.withColumns({"low_key": F.col("low_since") * 65536 + F.col("low_part"), "strength": strength})
+    # The lowest note is named by its onset and part.
+    lowest = F.when(F.col("low_since").isNotNull(), F.struct("low_since", "low_part"))
+    named = table.withColumns({"low_key": lowest, "strength": strength})
     seen = running(
         named, ["piece_id"], ["onset_ppq"], block,
         lasts={"low_before": F.col("low_key")},
@@ -112,22 +116,22 @@ def low_line_items(table: DataFrame, minimum_beat_strength: float = 0.0, block:
         keep_block=True,
     )
     moves = F.col("low_before").isNull() | (F.col("low_before") != F.col("low_key"))
-    seen = seen.withColumns({"moves": moves, "kept": _kept(minimum_beat_strength)})
-    # The next entry's pitch as one integer; -1 stands for silence.
-    spelled = F.coalesce(F.col("low_midi") * 1024 + F.col("low_dpos"), F.lit(-1))
+    seen = seen.withColumns({"moves": moves, "kept": _kept(minimum_beat_strength, keep_unmetred)})
+    # The next entry's pitch; both fields are null in silence.
+    spelled = F.struct(F.col("low_midi").alias("midi"), F.col("low_dpos").alias("dpos"))
     ahead = running(
         seen, ["piece_id"], ["onset_ppq"], None,
         sums={"place": F.col("kept").cast("bigint")},
         nexts={"next_low": F.when(F.col("moves"), spelled)},
     )
     ahead = ahead.withColumns({
-        "next_midi": F.expr("cast(next_low div 1024 as int)"),
-        "next_dpos": F.expr("cast(next_low % 1024 as int)"),
+        "next_midi": F.col("next_low.midi"),
+        "next_dpos": F.col("next_low.dpos"),
     })
     ahead = pitch.add_interval(ahead, "motion", "q", "low_", "next_")
     step = F.when(
         F.col("moves") & F.col("low_midi").isNotNull(),
-        F.when(F.col("next_low") == -1, F.lit("Rest")).otherwise(F.col("motion")),
+        F.when(F.col("next_low").isNotNull() & F.col("next_midi").isNull(), F.lit("Rest")).otherwise(F.col("motion")),
     )
     low_line = F.coalesce(step, F.lit("Held"))
     return ahead.select(
@@ -162,7 +166,7 @@ def fallback_warnings(table: DataFrame) -> DataFrame:
 def sonority_ngrams(items: DataFrame, n: int = 4, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """Runs of ``n`` kept items of a piece, at the onset and progress of the first."""
     if n < 1:
-        raise ValueError("n must be at least 1")
+        raise ValueError(f"an n-gram has one item or more, not {n}")
     window = neighbours(["piece_id"], "place")
     rows = halo(items.filter("kept"), "place", after=n - 1, size=block_rows)
     parts = [F.col("item"), *[F.lead("item", k).over(window) for k in range(1, n)]]

@@ -66,7 +66,7 @@ def _requests(spans: DataFrame) -> DataFrame:
         patterns.location(start).alias("s_q"),
         patterns.location(F.coalesce(F.col("end_q"), F.col("end_offset"), start + F.col("duration"))).alias("e_q"),
         "note_count",
-        F.when(F.trim(labels) != "", patterns.part_labels(labels)).alias("wanted"),
+        F.when(F.size(patterns.part_labels(labels)) > 0, patterns.part_labels(labels)).alias("wanted"),
     )
 
 
@@ -80,8 +80,10 @@ def _slice_q(q: Column) -> Column:
 
 def _in_range(requests: DataFrame, notes: DataFrame) -> DataFrame:
     """Notes that begin in [start, end), or exactly at the start when no end is given."""
-    timed = requests.filter("note_count is null and s_q is not null")
-    last = F.coalesce(F.when(F.col("e_q") > F.col("s_q"), F.col("e_q")), F.col("s_q"))
+    ends = notes.groupBy("piece_id").agg(F.max("at_q").alias("last_q"))
+    timed = requests.filter("note_count is null and s_q is not null").join(ends, "piece_id").filter("s_q <= last_q")
+    # No further than the last note of the piece, however far the request goes.
+    last = F.coalesce(F.when(F.col("e_q") > F.col("s_q"), F.least("e_q", "last_q")), F.col("s_q"))
     timed = timed.withColumn("slice", F.explode(F.sequence(_slice_q(F.col("s_q")), _slice_q(last))))
     found = timed.join(notes.withColumn("slice", _slice_q(F.col("at_q"))), ["piece_id", "slice"])
     inside = F.when(F.col("e_q").isNull(), F.col("at_q") == F.col("s_q")).otherwise(
@@ -112,12 +114,15 @@ def start_notes(requests: DataFrame, notes: DataFrame) -> DataFrame:
         (F.col("s_measure") == F.col("at_measure")) & (F.col("s_beat") == F.col("at_beat")), F.lit(False)
     )
     by_offset = by_offset.withColumn("choice", F.when(exact, 0).otherwise(1))
-    by_beat = _meet_at_beat(counted, notes).withColumn("choice", F.lit(2))
+    # Only the first note of a part at a place can win, so measures that share a number cost one row.
+    here = ["piece_id", "at_measure", "at_beat", "part"]
+    firsts = notes.groupBy(*here).agg(F.min_by(F.struct("at_q", "note_ids"), "place").alias("first"), F.min("place").alias("place"))
+    firsts = firsts.select(*here, "place", "first.*")
+    by_beat = _meet_at_beat(counted, firsts).withColumn("choice", F.lit(2))
     candidates = by_offset.unionByName(by_beat).filter(_asked(F.col("part")))
-    # Order number: choice first, then the note's place in its part.
-    order = F.col("choice").cast("bigint") * (1 << 56) + F.col("place")
-    return candidates.groupBy("piece_id", "index", "part", "note_count", "wanted").agg(F.min(order).alias("best")).select(
-        "piece_id", "index", "part", "note_count", "wanted", F.expr(f"best % {1 << 56}").alias("from_place")
+    first = F.min(F.struct("choice", "place")).alias("best")
+    return candidates.groupBy("piece_id", "index", "part", "note_count", "wanted").agg(first).select(
+        "piece_id", "index", "part", "note_count", "wanted", F.col("best.place").alias("from_place")
     )
 
 

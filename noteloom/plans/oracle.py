@@ -98,14 +98,17 @@ WHERE value IS NOT NULL
 """
 
 
+# Notes meet inside blocks of two quarters, so that a long piece is no join of all with all.
 HARMONIC = f"""
 SELECT a.piece_id, concat(a.part, '_', b.part) AS voice_pair,
        CASE WHEN a.onset_ppq >= b.onset_ppq THEN a.measure ELSE b.measure END AS measure,
        CASE WHEN a.onset_ppq >= b.onset_ppq THEN a.beat ELSE b.beat END AS beat,
        greatest(a.onset_ppq, b.onset_ppq) AS onset_ppq,
        coalesce({quality('a.midi', 'a.dpos', 'b.midi', 'b.dpos')}, 'Rest') AS value
-FROM note_events a JOIN note_events b
-  ON a.piece_id = b.piece_id AND a.part > b.part AND a.onset_ppq < b.end_ppq AND b.onset_ppq < a.end_ppq
+FROM (SELECT *, unnest(range(onset_ppq // 960, (end_ppq - 1) // 960 + 1)) AS block FROM note_events WHERE end_ppq > onset_ppq) a
+JOIN (SELECT *, unnest(range(onset_ppq // 960, (end_ppq - 1) // 960 + 1)) AS block FROM note_events WHERE end_ppq > onset_ppq) b
+  ON a.piece_id = b.piece_id AND a.block = b.block AND a.part > b.part AND a.onset_ppq < b.end_ppq AND b.onset_ppq < a.end_ppq
+WHERE greatest(a.onset_ppq, b.onset_ppq) // 960 = a.block
 """
 
 
@@ -571,15 +574,10 @@ measures AS (
   FROM note_events)
 """
 
-PERFORMED_EVENTS = """,
-lengths AS (SELECT piece_id, onset_ppq // 1920 + 1 AS measure_seq, max(onset_ppq % 1920 + dur_ppq) AS length
-            FROM note_events GROUP BY ALL),
-laid AS (SELECT piece_id, performed_seq, measure_seq,
-                coalesce(sum(length) OVER (PARTITION BY piece_id ORDER BY performed_seq
-                         ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start
-         FROM performed JOIN lengths USING (piece_id, measure_seq))
-SELECT e.piece_id, part, seq, performed_seq, CAST(start + onset_ppq % 1920 AS BIGINT) AS onset_ppq
-FROM note_events e JOIN laid l ON l.piece_id = e.piece_id AND l.measure_seq = e.onset_ppq // 1920 + 1
+# Every bar has 1,920 ticks, whatever is held over it.
+PERFORMED_EVENTS = """
+SELECT e.piece_id, part, seq, performed_seq, CAST((performed_seq - 1) * 1920 + onset_ppq % 1920 AS BIGINT) AS onset_ppq
+FROM note_events e JOIN performed l ON l.piece_id = e.piece_id AND l.measure_seq = e.onset_ppq // 1920 + 1
 """
 
 # Documents ------------------------------------------------------------------
@@ -588,39 +586,84 @@ DOCUMENTS = """
 WITH docs AS (
   SELECT *, concat('order_', o_orderkey, '.mei') AS piece_id,
          CASE WHEN o_orderpriority = '5-LOW' AND o_orderstatus = 'F' THEN 'root'
+              WHEN o_orderpriority = '3-MEDIUM' AND o_orderstatus = 'F' THEN 'code'
               WHEN o_orderpriority = '1-URGENT' AND o_orderstatus = 'O' THEN 'cut' ELSE 'good' END AS state
-  FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem))
+  FROM orders)
 """
 
 DOCUMENT_STATES = """
-SELECT piece_id, state = 'good' AS is_valid, CASE state WHEN 'root' THEN 'MEI file must have an <mei> root element'
-       WHEN 'cut' THEN 'MEI file is not well-formed XML' END AS error FROM docs
+SELECT piece_id, state = 'good' AS is_valid,
+       CASE state WHEN 'root' THEN 'not a score' WHEN 'code' THEN 'unreadable' WHEN 'cut' THEN 'not well-formed XML' END AS error
+FROM docs
 """
 
 DOCUMENT_METADATA = """
 SELECT piece_id, concat('Order ', o_orderkey) AS title, concat('Customer ', o_custkey) AS composer,
-       o_orderpriority AS analysts, strftime(o_orderdate, '%Y-%m-%d') AS publication_date
+       o_orderpriority AS analysts, strftime(o_orderdate, '%Y-%m-%d') AS publication_date,
+       CAST(o_orderdate AS DATE) AS published
 FROM docs WHERE state = 'good'
 """
 
-DOCUMENT_EVENTS = """,
-notes AS (
-  SELECT d.piece_id, dense_rank() OVER (PARTITION BY d.piece_id ORDER BY l_linenumber % 2) AS part,
-         CAST(1 + l_linenumber % 2 AS VARCHAR) AS staff, l_linenumber % 2 AS s, l_partkey, l_suppkey, l_linenumber,
+# Four measures of 3/4, as long as their longest voice; staves in order of appearance; ties in the third.
+DOCUMENT_NOTES = """,
+lines AS (
+  SELECT d.piece_id, 1 + (l_linenumber - 1) // 2 AS measure_seq,
+         CASE WHEN l_suppkey % 5 = 0 THEN 3 ELSE 1 + l_linenumber % 2 END AS staff_no, l_partkey, l_suppkey, l_linenumber,
          CAST(l_quantity AS BIGINT) AS q
   FROM docs d JOIN lineitem ON l_orderkey = o_orderkey WHERE state = 'good'),
+staves AS (
+  SELECT piece_id, staff_no, row_number() OVER (PARTITION BY piece_id ORDER BY min(measure_seq * 10 + staff_no)) AS part
+  FROM lines GROUP BY piece_id, staff_no),
 timed AS (
-  SELECT *, CAST([960, 480, 360, 120][q % 4 + 1] AS BIGINT) AS dur_ppq,
-         CASE WHEN q % 11 <> 0 THEN CAST(12 * (4 + q % 3) + [0,2,4,5,7,9,11][l_partkey % 7 + 1] + [0,1,-1,-2][l_suppkey % 4 + 1]
-              AS INTEGER) END AS midi,
-         CASE WHEN q % 11 <> 0 THEN CAST(7 * (3 + q % 3) + l_partkey % 7 AS INTEGER) END AS dpos,
-         CASE WHEN q % 11 <> 0 THEN concat('n', l_partkey, '-', l_suppkey, '-', l_linenumber) END AS note_ids
-  FROM notes)
-SELECT piece_id, CAST(part AS INTEGER) AS part, staff, row_number() OVER w AS seq,
-       CAST(coalesce(sum(dur_ppq) OVER (PARTITION BY piece_id, part ORDER BY l_partkey, l_suppkey, l_linenumber
-            ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS onset_ppq,
-       dur_ppq, 7.0::DOUBLE AS measure, midi, dpos, note_ids
-FROM timed WINDOW w AS (PARTITION BY piece_id, part ORDER BY l_partkey, l_suppkey, l_linenumber)
+  SELECT lines.*, part, CAST([960, 480, 360, 120][q % 4 + 1] AS BIGINT) AS ticks,
+         CASE WHEN q % 11 = 0 THEN NULL WHEN staff_no = 3 THEN 84
+              ELSE 12 * (4 + q % 3) + [0,2,4,5,7,9,11][l_partkey % 7 + 1] + [0,1,-1,-2][l_suppkey % 4 + 1] END AS midi,
+         CASE WHEN q % 11 = 0 THEN NULL WHEN staff_no = 3 THEN 42 ELSE 7 * (3 + q % 3) + l_partkey % 7 END AS dpos,
+         CASE WHEN q % 11 <> 0 THEN concat('n', l_partkey, '-', l_suppkey, '-', l_linenumber) END AS id
+  FROM lines JOIN staves USING (piece_id, staff_no)),
+voices AS (SELECT piece_id, measure_seq, part, sum(ticks) AS ticks FROM timed GROUP BY ALL),
+timeline AS (
+  SELECT piece_id, measure_seq, CAST(coalesce(ticks, 1440) AS BIGINT) AS length_ppq,
+         CAST(coalesce(sum(coalesce(ticks, 1440)) OVER (PARTITION BY piece_id ORDER BY measure_seq
+              ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start_ppq
+  FROM (SELECT piece_id, m AS measure_seq FROM docs, range(1, 5) r(m) WHERE state = 'good')
+  LEFT JOIN (SELECT piece_id, measure_seq, max(ticks) AS ticks FROM voices GROUP BY ALL) USING (piece_id, measure_seq)),
+placed AS (
+  SELECT *, coalesce(sum(ticks) OVER (PARTITION BY piece_id, part, measure_seq ORDER BY l_partkey, l_suppkey, l_linenumber
+              ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS inside,
+         row_number() OVER w AS place,
+         NOT coalesce(staff_no = 3 AND midi = lag(midi) OVER w, false) AS head
+  FROM timed WINDOW w AS (PARTITION BY piece_id, part ORDER BY measure_seq, l_partkey, l_suppkey, l_linenumber)),
+numbered AS (
+  SELECT *, sum(head::INT) OVER (PARTITION BY piece_id, part ORDER BY place) AS seq FROM placed),
+merged AS (
+  SELECT piece_id, part, CAST(seq AS BIGINT) AS seq, CAST(sum(ticks) AS BIGINT) AS dur_ppq, min(measure_seq) AS measure_seq,
+         arg_min(inside, place) AS inside, CAST(any_value(staff_no) AS VARCHAR) AS staff, arg_min(midi, place) AS midi,
+         arg_min(dpos, place) AS dpos, string_agg(id, ',' ORDER BY place) AS note_ids
+  FROM numbered GROUP BY piece_id, part, seq),
+note_events AS (
+  SELECT piece_id, CAST(part AS INTEGER) AS part, staff, seq, measure_seq, CAST(start_ppq + inside AS BIGINT) AS onset_ppq, dur_ppq,
+         CAST(start_ppq + inside + dur_ppq AS BIGINT) AS end_ppq, CAST(6 + measure_seq AS DOUBLE) AS measure,
+         1 + inside / 480.0 AS beat, inside, CAST(midi AS INTEGER) AS midi, CAST(dpos AS INTEGER) AS dpos, note_ids
+  FROM merged JOIN timeline USING (piece_id, measure_seq))
+"""
+
+DOCUMENT_EVENTS = """
+SELECT piece_id, part, staff, seq, onset_ppq, dur_ppq, measure, midi, dpos, note_ids FROM note_events
+"""
+
+MEASURE_TIMELINE = "SELECT piece_id, measure_seq, start_ppq, length_ppq FROM timeline"
+
+# The second and third measure are played twice.
+DOCUMENT_PERFORMED = """,
+walk AS (SELECT * FROM (VALUES (1, 1), (2, 2), (3, 3), (4, 2), (5, 3), (6, 4)) v(performed_seq, measure_seq)),
+laid AS (
+  SELECT piece_id, performed_seq, measure_seq,
+         coalesce(sum(length_ppq) OVER (PARTITION BY piece_id ORDER BY performed_seq
+                  ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start
+  FROM timeline JOIN walk USING (measure_seq))
+SELECT piece_id, part, seq, performed_seq, CAST(start + inside AS BIGINT) AS onset_ppq
+FROM note_events JOIN laid USING (piece_id, measure_seq)
 """
 
 NOTES_WIDE = """
@@ -663,10 +706,10 @@ WHERE source = 'builtin' OR NOT EXISTS (
 """
 
 NAME_ERRORS = """
-SELECT page_id, CASE WHEN trim(name) = '' THEN 'filename is required'
+SELECT page_id, CASE WHEN trim(name) = '' THEN 'a score needs a file name'
             WHEN contains(name, '/') OR contains(name, chr(92)) OR trim(name) IN ('.', '..')
-              THEN 'filename must be a simple basename'
-            WHEN NOT ends_with(lower(trim(name)), '.mei') THEN 'filename must end with .mei' END AS error
+              THEN 'the file name may not be a path'
+            WHEN NOT ends_with(lower(trim(name)), '.mei') THEN 'the file name lacks the ending .mei' END AS error
 FROM (SELECT page_id, CASE page_id % 4 WHEN 0 THEN url WHEN 1 THEN concat(split_part(url, '/', -1), '.MEI')
                       WHEN 2 THEN split_part(url, '/', -1) ELSE '  ' END AS name FROM pages)
 """

@@ -237,14 +237,18 @@ def measures_of(events: DataFrame) -> DataFrame:
         F.lit(None).cast("bigint").alias("ending_seq"),
         F.lit(None).cast("array<int>").alias("ending_passes"),
         F.lit(False).alias("after_other"),
+        F.lit(MEASURE_PPQ).cast("bigint").alias("length_ppq"),
     )
 
 
 def score_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every order written as a small MEI document; its lines are the notes.
+    """Every order written as a small MEI document of four measures; its lines are the notes.
 
-    Two kinds of order give broken documents: one with another root element, one
-    cut off before its end.
+    Lines go by twos into the measures, an odd and an even one to two staves; lines
+    whose supplier number divides by five sound in a third staff instead, which so enters late or
+    pauses, and whose notes are tied to the one before. An order without lines is a score with empty measures.
+    Orders of some kinds give broken documents: another root element, a cut end, an encoding nobody knows,
+    elements nested beyond reason, and numbers that are none or too large (the last two are read without them).
     """
     quantity = F.expr("cast(l_quantity as bigint)")
 
@@ -254,36 +258,55 @@ def score_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     timing = pick(['dur.ppq="960"', 'dur="4"', 'dur="8" dots="1"', 'dur.ppq="120"'], quantity % 4)
     accidental = pick(["", ' accid="s"', ' accid.ges="f"', ""], F.col("l_suppkey") % 4)
     inner = F.when(F.col("l_suppkey") % 4 == 3, F.lit('<accid accid="ff"/>')).otherwise(F.lit(""))
-    note = F.concat(
-        F.lit('<note xml:id="n'), F.concat_ws("-", "l_partkey", "l_suppkey", "l_linenumber"), F.lit('" pname="'),
-        pick(list("cdefgab"), F.col("l_partkey") % 7), F.lit('" oct="'), (3 + quantity % 3).cast("string"),
-        F.lit('" '), timing, accidental, F.lit(">"), inner, F.lit("</note>"),
+    third = F.col("l_suppkey") % 5 == 0
+    id = F.concat(F.lit('<note xml:id="n'), F.concat_ws("-", "l_partkey", "l_suppkey", "l_linenumber"))
+    free = F.concat(
+        id, F.lit('" pname="'), pick(list("cdefgab"), F.col("l_partkey") % 7), F.lit('" oct="'),
+        (3 + quantity % 3).cast("string"), F.lit('" '), timing, accidental, F.lit(">"), inner, F.lit("</note>"),
     )
-    event = F.when(quantity % 11 == 0, F.concat(F.lit("<rest "), timing, F.lit("/>"))).otherwise(note)
+    held = F.concat(id, F.lit('" pname="c" oct="6" tie="m" '), timing, F.lit("/>"))
+    sounding = F.when(third, held).otherwise(free)
+    event = F.when(quantity % 11 == 0, F.concat(F.lit("<rest "), timing, F.lit("/>"))).otherwise(sounding)
     lines = table(spark, sf_dir, "lineitem").select(
         F.col("l_orderkey").alias("o_orderkey"),
-        (1 + F.col("l_linenumber") % 2).alias("staff"),
+        F.expr("cast((l_linenumber - 1) div 2 as int)").alias("measure"),
+        F.when(third, 3).otherwise(1 + F.col("l_linenumber") % 2).alias("staff"),
         F.struct("l_partkey", "l_suppkey", "l_linenumber", event.alias("xml")).alias("line"),
     )
-    layers = lines.groupBy("o_orderkey", "staff").agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list("line")), lambda x: x["xml"]), "").alias("xml")
-    )
+
+    def joined(rows: Column) -> Column:
+        return F.array_join(F.transform(F.array_sort(F.collect_list(rows)), lambda x: x["xml"]), "")
+
+    layers = lines.groupBy("o_orderkey", "measure", "staff").agg(joined(F.col("line")).alias("xml"))
     staff = F.concat(
         F.lit('<staff n="'), F.col("staff").cast("string"), F.lit('"><layer n="1">'), F.col("xml"), F.lit("</layer></staff>")
     )
-    bodies = layers.groupBy("o_orderkey").agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("staff", staff.alias("xml")))), lambda x: x["xml"]), "").alias("body")
-    )
-    orders = table(spark, sf_dir, "orders").join(bodies, "o_orderkey")
+    measures = layers.groupBy("o_orderkey", "measure").agg(joined(F.struct("staff", staff.alias("xml"))).alias("staves"))
+    staves = F.map_from_entries(F.collect_list(F.struct("measure", "staves")))
+    bodies = measures.groupBy("o_orderkey").agg(staves.alias("staves"))
+    orders = table(spark, sf_dir, "orders").join(bodies, "o_orderkey", "left")
+    body = F.concat(*[
+        piece
+        for number, signs in enumerate(('', ' left="rptstart"', ' right="rptend"', ''))
+        for piece in (
+            F.lit(f'<measure n="{7 + number}"{signs}>'), F.coalesce(F.element_at("staves", number), F.lit("")), F.lit("</measure>")
+        )
+    ])
     sign = F.concat_ws(" ", "o_orderpriority", "o_orderstatus")
+    odd = F.col("o_orderkey") % 16
     root = F.when(sign == "5-LOW F", F.lit("score")).otherwise(F.lit("mei"))
+    declared = F.when(sign == "3-MEDIUM F", F.lit('<?xml version="1.0" encoding="no-such-code"?>')).otherwise(F.lit(""))
+    ppq = F.when(odd == 1, F.lit(' ppq="\u00b2"')).when(odd == 2, F.lit(' ppq="99999999999"')).otherwise(F.lit(' ppq="480"'))
+    deep = F.when(F.col("o_orderkey") % 512 == 3, 2000).otherwise(0)
     text = F.concat(
-        F.lit("<"), root, F.lit(' xmlns="http://www.music-encoding.org/ns/mei"><meiHead><fileDesc><titleStmt><title>Order '),
+        declared, F.lit("<"), root, F.lit(' xmlns="http://www.music-encoding.org/ns/mei"><meiHead><fileDesc><titleStmt><title>Order '),
         F.col("o_orderkey"), F.lit('</title><respStmt><persName role="composer">Customer '), F.col("o_custkey"),
         F.lit('</persName><persName role="analyst">'), F.col("o_orderpriority"),
         F.lit('</persName></respStmt></titleStmt><pubStmt><date isodate="'), F.date_format("o_orderdate", "yyyy-MM-dd"),
-        F.lit('"/></pubStmt></fileDesc></meiHead><music><body><mdiv><score><scoreDef ppq="480"/><section><measure n="7">'),
-        F.col("body"), F.lit("</measure></section></score></mdiv></body></music></"), root, F.lit(">"),
+        F.lit('"/></pubStmt></fileDesc></meiHead><music><body><mdiv><score><scoreDef'), ppq,
+        F.lit(' meter.count="3" meter.unit="4"/><section>'),
+        F.repeat(F.lit("<supplied>"), deep), body, F.repeat(F.lit("</supplied>"), deep),
+        F.lit("</section></score></mdiv></body></music></"), root, F.lit(">"),
     )
     cut = F.when(sign == "1-URGENT O", F.substring(text, F.lit(1), F.length(text) - 10)).otherwise(text)
     return orders.select(

@@ -51,8 +51,6 @@ _lines = projection.note_events_lineitem
 _register("notes_table", lambda s, d: notes.note_table(_events(s, d)), EVENTS + oracle.NOTE_TABLE)
 
 
-
-
 def _notes_wide(s: SparkSession, d: str) -> DataFrame:
     index = ["piece_id", "measure", "beat", "onset_ppq"]
     table = sinks.wide(notes.note_table(_events(s, d)), index, "part", "token", [1, 2, 3, 4, 5])
@@ -346,8 +344,10 @@ def _without_metre(s: SparkSession, d: str) -> DataFrame:
 
 _register(
     "beat_strength_fallback",
-    lambda s, d: sonority.sonority_ngrams(sonority.low_line_items(_without_metre(s, d)), 2),
-    _GRAMS + oracle.GRAM_ROWS,
+    lambda s, d: sonority.sonority_ngrams(
+        sonority.low_line_items(_without_metre(s, d), 0.25, keep_unmetred=True), 2
+    ),
+    _ITEMS + oracle.sonority_ngrams(2, "strength >= 0.25 OR piece_id IN ('u3', 'u7')") + oracle.GRAM_ROWS,
 )
 _register(
     "beat_strength_warnings",
@@ -421,8 +421,9 @@ _register(
 
 def _performed_events(s: SparkSession, d: str) -> DataFrame:
     events = _events(s, d)
-    order = repeats.performed_order(projection.measures_of(events))
-    return repeats.performed_events(events, order).select("piece_id", "part", "seq", "performed_seq", "onset_ppq")
+    measures = projection.measures_of(events)
+    played = repeats.performed_events(events, repeats.performed_order(measures), measures)
+    return played.select("piece_id", "part", "seq", "performed_seq", "onset_ppq")
 
 
 _register(
@@ -500,7 +501,7 @@ _register("merged_ties", _merged_ties, EVENTS + oracle.TIES)
 def _document_states(s: SparkSession, d: str) -> DataFrame:
     states = mei.scores(projection.document_rows(s, d))
     # The parser's own words about the place of a fault are left out.
-    return states.withColumn("error", F.substring_index("error", ":", 1))
+    return states.drop("sha256").withColumn("error", F.substring_index("error", ":", 1))
 
 
 def _document_events(s: SparkSession, d: str) -> DataFrame:
@@ -514,11 +515,35 @@ _register("document_states", _document_states, oracle.DOCUMENTS + oracle.DOCUMEN
 _register(
     "document_metadata",
     lambda s, d: _joined(mei.metadata(projection.document_rows(s, d)), "analysts").select(
-        "piece_id", "title", "composer", "analysts", "publication_date"
+        "piece_id", "title", "composer", "analysts", "publication_date", "published"
     ),
     oracle.DOCUMENTS + oracle.DOCUMENT_METADATA,
 )
-_register("document_events", _document_events, oracle.DOCUMENTS + oracle.DOCUMENT_EVENTS)
+_register("document_events", _document_events, oracle.DOCUMENTS + oracle.DOCUMENT_NOTES + oracle.DOCUMENT_EVENTS)
+_register(
+    "measure_timeline",
+    lambda s, d: mei.timeline(projection.document_rows(s, d)),
+    oracle.DOCUMENTS + oracle.DOCUMENT_NOTES + oracle.MEASURE_TIMELINE,
+)
+_register(
+    "document_harmonic",
+    lambda s, d: intervals.harmonic_intervals(mei.note_events(projection.document_rows(s, d))),
+    oracle.DOCUMENTS + oracle.DOCUMENT_NOTES + oracle.HARMONIC,
+)
+
+
+def _document_performed(s: SparkSession, d: str) -> DataFrame:
+    rows = projection.document_rows(s, d)
+    order = repeats.performed_order(mei.measures(rows))
+    played = repeats.performed_events(mei.note_events(rows), order, mei.timeline(rows))
+    return played.select("piece_id", "part", "seq", "performed_seq", "onset_ppq")
+
+
+_register(
+    "document_performed",
+    _document_performed,
+    oracle.DOCUMENTS + oracle.DOCUMENT_NOTES + oracle.DOCUMENT_PERFORMED,
+)
 _register(
     "catalogue_json",
     lambda s, d: catalogue.as_json(projection.catalogue(s, d)),

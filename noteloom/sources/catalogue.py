@@ -17,10 +17,14 @@ COLLECTIONS = {
 }
 REGISTERED_FILES, ALL_FILES = "uploaded_mei_files", "all_files"
 
+# Blocks of positions that a piece list counts together.
+STRIP_BLOCKS = 1 << 10
+
 BUILTIN, REGISTERED = "builtin", "registered"
 
 
 def collection_of(filename: Column) -> Column:
+    filename = basename(filename)
     found = F.lit(None).cast("string")
     for prefix, name in COLLECTIONS.items():
         found = F.when(filename.startswith(prefix), F.lit(name)).otherwise(found)
@@ -31,9 +35,9 @@ def name_error(filename: Column) -> Column:
     """Why a name cannot be registered; null when it can."""
     name = F.trim(filename)
     return (
-        F.when(name.isNull() | (name == ""), F.lit("filename is required"))
-        .when(name.isin(".", "..") | name.rlike(r"[/\\]"), F.lit("filename must be a simple basename"))
-        .when(~F.lower(name).endswith(".mei"), F.lit("filename must end with .mei"))
+        F.when(name.isNull() | (name == ""), F.lit("a score needs a file name"))
+        .when(name.isin(".", "..") | name.rlike(r"[/\\]"), F.lit("the file name may not be a path"))
+        .when(~F.lower(name).endswith(".mei"), F.lit("the file name lacks the ending .mei"))
     )
 
 
@@ -65,23 +69,25 @@ def resolve(scores: DataFrame) -> DataFrame:
     return chosen.select("filename", "best.source", F.col("best.rank.path").alias("path"))
 
 
-def collections(scores: DataFrame) -> DataFrame:
-    """Every name under its collection, under the registered list, and in all files."""
+def collections(scores: DataFrame, ordered: bool = False) -> DataFrame:
+    """Every name under its collection, under the registered list, and in all files; ``ordered`` for display."""
     builtin = scores.filter(F.col("source") == BUILTIN)
     named = builtin.select(collection_of(F.col("filename")).alias("collection"), "filename").filter(
         "collection is not null"
     )
     own = scores.filter(F.col("source") == REGISTERED).select(F.lit(REGISTERED_FILES).alias("collection"), "filename")
     everything = scores.select(F.lit(ALL_FILES).alias("collection"), "filename")
-    return named.unionByName(own).unionByName(everything).distinct().orderBy("collection", "filename")
+    listed = named.unionByName(own).unionByName(everything).distinct()
+    return listed.orderBy("collection", "filename") if ordered else listed
 
 
 def collection_counts(scores: DataFrame) -> DataFrame:
     return collections(scores).groupBy("collection").agg(F.count(F.lit(1)).alias("files"))
 
 
-def registered(scores: DataFrame) -> DataFrame:
-    return scores.filter(F.col("source") == REGISTERED).select("filename").distinct().orderBy("filename")
+def registered(scores: DataFrame, ordered: bool = False) -> DataFrame:
+    names = scores.filter(F.col("source") == REGISTERED).select("filename").distinct()
+    return names.orderBy("filename") if ordered else names
 
 
 def unregister(scores: DataFrame, names: DataFrame) -> DataFrame:
@@ -91,9 +97,9 @@ def unregister(scores: DataFrame, names: DataFrame) -> DataFrame:
     return scores.filter(F.col("source") != REGISTERED).unionByName(kept)
 
 
-def as_json(scores: DataFrame) -> DataFrame:
-    """One JSON record per file of the catalogue."""
-    return collections(scores).select(F.to_json(F.struct("collection", "filename")).alias("record"))
+def as_json(scores: DataFrame, ordered: bool = False) -> DataFrame:
+    """One JSON record per file of the catalogue; ``ordered`` for display."""
+    return collections(scores, ordered).select(F.to_json(F.struct("collection", "filename")).alias("record"))
 
 
 def raw_document(documents: DataFrame, filename: str) -> DataFrame:
@@ -103,15 +109,25 @@ def raw_document(documents: DataFrame, filename: str) -> DataFrame:
 
 
 def piece_list(names: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """Number the distinct non-empty names of (pos, name) in order of first appearance."""
+    """Number the distinct non-empty names of (pos, name) in order of first appearance.
+
+    Positions are cut into blocks, blocks into strips of as many blocks, and running counts go from
+    strip to block to row: with n positions no window holds more than the square root of n / block_rows rows of counts.
+    """
     firsts = names.filter("name is not null and name != ''").groupBy("name").agg(F.min("pos").alias("pos"))
-    numbered = running(firsts, [], ["pos"], block_of("pos", block_rows), sums={"score_index": F.lit(1)})
-    return numbered.select(F.col("name").alias("piece_id"), F.col("score_index").cast("bigint").alias("score_index"))
+    cut = firsts.withColumn("strip", F.expr(f"cast(pos div {block_rows * STRIP_BLOCKS} as bigint)"))
+    strips = running(
+        cut.groupBy("strip").agg(F.count(F.lit(1)).alias("names")).withColumn("all", F.lit(0)),
+        ["all"], ["strip"], block_of("strip", STRIP_BLOCKS), sums={"earlier": F.col("names")},
+    )
+    inside = running(cut, ["strip"], ["pos"], block_of("pos", block_rows), sums={"place": F.lit(1)})
+    numbered = inside.join(strips.select("strip", "earlier"), "strip")
+    return numbered.select(F.col("name").alias("piece_id"), (F.col("earlier") + F.col("place")).cast("bigint").alias("score_index"))
 
 
 def named_pieces(spark: SparkSession, filename: str | None = None, filenames: list[str] | None = None) -> DataFrame:
     """The piece list of a request that names one score, several, or both."""
     given = [n for n in [filename, *(filenames or [])] if n]
     if not given:
-        raise ValueError("Provide filename or filenames")
+        raise ValueError("no score is named")
     return piece_list(spark.createDataFrame(list(enumerate(given)), "pos bigint, name string"))

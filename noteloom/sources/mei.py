@@ -6,6 +6,7 @@ rows mean (durations, pitches, time, ties, header fields) is worked out by Spark
 
 from __future__ import annotations
 
+import hashlib
 import sys
 import xml.etree.ElementTree as ET
 from collections.abc import Iterator
@@ -63,7 +64,11 @@ def _attributes(element: ET.Element) -> list[tuple[str, str]]:
 
 
 def _number(value: str | None) -> int | None:
-    return int(value) if value and value.isdigit() else None
+    """A non-negative whole number that fits a column, else nothing."""
+    if not value or not value.isascii() or not value.isdecimal() or len(value) > 10:
+        return None
+    number = int(value)
+    return number if number < 1 << 31 else None
 
 
 def _pointed(root: ET.Element, tag: str, attribute: str) -> set[str]:
@@ -79,17 +84,27 @@ def _note(element: ET.Element, tied: set[str], held: set[str]) -> list[tuple[str
     return fields + [("tied", "1")] * bool(ids & tied) + [("held", "1")] * bool(ids & held)
 
 
-def flatten_document(content: bytes, piece_id: str) -> Iterator[dict]:
-    """Rows of one document: its state, header, measures and layer events."""
+def flatten_document(content: bytes, piece_id: str) -> list[dict]:
+    """Rows of one document: its state, header, measures and layer events.
+
+    Whatever is wrong with a document stays with it: it gives one row with the reason.
+    """
+    error, rows = None, []
     try:
         root = ET.fromstring(content)
-        error = None if _name(root) == "mei" else "MEI file must have an <mei> root element"
+        if _name(root) == "mei":
+            rows = list(_rows(root, piece_id))
+        else:
+            error = f"not a score: its root element is <{_name(root)}>, not <mei>"
     except ET.ParseError as problem:
-        error = f"MEI file is not well-formed XML: {problem}"
-    yield {"piece_id": piece_id, "kind": "score", "pos": 0, "text": error}
-    if error:
-        return
+        error = f"not well-formed XML: {problem}"
+    except (ValueError, TypeError, LookupError, RecursionError) as problem:
+        error, rows = f"unreadable: {type(problem).__name__}: {problem}", []
+    digest = hashlib.sha256(content or b"").hexdigest()
+    return [{"piece_id": piece_id, "kind": "score", "pos": 0, "tag": digest, "text": error}, *rows]
+
 
+def _rows(root: ET.Element, piece_id: str) -> Iterator[dict]:
     definitions = [e for e in root.iter() if _name(e) in ("scoreDef", "staffDef")]
     default = next((_number(e.get("ppq")) for e in definitions if _name(e) == "scoreDef"), None) or DEFAULT_PPQ
     staff_ppq = {e.get("n"): _number(e.get("ppq")) or default for e in definitions if _name(e) == "staffDef"}
@@ -99,24 +114,43 @@ def flatten_document(content: bytes, piece_id: str) -> Iterator[dict]:
     parts: dict[tuple[str, str], int] = {}
     pos = measure_seq = section_seq = ending_seq = 0
 
-    def events(element: ET.Element, place: dict, ratio: tuple) -> Iterator[dict]:
+    def events(layer: ET.Element, place: dict) -> Iterator[dict]:
         nonlocal pos
-        tag = _name(element)
-        if tag in CONTAINERS:
-            if tag == "tuplet":
-                ratio = (_number(element.get("num")), _number(element.get("numbase")))
-            for child in element:
-                yield from events(child, place, ratio)
-        elif tag in TIMED:
-            pos += 1
-            notes = [element] if tag == "note" else [c for c in element if _name(c) == "note"]
-            yield place | {
-                "kind": "event", "pos": pos, "tag": tag, "num": ratio[0], "numbase": ratio[1],
-                "attrs": _attributes(element), "notes": [_note(n, tied, held) for n in notes],
-            }
-
-    def walk(element: ET.Element, path: tuple, place: dict) -> Iterator[dict]:
-        nonlocal pos, measure_seq, section_seq, ending_seq
+        todo: list[tuple[ET.Element, tuple]] = [(child, (None, None)) for child in reversed(layer)]
+        while todo:
+            element, ratio = todo.pop()
+            tag = _name(element)
+            if tag in CONTAINERS:
+                if tag == "tuplet":
+                    ratio = (_number(element.get("num")), _number(element.get("numbase")))
+                todo += [(child, ratio) for child in reversed(element)]
+            elif tag in TIMED:
+                pos += 1
+                notes = [element] if tag == "note" else [c for c in element if _name(c) == "note"]
+                yield place | {
+                    "kind": "event", "pos": pos, "tag": tag, "num": ratio[0], "numbase": ratio[1],
+                    "attrs": _attributes(element), "notes": [_note(n, tied, held) for n in notes],
+                }
+
+    def measure(element: ET.Element, place: dict) -> Iterator[dict]:
+        ending = place.get("ending")
+        named = [] if ending is None else [(f"ending.{k}", v) for k, v in _attributes(ending)]
+        here = {k: v for k, v in place.items() if k != "ending"} | {"measure_seq": measure_seq} | metre
+        yield shared | here | {"kind": "measure", "pos": pos, "attrs": _attributes(element) + named}
+        for staff in (c for c in element if _name(c) == "staff"):
+            n = staff.get("n", "")
+            for layer in (c for c in staff if _name(c) == "layer"):
+                voice = (n, layer.get("n", "1"))
+                part = parts.setdefault(voice, len(parts) + 1)
+                yield from events(layer, shared | here | {
+                    "staff": n, "layer": voice[1], "part": part,
+                    "ppq": staff_ppq.get(n, default), "text": element.get("n", "0"),
+                })
+
+    # Elements still to visit, with the tags above them, where they stand, and the sibling before an ending.
+    todo: list[tuple[ET.Element, tuple, dict]] = [(root, (), {})]
+    while todo:
+        element, path, place = todo.pop()
         tag, before = _name(element), ""
         pos += 1
         if "meiHead" in path:
@@ -136,29 +170,17 @@ def flatten_document(content: bytes, piece_id: str) -> Iterator[dict]:
             place = place | {"ending_seq": ending_seq, "ending": element}
         if tag == "measure":
             measure_seq += 1
-            ending = place.get("ending")
-            named = [] if ending is None else [(f"ending.{k}", v) for k, v in _attributes(ending)]
-            here = {k: v for k, v in place.items() if k != "ending"} | {"measure_seq": measure_seq} | metre
-            yield shared | here | {"kind": "measure", "pos": pos, "attrs": _attributes(element) + named}
-            for staff in (c for c in element if _name(c) == "staff"):
-                n = staff.get("n", "")
-                for layer in (c for c in staff if _name(c) == "layer"):
-                    voice = (n, layer.get("n", "1"))
-                    part = parts.setdefault(voice, len(parts) + 1)
-                    for child in layer:
-                        yield from events(child, shared | here | {
-                            "staff": n, "layer": voice[1], "part": part,
-                            "ppq": staff_ppq.get(n, default), "text": element.get("n", "0"),
-                        }, (None, None))
-            return
+            yield from measure(element, place)
+            continue
+        # A path keeps "meiHead" and the last tags; deeper ones are never asked for.
+        under = ("meiHead", *path[-2:], tag) if "meiHead" in (*path, tag) else (*path[-2:], tag)
+        children = []
         for child in element:
-            if _name(child) == "ending":
-                yield from walk(child, (*path, tag), place | {"after_other": before not in ("measure", "ending")})
-            else:
-                yield from walk(child, (*path, tag), place)
-            before = _name(child) or before
-
-    yield from walk(root, (), {})
+            name = _name(child)
+            after = {"after_other": before not in ("measure", "ending")} if name == "ending" else {}
+            children.append((child, under, place | after))
+            before = name or before
+        todo += reversed(children)
 
 
 def _flatten_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -174,15 +196,21 @@ def _flatten_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
 
 
 def read_documents(spark: SparkSession, path: str) -> DataFrame:
-    """Score documents of a folder with their name and bytes."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.mei").load(path)
-    return with_names(files)
+    """Score documents under a folder with their bytes, each named by its path below the folder.
+
+    In a flat folder that is the file's name; equal names in two subfolders stay two pieces.
+    """
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.mei").option("recursiveFileLookup", True).load(path)
+    top = spark._jvm.org.apache.hadoop.fs.Path(path)
+    root = top.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(top).toString().rstrip("/") + "/"
+    below = F.when(F.startswith("path", F.lit(root)), F.substring("path", len(root) + 1, 1 << 30))
+    return with_names(files).withColumn("piece_id", F.coalesce(below, "piece_id"))
 
 
 def with_names(files: DataFrame) -> DataFrame:
-    return files.select(
-        F.element_at(F.split("path", "/"), -1).alias("piece_id"), "path", F.col("length").alias("n_bytes"), "content"
-    )
+    """Files named by the last part of their path, without blanks around it."""
+    name = F.trim(F.element_at(F.split("path", "/"), -1))
+    return files.select(name.alias("piece_id"), "path", F.col("length").alias("n_bytes"), "content")
 
 
 def elements(documents: DataFrame) -> DataFrame:
@@ -191,9 +219,9 @@ def elements(documents: DataFrame) -> DataFrame:
 
 
 def scores(rows: DataFrame) -> DataFrame:
-    """Whether each document is a well-formed score, and why not."""
+    """Whether each document is a well-formed score, why not, and the digest of its bytes."""
     return rows.filter("kind = 'score'").select(
-        "piece_id", F.col("text").isNull().alias("is_valid"), F.col("text").alias("error")
+        "piece_id", F.col("text").isNull().alias("is_valid"), F.col("text").alias("error"), F.col("tag").alias("sha256")
     )
 
 
@@ -229,7 +257,7 @@ def metadata(rows: DataFrame) -> DataFrame:
         ).alias("availability"),
         first("appInfo/application/name", text).alias("application"),
         first("workList/work/title", text).alias("work_title"),
-    )
+    ).withColumn("published", F.col("publication_date").try_cast("date"))
 
 
 def measures(rows: DataFrame) -> DataFrame:
@@ -270,15 +298,47 @@ def _ticks(timing: str) -> Column:
     return F.coalesce(stated, F.when(whole_measure, metric).otherwise(derived))
 
 
-def note_events(rows: DataFrame, timing: str = "written", block_rows: int = BLOCK_ROWS) -> DataFrame:
+def _timed(rows: DataFrame, timing: str) -> DataFrame:
+    """Events with their length in the piece's ticks; one whose length nobody knows (a grace note, say) lasts none."""
+    ticks = (_ticks(timing) * F.col("piece_ppq") / F.col("ppq")).cast("bigint")
+    return rows.filter("kind = 'event'").withColumn("dur_ppq", F.coalesce(ticks, F.lit(0).cast("bigint")))
+
+
+def timeline(rows: DataFrame, timing: str = "written", block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """Where each measure of a piece starts and how long it is, over all its parts.
+
+    A measure is as long as its longest voice, before ties are merged, so pickups are short; one that no
+    voice fills has the length of the metre in force, or four quarters.
+    """
+    filled = _timed(rows, timing).groupBy("piece_id", "measure_seq", "part").agg(F.sum("dur_ppq").alias("ticks"))
+    longest = filled.groupBy("piece_id", "measure_seq").agg(F.max("ticks").alias("ticks"))
+    ppq = F.col("piece_ppq")
+    metric = F.coalesce((ppq * 4 * F.col("meter_count") / F.col("meter_unit")).cast("bigint"), (ppq * 4).cast("bigint"))
+    sized = (
+        rows.filter("kind = 'measure'").select("piece_id", "measure_seq", metric.alias("metric"))
+        .join(longest, ["piece_id", "measure_seq"], "left")
+        .select("piece_id", "measure_seq", F.coalesce(F.when(F.col("ticks") > 0, F.col("ticks")), "metric").alias("length_ppq"))
+    )
+    placed = running(
+        sized, ["piece_id"], ["measure_seq"], block_of("measure_seq", block_rows), sums={"start_ppq": F.col("length_ppq")}
+    )
+    return placed.select("piece_id", "measure_seq", F.col("start_ppq").cast("bigint").alias("start_ppq"), "length_ppq")
+
+
+def note_events(
+    rows: DataFrame, timing: str = "written", block_rows: int = BLOCK_ROWS, measures: DataFrame | None = None
+) -> DataFrame:
     """The note-event table of flattened documents, ties merged.
 
+    An event starts where its measure does (``measures``, by default the ``timeline`` of the rows) plus what comes
+    before it in its own layer, so voices that enter late or pause meet the others.
     ``timing='written'`` gives events without stated ticks a length from their
     note value and rests of a whole measure the length of the measure;
-    ``'encoded'`` skips the former and makes the latter four quarters.
+    ``'encoded'`` skips the former and makes the latter four quarters. Events of unknown length are kept with
+    length 0 and ``missing_dur``.
     """
-    ticks = (_ticks(timing) * F.col("piece_ppq") / F.col("ppq")).cast("bigint")
-    timed = rows.filter("kind = 'event'").withColumn("dur_ppq", ticks).filter("dur_ppq is not null")
+    timed = _timed(rows, timing)
+    starts = timeline(rows, timing, block_rows) if measures is None else measures
 
     def spelled(note: Column) -> Column:
         def get(name: str) -> Column:
@@ -311,14 +371,17 @@ def note_events(rows: DataFrame, timing: str = "written", block_rows: int = BLOC
             "fermata": F.element_at("attrs", "fermata").isNotNull()
             | F.exists("notes", lambda n: F.element_at(n, "held").isNotNull() | F.element_at(n, "fermata").isNotNull()),
         }),
-        PART, ["pos"], block_of("pos", block_rows), sums={"earlier": F.lit(1), "onset_ppq": F.col("dur_ppq")},
+        PART, ["pos"], block_of("pos", block_rows), sums={"earlier": F.lit(1)},
     )
     top = F.array_max(F.transform("pitches", lambda p: F.struct(p["midi"].alias("midi"), p["dpos"].alias("dpos"))))
     # One measure of one part: a bounded group by nature.
-    measure_start = F.min("onset_ppq").over(Window.partitionBy(*PART, "measure_seq"))
+    earlier = Window.partitionBy(*PART, "measure_seq").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
+    placed = placed.join(starts.select("piece_id", "measure_seq", "start_ppq"), ["piece_id", "measure_seq"]).withColumn(
+        "measure_onset_ppq", F.coalesce(F.sum("dur_ppq").over(earlier), F.lit(0))
+    )
     located = placed.withColumns({
         "top": top,
-        "measure_onset_ppq": F.col("onset_ppq") - measure_start,
+        "onset_ppq": F.col("start_ppq") + F.col("measure_onset_ppq"),
         "seq": (F.col("earlier") + 1).cast("bigint"),
     })
     window = neighbours(PART, "seq")

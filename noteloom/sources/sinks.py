@@ -11,8 +11,19 @@ LAYOUT = ["collection", "piece_id", "part", "seq"]
 
 
 def wide(table: DataFrame, index: list[str], column: str, value: str, columns: list) -> DataFrame:
-    """One column per part or voice pair; ``columns`` are given, so no extra job runs."""
-    return table.groupBy(*index).pivot(column, columns).agg(F.first(value, ignorenulls=True))
+    """One column per part or voice pair; ``columns`` are given, so no extra job runs.
+
+    A row of another part stops the job when the table is read: nothing is left out unsaid.
+    """
+    known = F.coalesce(F.col(column).isin(columns), F.lit(False))
+    stray = F.raise_error(F.concat(F.lit(f"{column} is not among the columns: "), F.coalesce(F.col(column).cast("string"), F.lit("null"))))
+    checked = table.withColumn(column, F.when(known, F.col(column)).otherwise(stray.cast(table.schema[column].dataType)))
+    return checked.groupBy(*index).pivot(column, columns).agg(F.first(value, ignorenulls=True))
+
+
+def long(table: DataFrame, index: list[str], columns: list[str], column: str, value: str) -> DataFrame:
+    """The rows of a wide table again, one per cell that is not null."""
+    return table.unpivot(index, columns, column, value).filter(F.col(value).isNotNull())
 
 
 def write_csv(table: DataFrame, path: str, what: str, order: list[str] | None = None) -> None:

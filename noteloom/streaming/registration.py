@@ -20,15 +20,28 @@ BINARY_FILE = "path string, modificationTime timestamp, length bigint, content b
 def _register(files: DataFrame, out: str, batch: str) -> None:
     """Validate documents (piece_id, path, n_bytes, content) and write one batch."""
     spark = files.sparkSession
+    _plain_name(batch)
 
     def part(name: str) -> str:
         return f"{out}/{name}/batch={batch}"
 
+    # The name is settled once, before flattening; a name that two files of a batch claim is neither's.
+    files = files.withColumn("piece_id", F.trim("piece_id"))
+    claims = files.groupBy("piece_id").agg(F.count(F.lit(1)).alias("claims"))
+    files = files.join(claims, "piece_id")
+    clashing = files.filter("claims > 1")
+    files = files.filter("claims = 1")
     mei.elements(files).write.mode("overwrite").parquet(part("elements"))
     rows = spark.read.schema(mei.ELEMENTS).parquet(part("elements"))
     named = files.select("piece_id", "path", "n_bytes", F.current_timestamp().alias("registered_at"))
     candidates = mei.scores(rows).join(named, "piece_id").withColumnRenamed("piece_id", "filename")
     accepted, rejected = catalogue.registrations(candidates)
+    clashes = clashing.select(
+        F.col("piece_id").alias("filename"), F.lit(False).alias("is_valid"),
+        F.concat(F.col("claims").cast("string"), F.lit(" files of this batch claim the name")).alias("error"),
+        "path", "n_bytes", F.current_timestamp().alias("registered_at"),
+    )
+    rejected = rejected.unionByName(clashes, allowMissingColumns=True)
     accepted.write.mode("overwrite").parquet(part("scores"))
     rejected.write.mode("overwrite").parquet(part("rejected"))
 
@@ -37,6 +50,9 @@ def register_files(spark: SparkSession, path: str, out: str, batch: str, filenam
     """Register the file or files at ``path``; a single file may be given a name."""
     files = mei.with_names(spark.read.format("binaryFile").load(path))
     if filename is not None:
+        found = files.select("path").limit(2).count()
+        if found != 1:
+            raise ValueError(f"a name is for one file; {path} has {'several' if found else 'none'}")
         files = files.withColumn("piece_id", F.lit(filename.strip()))
     _register(files, out, batch)
 
@@ -56,11 +72,37 @@ def register_arrivals(spark: SparkSession, inbox: str, out: str, checkpoint: str
     )
 
 
+def unregister_files(spark: SparkSession, out: str, names: list[str], batch: str) -> None:
+    """Take names out of the registry; a later registration of a name brings it back.
+
+    The removal is a batch of its own, so that one run again replaces itself.
+    """
+    _plain_name(batch)
+    rows = spark.createDataFrame([(name.strip(),) for name in names], "filename string").distinct()
+    rows.withColumn("removed_at", F.current_timestamp()).write.mode("overwrite").parquet(f"{out}/removed/batch={batch}")
+
+
+def _plain_name(batch: str) -> None:
+    if not batch or set(batch) & set("/\\=*?{}[]"):
+        raise ValueError(f"not a batch name: {batch!r}")
+
+
+def _exists(spark: SparkSession, folder: str) -> bool:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
+
+
 def registered_scores(spark: SparkSession, out: str) -> DataFrame:
-    """The latest accepted registration of every name."""
+    """The latest accepted registration of every name that has not been removed since."""
     latest = F.max(F.struct("registered_at", "batch", "path", "n_bytes"))
     scores = spark.read.option("basePath", f"{out}/scores").parquet(f"{out}/scores")
-    return scores.groupBy("filename").agg(latest.alias("last")).select("filename", "last.*")
+    chosen = scores.groupBy("filename").agg(latest.alias("last")).select("filename", "last.*")
+    if not _exists(spark, f"{out}/removed"):
+        return chosen
+    removed = spark.read.option("basePath", f"{out}/removed").parquet(f"{out}/removed")
+    gone = removed.groupBy("filename").agg(F.max("removed_at").alias("removed_at"))
+    kept = chosen.join(gone, "filename", "left").filter("removed_at is null or removed_at < registered_at")
+    return kept.drop("removed_at")
 
 
 def with_registered(builtin: DataFrame, out: str) -> DataFrame:

@@ -101,7 +101,20 @@ def test_beat_strength(spark):
         metre.beat_strength(F.col("m"), F.lit(480), F.col("c"), F.col("u")),
         places, "m int, c int, u int",
     )
-    assert got == [1.0, 0.25, 0.5, 0.125, 0.0625, 0.03125, 0.5, 0.25, None]
+    assert got == [1.0, 0.25, 0.5, 0.125, 0.0625, 0.03125, 0.5, 0.5, None]
+
+
+@pytest.mark.parametrize(("count", "unit", "want"), [
+    (3, 4, [1.0, 0.25, 0.5, 0.25, 0.5, 0.25]),
+    (6, 8, [1.0, 0.25, 0.25, 0.5, 0.25, 0.25]),
+    (9, 8, [1.0, 0.25, 0.25, 0.5, 0.25, 0.25, 0.5, 0.25, 0.25]),
+    (12, 8, [1.0, 0.125, 0.125, 0.25, 0.125, 0.125, 0.5, 0.125, 0.125, 0.25, 0.125, 0.125]),
+    (2, 2, [1.0, 0.125, 0.25, 0.125, 0.5, 0.125, 0.25, 0.125]),
+])
+def test_weights_of_every_eighth(spark, count, unit, want):
+    places = [(240 * k, count, unit) for k in range(len(want))]
+    weight = metre.beat_strength(F.col("m"), F.lit(480), F.col("c"), F.col("u"))
+    assert values(spark, weight, places, "m int, c int, u int") == want
 
 
 def test_velocity(spark):

@@ -1,11 +1,15 @@
 """From score documents to tables."""
 
+import datetime
+import hashlib
+
 import pytest
 from documents import line, measure, note, rest, score
 from pyspark.sql import functions as F
 
 from noteloom.operators import cadence, distribution, intervals, ngrams, notes, repeats, sonority
 from noteloom.sources import catalogue, mei
+from noteloom.sources.tables import store
 
 
 @pytest.fixture
@@ -63,12 +67,12 @@ def test_ticks_from_note_values_and_metre(ingest):
     rows = ingest(one=score(body, definition))
     events = mei.note_events(rows)
     third = round(256 * 2 / 3)
-    assert part(events, 1, "dur_ppq") == [768, third, third, third, 2048, 256]
+    assert part(events, 1, "dur_ppq") == [768, third, third, third, 0, 2048, 256]
     assert part(events, 2, "dur_ppq") == [256 * 6, 256 * 6]
-    assert part(events, 1, "missing_dur") == [True] * 5 + [False]
-    assert part(events, 1, "ppq") == [256] * 6
+    assert part(events, 1, "missing_dur") == [True] * 6 + [False]
+    assert part(events, 1, "ppq") == [256] * 7
     encoded = mei.note_events(rows, timing="encoded")
-    assert part(encoded, 1, "onset_ppq", "dur_ppq") == [(0, 256)]
+    assert part(encoded, 1, "onset_ppq", "dur_ppq") == [(0, 0)] * 6 + [(1024, 256)]
     assert part(encoded, 2, "dur_ppq") == [1024, 1024]
     with pytest.raises(ValueError):
         mei.note_events(rows, timing="other")
@@ -129,8 +133,8 @@ def test_quarantine_and_header_only(ingest):
     )
     states = {r.piece_id: (r.is_valid, r.error) for r in mei.scores(rows).collect()}
     assert states["good.mei"] == states["header.mei"] == (True, None)
-    assert states["other.mei"] == (False, "MEI file must have an <mei> root element")
-    assert states["bad.mei"][1].startswith("MEI file is not well-formed XML")
+    assert states["other.mei"] == (False, "not a score: its root element is <html>, not <mei>")
+    assert states["bad.mei"][1].startswith("not well-formed XML")
     events = mei.note_events(rows)
     assert {r.piece_id for r in events.select("piece_id").collect()} == {"good.mei"}
     assert mei.metadata(rows).count() == 2
@@ -144,8 +148,65 @@ def test_metadata(ingest):
     assert found == {
         "piece_id": "one.mei", "title": "T", "composer": "Doe, Ann", "mei_editors": ["E. One", "E. Two"],
         "xml_editors": [], "analysts": ["A. Nalyst"], "publication_date": "2024-02-29", "availability": "free",
-        "application": "Pen", "work_title": "The Work",
+        "application": "Pen", "work_title": "The Work", "published": datetime.date(2024, 2, 29),
+    }
+
+
+def test_late_and_pausing_voices_meet_the_others(ingest):
+    body = "<section>" + "".join([
+        measure(1, line("c4:480", "p")),  # a pickup is as long as its notes
+        measure(2, line("c4:960 d4:960", "a"), line("c3:480", "x")),
+        measure(3, line("e4:1920", "b")),
+        measure(4, line("f4:1920", "c"), line("d3:960 e3:960", "y")),
+        measure(5), measure(6, line("g4:480", "d")),
+    ]) + "</section>"
+    rows = ingest(one=score(body, '<scoreDef ppq="480" meter.count="3" meter.unit="4"/>'))
+    found = mei.timeline(rows, block_rows=2).orderBy("measure_seq").collect()
+    assert [(r.start_ppq, r.length_ppq) for r in found] == [
+        (0, 480), (480, 1920), (2400, 1920), (4320, 1920), (6240, 1440), (7680, 480)
+    ]
+    events = mei.note_events(rows)
+    assert part(events, 2, "onset_ppq") == [480, 4320, 5280]
+    harmonic = intervals.harmonic_intervals(events).orderBy("onset_ppq").collect()
+    assert {(r.onset_ppq, r.measure) for r in harmonic} == {(480, 2.0), (4320, 4.0), (5280, 4.0)}
+
+
+def test_ties_over_barlines_do_not_stretch_measures(ingest):
+    tied = 'tie="t"'
+    body = "<section>" + "".join([
+        measure(1, note("c4", 1920, "a", 'tie="i"'), attrs='left="rptstart"'),
+        measure(2, note("c4", 1920, "b", tied)),
+        measure(3, note("d4", 1920, "c"), attrs='right="rptend"'),
+    ]) + "</section>"
+    rows = ingest(one=score(body))
+    events = mei.note_events(rows)
+    assert part(events, 1, "onset_ppq", "dur_ppq") == [(0, 3840), (3840, 1920)]
+    order = repeats.performed_order(mei.measures(rows))
+    played = repeats.performed_events(events, order, mei.timeline(rows)).orderBy("onset_ppq").collect()
+    assert [r.onset_ppq for r in played] == [0, 3840, 5760, 9600]
+
+
+def test_events_of_unknown_length_are_kept(ingest):
+    body = "<section>" + measure(1, note("c4", 480, "a") + note("d4", None, "g", 'grace="acc"') + note("e4", 480, "b")) + "</section>"
+    events = mei.note_events(ingest(one=score(body)))
+    assert part(events, 1, "onset_ppq", "dur_ppq", "missing_dur") == [(0, 480, False), (480, 0, True), (480, 480, False)]
+
+
+def test_documents_that_used_to_end_the_job(spark):
+    deep = "<section>" * 3000 + measure(1, note("c4", 480)) + "</section>" * 3000
+    texts = {
+        "code.mei": '<?xml version="1.0" encoding="gb2312"?><mei/>', "none.mei": None,
+        "ppq.mei": score("<section>" + measure(1, note("c4")) + "</section>", '<scoreDef ppq="\u00b2"/>'),
+        "large.mei": score("<section>" + measure(1, note("c4", 480)) + "</section>", '<scoreDef ppq="99999999999"/>'),
+        "deep.mei": score(deep),
     }
+    rows = [(name, None if text is None else bytearray(text.encode())) for name, text in texts.items()]
+    flat = store(mei.elements(spark.createDataFrame(rows, "piece_id string, content binary")), "odd")
+    states = {r.piece_id: r for r in mei.scores(flat).collect()}
+    assert {name for name, r in states.items() if r.is_valid} == {"ppq.mei", "large.mei", "deep.mei"}
+    assert states["code.mei"].error.startswith("unreadable: ") and states["none.mei"].error.startswith("unreadable: ")
+    assert states["deep.mei"].sha256 == hashlib.sha256(texts["deep.mei"].encode()).hexdigest()
+    assert {r.piece_id for r in mei.note_events(flat).collect()} == {"large.mei", "deep.mei", "ppq.mei"}
 
 
 def test_missing_header_fields_are_null(ingest):
@@ -189,7 +250,7 @@ def test_repeats_from_documents(ingest):
     order = repeats.performed_order(mei.measures(rows))
     numbers = [int(r.n) for r in order.orderBy("performed_seq").collect()]
     assert numbers == [1, 2, 3, 4, 5, 2, 3, 6, 7, 9, 10, 10, 12]
-    played = repeats.performed_events(mei.note_events(rows), order).orderBy("onset_ppq").collect()
+    played = repeats.performed_events(mei.note_events(rows), order, mei.timeline(rows)).orderBy("onset_ppq").collect()
     assert [r.onset_ppq for r in played] == [1920 * k for k in range(len(numbers))]
     assert [int(r.measure) for r in played] == numbers
 

@@ -33,7 +33,7 @@ def test_counts_first_and_matches_agree(events):
 
 
 def test_counts_are_ranked(events):
-    rows = ngrams.count_patterns(ngrams.melodic_ngrams(events, 2)).collect()
+    rows = ngrams.count_patterns(ngrams.melodic_ngrams(events, 2), ordered=True).collect()
     keys = [(r.piece_id, -r["count"], r.pattern_string) for r in rows]
     assert keys == sorted(keys)
 
