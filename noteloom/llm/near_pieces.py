@@ -206,11 +206,17 @@ def near_pieces(scores: DataFrame, width: int = 5, percent: int = 80) -> DataFra
     def side(table: DataFrame, which: str, *names: str) -> DataFrame:
         return table.select("shingle", *[F.col(c).alias(f"{c}_{which}") for c in (*names, "group", "n", "place")])
 
+    def smaller(table: DataFrame) -> DataFrame:
+        """What can be the smaller of two groups, or equal: its place leaves room for its own size at least."""
+        return table.filter(F.col("n") - F.col("place") >= F.ceil(F.lit(2 * percent) * F.col("n") / F.lit(100 + percent)))
+
+    ordered = (F.col("n_a") < F.col("n_b")) | ((F.col("n_a") == F.col("n_b")) & (F.col("group_a") < F.col("group_b")))
+
     # Short lists: their pairs of groups. Long lists: stars, each group with the least altered groups of the list.
     short = entries.filter(F.col("many") <= LONG_LIST)
     short_pairs = stored(
-        side(short, "a").join(side(short, "b"), "shingle")
-        .filter((F.col("group_a") < F.col("group_b")) & near_enough("a", "b"))
+        side(smaller(short), "a").join(side(short, "b"), "shingle")
+        .filter(ordered & near_enough("a", "b"))
         .select("group_a", "group_b").distinct(),
         "short-pairs",
     )
@@ -259,16 +265,10 @@ def near_pieces(scores: DataFrame, width: int = 5, percent: int = 80) -> DataFra
     placed = stored(long_lists.join(nodes, "group").select("shingle", "group", "n", "place", "label"), "placed")
     open_lists = placed.groupBy("shingle").agg(F.min("label").alias("low"), F.max("label").alias("high"))
     open_lists = stored(open_lists.filter("low < high").select("shingle"), "open-lists")
-    present = stored(placed.join(open_lists, "shingle", "left_semi").select("shingle", "label").distinct(), "present")
-    meeting = (
-        present.withColumnRenamed("label", "label_a")
-        .join(present.withColumnRenamed("label", "label_b"), "shingle")
-        .filter("label_a < label_b")
-    )
+    placed = stored(placed.join(open_lists, "shingle", "left_semi"), "placed-open")
     across = (
-        meeting.join(side(placed, "a", "label"), ["shingle", "label_a"])
-        .join(side(placed, "b", "label"), ["shingle", "label_b"])
-        .filter((F.col("group_a") != F.col("group_b")) & near_enough("a", "b"))
+        side(smaller(placed), "a", "label").join(side(placed, "b", "label"), "shingle")
+        .filter((F.col("label_a") != F.col("label_b")) & ordered & near_enough("a", "b"))
         .select("group_a", "label_a", "group_b", "label_b")
     )
     left = nodes.select(F.col("group").alias("group_a"), F.col("label").alias("label_a"))
@@ -300,7 +300,7 @@ def near_pieces(scores: DataFrame, width: int = 5, percent: int = 80) -> DataFra
     pairs = group_pairs.join(classes_of("a"), ["group_a", "label_a"]).join(classes_of("b"), ["group_b", "label_b"])
     second_links = stored(_linked(pairs.select("a", "b"), sets, percent), "links")
     labels = components(first_links.union(second_links))
-    forget(entries, sets, placed, present, hubs, stars, short_pairs, reached, wanted, group_pairs, labelled, nodes)
+    forget(entries, sets, placed, hubs, stars, short_pairs, reached, wanted, group_pairs, labelled, nodes)
 
     named_classes = stored(
         classes.select("class", "set_hi", "set_lo", "first_id")
