@@ -70,8 +70,10 @@ def weighted_distribution(
         *keys, "total", "note_count", F.posexplode(F.array(*[f"w{k}" for k in PITCH_CLASSES])).alias("pc", "weight_ppq")
     )
     if limit_to_active:
-        # At most twelve rows, whatever the size of the corpus.
-        active = notes.filter("dur_ppq > 0").select("pc").distinct()
+        # From the totals, not from the notes again: at most twelve rows, whatever the size of the corpus.
+        largest = totals.agg(*[F.max(f"w{k}").alias(f"w{k}") for k in PITCH_CLASSES])
+        active = largest.select(F.posexplode(F.array(*[f"w{k}" for k in PITCH_CLASSES])).alias("pc", "largest"))
+        active = active.filter("largest > 0").select("pc")
         grid = grid.join(F.broadcast(active), "pc", "left_semi")
     return grid.select(
         *keys,

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -40,4 +42,5 @@ def shared_folder(spark: SparkSession) -> str | None:
     app = spark.sparkContext.applicationId
     if app not in _local_folder:
         _local_folder[app] = tempfile.mkdtemp(prefix="noteloom-")
+        atexit.register(shutil.rmtree, _local_folder[app], ignore_errors=True)
     return _local_folder[app]

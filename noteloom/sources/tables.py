@@ -6,15 +6,24 @@ import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from noteloom.session import shared_folder
 
-_stored: dict[tuple[str, str], tuple[str, StructType]] = {}
+_stored: dict[tuple[str, str], tuple[str, str, StructType]] = {}
+_FEW_FILES = 100
 
 
-def _write(df: DataFrame, root: str, name: str) -> str:
-    path = f"{root}/noteloom/{df.sparkSession.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+def _folder(spark: SparkSession) -> str:
+    root = shared_folder(spark)
+    if root is None:
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors reach")
+    return f"{root}/noteloom/{spark.sparkContext.applicationId}"
+
+
+def _write(df: DataFrame, name: str) -> str:
+    path = f"{_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return path
 
@@ -23,23 +32,42 @@ def store(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back.
 
     This cuts the lineage, lets later scans prune columns, and survives the loss
-    of executors. Without a shared folder the frame is returned as it is.
+    of executors. A cluster that names no shared folder is an error: without stored tables
+    the plans that build on one another would read and parse their input many times.
     """
     spark = df.sparkSession
-    root = shared_folder(spark)
-    if root is None:
-        return df
-    return spark.read.schema(df.schema).parquet(_write(df, root, name))
+    return spark.read.schema(df.schema).parquet(_write(df, name))
+
+
+def _state(df: DataFrame) -> str:
+    """What tells the input files of a plan from other or rewritten ones."""
+    files = df.inputFiles()
+    spark = df.sparkSession
+    if len(files) > _FEW_FILES:
+        stamp = F.xxhash64("path", "modificationTime", "length").cast("decimal(20,0)")
+        seen = spark.read.format("binaryFile").load(files).agg(F.count("*"), F.sum(stamp)).head()
+        return f"{seen[0]} {seen[1]}"
+    paths = [spark._jvm.org.apache.hadoop.fs.Path(file) for file in sorted(files)]
+    conf = spark._jsc.hadoopConfiguration()
+    found = [path.getFileSystem(conf).getFileStatus(path) for path in paths]
+    return " ".join(f"{f.getPath()} {f.getModificationTime()} {f.getLen()}" for f in found)
 
 
 def stored_once(spark: SparkSession, name: str, build: Callable[[], DataFrame]) -> DataFrame:
-    """The stored table ``name`` of this application, built on first use."""
-    root = shared_folder(spark)
-    if root is None:
-        return build()
+    """The stored table ``name`` of this application, built on first use and again when its input files change."""
+    df = build()
+    state = _state(df)
     slot = (spark.sparkContext.applicationId, name)
-    if slot not in _stored:
-        df = build()
-        _stored[slot] = (_write(df, root, "table"), df.schema)
-    path, schema = _stored[slot]
+    if slot not in _stored or _stored[slot][0] != state:
+        _stored[slot] = (state, _write(df, "table"), df.schema)
+    _, path, schema = _stored[slot]
     return spark.read.schema(schema).parquet(path)
+
+
+def clear(spark: SparkSession) -> None:
+    """Delete every table that this application has stored; call it when its results are written."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(_folder(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    app = spark.sparkContext.applicationId
+    for slot in [slot for slot in _stored if slot[0] == app]:
+        del _stored[slot]
