@@ -38,6 +38,10 @@ class DigestIndex:
     def table(self) -> DataFrame:
         return self.spark.table(self.name)
 
+    def drop(self) -> None:
+        """Forget every digest; judgements already given stay readable."""
+        self.spark.sql(f"drop table if exists {self.name} purge")
+
     def append(self, scores: DataFrame) -> DataFrame:
         """Judge a batch of ``scores`` (piece_id, content) and remember what is new.
 

@@ -1,6 +1,7 @@
 """Every operator on nulls, empty and very long texts, ties, repeated rows, empty tables and clashing names."""
 
 import hashlib
+import uuid
 import zlib
 
 import public_tokenizers
@@ -38,11 +39,8 @@ CLASHES = (
 WORDS = public_tokenizers.path("word_bpe_49k.json")
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
-_number = iter(range(1000))
-
-
 def _index(spark):
-    return exact_dedup.DigestIndex(spark, f"messy_digests_{next(_number)}", buckets=2)
+    return exact_dedup.DigestIndex(spark, f"messy_digests_{uuid.uuid4().hex}", buckets=2)
 
 
 OPERATORS = {

@@ -3,6 +3,7 @@
 import math
 import random
 import re
+import uuid
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -26,6 +27,7 @@ from noteloom.llm import (
 )
 from noteloom.llm.queries import QUERIES
 
+REMEMBERED = f"remembered_digests_{uuid.uuid4().hex}"
 WORDS = public_tokenizers.path("word_bpe_49k.json")
 ODD = ["", "  ", "ΣΑΣ ΟΔΟΣ İstanbul", "a<|endoftext|>B <|startoftext|>x<|ENDOFTEXT|>", "it's I'LL don't", "é é café",
        "\x1c\x1d x\x85y​z　q", "１２３ ½ ²", "日本語テスト 🎉🎉👨‍👩‍👧", "'S 'Re ''s", "a\nb\r\n\tc   \n", "x" * 300, "\x00\x01﻿ hi", "ǅ ß ŉ µ ª"]
@@ -129,7 +131,7 @@ def test_copies_of_a_profile_and_unequal_lengths(spark):
 # --- 2
 
 def test_index_remembers_earlier_batches(spark):
-    index = exact_dedup.DigestIndex(spark, "remembered_digests", buckets=3)
+    index = exact_dedup.DigestIndex(spark, REMEMBERED, buckets=3)
     schema = "piece_id long, content string"
     first = index.append(spark.createDataFrame([(1, "A men"), (2, "Amen "), (3, "Kyrie")], schema))
     assert {(r["piece_id"], r["keep_id"], r["kept"]) for r in first.collect()} == {(1, 1, True), (2, 1, False), (3, 3, True)}
@@ -138,12 +140,12 @@ def test_index_remembers_earlier_batches(spark):
         (0, 1, 1, False), (4, 4, 2, True), (5, 4, 2, False)
     }
     assert index.table().count() == 3
-    described = {r["col_name"]: r["data_type"] for r in spark.sql("describe extended remembered_digests").collect()}
+    described = {r["col_name"]: r["data_type"] for r in spark.sql(f"describe extended {REMEMBERED}").collect()}
     assert described["Num Buckets"] == "3" and "digest" in described["Sort Columns"]
 
 
 def test_anti_join_reads_the_index_without_shuffling_it(spark):
-    plan = spark.table("remembered_digests").select("digest").hint("merge")
+    plan = spark.table(REMEMBERED).select("digest").hint("merge")
     fresh = spark.createDataFrame([(b"x",)], "digest binary").join(plan, "digest", "left_anti")
     text = fresh._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" in text and text.count("Exchange") <= 1
