@@ -38,7 +38,8 @@ def cadence_formulas(events: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFra
     """Every pair of voices whose motion fits a rule, at the onset it closes on.
 
     Each note first learns its neighbours in its own part; the pair before and
-    after then follow from the pair itself, so pairs are never put in order.
+    after then follow from the pair itself, so pairs are never put in order. A prepared dissonance whose
+    close does not come, because a voice goes elsewhere or rests, is evaded.
     """
     window = neighbours(PART, "seq")
     near = {
@@ -55,7 +56,7 @@ def cadence_formulas(events: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFra
         )
     )
     pairs = sounding_pairs(told, ["midi", "dpos", *near]).filter(
-        "low_midi is not null and high_midi is not null and low_next_midi is not null"
+        "low_midi is not null and high_midi is not null and low_next_measure is not null"
         " and low_end_ppq <= high_end_ppq"
     )
 
@@ -100,10 +101,13 @@ def cadence_formulas(events: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFra
             number("low_prev", "high"),
         ).alias("held_low"),
         F.least("low_next_midi", "goal_high_midi").alias("tone_midi"),
+        F.col("low_next_midi").isNull().alias("low_rests"),
     )
     rules = F.broadcast(rule_table(events.sparkSession)).alias("r")
+    # A lower voice that falls silent fits each formula by what is held above it; one step stands for the formula.
+    silent = F.col("low_rests") & F.col("low_step").isin("4", "-2", "2")
     fits = measured.withColumnRenamed("low_step", "moved").alias("m").join(
-        rules, (F.col("moved") == F.col("low_step")) & (F.col("m.number") == F.col("r.number"))
+        rules, (F.col("m.number") == F.col("r.number")) & ((F.col("moved") == F.col("low_step")) | silent)
     )
     prepared = F.coalesce(
         F.when(F.col("holder") == "high", F.col("held_high") == F.col("prepared_by")).when(

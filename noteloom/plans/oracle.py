@@ -435,7 +435,7 @@ pairs AS (
               THEN {_number('', 'l.pd', '', 'h.dpos')} END AS held_low
   FROM near l JOIN near h ON l.piece_id = h.piece_id AND l.part > h.part
        AND l.onset_ppq < h.end_ppq AND h.onset_ppq < l.end_ppq
-  WHERE l.midi IS NOT NULL AND h.midi IS NOT NULL AND l.nm IS NOT NULL AND l.end_ppq <= h.end_ppq),
+  WHERE l.midi IS NOT NULL AND h.midi IS NOT NULL AND l.nmeasure IS NOT NULL AND l.end_ppq <= h.end_ppq),
 solved AS (SELECT *, coalesce({_number('', 'lnd', '', 'gd')} = 1 AND gd IS NOT NULL, false) AS reached,
                   CASE WHEN gd IS NOT NULL THEN {_step('hd', 'gd')} END AS high_step,
                   CASE WHEN gm IS NULL OR lnm < gm THEN lnm ELSE gm END AS tone_midi FROM pairs),
@@ -455,10 +455,11 @@ formulas AS (
   SELECT *, 5, 'Plagal', 'B', 'Ct' FROM solved
     WHERE reached AND low_step IN (5, -4) AND number = 5 AND high_step = 1
   UNION ALL
-  SELECT *, 9, 'Evaded', CASE WHEN low_step = -2 THEN 'T' WHEN low_step = 2 THEN 'Ct' ELSE 'B' END,
-         CASE WHEN low_step = 2 THEN 'T' ELSE 'Ct' END FROM solved
-    WHERE NOT reached AND ((low_step IN (4, -5) AND number = 3 AND held_high = 4)
-       OR (low_step = -2 AND number = 6 AND held_high = 7) OR (low_step = 2 AND number = 3 AND held_low = 2))),
+  SELECT *, 9, 'Evaded', CASE WHEN number = 6 THEN 'T' WHEN held_high = 4 THEN 'B' ELSE 'Ct' END,
+         CASE WHEN number = 6 OR held_high = 4 THEN 'Ct' ELSE 'T' END FROM solved
+    WHERE NOT reached AND (((low_step IN (4, -5) OR lnm IS NULL) AND number = 3 AND held_high = 4)
+       OR ((low_step = -2 OR lnm IS NULL) AND number = 6 AND held_high = 7)
+       OR ((low_step = 2 OR lnm IS NULL) AND number = 3 AND held_low = 2))),
 voices AS (SELECT piece_id, onset_ppq, low_part AS part, low_function AS function FROM formulas
            UNION SELECT piece_id, onset_ppq, high_part, high_function FROM formulas),
 cadences AS (

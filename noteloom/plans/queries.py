@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -22,6 +23,7 @@ from noteloom.operators import (
     spans,
 )
 from noteloom.plans import oracle, projection
+from noteloom.session import shared_folder
 from noteloom.sources import catalogue, mei, sinks
 from noteloom.sources.tables import stored_once
 
@@ -432,6 +434,17 @@ _register(
     EVENTS + oracle.EVENT_MEASURES + oracle.PERFORMED + oracle.PERFORMED_EVENTS,
 )
 
+
+
+def _json_payload(s: SparkSession, d: str) -> DataFrame:
+    """Ranked counts written as JSON lines and read again."""
+    path = f"{shared_folder(s)}/noteloom/{s.sparkContext.applicationId}/payload-{uuid.uuid4().hex}"
+    sinks.write_json({"counts": ngrams.count_patterns(ngrams.melodic_ngrams(_events(s, d), 2, "c"))}, path)
+    return s.read.schema("piece_id string, pattern_string string, count bigint").json(f"{path}/counts")
+
+
+_register("json_payload", _json_payload, EVENTS + oracle.ngrams(2, "c") + oracle.NGRAM_COUNTS)
+
 # Catalogue ------------------------------------------------------------------
 
 _register(
