@@ -4,6 +4,7 @@ import pytest
 from compare import connect, difference
 
 import __spark_entry__ as entry
+from noteloom.plans.queries import ORACLES, QUERIES
 
 
 @pytest.fixture(scope="module")
@@ -15,14 +16,14 @@ def test_every_twin_has_a_query():
     assert set(entry.oracle_sql()) <= set(entry.queries())
 
 
-@pytest.mark.parametrize("name", sorted(entry.oracle_sql()))
+@pytest.mark.parametrize("name", sorted(ORACLES))
 def test_matches_sql(name, spark, sf_dir, con):
-    assert difference(entry.queries()[name](spark, sf_dir), con, entry.oracle_sql()[name]) is None
+    assert difference(QUERIES[name](spark, sf_dir), con, ORACLES[name]) is None
 
 
-@pytest.mark.parametrize("name", sorted(set(entry.queries()) - set(entry.oracle_sql())))
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLES)))
 def test_runs(name, spark, sf_dir):
-    assert entry.queries()[name](spark, sf_dir).columns
+    assert QUERIES[name](spark, sf_dir).columns
 
 
 def test_entry(spark):
