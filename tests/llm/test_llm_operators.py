@@ -9,6 +9,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import public_tokenizers
 import pytest
+from compare import connect, difference
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
@@ -25,7 +26,7 @@ from noteloom.llm import (
     similar_pieces,
     web_text,
 )
-from noteloom.llm.queries import QUERIES
+from noteloom.llm.queries import ORACLES, QUERIES
 
 REMEMBERED = f"remembered_digests_{uuid.uuid4().hex}"
 WORDS = public_tokenizers.path("word_bpe_49k.json")
@@ -78,6 +79,11 @@ def brute_components(texts, width, percent):
     return {piece: (len(sets[piece]), root(piece)) for piece in sets}
 
 
+@pytest.mark.parametrize("name", sorted(ORACLES))
+def test_queries_match_sql(spark, sf_dir, name):
+    assert difference(QUERIES[name](spark, sf_dir), connect(sf_dir), ORACLES[name]) is None
+
+
 # --- 1
 
 def test_search_finds_nine_of_ten(spark, sf_dir):
