@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -19,6 +18,7 @@ from noteloom.llm.shipping import map_arrow
 SKETCH_BITS = 18
 LONG_LIST = 32
 HUBS = 4
+WANTED_BITS = 22
 
 
 def shingles(text: bytes, width: int) -> np.ndarray:
@@ -99,12 +99,19 @@ def _profile(width: int, percent: int, ranks):
     return run
 
 
-def _sets(width: int):
+def _sets(width: int, wanted):
+    """Shingles of the documents whose text may be wanted: the bit of its hash is set."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = wanted.value
         for batch in batches:
-            found = [shingles(text.as_py(), width).view(np.int64) for text in batch.column(1)]
+            at = np.flatnonzero(bits[batch.column(0).to_numpy() & (len(bits) - 1)])
+            if not len(at):
+                continue
+            chosen = batch.take(pa.array(at))
+            found = [shingles(text.as_py(), width).view(np.int64) for text in chosen.column(2)]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(found, pa.list_(pa.int64()))], ["class", "found"]
+                [chosen.column(0), chosen.column(1), pa.array(found, pa.list_(pa.int64()))], ["text_hi", "text_lo", "found"]
             )
 
     return run
@@ -115,18 +122,37 @@ def _needed(percent: int, a: str, b: str) -> Column:
     return F.ceil(F.lit(percent) * (F.col(a) + F.col(b)) / F.lit(100 + percent))
 
 
-def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Those of the class pairs (a, b) whose whole sets are similar."""
-    left = sets.select(F.col("class").alias("a"), F.col("found").alias("in_a"))
-    right = sets.select(F.col("class").alias("b"), F.col("found").alias("in_b"))
-    shared = F.size(F.array_intersect("in_a", "in_b"))
-    return (
-        pairs.join(left, "a")
-        .join(right, "b")
-        .withColumn("shared", shared)
-        .filter(100 * F.col("shared") >= percent * (F.size("in_a") + F.size("in_b") - F.col("shared")))
-        .select("a", "b")
+def _linked(pairs: DataFrame, members: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
+    """Those of the class pairs (a, b) whose whole sets are similar.
+
+    The sets are made again from the texts of the pairs' classes and sent to their pairs, so each pair
+    holds two, and a class with very many pairs is a skewed side that the join splits. A bitmap of
+    2^22 hash bits (4 MB) spares most other texts; the join itself is exact.
+    """
+    spark = pairs.sparkSession
+    pairs = stored(pairs.distinct(), "pairs")
+    ends = pairs.select("a", "b", F.lit(0).alias("side"), F.col("a").alias("class")).union(
+        pairs.select("a", "b", F.lit(1).alias("side"), F.col("b").alias("class"))
     )
+    ends = stored(ends.join(members.select("class", "text_hi", "text_lo"), "class").drop("class"), "pair-ends")
+    used = ends.select(F.col("text_hi").bitwiseAND((1 << WANTED_BITS) - 1).cast("int").alias("bit")).distinct().toArrow()
+    bits = np.zeros(1 << WANTED_BITS, bool)
+    bits[used["bit"].to_numpy()] = True
+    wanted = spark.sparkContext.broadcast(bits)
+    sets = map_arrow(
+        texts.select("text_hi", "text_lo", "content"), _sets(width, wanted), "text_hi long, text_lo long, found array<long>"
+    )
+
+    def of(side: int) -> Column:
+        return F.first(F.when(F.col("side") == side, F.col("found")), ignorenulls=True).alias(f"in_{side}")
+
+    both = sets.join(ends, ["text_hi", "text_lo"]).groupBy("a", "b").agg(of(0), of(1))
+    shared = both.withColumn("shared", F.size(F.array_intersect("in_0", "in_1")))
+    similar = 100 * F.col("shared") >= percent * (F.size("in_0") + F.size("in_1") - F.col("shared"))
+    links = stored(shared.filter(similar).select("a", "b"), "links")
+    wanted.unpersist()
+    forget(pairs, ends)
+    return links
 
 
 def near_pieces(scores: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
@@ -235,21 +261,11 @@ def near_pieces(scores: DataFrame, width: int = 5, percent: int = 80) -> DataFra
         .select("group_a", "group_b").distinct(),
         "stars",
     )
-    crowded = members.groupBy("group").agg(F.count("*").alias("many")).filter("many > 1").select("group")
-    reached = [short_pairs.select(F.col("group_a").alias("group")), short_pairs.select(F.col("group_b").alias("group")),
-               long_lists.select("group"), crowded]
-    reached = stored(reduce(DataFrame.union, reached).distinct(), "reached")
-    wanted = stored(members.join(reached, "group", "left_semi").select("class", "text_hi", "text_lo"), "wanted")
-    texts = keyed.select("text_hi", "text_lo", "content").join(wanted, ["text_hi", "text_lo"])
-    sets = stored(
-        map_arrow(texts.select("class", "content"), _sets(width), "class long, found array<long>").dropDuplicates(["class"]),
-        "sets",
-    )
 
     # A group's first class stands for it: both have the smallest row. Classes of a group meet its first.
     pairs = short_pairs.union(stars).toDF("a", "b")
     inner = members.filter("class <> group").select(F.col("class").alias("a"), F.col("group").alias("b"))
-    first_links = stored(_linked(pairs.union(inner).distinct(), sets, percent), "links")
+    first_links = _linked(pairs.union(inner), members, keyed, width, percent)
     labels = components(first_links)
 
     # Then, in full, what may be similar and is not yet under one label: groups of long lists, and the
@@ -298,9 +314,9 @@ def near_pieces(scores: DataFrame, width: int = 5, percent: int = 80) -> DataFra
         )
 
     pairs = group_pairs.join(classes_of("a"), ["group_a", "label_a"]).join(classes_of("b"), ["group_b", "label_b"])
-    second_links = stored(_linked(pairs.select("a", "b"), sets, percent), "links")
+    second_links = _linked(pairs.select("a", "b"), members, keyed, width, percent)
     labels = components(first_links.union(second_links))
-    forget(entries, sets, placed, hubs, stars, short_pairs, reached, wanted, group_pairs, labelled, nodes)
+    forget(entries, placed, hubs, stars, short_pairs, group_pairs, labelled, nodes)
 
     named_classes = stored(
         classes.select("class", "set_hi", "set_lo", "first_id")
