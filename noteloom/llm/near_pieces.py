@@ -240,12 +240,31 @@ def near_pieces(scores: DataFrame, width: int = 5, percent: int = 80) -> DataFra
 
     # Short lists: their pairs of groups. Long lists: stars, each group with the least altered groups of the list.
     short = entries.filter(F.col("many") <= LONG_LIST)
+    # Prefixes that end at places p share c shingles, and the sets at most c + max(n_a - p_a, n_b - p_b): what lies
+    # behind the prefix that ends first. Shingles of long lists are not counted here, so all of them may be shared.
+    in_long = stored(
+        entries.filter(F.col("many") > LONG_LIST).groupBy("group").agg(F.count("*").alias("long")), "in-long-lists"
+    )
+
+    def behind(n: str) -> Column:
+        return F.ceil(F.lit(percent) * F.col(n) / 100) - 1
+
+    counted_pairs = (
+        side(short, "a").join(side(short, "b"), "shingle")
+        .filter(ordered & (100 * F.col("n_a") >= percent * F.col("n_b")))
+        .groupBy("group_a", "group_b", "n_a", "n_b")
+        .agg(F.count("*").alias("shared"), F.max(near_enough("a", "b")).alias("placed"))
+        .filter("placed")
+        .join(in_long.select(F.col("group").alias("group_a"), F.col("long").alias("long_a")), "group_a", "left")
+        .join(in_long.select(F.col("group").alias("group_b"), F.col("long").alias("long_b")), "group_b", "left")
+    )
+    at_most = F.col("shared") + F.least(F.coalesce("long_a", F.lit(0)), F.coalesce("long_b", F.lit(0)))
     short_pairs = stored(
-        side(smaller(short), "a").join(side(short, "b"), "shingle")
-        .filter(ordered & near_enough("a", "b"))
-        .select("group_a", "group_b").distinct(),
+        counted_pairs.filter(at_most + F.greatest(behind("n_a"), behind("n_b")) >= _needed(percent, "n_a", "n_b"))
+        .select("group_a", "group_b"),
         "short-pairs",
     )
+    forget(in_long)
     band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100.0 / percent) + 1e-9)) if percent < 100 else F.col("n")
     long_lists = entries.filter(F.col("many") > LONG_LIST).withColumn("band", band)
     hubs = stored(
