@@ -29,18 +29,35 @@ BLOCK = frozenset(
 )
 #: Elements that never hold article text.
 LEFT_OUT = frozenset(
-    "nav footer aside form script style noscript template button select option textarea input iframe object embed svg "
+    "nav footer aside script style noscript template button select option textarea input iframe object embed svg "
     "canvas audio video math head title dialog menu search xmp noembed noframes datalist".split()
 )
 ROLES = frozenset("navigation banner contentinfo complementary search alert alertdialog dialog menu menubar form".split())
 #: Words of a class or id that name page furniture.
 FURNITURE = frozenset(
     "ad ads adv advert adverts advertisement advertising adbox adsense sponsor sponsored sponsors promo promos promotion "
-    "nav navbar navigation menu menus breadcrumb breadcrumbs pager pagination topbar toolbar header masthead footer "
-    "copyright legal sidebar sidebars aside widget widgets rail related recommended recommendations trending share sharing "
-    "social cookie cookies consent gdpr notice notices banner banners alert popup modal overlay newsletter subscribe "
-    "subscription signup login comment comments commentlist disqus reply replies respond discussion form hidden".split()
+    "nav navbar navigation menu menus breadcrumb breadcrumbs pager pagination topbar toolbar masthead footer "
+    "sidebar sidebars widget widgets rail trending share sharing social cookie cookies consent gdpr banner banners "
+    "popup modal overlay newsletter subscribe subscription signup login comments commentlist disqus respond hidden".split()
 )
+#: Words that name furniture on one page and a part of the article on another.
+EITHER = frozenset(
+    "header aside copyright legal related recommended recommendations notice notices alert comment reply replies "
+    "discussion form".split()
+)
+#: Words that only say where furniture stands or how it is boxed.
+PLACES = frozenset(
+    "area bar block bottom box container group inner items left links list main outer page panel primary right row secondary "
+    "section site slot top unit wrap wrapper".split()
+)
+COMMENTS = frozenset("comments commentlist disqus respond".split())
+#: A class such as no-sidebar speaks of other elements.
+STATES = frozenset("no has have with without is not hide hides show shows".split())
+#: Evidence that an element is furniture: a word that may mean something else, a name that says so.
+WEAK, SURE, GONE = 1, 2, 3
+#: Loosely named elements outside an article stay with so many characters a block and this share of the page's text.
+PROSE = 80
+SOME = 0.1
 ARTICLE = frozenset(("article", "main"))
 NEARLY_ALL = 0.8
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
@@ -65,7 +82,7 @@ _TAG = re.compile(
     r"""|(?P<end2>/?)(?P<name2>[a-zA-Z][^\s/>]*+)(?P<attributes2>[^>]*+)(?:>|\Z))""",
     re.DOTALL,
 )
-_ATTRIBUTE = re.compile(r"""(class|id|role|hidden|style|aria-hidden)\b(?:\s*=\s*("[^"]*+"|'[^']*+'|[^\s"'>]++))?""", re.I)
+_ATTRIBUTE = re.compile(r"""([^\s/>=]++)(?:\s*+=\s*+("[^"]*+"|'[^']*+'|[^\s>]++))?""")
 _WORD = re.compile(r"[a-z0-9]+")
 _UNSEEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
@@ -73,35 +90,59 @@ _UNSEEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 class Node:
     """An element with its texts and children in page order, and the counts of its subtree."""
 
-    __slots__ = ("name", "parent", "parts", "chars", "tags", "link_chars", "link_tags", "density", "total")
+    __slots__ = ("name", "parent", "parts", "doubt", "chars", "tags", "link_chars", "link_tags", "density", "total")
 
-    def __init__(self, name: str, parent: Node | None):
-        self.name, self.parent = name, parent
+    def __init__(self, name: str, parent: Node | None, doubt: int = 0):
+        self.name, self.parent, self.doubt = name, parent, doubt
         self.parts: list[Node | str] = []
         self.chars = self.tags = self.link_chars = self.link_tags = 0
         self.density = self.total = 0.0
 
 
-def _is_furniture(name: str, attributes: str, in_article: bool) -> bool:
+def _named(key: str, value: str, name: str) -> int:
+    """What a class or id says: sure where a whole name means furniture, weak where a word of it may."""
+    doubt = 0
+    for token in value.split():
+        words = frozenset(_WORD.findall(token))
+        found = words & (FURNITURE | EITHER)
+        if not found or words & STATES:
+            continue
+        # The id of a section tells its topic.
+        topic = key == "id" and name == "section" and not words & COMMENTS
+        whole = all(word in found or word in PLACES or word.isdigit() for word in words)
+        sure = whole and not topic and (len(found) > 1 or not found.isdisjoint(FURNITURE))
+        doubt = max(doubt, SURE if sure else WEAK)
+    return doubt
+
+
+def _doubt(name: str, attributes: str, in_article: bool) -> int:
+    """How surely an element is furniture by its tag and attributes."""
     if name in LEFT_OUT or (name == "header" and not in_article):
-        return True
+        return GONE
+    if name == "form":
+        return SURE
     if not attributes or name in ("html", "body") or name in ARTICLE:
-        return False
+        return 0
+    doubt, seen = 0, set()
     for found in _ATTRIBUTE.finditer(attributes):
         key, value = found.group(1).lower(), (found.group(2) or "").strip("\"'").lower()
-        if key == "hidden" or (key == "aria-hidden" and value == "true"):
-            return True
-        if key == "style" and _UNSEEN.search(value):
-            return True
-        if key == "role" and value in ROLES:
-            return True
-        if key in ("class", "id") and not FURNITURE.isdisjoint(_WORD.findall(value)):
-            return not (in_article and name in ("header", *HEADINGS))
-    return False
+        if key in seen:  # the first of equal attributes holds
+            continue
+        seen.add(key)
+        if (
+            key == "hidden"
+            or (key == "aria-hidden" and value.strip() == "true")
+            or (key == "style" and _UNSEEN.search(value))
+            or (key == "role" and value.strip() in ROLES)
+        ):
+            return SURE
+        if key in ("class", "id") and not (in_article and name in ("header", *HEADINGS)):
+            doubt = max(doubt, _named(key, value, name))
+    return doubt
 
 
 def parse(page: str) -> Node:
-    """The tree of a page without its furniture; forgiving of unclosed and cut tags."""
+    """The tree of a page without elements that never hold its text; forgiving of unclosed and cut tags."""
     body = Node("body", None)
     stack = [(body, False)]  # open elements, and whether they are left out
     is_open: Counter[str] = Counter()
@@ -149,12 +190,13 @@ def parse(page: str) -> Node:
         attributes = found["attributes"] or found["attributes2"] or ""
         parent, gone = stack[-1]
         in_article = is_open["article"] + is_open["main"] > 0
-        gone = gone or _is_furniture(name, attributes, in_article)
+        doubt = _doubt(name, attributes, in_article)
+        gone = gone or doubt == GONE
         if name in RAW:
             end = re.compile(rf"</{re.escape(name)}(?=[\s/>]|\Z)[^>]*>?", re.I).search(page, at)
             at = end.end() if end else len(page)
             continue
-        node = Node(name, parent)
+        node = Node(name, parent, doubt)
         if not gone:
             parent.parts.append(node)
         if name not in VOID and not (attributes.endswith("/") and name not in BLOCK and name != "a"):
@@ -174,13 +216,10 @@ def _in_order(root: Node) -> list[Node]:
     return out
 
 
-def measure(body: Node) -> list[Node]:
-    """Composite density and its sum over the children, for every node of the page.
-
-    Density is characters per tag, times a logarithm of how far text outweighs
-    links; its base grows where a node's links outweigh its text more than the body's do.
-    """
-    nodes = _in_order(body)
+def _count(nodes: list[Node]) -> None:
+    """Characters and tags of every subtree, all and of links."""
+    for node in nodes:
+        node.chars = node.tags = node.link_chars = node.link_tags = 0
     for node in reversed(nodes):
         node.chars += sum(len("".join(part.split())) for part in node.parts if isinstance(part, str))
         node.link_chars = node.chars if node.name == "a" else node.link_chars
@@ -191,6 +230,57 @@ def measure(body: Node) -> list[Node]:
             up.tags += node.tags + 1
             up.link_chars += node.link_chars
             up.link_tags += node.link_tags
+
+
+def prune(body: Node) -> None:
+    """Take furniture out of the tree, by its names and by the text it holds.
+
+    A subtree with most of the page's text outside links stays whatever its name, unless an article or
+    main element with text stands beside it. A loosely named one also stays where its text outweighs its links and
+    it lies in an article, is a section, or has long blocks that are a good share of the page.
+    """
+    nodes = _in_order(body)
+    if not any(node.doubt for node in nodes):
+        return
+    _count(nodes)
+    whole = body.chars - body.link_chars
+    doubted: set[int] = set()  # nodes in or under a doubtful one
+    above: dict[int, int] = {}  # articles above a node that lie under no doubtful one
+    clear = 0
+    for node in nodes:
+        up = node.parent
+        if node.doubt or (up is not None and id(up) in doubted):
+            doubted.add(id(node))
+        above[id(node)] = 0
+        if up is not None:
+            above[id(node)] = above[id(up)] + (up.name in ARTICLE and id(up) not in doubted)
+        clear += node.name in ARTICLE and id(node) not in doubted and node.chars > 0
+    inside, poorer = {id(body): False}, {}
+    for node in nodes[1:]:
+        up = node.parent
+        inside[id(node)] = inside[id(up)] or up.name in ARTICLE
+        if not node.doubt:
+            continue
+        words = node.chars - node.link_chars
+        stays = 2 * words > whole and clear <= above[id(node)]
+        if node.doubt == WEAK and words > node.link_chars:
+            in_text = inside[id(node)] or node.name == "section"
+            long = words >= PROSE * max(node.tags - node.link_tags, 1) and words >= SOME * whole
+            stays = stays or in_text or long
+        if not stays:
+            poorer.setdefault(id(up), (up, set()))[1].add(id(node))
+    for up, gone in poorer.values():
+        up.parts = [part for part in up.parts if id(part) not in gone]
+
+
+def measure(body: Node) -> list[Node]:
+    """Composite density and its sum over the children, for every node of the page.
+
+    Density is characters per tag, times a logarithm of how far text outweighs
+    links; its base grows where a node's links outweigh its text more than the body's do.
+    """
+    nodes = _in_order(body)
+    _count(nodes)
     body_share = body.link_chars / max(body.chars, 1)
     for node in nodes:
         tags, links, link_tags = max(node.tags, 1), max(node.link_chars, 1), max(node.link_tags, 1)
@@ -269,14 +359,16 @@ def blocks(node: Node) -> list[str]:
 
 def article(page: str) -> str:
     """The article of a page: its blocks joined by an empty line."""
-    return "\n\n".join(blocks(select(parse(page))))
+    body = parse(page)
+    prune(body)
+    return "\n\n".join(blocks(select(body)))
 
 
 def extract(pages: DataFrame) -> DataFrame:
     """Main text of every page (page_id, url, html), whole.
 
     Menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and reader comments are left
-    out. Returns ``page_id``, ``url``, ``text`` (empty if there is none) and
+    out, but a name alone never takes most of a page (see ``prune``). Returns ``page_id``, ``url``, ``text`` (empty if there is none) and
     ``n_chars``, its code points. Null html is an empty page; rows are independent, so repeated rows
     give repeated results.
     """

@@ -230,6 +230,31 @@ def test_pages_give_their_articles(spark, sf_dir):
         assert row["n_chars"] == len(row["text"])
 
 
+LONG = "Words of the text that go on for a while, on and on, so that nobody takes them for a menu."
+
+
+def test_attributes_are_read_by_their_exact_names():
+    for attribute in ("href='/blog/hidden-gems'", 'title="The hidden cost"', 'href="/p?id=share"', "data-id=ad-12", 'data-hidden="false"',
+                      'data-class="menu"', 'title="a > b" alt="style=display:none"'):
+        assert web_text.article(f"<p>{LONG} <a {attribute}>linked</a> end</p>") == f"{LONG} linked end"
+    for attribute in ("hidden", "HIDDEN=''", "class=ad", "id='ad-12'", 'x="1"class="menu"', "style='display: none'", "aria-hidden=true"):
+        assert web_text.article(f"<p>{LONG}</p><div {attribute}>gone</div>") == LONG
+
+
+def test_one_name_does_not_take_article_text():
+    for part in ("section id=discussion", "section id='related-work'", "p class=legal", "div class='comment-on-method'"):
+        name = part.split()[0]
+        for outer in ("article", "main"):
+            page = f"<{outer}><p>{LONG}</p><p>{LONG}</p><{part}>Meant</{name}><p>{LONG}</p></{outer}>"
+            assert "Meant" in web_text.article(page), (part, outer)
+    for wrapper in ("content no-sidebar", "has-sidebar", "sidebar", "sidebar-right", "widget", "modal"):
+        page = f"<div class='{wrapper}'><p>{LONG}</p><p>{LONG}</p></div><div class=ad>Buy</div>"
+        assert web_text.article(page) == f"{LONG}\n\n{LONG}", wrapper
+    assert web_text.article(f"<form id=aspnetForm><div><p>{LONG}</p></div></form>") == LONG
+    # A short article keeps its place beside a long advert.
+    assert web_text.article(f"<div class=ad>{LONG}</div><article><h1>Ave</h1><p>Ave</article>") == "Ave\n\nAve"
+
+
 def test_deep_and_broken_pages_end():
     assert web_text.article("<div>" * 20000 + "x") == "x"
     web_text.article("<b>" * 5000 + "</i>" * 5000)
