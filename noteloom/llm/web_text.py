@@ -299,17 +299,16 @@ def select(body: Node) -> Node:
 
     The node with the largest sum of child densities leads; the threshold is
     the least density on its path to the body. From the body down, nodes at or above the threshold
-    give their best-summed descendant; the article is the smallest subtree over all of these, or the
-    article element around the leader.
+    give their best-summed descendant; the article is the smallest subtree over all of these. An
+    article or main element around it then adds what it holds besides, and articles beside an article join it if they
+    have more text than links; a tag never makes the result smaller. Lists of nothing but links below the threshold, before and
+    after all that was found, are menus.
     """
     nodes = measure(body)
     leader = max(nodes, key=lambda node: (node.total, node.density))
     path = [leader]
     while path[-1].parent is not None:
         path.append(path[-1].parent)
-    around = [node for node in path if node.name in ARTICLE]
-    if around:
-        return next((node for node in reversed(around) if node.name == "article"), around[0])
     height = {id(node): place for place, node in enumerate(path)}
     threshold = min((node.density for node in path if node.density > 0), default=0.0)
     meet = 0
@@ -324,7 +323,28 @@ def select(body: Node) -> Node:
     # What only adds a heading or a line around the subtree belongs to it.
     while meet + 1 < len(path) - 1 and path[meet].chars >= NEARLY_ALL * path[meet + 1].chars:
         meet += 1
-    return path[meet]
+    around = [place for place, node in enumerate(path) if place > meet and node.name in ARTICLE]
+    if around:
+        meet = next((place for place in reversed(around) if path[place].name == "article"), around[0])
+    if path[meet].name == "article" and any(
+        part.name == "article" and part is not path[meet] and part.chars > 2 * part.link_chars
+        for part in path[meet].parent.parts
+        if isinstance(part, Node)
+    ):
+        meet += 1
+    chosen = path[meet]
+    if all(node.name not in ARTICLE for node in path[meet:]):
+        for end in (-1, 0):
+            while chosen.parts and _is_menu(chosen.parts[end], height, threshold):
+                del chosen.parts[end]
+    return chosen
+
+
+def _is_menu(part: Node | str, height: dict[int, int], threshold: float) -> bool:
+    """Nothing, or nothing but links, at the edge of a subtree."""
+    if isinstance(part, str):
+        return not part.strip()
+    return id(part) not in height and part.chars == part.link_chars and part.name != "a" and part.density < threshold
 
 
 def blocks(node: Node) -> list[str]:

@@ -255,6 +255,21 @@ def test_one_name_does_not_take_article_text():
     assert web_text.article(f"<div class=ad>{LONG}</div><article><h1>Ave</h1><p>Ave</article>") == "Ave\n\nAve"
 
 
+def test_density_chooses_with_and_without_articles():
+    more, menu = "Another part of the text, a little shorter.", "<ul>" + "<li><a href=/x>Link</a>" * 8 + "</ul>"
+    first, second = f"<p>{LONG}</p><p>{LONG}</p>", f"<h2>B</h2><p>{more}</p><p>{more}</p>"
+    want = "\n\n".join([LONG, LONG, "B", more, more])
+    for a, b in (("article", "article"), ("article", "div"), ("div", "div"), ("section", "section")):
+        both = f"<{a}>{first}</{a}><{b}>{second}</{b}>"
+        pages = [menu + both, both + menu, f"{menu}<div>{both}</div>", f"{menu}<main>{both}</main>"]
+        for page in pages + [both] * (a == b == "article"):
+            assert web_text.article(f"<body>{page}</body>") == want, page
+    short = f"<article><p>{LONG}</p></article><article><p>x</p><p>yy</p></article>"
+    assert web_text.article(short) == f"{LONG}\n\nx\n\nyy"
+    assert web_text.article(f"{menu}<div><h1>T</h1>{first}</div>") == f"T\n\n{LONG}\n\n{LONG}"
+    assert web_text.article(f"{menu}<article><header><h1>T</h1></header><div>{first}</div></article>") == f"T\n\n{LONG}\n\n{LONG}"
+
+
 def test_deep_and_broken_pages_end():
     assert web_text.article("<div>" * 20000 + "x") == "x"
     web_text.article("<b>" * 5000 + "</i>" * 5000)
