@@ -79,18 +79,26 @@ def base_spans(text: str) -> list[Span]:
     return sorted(spans, key=lambda s: (s[0], KINDS.index(s[2])))
 
 
+_GROUP = "[0-9A-Fa-f]{1,4}"
+#: Eight groups, or fewer with one :: in place of the zeros.
+_IPV6 = "|".join([
+    f"(?:{_GROUP}:){{7}}{_GROUP}",
+    *(f"{_GROUP}(?::{_GROUP}){{{n - 1}}}::(?:{_GROUP}(?::{_GROUP}){{0,{6 - n}}})?" for n in range(1, 7)),
+    f"{_GROUP}(?::{_GROUP}){{6}}::",
+    f"::{_GROUP}(?::{_GROUP}){{0,6}}",
+])
 _CANDIDATES = {
     "email": re.compile(
         r"(?<![\w.])[A-Za-z0-9._%+-]{1,64} ?(?:\(at\)|\[at\]| at ) ?[A-Za-z0-9-]{1,63}"
         r"(?: ?(?:\(dot\)|\[dot\]| dot ) ?[A-Za-z0-9-]{1,63}){1,4}(?!\w)",
         re.I,
     ),
-    "ip": re.compile(r"(?<![\w:])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![\w:])"),
+    "ip": re.compile(rf"(?<![\w:])(?:{_IPV6})(?!\w|:[\w:])"),
     "phone": re.compile(r"(?<![\w+.-])(?<!\+[0-9] )(?:\([0-9]{2,4}\)|[0-9]{2,4})[ .-][0-9]{3,4}[ .-][0-9]{3,4}(?![\w-])"),
-    "secret": re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{16,512}={0,2}(?![A-Za-z0-9+/_=-])"),
+    "secret": re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}+={0,2}(?![A-Za-z0-9+/_=-])"),
 }
 #: Text without these cannot hold a candidate of the kind.
-_SIGNS = {"email": re.compile(r"[\[( ]at[\]) ]", re.I), "ip": re.compile(r":[0-9A-Fa-f]{1,4}:"),
+_SIGNS = {"email": re.compile(r"[\[( ]at[\]) ]", re.I), "ip": re.compile(r":[0-9A-Fa-f]{0,4}:"),
           "phone": re.compile(r"[0-9][ .-][0-9]{3}"), "secret": re.compile(r"[0-9]")}
 #: Words near a span of the kind.
 GAZETTEER = {
@@ -103,7 +111,7 @@ GAZETTEER = {
 }
 _SHAPES = {
     "email": re.compile(r".+(?:\(at\)|\[at\]).+(?:\(dot\)|\[dot\]).+", re.I),
-    "ip": re.compile(r"(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}"),
+    "ip": re.compile(rf"(?=.*[0-9])(?=(?:.*{_GROUP}\b){{3}})(?:{_IPV6})"),
     "phone": re.compile(r"\([0-9]{3}\) [0-9]{3}-[0-9]{4}|[0-9]{3}([ .-])[0-9]{3}\1[0-9]{4}"),
     "secret": re.compile(r"[0-9a-f]{32,128}|[0-9A-F]{32,128}|(?:AKIA|ASIA)[0-9A-Z]{16}|(?:ghp|gho|sk|pk|xox[bp])[_-][A-Za-z0-9_-]{16,}"),
 }
@@ -114,6 +122,8 @@ def _by_shape(kind: str, value: str) -> int:
     """The pattern labeler: strict forms speak for, words and plain numbers against."""
     if _SHAPES[kind].fullmatch(value):
         return 1
+    if kind == "ip" and not re.search(r"[0-9]", value):
+        return -1
     if kind == "secret" and (value.isalpha() or value.isdigit() or len(set(value)) < 6):
         return -1
     return 0

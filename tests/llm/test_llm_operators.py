@@ -315,6 +315,24 @@ def test_model_adds_spans_and_keeps_base_ones(spark):
     assert found[103]["spans"] == ""
 
 
+def test_unquoted_secrets_long_runs_and_short_addresses_are_added(spark):
+    rng = random.Random(8)
+    secret, padded, long = ("".join(rng.choice("0123456789abcdef") for _ in range(n)) for n in (32, 40, 900))
+    lines = [f"api_key={secret}", f"token={padded}==", f'secret "{long}"', "host 2001:db8::8a2e:370:7334 up", "address fe80::1:2a, ip 2001:db8:1::"]
+    want = [[secret], [f"{padded}=="], [long], ["2001:db8::8a2e:370:7334"], ["fe80::1:2a", "2001:db8:1::"]]
+    scores = spark.createDataFrame([(i, lines[i % 5]) for i in range(50)], "piece_id long, content string")
+    for row in personal_data.find(scores, personal_data.fit(scores)).collect():
+        text = lines[row["piece_id"] % 5]
+        spans = [span.split(":") for span in row["spans"].split(",") if span]
+        assert [text[int(start) : int(end)] for _, start, end in spans] == want[row["piece_id"] % 5]
+        assert row["base"] == "" and not any(value in row["redacted"] for value in want[row["piece_id"] % 5])
+    for text in ("std::vector at 12:30:45", "a :: b", "1:2:3::4:5:6:7:8:9", "1::2::3"):
+        assert not [span for span, _ in personal_data.candidates(text, []) if span[2] == "ip"], text
+    # A name in front of '=' is no candidate itself, and runs of many lengths end in time.
+    assert [s for s, _ in personal_data.candidates(f"service_access_key2={secret}", [])] == [(20, 52, "secret")]
+    assert [s[1] for s, _ in personal_data.candidates("a1" * 500000, [])] == [1000000]
+
+
 def test_expectation_maximisation_trusts_the_better_labelers():
     rng = np.random.default_rng(6)
     truth = rng.random(4000) < 0.5
