@@ -103,7 +103,8 @@ def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     held_out = F.crc32(F.coalesce(F.col("piece_id").cast("string"), F.lit(""))) % 4 == 2
     scores = _scores(spark, sf_dir).withColumn("held_out", held_out)
-    model = language_id.fit(scores, scores.filter(~F.col("held_out")))
+    learned = scores.filter(~F.col("held_out"))
+    model = language_id.fit(learned, learned)
     return language_id.predict(scores, model, carry=("held_out",)).select(
         F.col("piece_id").alias("doc_id"), "held_out", F.col("language_found").alias("lang_pred"), "score"
     )

@@ -424,6 +424,20 @@ def test_held_out_languages_are_found(spark, sf_dir, documents):
     assert all(0 <= r["score"] <= 1 for r in rows)
 
 
+def test_held_out_texts_teach_nothing(spark, sf_dir, tmp_path):
+    import zlib
+
+    held_out = F.crc32(F.col("doc_id").cast("string")) % 4 == 2
+    table = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    table.withColumn("text", F.when(held_out, "zzzz qqqq").otherwise(F.col("text"))).write.parquet(f"{tmp_path}/documents.parquet")
+    before, after = (
+        {r["doc_id"]: (r["lang_pred"], r["score"]) for r in QUERIES["op9_language_id"](spark, folder).collect()}
+        for folder in (sf_dir, str(tmp_path))
+    )
+    learned = [doc for doc in before if zlib.crc32(str(doc).encode()) % 4 != 2]
+    assert len(learned) > 100 and all(before[doc] == after[doc] for doc in learned)
+
+
 def test_lasso_leaves_weights_at_zero(documents):
     model = language_id.fit(documents, documents, max_rows=100)
     assert 0 < (model.weights != 0).mean() < 0.5
