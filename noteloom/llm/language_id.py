@@ -140,23 +140,36 @@ def _document_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
 
 
 def _examples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """N-grams of the texts, copies of a text in a task once for each language."""
+    known: set[tuple[str, int, int]] = set()
     for batch in batches:
-        found = [counts(text.as_py() or "") for text in batch.column(1)]
+        keys = list(zip(*(batch.column(at).to_pylist() for at in range(3)), strict=True))
+        new = [row for row, key in enumerate(keys) if key not in known and not known.add(key)]
+        found = [counts(batch.column(3)[row].as_py() or "") for row in new]
         arrays = [
-            batch.column(0),
+            *(batch.column(at).take(pa.array(new, pa.int64())) for at in range(3)),
             pa.array([u.astype(np.int32) for u, _ in found], pa.list_(pa.int32())),
             pa.array([n for _, n in found], pa.list_(pa.float64())),
         ]
-        yield pa.RecordBatch.from_arrays(arrays, ["language", "used", "number"])
+        yield pa.RecordBatch.from_arrays(arrays, ["language", "hi", "lo", "used", "number"])
+
+
+def _quotas(many: dict[str, int], max_rows: int) -> dict[str, int]:
+    """Rows of each language: an even share, and what the small ones leave goes to the others."""
+    quotas, left = {}, max_rows
+    for place, name in enumerate(sorted(many, key=lambda name: (many[name], name))):
+        quotas[name] = min(many[name], left // (len(many) - place))
+        left -= quotas[name]
+    return quotas
 
 
 def fit(scores: DataFrame, labelled: DataFrame, max_rows: int = MAX_ROWS, passes: int = 4) -> LanguageModel:
     """Learn the languages of score texts.
 
     Document frequencies come from every row of ``scores`` (content). The classifier
-    sees at most ``max_rows`` rows of ``labelled`` (content, language), chosen by a hash of the
-    content, evenly over the languages; null languages are left out. A fifth of them is held back to
-    calibrate the temperature. Without labelled rows everything is ``und``.
+    sees at most ``max_rows`` different texts of ``labelled`` (content, language), chosen by a hash of the
+    content, evenly over the languages; copies of a text count once, null languages are left out. A fifth of
+    them is held back to calibrate the temperature. Without labelled rows everything is ``und``.
     """
     texts = plain(scores, "content").select(F.col("content").cast("string"))
     table = map_arrow(texts, _document_counts, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()
@@ -165,20 +178,31 @@ def fit(scores: DataFrame, labelled: DataFrame, max_rows: int = MAX_ROWS, passes
     idf = np.log((1 + frequency[BUCKETS]) / (1 + frequency[:BUCKETS])) + 1
 
     named = plain(labelled, "content", "language").filter(F.col("language").isNotNull() & F.col("content").isNotNull())
-    named = named.select(F.col("language").cast("string"), F.col("content").cast("string"))
-    many = {row["language"]: row["count"] for row in named.groupBy("language").count().collect()}
+    # Copies of a text share both hashes.
+    named = named.select(
+        F.col("language").cast("string"),
+        F.xxhash64("content").alias("hi"),
+        F.xxhash64(F.lit(1), "content").alias("lo"),
+        F.col("content").cast("string"),
+    )
+    key = ["language", "hi", "lo"]
+    many = {row["language"]: row["count"] for row in named.select(*key).distinct().groupBy("language").count().collect()}
     languages = tuple(sorted(many))
     if not languages:
         return LanguageModel((), idf, np.zeros((0, BUCKETS)), 1.0)
-    place = F.xxhash64("content")
-    share = {name: min(1.0, 1.2 * max_rows / len(languages) / n) for name, n in many.items()}
+    quotas = _quotas(many, max_rows)
+    # A few more than the quota, for the draw is by chance.
+    share = {name: min(1.0, (1.2 * quotas[name] + 16) / n) for name, n in many.items()}
     limits = F.create_map(*[F.lit(x) for pair in share.items() for x in pair])
-    drawn = named.filter(F.pmod(place, F.lit(1 << 30)) < limits[F.col("language")] * (1 << 30))
-    rows = map_arrow(drawn, _examples, "language string, used array<int>, number array<double>")
-    order = F.xxhash64("used", "number")
-    sample = rows.orderBy(order, "language").limit(max_rows).toArrow()
+    drawn = named.filter(F.pmod("hi", F.lit(1 << 30)) < limits[F.col("language")] * (1 << 30))
+    rows = map_arrow(drawn, _examples, "language string, hi long, lo long, used array<int>, number array<double>")
+    sample = rows.dropDuplicates(key).toArrow().sort_by([("lo", "ascending"), ("hi", "ascending"), ("language", "ascending")])
+    left = dict(quotas)
     examples = []
     for language, used, number in zip(sample["language"], sample["used"], sample["number"], strict=True):
+        left[language.as_py()] -= 1
+        if left[language.as_py()] < 0:
+            continue
         places = np.array(used.values, np.int64)
         if len(places):
             values = weighted(places, np.array(number.values), idf)

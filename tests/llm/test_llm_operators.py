@@ -438,6 +438,25 @@ def test_held_out_texts_teach_nothing(spark, sf_dir, tmp_path):
     assert len(learned) > 100 and all(before[doc] == after[doc] for doc in learned)
 
 
+def test_sample_is_even_and_without_copies(spark, monkeypatch):
+    rng = random.Random(9)
+    made = lambda n: [" ".join("".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(8)) for _ in range(n)]
+    rows = [(text, "de") for text in made(30)] + [(text, "en") for text in [*made(300), *made(1) * 3000]]
+    rows += [(text, "fr") for text in [*made(5) * 50, *made(40)]] + [(text, "it") for text in made(4) * 100]
+    seen, learn = Counter(), language_id.FollowTheLeader.learn
+
+    def noted(self, used, values, label):
+        seen[label, tuple(used), tuple(values)] += 1
+        learn(self, used, values, label)
+
+    monkeypatch.setattr(language_id.FollowTheLeader, "learn", noted)
+    model = language_id.fit(*[spark.createDataFrame(rows, "content string, language string")] * 2, max_rows=76, passes=1)
+    assert set(seen.values()) == {1}
+    found = Counter(model.languages[label] for label, *_ in seen)
+    # A fifth is held back of 24 each, and of the four texts there are of the last.
+    assert found.total() == 76 - 16 and all(found[name] >= 12 for name in ("de", "en", "fr")) and found["it"] >= 1
+
+
 def test_lasso_leaves_weights_at_zero(documents):
     model = language_id.fit(documents, documents, max_rows=100)
     assert 0 < (model.weights != 0).mean() < 0.5
