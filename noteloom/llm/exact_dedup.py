@@ -42,6 +42,15 @@ class DigestIndex:
         """Forget every digest; judgements already given stay readable."""
         self.spark.sql(f"drop table if exists {self.name} purge")
 
+    def _write(self, digests: DataFrame) -> None:
+        (
+            digests.repartition(self.buckets, "digest")
+            .write.mode("append")
+            .bucketBy(self.buckets, "digest")
+            .sortBy("digest")
+            .saveAsTable(self.name)
+        )
+
     def append(self, scores: DataFrame) -> DataFrame:
         """Judge a batch of ``scores`` (piece_id, content) and remember what is new.
 
@@ -53,7 +62,6 @@ class DigestIndex:
         exactly one stays. A text that the index knew before the batch keeps its
         earlier piece and all its rows go. Null content is an empty text, and empty texts are equal.
         """
-        number = self.table().agg(F.max("batch")).head()[0] + 1 if self.exists() else 0
         text = text_of()
         keyed = stored(
             plain(scores, "piece_id", "content").select(
@@ -75,23 +83,14 @@ class DigestIndex:
             ),
             "digest-groups",
         )
-        fresh = found.select("digest", "keep_id", "keep_row", F.lit(number).alias("batch"))
-        if number:
-            fresh = fresh.join(self.table().select("digest").hint("merge"), "digest", "left_anti")
-        (
-            fresh.repartition(self.buckets, "digest")
-            .write.mode("append")
-            .bucketBy(self.buckets, "digest")
-            .sortBy("digest")
-            .saveAsTable(self.name)
-        )
-        if number:
-            known = self.table().select("digest", "keep_id", "keep_row", "batch")
-            found = stored(
-                found.select("digest", "group_size").join(known.hint("merge"), "digest"), "digest-decisions"
-            )
-        else:
-            found = found.withColumn("batch", F.lit(0))
+        columns = ["digest", "keep_id", "keep_row", "batch"]
+        if not self.exists():
+            self._write(found.limit(0).select(*columns[:3], F.lit(0).alias("batch")))
+        number = self.table().agg(F.coalesce(F.max("batch"), F.lit(-1))).head()[0] + 1
+        fresh = found.select(*columns[:3], F.lit(number).alias("batch"))
+        self._write(fresh.join(self.table().select("digest").hint("merge"), "digest", "left_anti"))
+        known = self.table().select(*columns)
+        found = stored(found.select("digest", "group_size").join(known.hint("merge"), "digest"), "digest-decisions")
         # Both sides are stored tables, so a text that many rows share is split when the join runs.
         return keyed.join(found, "digest").select(
             "piece_id",

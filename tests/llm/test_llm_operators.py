@@ -188,6 +188,19 @@ def test_components_of_long_chains(spark):
     assert {r["node"]: r["label"] for r in found} == {**dict.fromkeys(range(201), 0), **dict.fromkeys(range(1000, 1050), 1000)}
 
 
+def test_every_batch_decides_through_the_index(spark, monkeypatch):
+    index = exact_dedup.DigestIndex(spark, f"empty_first_{uuid.uuid4().hex}", buckets=4)
+    read, table = [], exact_dedup.DigestIndex.table
+    monkeypatch.setattr(exact_dedup.DigestIndex, "table", lambda self: read.append(1) or table(self))
+    scores = spark.createDataFrame([(1, "a b"), (2, "ab"), (3, "c")], "piece_id long, content string")
+    assert index.append(scores.limit(0)).collect() == []
+    kept = [(r["piece_id"], r["keep_id"], r["kept"]) for r in index.append(scores).orderBy("piece_id").collect()]
+    assert kept == [(1, 1, True), (2, 1, False), (3, 3, True)]
+    assert not any(r["kept"] for r in index.append(scores).collect())
+    assert len(read) >= 9  # the last number, the anti-join and the keepers of three batches
+    index.drop()
+
+
 # --- 4
 
 PAGE = """<html><head><title>T</title><style>p{{}}</style></head><body class="has-sidebar"><div id="menu"><ul><li><a href=a>Home</a>
