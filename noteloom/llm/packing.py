@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import base64
 import zlib
+from bisect import bisect_right
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -110,49 +112,71 @@ def non_negative_least_squares(matrix: np.ndarray, wanted: np.ndarray, rounds: i
     return x
 
 
-def plan(histogram: np.ndarray, depth: int = DEPTH) -> list[tuple[tuple[int, ...], int]]:
-    """How often to use which combination of bins, so that every piece has a place.
+def plan(histogram: np.ndarray, depth: int = DEPTH, step: int = 1) -> list[tuple[tuple[int, ...], int]]:
+    """How often to use which combination of lengths, so that every piece has a place.
 
-    ``histogram[b]`` counts the pieces of bin b+1 out of ``len(histogram)``, the
-    window. Combinations of at most ``depth`` bins that fill the window get their
-    repeat counts from least squares against the histogram; they are rounded
-    and cut back to the pieces there are. What is left is packed greedily, the largest
-    bin first and then the largest that fit; equal fillings are taken at once, so
-    the work depends on the number of bins, never of pieces.
+    ``histogram[n]`` counts the pieces of length n+1 out of ``len(histogram)``, the
+    window. For least squares lengths are rounded up to bins of ``step``: combinations of at most
+    ``depth`` bins that fill the window get their repeat counts against the bins; they are rounded
+    and cut back to the pieces there are, and take the longest of a bin first. What is left is packed greedily by
+    true lengths, the longest first and then the longest that fit; equal fillings are taken at once, so
+    the work depends on the number of lengths, never of pieces.
     """
-    bins = len(histogram)
+    window = len(histogram)
+    bins = window // step
     left = histogram.astype(np.int64).copy()
     used: list[tuple[tuple[int, ...], int]] = []
     if left.sum():
+        rough = left.reshape(bins, step).sum(1)
         shapes = combinations(bins, depth)
         matrix = np.zeros((bins, len(shapes)))
         for column, shape in enumerate(shapes):
             for size in shape:
                 matrix[size - 1, column] += 1
-        scale = max(left.max(), 1)
-        counts = np.rint(non_negative_least_squares(matrix, left / scale) * scale).astype(np.int64)
+        scale = max(rough.max(), 1)
+        counts = np.rint(non_negative_least_squares(matrix, rough / scale) * scale).astype(np.int64)
         for column in np.argsort(-counts, kind="stable"):
             need = matrix[:, column].astype(np.int64)
-            times = int(min(counts[column], (left[need > 0] // need[need > 0]).min()))
+            times = int(min(counts[column], (rough[need > 0] // need[need > 0]).min()))
             if times > 0:
-                used.append((shapes[column], times))
-                left -= need * times
-    while left.any():
-        room, shape = bins, []
-        rest = left.copy()
-        for size in range(bins, 0, -1):
-            take = min(room // size, int(rest[size - 1]))
-            shape += [size] * take
-            room -= size * take
-        need = np.bincount(np.array(shape) - 1, minlength=bins)
-        times = int((left[need > 0] // need[need > 0]).min())
-        used.append((tuple(shape), times))
-        left -= need * times
+                used += _longest(shapes[column], times, left, step)
+                rough -= need * times
+    sizes = [int(size) for size in np.flatnonzero(left) + 1]
+    while sizes:
+        room, need = window, {}
+        at = len(sizes)
+        while at and (at := bisect_right(sizes, room, 0, at)):
+            at -= 1
+            need[sizes[at]] = take = min(room // sizes[at], int(left[sizes[at] - 1]))
+            room -= sizes[at] * take
+        times = min(int(left[size - 1]) // many for size, many in need.items())
+        used.append((tuple(size for size, many in need.items() for _ in range(many)), times))
+        for size, many in need.items():
+            left[size - 1] -= many * times
+        sizes = [size for size in sizes if left[size - 1]]
     return used
 
 
+def _longest(shape: tuple[int, ...], times: int, left: np.ndarray, step: int) -> list[tuple[tuple[int, ...], int]]:
+    """The longest pieces of the shape's bins, ``times`` of each, taken out of ``left``."""
+    out = []
+    while times:
+        lengths, need = [], Counter()
+        for size in shape:
+            span = range(size * step, (size - 1) * step, -1)
+            length = next(n for n in span if left[n - 1] > need[n])
+            lengths.append(length)
+            need[length] += 1
+        many = min(times, *(int(left[n - 1]) // k for n, k in need.items()))
+        out.append((tuple(lengths), many))
+        for n, k in need.items():
+            left[n - 1] -= k * many
+        times -= many
+    return out
+
+
 def places(used: list[tuple[tuple[int, ...], int]], first_sequence: int) -> list[tuple[int, int, int, int, int, int]]:
-    """Ranges of a bin's pieces and where they go: bin, from, to, pieces a sequence, first sequence, shape."""
+    """Ranges of a length's pieces and where they go: length, from, to, pieces a sequence, first sequence, shape."""
     taken: dict[int, int] = {}
     rows, sequence = [], first_sequence
     for number, (shape, times) in enumerate(used):
@@ -177,37 +201,35 @@ def pack(
 ) -> DataFrame:
     """Pack all score documents (piece_id, content) into sequences of ``window`` ids.
 
-    Full pieces are sequences of their own. The others fall into ``window / step``
-    bins by length, rounded up, and ``plan`` says which bins share a sequence.
+    Full pieces are sequences of their own. The others are counted by length, and
+    ``plan`` says which lengths share a sequence; ``step`` is the width of its bins for least squares.
     Returns a row per piece: ``piece_id``, ``start``, ``length``, ``ids_crc32``, ``doc_tokens``,
     ``sequence_id`` and ``offset``. Empty documents hold their end id; repeated
     rows are packed each.
 
-    Only the histogram (``window / step`` counts per stripe) and the plan leave
-    Spark. Pieces are numbered inside ``stripes`` stripes of a bin, so a bin that
+    Only the histogram (``window`` counts per stripe at most) and the plan leave
+    Spark. Pieces are numbered inside ``stripes`` stripes of a length, so a length that
     holds most of them is not one task.
     """
     if window % step or window < step or step < 1:
         raise ValueError(f"step must divide the window, not {step} and {window}")
     spark = scores.sparkSession
-    bins = window // step
     pieces = stored(
         cut(scores, ranks_path, special_id, end_id, window)
         .withColumn("row", F.monotonically_increasing_id())
         .withColumns({
-            "bin": F.ceil(F.col("length") / step).cast("int"),
+            "bin": F.col("length").cast("int"),
             "stripe": F.pmod(F.xxhash64("row", "ids_crc32"), F.lit(stripes)).cast("int"),
-        })
-        .withColumn("bin", F.when(F.col("length") == window, bins + 1).otherwise(F.col("bin"))),
+        }),
         "pieces",
     )
     sizes = pieces.groupBy("bin", "stripe").agg(F.count("*").alias("n")).collect()
-    starts, totals = [], np.zeros(bins + 2, np.int64)
+    starts, totals = [], np.zeros(window + 1, np.int64)
     for row in sorted(sizes, key=lambda r: (r["bin"], r["stripe"])):
         starts.append((row["bin"], row["stripe"], int(totals[row["bin"]])))
         totals[row["bin"]] += row["n"]
-    full = int(totals[bins + 1])
-    ranges = [(bins + 1, 0, full, 1, 0, -1), *places(plan(totals[1 : bins + 1], depth), full)]
+    full, totals[window] = int(totals[window]), 0
+    ranges = [(window, 0, full, 1, 0, -1), *places(plan(totals[1:], depth, step), full)]
     starts_table = spark.createDataFrame(starts, "bin int, stripe int, earlier long")
     ranges_table = spark.createDataFrame(
         ranges, "bin int, lowest long, above long, many long, first_sequence long, shape int"
@@ -218,7 +240,7 @@ def pack(
         .join(F.broadcast(starts_table), ["bin", "stripe"])
         .withColumn("rank", F.col("earlier") + F.col("place"))
     )
-    # Both tables are bounded by the plan: stripes x bins rows, and a few rows for each combination in use.
+    # Both tables are bounded by the plan: stripes x lengths rows, and a few rows for each combination in use.
     meets = (F.col("r.bin") == F.col("p.bin")) & (F.col("rank") >= F.col("lowest")) & (F.col("rank") < F.col("above"))
     assigned = (
         ranked.alias("p")

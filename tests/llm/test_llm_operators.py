@@ -527,3 +527,19 @@ def test_combinations_fill_the_window():
 def test_least_squares_meets_a_reachable_histogram():
     matrix = np.array([[2.0, 0, 1], [0, 2, 1]])
     assert np.allclose(matrix @ packing.non_negative_least_squares(matrix, np.array([5.0, 3.0])), [5, 3], atol=1e-3)
+
+
+@pytest.mark.parametrize("lengths", [{17: 5000}, {5: 9000}, {1: 10000}, {1: 300, 5: 900, 17: 700, 40: 300, 500: 90, 1500: 80}])
+def test_short_pieces_leave_little_padding(lengths):
+    histogram = np.zeros(2048, np.int64)
+    for length, many in lengths.items():
+        histogram[length - 1] = many
+    used = packing.plan(histogram, packing.DEPTH, packing.STEP)
+    packed = Counter()
+    for shape, times in used:
+        assert sum(shape) <= 2048
+        for length in shape:
+            packed[length] += times
+    assert packed == lengths
+    ids = sum(length * many for length, many in lengths.items())
+    assert sum(times for _, times in used) <= 1.02 * ids / 2048 + 1
