@@ -11,15 +11,18 @@ from pyspark.sql import functions as F
 
 from noteloom.llm import (
     bpe,
+    collocations,
     exact_dedup,
     language_id,
     line_dedup,
     near_pieces,
     packing,
     personal_data,
+    sentence_pieces,
     sharding,
     similar_pieces,
     web_text,
+    whitening,
 )
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -117,6 +120,32 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed.withColumnRenamed("piece_id", "doc_id")
 
 
+def op11_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded = sentence_pieces.round_trip(_scores(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"))
+    return coded.withColumnRenamed("piece_id", "doc_id")
+
+
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = collocations.collocations(_scores(spark, sf_dir), min_count=100, max_words=5, top=2000)
+    return found.select(
+        F.col("language").alias("lang"),
+        "rank",
+        "phrase",
+        F.col("n_phrase").alias("a"),
+        F.col("n_first").alias("l"),
+        F.col("n_rest").alias("r"),
+        F.col("n_words").alias("n"),
+        "score",
+    )
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    profiles = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(
+        F.col("vec_id").alias("piece_id"), F.col("embedding").alias("profile")
+    )
+    return whitening.whiten(profiles, components=16).withColumnRenamed("piece_id", "vec_id")
+
+
 QUERIES["op1_multi_index_hashing"] = op1_multi_index_hashing
 QUERIES["op2_exact_dedup"] = op2_exact_dedup
 QUERIES["op3_ngram_jaccard_join"] = op3_ngram_jaccard_join
@@ -127,6 +156,9 @@ QUERIES["op7_line_dedup"] = op7_line_dedup
 QUERIES["op8_bpe"] = op8_bpe
 QUERIES["op9_language_id"] = op9_language_id
 QUERIES["op10_packing"] = op10_packing
+QUERIES["op11_sentence_pieces"] = op11_sentence_pieces
+QUERIES["op12_collocations"] = op12_collocations
+QUERIES["op13_whitening"] = op13_whitening
 
 _BLANK = "[\\x20\\x09-\\x0D]"
 
@@ -158,3 +190,38 @@ SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
        sha256(coalesce(string_agg(line, chr(10) ORDER BY place) FILTER (NOT gone), '')) AS kept_sha256
 FROM marked GROUP BY doc_id
 """
+
+ORACLES["op12_collocations"] = """
+WITH pieces AS (
+  SELECT row_number() OVER () AS id, lang, unnest(regexp_split_to_array(text, '[.,;:!?\x0A-\x0D]')) AS piece
+  FROM (SELECT coalesce(lang, 'und') AS lang,
+               translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text
+        FROM documents)),
+numbered AS (SELECT lang, row_number() OVER () AS id, regexp_extract_all(piece, '[^\x20\x09]+') AS words FROM pieces),
+grams AS (
+  SELECT lang, size, words[place : place + size - 1] AS gram
+  FROM (SELECT lang, words, unnest(range(1, len(words) + 1)) AS place FROM numbered WHERE len(words) > 0), range(1, 6) AS sizes(size)
+  WHERE place + size - 1 <= len(words)),
+counts AS (
+  SELECT lang, size, array_to_string(gram, ' ') AS phrase, any_value(gram) AS words, count(*)::HUGEINT AS f
+  FROM grams GROUP BY ALL),
+totals AS (SELECT lang, sum(f)::HUGEINT AS n FROM counts WHERE size = 1 GROUP BY lang),
+candidates AS (SELECT * FROM counts WHERE size > 1 AND f >= 100),
+inner_parts AS (
+  SELECT c.lang, array_to_string(c.words[place : place + length - 1], ' ') AS phrase, max(c.f) AS longer
+  FROM candidates c, range(2, 5) AS lengths(length), range(1, 5) AS places(place)
+  WHERE length < c.size AND place + length - 1 <= c.size GROUP BY ALL),
+own AS (
+  SELECT c.* FROM candidates c LEFT JOIN inner_parts i ON c.lang = i.lang AND c.phrase = i.phrase
+  WHERE i.longer IS NULL OR 100 * i.longer < 100 * c.f),
+cuts AS (
+  SELECT o.lang, o.phrase, o.f AS a, k, l.f AS l, r.f AS r, t.n, (1000 * o.f * t.n) // (l.f * r.f) AS score
+  FROM own o JOIN range(1, 5) AS ks(k) ON k < o.size
+  JOIN counts l ON l.lang = o.lang AND l.phrase = array_to_string(o.words[1 : k], ' ')
+  JOIN counts r ON r.lang = o.lang AND r.phrase = array_to_string(o.words[k + 1 : o.size], ' ')
+  JOIN totals t ON t.lang = o.lang),
+best AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM best)
+SELECT lang, rank, phrase, a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n::BIGINT AS n, score::BIGINT AS score
+FROM ranked WHERE rank <= 2000
+"""
