@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Callable, Iterator
 from functools import reduce
 
@@ -25,7 +26,9 @@ WANTED_BITS = 18
 #: Words of documents hashed together.
 SLICE_WORDS = 1 << 20
 #: Words that a task numbers before it starts anew.
-VOCABULARY = 1 << 20
+VOCABULARY = 1 << 17
+#: Rows of an Arrow batch.
+BATCH_ROWS = 1 << 16
 SALTS = 64
 
 _BREAK, _GAP = b"\xff", b".,;:!?\n\x0b\x0c\r"
@@ -46,12 +49,12 @@ class _Words(dict):
 
     def __init__(self):
         super().__init__({_BREAK: 0})
-        self.hashes: list[tuple[int, int]] = [(0, 0)]
+        self.hashes = array("Q", (0, 0))
 
     def __missing__(self, word: bytes) -> int:
         value = xxhash.xxh3_128_intdigest(word)
-        self.hashes.append((value >> 64, value & ((1 << 64) - 1)))
-        self[word] = number = len(self.hashes) - 1
+        self.hashes.extend((value >> 64, value & ((1 << 64) - 1)))
+        self[word] = number = len(self.hashes) // 2 - 1
         return number
 
 
@@ -66,36 +69,38 @@ class _Grams:
 
     The fingerprint of the n words from place i on is ``(H[i + n] - H[i]) / base ** i``
     modulo 2^64 with ``H`` the running sum of ``hash * base ** place``, plus a
-    number of the language, so that languages do not meet. ``key`` has the fingerprints
-    by which occurrences are counted, ``check`` those of the other polynomial.
+    number of the language, so that languages do not meet. ``keys`` has the fingerprints
+    by which occurrences are counted, ``checks`` half of those of the other polynomial.
     """
 
     def __init__(self, numbers: np.ndarray, hashes: np.ndarray, salts: np.ndarray):
-        self.size = len(numbers)
         self._salts = salts
-        is_break = numbers == 0
-        places = np.arange(self.size)
-        ends = np.where(is_break, places, self.size)
-        self.room = np.minimum.accumulate(ends[::-1])[::-1] - places
+        places = np.arange(len(numbers))
+        ends = np.where(numbers == 0, places, len(numbers))
+        self._room = np.minimum.accumulate(ends[::-1])[::-1] - places
         self._sums, self._back = [], []
         for side, base in enumerate(_BASES):
-            terms = hashes[numbers, side] * _powers(base, self.size)
+            terms = hashes[numbers, side] * _powers(base, len(numbers))
             self._sums.append(np.concatenate([np.zeros(1, np.uint64), np.cumsum(terms, dtype=np.uint64)]))
-            self._back.append(_powers(pow(base, -1, 1 << 64), self.size))
+            self._back.append(_powers(pow(base, -1, 1 << 64), len(numbers)))
 
-    def places(self, n: int) -> np.ndarray:
-        """Where n words of one piece follow; the empty n-gram stands at every word."""
-        return np.flatnonzero(self.room >= max(n, 1))
+    def fits(self, n: int) -> np.ndarray:
+        """Whether n words of one piece follow each place; the empty n-gram stands at every word."""
+        return self._room >= max(n, 1)
 
-    def key(self, at: np.ndarray, n: int, bits: int) -> np.ndarray:
-        return self._print(0, at, n) & np.uint64((1 << bits) - 1)
+    def keys(self, n: int, bits: int) -> np.ndarray:
+        return self._prints(0, n) & np.uint64((1 << bits) - 1)
 
-    def check(self, at: np.ndarray, n: int) -> np.ndarray:
-        return self._print(1, at, n)
+    def checks(self, n: int) -> np.ndarray:
+        return (self._prints(1, n) >> np.uint64(32)).astype(np.uint32).view(np.int32)
 
-    def _print(self, side: int, at: np.ndarray, n: int) -> np.ndarray:
-        sums = self._sums[side]
-        return (sums[at + n] - sums[at]) * self._back[side][at] + self._salts[at]
+    def _prints(self, side: int, n: int) -> np.ndarray:
+        """The fingerprint at each place; those near the end, where n words do not fit, mean nothing."""
+        sums, out = self._sums[side], self._salts.copy()
+        if n:
+            last = max(len(sums) - n, 0)
+            out[:last] += (sums[n:] - sums[:last]) * self._back[side][:last]
+        return out
 
 
 def _in_filter(keys: np.ndarray, found: np.ndarray) -> np.ndarray:
@@ -133,7 +138,7 @@ def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         numbers = np.concatenate(parts)
         document = np.repeat(np.arange(len(parts)), sizes)
         salts = np.array([_salt(language) for language in languages], np.uint64)
-        grams = _Grams(numbers, np.array(vocabulary.hashes, np.uint64), salts[document])
+        grams = _Grams(numbers, np.array(vocabulary.hashes, np.uint64).reshape(-1, 2), salts[document])
         return grams, numbers, document, np.cumsum(sizes) - sizes, np.array(keys, np.int64), languages, vocabulary
 
     for batch in batches:
@@ -153,37 +158,41 @@ def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         yield cut()
 
 
-_COUNTS = "key long, check long, n long, text_key long, place long"
+_COUNTS = "size int, key long, check int, n int, pointer long"
 
 
-def _counted(n: int, bits: int, known: Broadcast | None) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Fingerprints of the n-grams, how often each occurs in the slice, and a place where it stands."""
+def _counted(
+    sizes: tuple[int, ...], bits: int, known: Broadcast | None
+) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Fingerprints of the n-grams of the sizes, how often each occurs in the slice, and a place where it stands.
+
+    A pointer is 32 bits of a text's key and the place in the text. With a filter of the frequent n-grams of one
+    word less, only those are counted of which both parts may be frequent.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for grams, _, document, starts, keys, _, _ in _slices(batches):
-            at = grams.places(n)
-            if known is not None:
-                at = at[_in_filter(grams.key(at, n - 1, bits), known.value)]
-                at = at[_in_filter(grams.key(at + 1, n - 1, bits), known.value)]
-            if not len(at):
-                continue
-            key, check = grams.key(at, n, bits), grams.check(at, n)
-            order = np.argsort(key, kind="stable")
-            key, check, at = key[order], check[order], at[order]
-            new = np.append(True, (key[1:] != key[:-1]) | (check[1:] != check[:-1]))
-            first = np.flatnonzero(new)
-            count = np.diff(first, append=len(key))
-            owner = document[at[first]]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(key[first].view(np.int64)),
-                    pa.array(check[first].view(np.int64)),
-                    pa.array(count),
-                    pa.array(keys[owner]),
-                    pa.array(at[first] - starts[owner]),
-                ],
-                ["key", "check", "n", "text_key", "place"],
-            )
+        for grams, _, document, starts, texts, _, _ in _slices(batches):
+            for n in sizes:
+                counted = grams.fits(n)
+                if known is not None:
+                    frequent = _in_filter(grams.keys(n - 1, bits), known.value)
+                    counted[:-1] &= frequent[:-1] & frequent[1:]
+                at = np.flatnonzero(counted)
+                key, check = grams.keys(n, bits)[at], grams.checks(n)[at]
+                order = np.argsort(key)
+                key, check, at = key[order], check[order], at[order]
+                first = np.flatnonzero(np.append(True, (key[1:] != key[:-1]) | (check[1:] != check[:-1]))[: len(at)])
+                owner = document[at[first]]
+                columns = (
+                    np.full(len(first), n, np.int32),
+                    key[first].view(np.int64),
+                    check[first],
+                    np.diff(first, append=len(key)).astype(np.int32),
+                    texts[owner] << 32 | at[first] - starts[owner],
+                )
+                for start in range(0, len(first), BATCH_ROWS):
+                    part = [pa.array(column[start : start + BATCH_ROWS]) for column in columns]
+                    yield pa.RecordBatch.from_arrays(part, ["size", "key", "check", "n", "pointer"])
 
     return run
 
@@ -193,10 +202,9 @@ def _by_words(n: int, bits: int, wanted: Broadcast) -> Callable[[Iterator[pa.Rec
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for grams, numbers, document, _, _, languages, vocabulary in _slices(batches):
-            at = grams.places(n)
-            key = grams.key(at, n, bits)
-            hit = _in_filter(key, wanted.value)
-            at, key = at[hit], key[hit]
+            key = grams.keys(n, bits)
+            at = np.flatnonzero(grams.fits(n) & _in_filter(key, wanted.value))
+            key = key[at]
             if not len(at):
                 continue
             named = {name: i for i, name in enumerate(dict.fromkeys(languages))}
@@ -213,25 +221,36 @@ def _by_words(n: int, bits: int, wanted: Broadcast) -> Callable[[Iterator[pa.Rec
     return run
 
 
-def _spelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The words at the pointers of each text, where they have the fingerprint that points there."""
-    for batch in batches:
-        out: tuple[list, ...] = ([], [], [], [])
-        for language, content, pointers in zip(*map(batch.column, ("language", "content", "pointers")), strict=True):
-            name, words = language.as_py(), tokens(content.as_py())
-            for found in pointers.as_py():
-                part = words[found["place"] : found["place"] + found["size"]]
-                value = _salt(name)
-                for place, word in enumerate(part):
-                    low = xxhash.xxh3_128_intdigest(word) & ((1 << 64) - 1)
-                    value += low * pow(_BASES[1], place, 1 << 64)
-                if len(part) == found["size"] and (value - found["check"]) % (1 << 64) == 0:
-                    for column, cell in zip(out, (name, len(part), b" ".join(part).decode(), found["n"]), strict=True):
-                        column.append(cell)
-        kinds = (pa.string(), pa.int32(), pa.string(), pa.int64())
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(column, kind) for column, kind in zip(out, kinds, strict=True)], ["language", "size", "phrase", "n"]
-        )
+def _prints_of(language: str, words: list[bytes]) -> tuple[int, int]:
+    """Both fingerprints of the words, as ``_Grams`` has them."""
+    hashes = [divmod(xxhash.xxh3_128_intdigest(word), 1 << 64) for word in words]
+    key, check = (
+        _salt(language) + sum(h[side] * pow(base, i, 1 << 64) for i, h in enumerate(hashes)) for side, base in enumerate(_BASES)
+    )
+    return key % (1 << 64), (check >> 32) % (1 << 32)
+
+
+def _spelled(bits: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The words at the pointers of each text, where they have the fingerprints that point there."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: tuple[list, ...] = ([], [], [], [])
+            for language, content, pointers in zip(*map(batch.column, ("language", "content", "pointers")), strict=True):
+                name, words = language.as_py(), tokens(content.as_py())
+                for found in pointers.as_py():
+                    place = found["pointer"] & ((1 << 32) - 1)
+                    part = words[place : place + found["size"]]
+                    key, check = _prints_of(name, part)
+                    same = (key - found["key"]) % (1 << bits) == 0 and check == found["check"] % (1 << 32)
+                    if same and len(part) == found["size"]:
+                        for column, cell in zip(out, (name, len(part), b" ".join(part).decode(), found["n"]), strict=True):
+                            column.append(cell)
+            kinds = (pa.string(), pa.int32(), pa.string(), pa.int64())
+            columns = [pa.array(column, kind) for column, kind in zip(out, kinds, strict=True)]
+            yield pa.RecordBatch.from_arrays(columns, ["language", "size", "phrase", "n"])
+
+    return run
 
 
 def phrase_counts(scores: DataFrame, min_count: int = 100, max_words: int = 5, fingerprint_bits: int = 64) -> DataFrame:
@@ -240,12 +259,12 @@ def phrase_counts(scores: DataFrame, min_count: int = 100, max_words: int = 5, f
     ``scores`` has ``piece_id``, ``content`` and ``language``. Returns ``language``, ``size`` (words), ``phrase`` and ``n``
     (occurrences, overlapping ones too); the empty phrase has one row a language, with the number of all words, however few.
 
-    One pass for each size counts fingerprints. An n-gram is counted only if both its parts of one word
-    less may be frequent (a filter of ``2^FILTER_BITS`` bits that never says no
-    to a frequent one), and a task sums its own before they are shuffled. With each fingerprint goes a pointer, a text and
-    a place, and the range of a second fingerprint. Where that range shows two phrases under one
-    fingerprint, all its phrases are counted again by their words; the others are spelled
-    out at their pointer, from few texts. ``fingerprint_bits`` under 64 makes such meetings frequent and changes no result.
+    One pass for each size counts fingerprints of 64 bits. An n-gram is counted only if both its parts of one word
+    less may be frequent (a filter of ``2^FILTER_BITS`` bits that never says no to a frequent one), and a task
+    sums its own before they are shuffled. With each fingerprint goes a pointer, a text and a place, and the
+    range of 32 bits of a second one. Where that range shows several phrases under one fingerprint, they are
+    counted again by their words; the others are spelled out at their pointer, from few texts.
+    ``fingerprint_bits`` under 64 makes such meetings frequent and changes no result.
     """
     if min_count < 1 or max_words < 1 or not 1 <= fingerprint_bits <= 64:
         raise ValueError(f"min_count, max_words and fingerprint_bits are out of range: {min_count}, {max_words}, {fingerprint_bits}")
@@ -253,39 +272,40 @@ def phrase_counts(scores: DataFrame, min_count: int = 100, max_words: int = 5, f
     named = plain(scores, "content", "language").select(
         F.coalesce(F.col("language").cast("string"), F.lit(UNKNOWN)).alias("language"), text.alias("content")
     )
-    keyed = named.select(
-        F.xxhash64("language", "content").alias("text_key"), "language", F.encode("content", "utf-8").alias("content")
-    )
+    low_half = F.xxhash64("language", "content").bitwiseAND((1 << 32) - 1)
+    keyed = named.select(low_half.alias("text_key"), "language", F.encode("content", "utf-8").alias("content"))
     frequent, recounted, known = [], [], None
-    for size in range(max_words + 1):
-        rows = map_arrow(keyed, _counted(size, fingerprint_bits, known if size > 1 else None), _COUNTS)
-        level = rows.groupBy("key").agg(
+    for sizes in ((0, 1), *((size,) for size in range(2, max_words + 1))):
+        rows = map_arrow(keyed, _counted(sizes, fingerprint_bits, known), _COUNTS)
+        level = rows.groupBy("size", "key").agg(
             F.sum("n").alias("n"),
             F.min("check").alias("check"),
             F.max("check").alias("last_check"),
-            F.max_by("place", "text_key").alias("place"),
-            F.max("text_key").alias("text_key"),
+            F.max("pointer").alias("pointer"),
         )
-        level = stored(level.filter(F.col("n") >= (min_count if size else 1)), f"phrases-of-{size}")
-        met = level.filter("check <> last_check").select("key")
-        if not met.isEmpty():
-            wanted = _filter_of(met)
-            again = map_arrow(
-                keyed, _by_words(size, fingerprint_bits, wanted), "key long, language string, phrase string, n long"
-            )
-            again = again.join(met, "key", "left_semi").groupBy("language", "phrase").agg(F.sum("n").alias("n"))
-            again = again.select("language", F.lit(size).alias("size"), "phrase", "n")
-            recounted.append(stored(again.filter(F.col("n") >= (min_count if size else 1)), "recounted"))
-            wanted.unpersist()
-        frequent.append(level.withColumn("size", F.lit(size)))
+        level = stored(level.filter((F.col("n") >= min_count) | (F.col("size") == 0)), f"phrases-of-{sizes[-1]}")
+        for size in sizes:
+            met = level.filter((F.col("size") == size) & (F.col("check") < F.col("last_check"))).select("key")
+            if not met.isEmpty():
+                wanted = _filter_of(met)
+                again = map_arrow(
+                    keyed, _by_words(size, fingerprint_bits, wanted), "key long, language string, phrase string, n long"
+                )
+                again = again.join(met, "key", "left_semi").groupBy("language", "phrase").agg(F.sum("n").alias("n"))
+                again = again.select("language", F.lit(size).alias("size"), "phrase", "n")
+                recounted.append(stored(again.filter(F.col("n") >= (min_count if size else 1)), "recounted"))
+                wanted.unpersist()
+        frequent.append(level)
         if known is not None:
             known.unpersist()
-        known = _filter_of(level)
+        known = _filter_of(level.filter(F.col("size") == sizes[-1]))
     known.unpersist()
 
+    text_of_pointer = F.shiftrightunsigned("pointer", 32).alias("text_key")
     pointers = reduce(DataFrame.union, frequent).filter("check = last_check")
     pointers = stored(
-        pointers.groupBy("text_key").agg(F.collect_list(F.struct("size", "place", "check", "n")).alias("pointers")),
+        pointers.groupBy(text_of_pointer)
+        .agg(F.collect_list(F.struct("size", "key", "check", "pointer", "n")).alias("pointers")),
         "pointers",
     )
     # A text has at most as many pointers as n-grams. Their texts are told apart by some low bits first, so
@@ -294,16 +314,18 @@ def phrase_counts(scores: DataFrame, min_count: int = 100, max_words: int = 5, f
     texts = (
         keyed.withColumn("low", low)
         .join(F.broadcast(pointers.select(low.alias("low")).distinct()), "low", "left_semi")
-        .groupBy("text_key", "language", F.xxhash64(F.lit(1), "content").alias("other_key"))
+        .groupBy("text_key", "language", F.xxhash64("content").alias("hi"), F.xxhash64(F.lit(1), "content").alias("lo"))
         .agg(F.first("content").alias("content"))
     )
     spelled = map_arrow(
         texts.join(pointers, "text_key").select("language", "content", "pointers"),
-        _spelled,
+        _spelled(fingerprint_bits),
         "language string, size int, phrase string, n long",
     )
-    counts = stored(reduce(DataFrame.union, [spelled, *recounted]), "phrases")
-    forget(pointers, *[level.drop("size") for level in frequent], *recounted)
+    counts = stored(
+        reduce(DataFrame.union, [spelled.dropDuplicates(["language", "size", "phrase"]), *recounted]), "phrases"
+    )
+    forget(pointers, *frequent, *recounted)
     return counts
 
 

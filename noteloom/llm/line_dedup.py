@@ -102,7 +102,7 @@ class LineRuns:
         rows = [(version, run.level, run.path) for run in runs]
         table = self.spark.createDataFrame(rows, "version int, level int, path string")
         table.coalesce(1).write.parquet(f"{self.folder}/list/{version}")
-        self.version, self.runs = version, runs
+        self.version, self.runs = version, sorted(runs, key=lambda run: (run.level, run.path))
 
     def _write(self, counts: DataFrame, level: int) -> Run:
         path = f"{self.folder}/level-{level}/{self.version:09d}-{uuid.uuid4().hex}"

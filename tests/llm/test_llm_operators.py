@@ -318,7 +318,7 @@ def test_base_spans_match_the_plain_rules(texts):
 
 
 def test_model_adds_spans_and_keeps_base_ones(spark):
-    secret = "".join(random.Random(5).choice("0123456789abcdef") for _ in range(40))
+    secret = "".join(random.Random(5).choices("0123456789abcdef", k=40))
     rows = [(i, f'Ave token = "{secret}" verum a{i}@b.org.') for i in range(30)]
     rows += [(100 + i, f"opus/{'Ave1Verum2Corpus'}* x") for i in range(30)]
     scores = spark.createDataFrame(rows, "piece_id long, content string")
