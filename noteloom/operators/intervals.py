@@ -6,12 +6,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from noteloom.functions import pitch
+from noteloom.operators import dyadic
 from noteloom.operators.notes import PART, beat, end_ppq
 from noteloom.operators.ordered import BLOCK_ROWS, halo, neighbours, settle
 
-# Width of a time block in quarter notes: near the length of a note or two, so
+# Width of the smallest time block in quarter notes: near the length of a note or two, so
 # that a block holds few notes of each part and few notes span two blocks.
-SLICE_QUARTERS = 2
+UNIT_QUARTERS = 2
 
 
 def melodic_intervals(events: DataFrame, kind: str = "d", compound: bool = True,
@@ -32,53 +33,47 @@ def melodic_intervals(events: DataFrame, kind: str = "d", compound: bool = True,
     )
 
 
-def time_slices(events: DataFrame, quarters: int = SLICE_QUARTERS) -> DataFrame:
-    """One row per event and time block it sounds in; ``slice`` numbers the blocks."""
+def time_blocks(events: DataFrame, quarters: int = UNIT_QUARTERS) -> DataFrame:
+    """Events of some length with a row for each ``block`` of time they sound or begin in (``dyadic.spread``)."""
     width = F.col("ppq") * quarters
-    return events.filter("dur_ppq > 0").select(
-        "*",
-        end_ppq().alias("end_ppq"),
-        F.explode(
-            F.sequence(
-                F.floor(F.col("onset_ppq") / width),
-                F.floor((end_ppq() - 1) / width),
-            )
-        ).alias("slice"),
-    )
+    sounding = events.filter("dur_ppq > 0").withColumn("end_ppq", end_ppq())
+    return dyadic.spread(sounding, F.floor(F.col("onset_ppq") / width), F.floor((F.col("end_ppq") - 1) / width))
 
 
-def sounding_pairs(events: DataFrame, columns: list[str], quarters: int = SLICE_QUARTERS) -> DataFrame:
+def sounding_pairs(events: DataFrame, columns: list[str], quarters: int = UNIT_QUARTERS) -> DataFrame:
     """Every pair of events of two parts that overlap, once, at the later onset.
 
-    Events meet only inside a time block of a piece: the join key is
-    (piece, block), and a block holds a few notes of each part however long the
-    piece is. A pair is kept in the block its common onset falls in.
+    The later event begins while the earlier one sounds, so the pair meets in the one block of time that the
+    earlier is cut into and the later begins in. However long the piece or its notes are, a key
+    (piece, block) holds a bounded time. Of events that begin together the lower part counts as the later.
     """
-    sliced = time_slices(events, quarters)
+    rows = time_blocks(events, quarters)
     # Both sides carry the same columns, so that one shuffle can serve both; the
     # parts of a piece share its ppq.
-    keys = ["piece_id", "slice", "ppq"]
+    keys = ["piece_id", "block", "ppq"]
     carried = ["part", "onset_ppq", "end_ppq", "measure", "measure_onset_ppq", *columns]
-    low = sliced.select(*keys, *[F.col(c).alias(f"low_{c}") for c in carried])
-    high = sliced.select(*keys, *[F.col(c).alias(f"high_{c}") for c in carried])
-    onset = F.greatest("low_onset_ppq", "high_onset_ppq")
+
+    def side(name: str) -> DataFrame:
+        return rows.select(*keys, *[F.col(c).alias(f"{name}_{c}") for c in ("covers", "begins", *carried)])
+
     # Blocks multiply rows in ways file sizes do not show, so neither side is
     # broadcast on the strength of its file.
-    pairs = low.join(high.hint("merge"), keys).filter(
-        (F.col("low_part") > F.col("high_part"))
-        & (F.col("low_onset_ppq") < F.col("high_end_ppq"))
-        & (F.col("high_onset_ppq") < F.col("low_end_ppq"))
-        & (F.floor(onset / (F.col("ppq") * quarters)) == F.col("slice"))
+    pairs = side("early").join(side("late").hint("merge"), keys).filter(
+        F.col("early_covers")
+        & F.col("late_begins")
+        & (F.col("early_part") != F.col("late_part"))
+        & (F.col("late_onset_ppq") < F.col("early_end_ppq"))
+        & (
+            (F.col("early_onset_ppq") < F.col("late_onset_ppq"))
+            | ((F.col("early_onset_ppq") == F.col("late_onset_ppq")) & (F.col("early_part") < F.col("late_part")))
+        )
     )
-    later = F.col("low_onset_ppq") >= F.col("high_onset_ppq")
-    return pairs.withColumns(
-        {
-            "onset_ppq": onset,
-            "measure": F.when(later, F.col("low_measure")).otherwise(F.col("high_measure")),
-            "measure_onset_ppq": F.when(later, F.col("low_measure_onset_ppq")).otherwise(
-                F.col("high_measure_onset_ppq")
-            ),
-        }
+    lower = F.col("late_part") > F.col("early_part")
+    return pairs.select(
+        *keys,
+        *[F.when(lower, F.col(f"late_{c}")).otherwise(F.col(f"early_{c}")).alias(f"low_{c}") for c in carried],
+        *[F.when(lower, F.col(f"early_{c}")).otherwise(F.col(f"late_{c}")).alias(f"high_{c}") for c in carried],
+        *[F.col(f"late_{c}").alias(c) for c in ("onset_ppq", "measure", "measure_onset_ppq")],
     )
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from noteloom.functions import metre, patterns, pitch
-from noteloom.operators.intervals import SLICE_QUARTERS, time_slices
+from noteloom.operators.intervals import UNIT_QUARTERS, time_blocks
 from noteloom.operators.notes import beat
 from noteloom.operators.ordered import BLOCK_ROWS, halo, neighbours, running, settle
 from noteloom.sources.tables import store
@@ -17,31 +17,35 @@ BLOCK_TICKS = 1 << 22
 
 
 def sonorities(events: DataFrame, compound: bool = True, sort: bool = False,
-               quarters: int = SLICE_QUARTERS) -> DataFrame:
+               quarters: int = UNIT_QUARTERS) -> DataFrame:
     """What sounds at every onset of a piece.
 
     ``sonority`` lists the intervals of the other sounding voices above the
     lowest one, top part first, or widest first with ``sort``; it is empty when
-    fewer than two voices sound. Onsets meet the notes that cover them inside a
-    time block of the piece, and the grouping reuses that partitioning.
+    fewer than two voices sound. An onset meets the notes that cover it in the blocks of time they are
+    cut into; what each block adds is gathered there, on the join's partitioning, and
+    an onset then has one row for each size of block in use.
     """
-    sliced = time_slices(events, quarters)
-    place = F.floor(F.col("onset_ppq") / (F.col("ppq") * quarters))
-    onsets = sliced.filter(place == F.col("slice")).groupBy("piece_id", "slice", "onset_ppq").agg(
-        *[F.min(c).alias(c) for c in ("measure", "measure_onset_ppq", "ppq", "meter_count", "meter_unit")]
+    rows = time_blocks(events, quarters)
+    shared = ("measure", "measure_onset_ppq", "ppq", "meter_count", "meter_unit")
+    onsets = rows.filter("begins").groupBy("piece_id", "block", "onset_ppq").agg(*[F.min(c).alias(c) for c in shared])
+    voices = rows.filter("covers").select(
+        "piece_id", "block", "part", "midi", "dpos", F.col("onset_ppq").alias("from_ppq"), F.col("end_ppq").alias("to_ppq")
     )
-    voices = sliced.select(
-        "piece_id", "slice", "part", "midi", "dpos", F.col("onset_ppq").alias("from_ppq"), F.col("end_ppq").alias("to_ppq")
-    )
-    covered = onsets.join(voices, ["piece_id", "slice"]).filter("from_ppq <= onset_ppq and onset_ppq < to_ppq")
+    covered = onsets.join(voices, ["piece_id", "block"]).filter("from_ppq <= onset_ppq and onset_ppq < to_ppq")
     # One entry per part that has a note or rest here: as many as the piece has parts.
-    gathered = covered.groupBy(*onsets.columns).agg(
-        F.collect_list(
-            F.when(
-                F.col("midi").isNotNull(),
-                F.struct("midi", (-F.col("part")).alias("below"), "dpos", F.col("from_ppq").alias("since")),
-            )
-        ).alias("voices"),
+    entries = F.collect_list(
+        F.when(
+            F.col("midi").isNotNull(),
+            F.struct("midi", (-F.col("part")).alias("below"), "dpos", F.col("from_ppq").alias("since")),
+        )
+    )
+    by_block = covered.groupBy("piece_id", "block", "onset_ppq").agg(
+        *[F.min(c).alias(c) for c in shared], entries.alias("voices"), F.max("to_ppq").alias("to_ppq")
+    )
+    gathered = by_block.groupBy("piece_id", "onset_ppq").agg(
+        *[F.min(c).alias(c) for c in shared],
+        F.flatten(F.collect_list("voices")).alias("voices"),
         F.max("to_ppq").alias("to_ppq"),
     )
     low = gathered.withColumn("low", F.array_min("voices"))

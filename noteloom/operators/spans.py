@@ -3,8 +3,8 @@
 A span names a piece and a location (measure and beat, or a quarter offset). It
 asks for a number of consecutive notes (``note_count``), for the notes that begin
 in a range (``end_q`` or ``duration``), or for the notes at the location itself.
-Nothing is looked up by scanning a piece: spans and notes meet in short blocks of
-time, or of note numbers, of one piece.
+Nothing is looked up by scanning a piece: spans and notes meet in aligned blocks of
+time, or of note numbers, of one piece (``dyadic``).
 """
 
 from __future__ import annotations
@@ -13,10 +13,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from noteloom.functions import patterns
+from noteloom.operators import dyadic
 from noteloom.operators.notes import PART, beat
 
-SLICE_Q = 4
-SLICE_NOTES = 64
+UNIT_Q = 4
+UNIT_NOTES = 64
 
 SPAN_FIELDS = {
     "start_measure": "double",
@@ -74,8 +75,8 @@ def _asked(part: Column) -> Column:
     return F.col("wanted").isNull() | F.array_contains("wanted", part.cast("string"))
 
 
-def _slice_q(q: Column) -> Column:
-    return F.floor(q / SLICE_Q)
+def _unit_q(q: Column) -> Column:
+    return F.floor(q / UNIT_Q)
 
 
 def _in_range(requests: DataFrame, notes: DataFrame) -> DataFrame:
@@ -84,8 +85,7 @@ def _in_range(requests: DataFrame, notes: DataFrame) -> DataFrame:
     timed = requests.filter("note_count is null and s_q is not null").join(ends, "piece_id").filter("s_q <= last_q")
     # No further than the last note of the piece, however far the request goes.
     last = F.coalesce(F.when(F.col("e_q") > F.col("s_q"), F.least("e_q", "last_q")), F.col("s_q"))
-    timed = timed.withColumn("slice", F.explode(F.sequence(_slice_q(F.col("s_q")), _slice_q(last))))
-    found = timed.join(notes.withColumn("slice", _slice_q(F.col("at_q"))), ["piece_id", "slice"])
+    found = dyadic.meet(timed, _unit_q(F.col("s_q")), _unit_q(last), notes, _unit_q(F.col("at_q")), ["piece_id"])
     inside = F.when(F.col("e_q").isNull(), F.col("at_q") == F.col("s_q")).otherwise(
         (F.col("at_q") >= F.col("s_q")) & (F.col("at_q") < F.col("e_q"))
     )
@@ -128,14 +128,10 @@ def start_notes(requests: DataFrame, notes: DataFrame) -> DataFrame:
 
 def _counted(requests: DataFrame, notes: DataFrame) -> DataFrame:
     starts = start_notes(requests, notes).filter("note_count > 0")
-    until = F.col("from_place") + F.col("note_count")
-    sliced = starts.withColumn("until", until).withColumn(
-        "slice",
-        F.explode(F.sequence(F.floor(F.col("from_place") / SLICE_NOTES), F.floor((F.col("until") - 1) / SLICE_NOTES))),
-    )
-    return sliced.join(
-        notes.withColumn("slice", F.floor(F.col("place") / SLICE_NOTES)), [*PART, "slice"]
-    ).filter("place >= from_place and place < until")
+    counted = starts.withColumn("until", F.col("from_place") + F.col("note_count"))
+    first, last = (F.floor(c / UNIT_NOTES) for c in (F.col("from_place"), F.col("until") - 1))
+    found = dyadic.meet(counted, first, last, notes, F.floor(F.col("place") / UNIT_NOTES), PART)
+    return found.filter("place >= from_place and place < until")
 
 
 def resolve(events: DataFrame, spans: DataFrame) -> DataFrame:
