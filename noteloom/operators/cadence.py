@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from noteloom.functions import pitch
-from noteloom.operators.intervals import sounding_pairs
+from noteloom.operators.intervals import block_depth, sounding_pairs
 from noteloom.operators.notes import PART
 from noteloom.operators.ordered import BLOCK_ROWS, halo, neighbours, settle
 
@@ -55,9 +55,9 @@ def cadence_formulas(events: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFra
             {name: col.over(window) for name, col in near.items()}
         )
     )
-    pairs = sounding_pairs(told, ["midi", "dpos", *near]).filter(
-        "low_midi is not null and high_midi is not null and low_next_measure is not null"
-        " and low_end_ppq <= high_end_ppq"
+    sounding = told.filter("midi is not null")
+    pairs = sounding_pairs(sounding, ["midi", "dpos", *near], deep=block_depth(events)).filter(
+        "low_next_measure is not null and low_end_ppq <= high_end_ppq"
     )
 
     moves = F.col("high_end_ppq") == F.col("low_end_ppq")

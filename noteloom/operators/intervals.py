@@ -33,47 +33,58 @@ def melodic_intervals(events: DataFrame, kind: str = "d", compound: bool = True,
     )
 
 
-def time_blocks(events: DataFrame, quarters: int = UNIT_QUARTERS) -> DataFrame:
+def block_depth(events: DataFrame, quarters: int = UNIT_QUARTERS) -> int:
+    """How many sizes of blocks the longest event is worth."""
+    return dyadic.depth(events, F.col("dur_ppq") / (F.col("ppq") * quarters))
+
+
+def time_blocks(events: DataFrame, quarters: int = UNIT_QUARTERS, deep: int | None = None) -> DataFrame:
     """Events of some length with a row for each ``block`` of time they sound or begin in (``dyadic.spread``)."""
     width = F.col("ppq") * quarters
+    deep = block_depth(events, quarters) if deep is None else deep
     sounding = events.filter("dur_ppq > 0").withColumn("end_ppq", end_ppq())
-    return dyadic.spread(sounding, F.floor(F.col("onset_ppq") / width), F.floor((F.col("end_ppq") - 1) / width))
+    return dyadic.spread(sounding, F.floor(F.col("onset_ppq") / width), F.floor((F.col("end_ppq") - 1) / width), deep)
 
 
-def sounding_pairs(events: DataFrame, columns: list[str], quarters: int = UNIT_QUARTERS) -> DataFrame:
+def sounding_pairs(
+    events: DataFrame, columns: list[str], quarters: int = UNIT_QUARTERS, deep: int | None = None
+) -> DataFrame:
     """Every pair of events of two parts that overlap, once, at the later onset.
 
     The later event begins while the earlier one sounds, so the pair meets in the one block of time that the
     earlier is cut into and the later begins in. However long the piece or its notes are, a key
     (piece, block) holds a bounded time. Of events that begin together the lower part counts as the later.
     """
-    rows = time_blocks(events, quarters)
-    # Both sides carry the same columns, so that one shuffle can serve both; the
-    # parts of a piece share its ppq.
+    rows = time_blocks(events, quarters, deep)
+    # Both sides carry the same columns and no condition is on one side alone, so that one shuffle can serve
+    # both; the parts of a piece share its ppq.
     keys = ["piece_id", "block", "ppq"]
+    role = F.when(F.col("covers"), 1).otherwise(0) + F.when(F.col("begins"), 2).otherwise(0)
     carried = ["part", "onset_ppq", "end_ppq", "measure", "measure_onset_ppq", *columns]
 
     def side(name: str) -> DataFrame:
-        return rows.select(*keys, *[F.col(c).alias(f"{name}_{c}") for c in ("covers", "begins", *carried)])
+        return rows.select(*keys, role.alias(f"{name}_role"), *[F.col(c).alias(f"{name}_{c}") for c in carried])
 
     # Blocks multiply rows in ways file sizes do not show, so neither side is
     # broadcast on the strength of its file.
     pairs = side("early").join(side("late").hint("merge"), keys).filter(
-        F.col("early_covers")
-        & F.col("late_begins")
+        (F.col("early_role").bitwiseAND(1) + F.col("late_role").bitwiseAND(2) == 3)
         & (F.col("early_part") != F.col("late_part"))
         & (F.col("late_onset_ppq") < F.col("early_end_ppq"))
+        & (F.col("early_onset_ppq") < F.col("late_end_ppq"))
         & (
             (F.col("early_onset_ppq") < F.col("late_onset_ppq"))
             | ((F.col("early_onset_ppq") == F.col("late_onset_ppq")) & (F.col("early_part") < F.col("late_part")))
         )
     )
     lower = F.col("late_part") > F.col("early_part")
+    later = F.col("late_onset_ppq") >= F.col("early_onset_ppq")
     return pairs.select(
         *keys,
         *[F.when(lower, F.col(f"late_{c}")).otherwise(F.col(f"early_{c}")).alias(f"low_{c}") for c in carried],
         *[F.when(lower, F.col(f"early_{c}")).otherwise(F.col(f"late_{c}")).alias(f"high_{c}") for c in carried],
-        *[F.col(f"late_{c}").alias(c) for c in ("onset_ppq", "measure", "measure_onset_ppq")],
+        F.greatest("early_onset_ppq", "late_onset_ppq").alias("onset_ppq"),
+        *[F.when(later, F.col(f"late_{c}")).otherwise(F.col(f"early_{c}")).alias(c) for c in ("measure", "measure_onset_ppq")],
     )
 
 

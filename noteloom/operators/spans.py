@@ -85,7 +85,8 @@ def _in_range(requests: DataFrame, notes: DataFrame) -> DataFrame:
     timed = requests.filter("note_count is null and s_q is not null").join(ends, "piece_id").filter("s_q <= last_q")
     # No further than the last note of the piece, however far the request goes.
     last = F.coalesce(F.when(F.col("e_q") > F.col("s_q"), F.least("e_q", "last_q")), F.col("s_q"))
-    found = dyadic.meet(timed, _unit_q(F.col("s_q")), _unit_q(last), notes, _unit_q(F.col("at_q")), ["piece_id"])
+    deep = dyadic.depth(requests, (F.col("e_q") - F.col("s_q")) / UNIT_Q)
+    found = dyadic.meet(timed, _unit_q(F.col("s_q")), _unit_q(last), notes, _unit_q(F.col("at_q")), ["piece_id"], deep)
     inside = F.when(F.col("e_q").isNull(), F.col("at_q") == F.col("s_q")).otherwise(
         (F.col("at_q") >= F.col("s_q")) & (F.col("at_q") < F.col("e_q"))
     )
@@ -130,7 +131,8 @@ def _counted(requests: DataFrame, notes: DataFrame) -> DataFrame:
     starts = start_notes(requests, notes).filter("note_count > 0")
     counted = starts.withColumn("until", F.col("from_place") + F.col("note_count"))
     first, last = (F.floor(c / UNIT_NOTES) for c in (F.col("from_place"), F.col("until") - 1))
-    found = dyadic.meet(counted, first, last, notes, F.floor(F.col("place") / UNIT_NOTES), PART)
+    deep = dyadic.depth(requests, F.col("note_count") / UNIT_NOTES)
+    found = dyadic.meet(counted, first, last, notes, F.floor(F.col("place") / UNIT_NOTES), PART, deep)
     return found.filter("place >= from_place and place < until")
 
 

@@ -16,17 +16,19 @@ def held(first, last, point):
     return first <= point <= last
 
 
-def test_meet_is_the_comparison_of_all_with_all(spark):
+@pytest.mark.parametrize("deep", [0, 1, 3, 4])
+def test_meet_is_the_comparison_of_all_with_all(spark, deep):
     some = spark.createDataFrame([(i % 2, i, a, b) for i, (a, b) in enumerate(RANGES * 2)], "k int, i int, a bigint, b bigint")
     points = spark.createDataFrame([(p % 2, p) for p in POINTS], "k int, p bigint")
-    found = dyadic.meet(some, F.col("a"), F.col("b"), points, F.col("p"), ["k"]).collect()
+    found = dyadic.meet(some, F.col("a"), F.col("b"), points, F.col("p"), ["k"], deep).collect()
     want = [(i % 2, i, p) for i, (a, b) in enumerate(RANGES * 2) for p in POINTS if p % 2 == i % 2 and held(a, b, p)]
     assert sorted((r.k, r.i, r.p) for r in found) == sorted(want)
 
 
-def test_spread_says_what_a_block_is_to_its_interval(spark):
+@pytest.mark.parametrize("deep", [0, 2, 4])
+def test_spread_says_what_a_block_is_to_its_interval(spark, deep):
     some = spark.createDataFrame(list(enumerate(RANGES)), "i int, r struct<a: bigint, b: bigint>").select("i", "r.*")
-    rows = dyadic.spread(some, F.col("a"), F.col("b")).collect()
+    rows = dyadic.spread(some, F.col("a"), F.col("b"), deep).collect()
     for i, (a, b) in enumerate(RANGES):
         mine = [r for r in rows if r.i == i]
         for r in mine:
@@ -34,7 +36,7 @@ def test_spread_says_what_a_block_is_to_its_interval(spark):
             assert r.begins == (a >> 3 * level == block)
         units = [u for r in mine if r.covers for u in range(r.block >> 3 << 3 * (r.block & 7), (r.block >> 3) + 1 << 3 * (r.block & 7))]
         assert sorted(units) == list(range(a, b + 1))
-        assert sum(r.begins for r in mine) == (5 if a <= b else 0)
+        assert sum(r.begins for r in mine) == (deep + 1 if a <= b else 0)
 
 
 @pytest.mark.parametrize("units", [1, 7, 8, 63, 1000, 32_768, 500_000])
