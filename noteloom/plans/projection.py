@@ -119,11 +119,11 @@ def project_lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def note_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``events`` as a stored note-event table, built once per application."""
-    return stored_once(spark, f"events:{sf_dir}", lambda: project_events(spark, sf_dir))
+    return stored_once(spark, f"events:{sf_dir}", lambda: project_events(spark, sf_dir), f"{sf_dir}/events.parquet")
 
 
 def note_events_lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return stored_once(spark, f"lineitem:{sf_dir}", lambda: project_lineitem(spark, sf_dir))
+    return stored_once(spark, f"lineitem:{sf_dir}", lambda: project_lineitem(spark, sf_dir), f"{sf_dir}/lineitem.parquet")
 
 
 def metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -224,6 +224,22 @@ def removals(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def registry_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Registrations and removals of score files in one order: documents add names, benchmark items remove them."""
+    def name(column: str, per: int) -> Column:
+        return F.concat(F.lit("Score_"), F.expr(f"{column} div {per}"), F.lit(".mei"))
+
+    added = table(spark, sf_dir, "documents").select(
+        name("doc_id", 3).alias("filename"), (F.col("doc_id") * 2).alias("number"), F.lit(True).alias("added"),
+        F.concat(F.lit("/inbox/"), "doc_id").alias("path"),
+    )
+    removed = table(spark, sf_dir, "benchmark").select(
+        name("item_id", 1).alias("filename"), (F.col("item_id") * 6 + 2).alias("number"), F.lit(False).alias("added"),
+        F.lit(None).cast("string").alias("path"),
+    )
+    return added.unionByName(removed)
+
+
 def measures_of(events: DataFrame) -> DataFrame:
     """The measures of projected events, with a repeat in every eight of them."""
     seq = F.col("measure_seq")
@@ -315,4 +331,5 @@ def score_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def document_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return stored_once(spark, f"documents:{sf_dir}", lambda: mei.elements(score_documents(spark, sf_dir)))
+    sources = [f"{sf_dir}/{name}.parquet" for name in ("orders", "lineitem")]
+    return stored_once(spark, f"documents:{sf_dir}", lambda: mei.elements(score_documents(spark, sf_dir)), *sources)

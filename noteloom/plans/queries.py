@@ -299,7 +299,7 @@ _register(
 
 
 def _sonorities(s: SparkSession, d: str) -> DataFrame:
-    return stored_once(s, f"sonorities:{d}", lambda: sonority.sonorities(_events(s, d)))
+    return stored_once(s, f"sonorities:{d}", lambda: sonority.sonorities(_events(s, d)), f"{d}/events.parquet")
 
 
 def _items(s: SparkSession, d: str) -> DataFrame:
@@ -307,7 +307,7 @@ def _items(s: SparkSession, d: str) -> DataFrame:
 
 
 def _grams(s: SparkSession, d: str) -> DataFrame:
-    return stored_once(s, f"sonority-bigrams:{d}", lambda: sonority.sonority_ngrams(_items(s, d), 2))
+    return stored_once(s, f"sonority-bigrams:{d}", lambda: sonority.sonority_ngrams(_items(s, d), 2), f"{d}/events.parquet")
 
 
 def _introduced(s: SparkSession, d: str) -> DataFrame:
@@ -468,6 +468,20 @@ _register(
     lambda s, d: catalogue.registered(projection.catalogue(s, d)),
     oracle.SCORES + "SELECT DISTINCT filename FROM scores WHERE source = 'registered'",
 )
+_register(
+    "registry_after_changes",
+    lambda s, d: catalogue.latest_changes(projection.registry_changes(s, d)).select("filename", "number", "path"),
+    """
+WITH changes AS (
+  SELECT concat('Score_', doc_id // 3, '.mei') AS filename, doc_id * 2 AS number, 1 AS added, concat('/inbox/', doc_id) AS path
+  FROM documents
+  UNION ALL
+  SELECT concat('Score_', item_id, '.mei'), item_id * 6 + 2, 0, NULL FROM benchmark)
+SELECT filename, number, path FROM (
+  SELECT *, row_number() OVER (PARTITION BY filename ORDER BY number DESC, added) AS back FROM changes)
+WHERE back = 1 AND added = 1
+""",
+)
 _register(
     "unregister",
     lambda s, d: catalogue.unregister(projection.catalogue(s, d), projection.removals(s, d)).select(

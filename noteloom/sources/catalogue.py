@@ -97,6 +97,17 @@ def unregister(scores: DataFrame, names: DataFrame) -> DataFrame:
     return scores.filter(F.col("source") != REGISTERED).unionByName(kept)
 
 
+def latest_changes(changes: DataFrame) -> DataFrame:
+    """What a registry holds after all ``changes``: the last one of every name, where it added the name.
+
+    ``changes`` has ``filename``, ``number`` (the order of the changes) and ``added`` (false: removed), among other columns.
+    Of changes under one number a removal counts as the later; a name is one aggregated row, however often it changed.
+    """
+    others = [name for name in changes.columns if name not in ("filename", "number", "added")]
+    last = F.max_by(F.struct("number", "added", *others), F.struct("number", ~F.col("added"))).alias("last")
+    return changes.groupBy("filename").agg(last).select("filename", "last.*").filter("added")
+
+
 def as_json(scores: DataFrame, ordered: bool = False) -> DataFrame:
     """One JSON record per file of the catalogue; ``ordered`` for display."""
     return collections(scores, ordered).select(F.to_json(F.struct("collection", "filename")).alias("record"))

@@ -6,13 +6,11 @@ import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from noteloom.session import shared_folder
 
 _stored: dict[tuple[str, str], tuple[str, str, StructType]] = {}
-_FEW_FILES = 100
 
 
 def _folder(spark: SparkSession) -> str:
@@ -39,26 +37,26 @@ def store(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(_write(df, name))
 
 
-def _state(df: DataFrame) -> str:
-    """What tells the input files of a plan from other or rewritten ones."""
-    files = df.inputFiles()
-    spark = df.sparkSession
-    if len(files) > _FEW_FILES:
-        stamp = F.xxhash64("path", "modificationTime", "length").cast("decimal(20,0)")
-        seen = spark.read.format("binaryFile").load(files).agg(F.count("*"), F.sum(stamp)).head()
-        return f"{seen[0]} {seen[1]}"
-    paths = [spark._jvm.org.apache.hadoop.fs.Path(file) for file in sorted(files)]
+def _state(spark: SparkSession, sources: tuple[str, ...]) -> str:
+    """What tells sources from rewritten ones: when each was last changed, and its size if it is a file.
+
+    That is one question a source, however many files a folder holds; writing into a folder changes its time.
+    """
     conf = spark._jsc.hadoopConfiguration()
+    paths = [spark._jvm.org.apache.hadoop.fs.Path(source) for source in sources]
     found = [path.getFileSystem(conf).getFileStatus(path) for path in paths]
     return " ".join(f"{f.getPath()} {f.getModificationTime()} {f.getLen()}" for f in found)
 
 
-def stored_once(spark: SparkSession, name: str, build: Callable[[], DataFrame]) -> DataFrame:
-    """The stored table ``name`` of this application, built on first use and again when its input files change."""
-    df = build()
-    state = _state(df)
+def stored_once(spark: SparkSession, name: str, build: Callable[[], DataFrame], *sources: str) -> DataFrame:
+    """The stored table ``name`` of this application, built on first use and again when one of its ``sources`` changes.
+
+    ``sources`` are the paths of the files or folders that ``build`` reads; no plan is made while they stay as they are.
+    """
+    state = _state(spark, sources)
     slot = (spark.sparkContext.applicationId, name)
     if slot not in _stored or _stored[slot][0] != state:
+        df = build()
         _stored[slot] = (state, _write(df, "table"), df.schema)
     _, path, schema = _stored[slot]
     return spark.read.schema(schema).parquet(path)

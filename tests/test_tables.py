@@ -10,7 +10,7 @@ def test_changed_input_is_stored_again(spark, tmp_path):
     path = str(tmp_path / "numbers")
 
     def total():
-        df = tables.stored_once(spark, f"numbers:{path}", lambda: spark.read.parquet(path))
+        df = tables.stored_once(spark, f"numbers:{path}", lambda: spark.read.parquet(path), path)
         return df.agg({"id": "sum"}).head()[0]
 
     spark.range(5).write.parquet(path)
@@ -19,13 +19,20 @@ def test_changed_input_is_stored_again(spark, tmp_path):
     assert total() == 21
 
 
-def test_many_input_files(spark, tmp_path, monkeypatch):
-    monkeypatch.setattr(tables, "_FEW_FILES", 2)
+def test_unchanged_input_makes_no_plan(spark, tmp_path):
     path = str(tmp_path / "numbers")
     spark.range(0, 8, 1, 4).write.parquet(path)
-    before = tables._state(spark.read.parquet(path))
+    built = []
+
+    def build():
+        built.append(1)
+        return spark.read.parquet(path)
+
+    for _ in range(3):
+        assert tables.stored_once(spark, f"once:{path}", build, path).count() == 8
+    assert len(built) == 1
     spark.range(1).write.mode("append").parquet(path)
-    assert tables._state(spark.read.parquet(path)) != before
+    assert tables.stored_once(spark, f"once:{path}", build, path).count() == 9
 
 
 def test_no_shared_folder_is_an_error(spark, monkeypatch):
