@@ -23,18 +23,19 @@ LEAST_SCORE = 0.5
 
 
 def _scores(docs: DataFrame) -> DataFrame:
-    """Documents as score documents, each with its whole row."""
+    """Documents as score documents, each with the rest of its row; its text goes to Python and back once."""
+    others = F.struct(*[name for name in docs.columns if name != "text"])
     return docs.select(
         F.col("doc_id").alias("piece_id"),
         F.col("text").alias("content"),
         F.col("lang").alias("language"),
-        F.struct(*docs.columns).alias("row"),
+        F.struct(others.alias("others"), F.col("text").isNull().alias("no_text")).alias("row"),
     )
 
 
 def _with_text(found: DataFrame, docs: DataFrame, text: Column) -> DataFrame:
     """The rows with another text; a null text stays null."""
-    changed = found.select("row.*", F.when(F.col("row.text").isNotNull(), text).alias("__text"))
+    changed = found.select("row.others.*", F.when(~F.col("row.no_text"), text).alias("__text"))
     return changed.select(*[
         F.col("__text").alias("text") if name == "text"
         else F.char_length("__text").cast(docs.schema["n_chars"].dataType).alias("n_chars") if name == "n_chars"
@@ -46,9 +47,9 @@ def _with_text(found: DataFrame, docs: DataFrame, text: Column) -> DataFrame:
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is found; those without letters or with no likely language go."""
     scores = _scores(docs)
-    found = language_id.predict(scores, language_id.fit(scores, scores), carry=("row",))
+    found = language_id.predict(scores, language_id.fit(scores, scores), carry=("row", "content"))
     kept = (F.col("language_found") != language_id.UNKNOWN) & (F.col("score") >= LEAST_SCORE)
-    return found.filter(kept).select("row.*").select(*docs.columns)
+    return found.filter(kept).select("row.others.*", F.col("content").alias("text")).select(*docs.columns)
 
 
 def without_common_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

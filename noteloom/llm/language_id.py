@@ -226,20 +226,22 @@ def predict(scores: DataFrame, model: LanguageModel, carry: tuple[str, ...] = ()
 
     Returns ``piece_id``, the columns named in ``carry``, ``language_found`` and ``score``, the calibrated
     probability of that language. Content that is null or has no letter is ``und`` with score 0. Rows are independent.
+    ``carry`` may name ``content``.
     """
     shared = scores.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         learned = shared.value
         for batch in batches:
-            at = batch.schema.get_field_index("__text")
+            at = batch.schema.get_field_index("content")
             found = [learned.predict(text.as_py()) for text in batch.column(at)]
-            kept = [(n, c) for n, c in zip(batch.schema.names, batch.columns, strict=True) if n != "__text"]
+            kept = [(n, c) for n, c in zip(batch.schema.names, batch.columns, strict=True) if n in named]
             yield pa.RecordBatch.from_arrays(
                 [*[c for _, c in kept], pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())],
                 [*[n for n, _ in kept], "language_found", "score"],
             )
 
-    work = plain(scores, "piece_id", "content", *carry).withColumn("__text", F.col("content").cast("string")).drop("content")
-    fields = StructType([f for f in work.schema.fields if f.name != "__text"])
+    named = ("piece_id", *carry)
+    work = plain(scores, *dict.fromkeys((*named, "content"))).withColumn("content", F.col("content").cast("string"))
+    fields = StructType([f for f in work.schema.fields if f.name in named])
     return map_arrow(work, run, fields.add("language_found", "string").add("score", "double"))

@@ -125,17 +125,22 @@ def _needed(percent: int, a: str, b: str) -> Column:
 def _linked(pairs: DataFrame, members: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
     """Those of the class pairs (a, b) whose whole sets are similar.
 
-    The sets are made again from the texts of the pairs' classes and sent to their pairs, so each pair
-    holds two, and a class with very many pairs is a skewed side that the join splits. A bitmap of
+    The sets are made again from the texts of the pairs' classes. A pair first fetches one of its sets and takes it
+    to the other, so one set a pair is moved, and the two are compared in the join without being
+    gathered; a class with very many pairs is a skewed side that the join splits. A bitmap of
     2^22 hash bits (4 MB) spares most other texts; the join itself is exact.
     """
     spark = pairs.sparkSession
     pairs = stored(pairs.distinct(), "pairs")
-    ends = pairs.select("a", "b", F.lit(0).alias("side"), F.col("a").alias("class")).union(
-        pairs.select("a", "b", F.lit(1).alias("side"), F.col("b").alias("class"))
+    keys = members.select("class", "text_hi", "text_lo")
+    ends = stored(
+        pairs.join(keys.toDF("a", "hi_a", "lo_a"), "a").join(keys.toDF("b", "hi_b", "lo_b"), "b"), "pair-ends"
     )
-    ends = stored(ends.join(members.select("class", "text_hi", "text_lo"), "class").drop("class"), "pair-ends")
-    used = ends.select(F.col("text_hi").bitwiseAND((1 << WANTED_BITS) - 1).cast("int").alias("bit")).distinct().toArrow()
+
+    def bit(text: str) -> Column:
+        return F.col(text).bitwiseAND((1 << WANTED_BITS) - 1).cast("int").alias("bit")
+
+    used = ends.select(bit("hi_a")).union(ends.select(bit("hi_b"))).distinct().toArrow()
     bits = np.zeros(1 << WANTED_BITS, bool)
     bits[used["bit"].to_numpy()] = True
     wanted = spark.sparkContext.broadcast(bits)
@@ -143,12 +148,13 @@ def _linked(pairs: DataFrame, members: DataFrame, texts: DataFrame, width: int,
         texts.select("text_hi", "text_lo", "content"), _sets(width, wanted), "text_hi long, text_lo long, found array<long>"
     )
 
-    def of(side: int) -> Column:
-        return F.first(F.when(F.col("side") == side, F.col("found")), ignorenulls=True).alias(f"in_{side}")
-
-    both = sets.join(ends, ["text_hi", "text_lo"]).groupBy("a", "b").agg(of(0), of(1))
-    shared = both.withColumn("shared", F.size(F.array_intersect("in_0", "in_1")))
-    similar = 100 * F.col("shared") >= percent * (F.size("in_0") + F.size("in_1") - F.col("shared"))
+    # Rows that repeat in full have one key: each key's set is taken once before pairs meet it.
+    sets = sets.groupBy("text_hi", "text_lo").agg(F.first("found").alias("found"))
+    one = sets.toDF("hi_a", "lo_a", "in_a").join(ends, ["hi_a", "lo_a"]).select("a", "b", "hi_b", "lo_b", "in_a")
+    both = sets.toDF("hi_b", "lo_b", "in_b").join(one, ["hi_b", "lo_b"])
+    shared = both.select("a", "b", F.size("in_a").alias("n_a"), F.size("in_b").alias("n_b"),
+                         F.size(F.array_intersect("in_a", "in_b")).alias("shared"))
+    similar = 100 * F.col("shared") >= percent * (F.col("n_a") + F.col("n_b") - F.col("shared"))
     links = stored(shared.filter(similar).select("a", "b"), "links")
     wanted.unpersist()
     forget(pairs, ends)
