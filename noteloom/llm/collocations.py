@@ -21,6 +21,8 @@ from noteloom.llm.shipping import map_arrow
 UNKNOWN = "und"
 #: Bits of the filter that keeps n-grams with a rare part from being counted (4 MB).
 FILTER_BITS = 25
+#: Bits of the second fingerprint that go with the first.
+CHECK_BITS = 24
 #: Hash values of texts that are compared before texts are sent to their pointers.
 WANTED_BITS = 18
 #: Words of documents hashed together.
@@ -70,7 +72,7 @@ class _Grams:
     The fingerprint of the n words from place i on is ``(H[i + n] - H[i]) / base ** i``
     modulo 2^64 with ``H`` the running sum of ``hash * base ** place``, plus a
     number of the language, so that languages do not meet. ``keys`` has the fingerprints
-    by which occurrences are counted, ``checks`` half of those of the other polynomial.
+    by which occurrences are counted, ``checks`` the high bits of those of the other polynomial.
     """
 
     def __init__(self, numbers: np.ndarray, hashes: np.ndarray, salts: np.ndarray):
@@ -92,7 +94,7 @@ class _Grams:
         return self._prints(0, n) & np.uint64((1 << bits) - 1)
 
     def checks(self, n: int) -> np.ndarray:
-        return (self._prints(1, n) >> np.uint64(32)).astype(np.uint32).view(np.int32)
+        return (self._prints(1, n) >> np.uint64(64 - CHECK_BITS)).astype(np.int32)
 
     def _prints(self, side: int, n: int) -> np.ndarray:
         """The fingerprint at each place; those near the end, where n words do not fit, mean nothing."""
@@ -227,7 +229,7 @@ def _prints_of(language: str, words: list[bytes]) -> tuple[int, int]:
     key, check = (
         _salt(language) + sum(h[side] * pow(base, i, 1 << 64) for i, h in enumerate(hashes)) for side, base in enumerate(_BASES)
     )
-    return key % (1 << 64), (check >> 32) % (1 << 32)
+    return key % (1 << 64), (check % (1 << 64)) >> (64 - CHECK_BITS)
 
 
 def _spelled(bits: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -242,7 +244,7 @@ def _spelled(bits: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Reco
                     place = found["pointer"] & ((1 << 32) - 1)
                     part = words[place : place + found["size"]]
                     key, check = _prints_of(name, part)
-                    same = (key - found["key"]) % (1 << bits) == 0 and check == found["check"] % (1 << 32)
+                    same = (key - found["key"]) % (1 << bits) == 0 and check == found["check"]
                     if same and len(part) == found["size"]:
                         for column, cell in zip(out, (name, len(part), b" ".join(part).decode(), found["n"]), strict=True):
                             column.append(cell)
@@ -262,7 +264,7 @@ def phrase_counts(scores: DataFrame, min_count: int = 100, max_words: int = 5, f
     One pass for each size counts fingerprints of 64 bits. An n-gram is counted only if both its parts of one word
     less may be frequent (a filter of ``2^FILTER_BITS`` bits that never says no to a frequent one), and a task
     sums its own before they are shuffled. With each fingerprint goes a pointer, a text and a place, and the
-    range of 32 bits of a second one. Where that range shows several phrases under one fingerprint, they are
+    range of 24 bits of a second one. Where that range shows several phrases under one fingerprint, they are
     counted again by their words; the others are spelled out at their pointer, from few texts.
     ``fingerprint_bits`` under 64 makes such meetings frequent and changes no result.
     """
@@ -278,10 +280,10 @@ def phrase_counts(scores: DataFrame, min_count: int = 100, max_words: int = 5, f
     for sizes in ((0, 1), *((size,) for size in range(2, max_words + 1))):
         rows = map_arrow(keyed, _counted(sizes, fingerprint_bits, known), _COUNTS)
         level = rows.groupBy("size", "key").agg(
-            F.sum("n").alias("n"),
+            F.max("pointer").alias("pointer"),
             F.min("check").alias("check"),
             F.max("check").alias("last_check"),
-            F.max("pointer").alias("pointer"),
+            F.sum("n").alias("n"),
         )
         level = stored(level.filter((F.col("n") >= min_count) | (F.col("size") == 0)), f"phrases-of-{sizes[-1]}")
         for size in sizes:
