@@ -85,7 +85,7 @@ def _kept(minimum: float, keep_unmetred: bool) -> Column:
     above 0 there is an error, raised while the job runs.
     """
     refused = F.raise_error(
-        F.concat(F.lit("Cannot apply minimum_beat_strength: no beat-strength values for "), F.col("piece_id"))
+        F.concat(F.col("piece_id"), F.lit(" states no metre, which minimum_beat_strength asks for"))
     ).cast("boolean")
     strong = F.when(F.col("metrical") == 1, F.coalesce(F.col("strength") >= minimum, F.lit(False))).otherwise(
         F.lit(True) if minimum <= 0 or keep_unmetred else refused
@@ -159,11 +159,7 @@ def fallback_warnings(table: DataFrame) -> DataFrame:
         F.col("measure_onset_ppq"), F.col("ppq"), F.col("meter_count"), F.col("meter_unit")
     )
     seen = table.filter("sonority != ''").groupBy("piece_id").agg(F.max(strength.isNotNull()).alias("metrical"))
-    text = F.concat(
-        F.lit("Beat-strength filtering was skipped because there are no beat-strength values for "),
-        F.col("piece_id"),
-        F.lit("."),
-    )
+    text = F.concat(F.col("piece_id"), F.lit(" states no metre: all its onsets were kept"))
     return seen.filter(~F.col("metrical")).select("piece_id", text.alias("warning"))
 
 

@@ -355,8 +355,8 @@ _register(
     "beat_strength_warnings",
     lambda s, d: sonority.fallback_warnings(_without_metre(s, d)),
     _STACKS
-    + "SELECT DISTINCT piece_id, concat('Beat-strength filtering was skipped because there are no beat-strength"
-    " values for ', piece_id, '.') AS warning FROM sonorities WHERE sonority <> '' AND piece_id IN ('u3', 'u7')",
+    + "SELECT DISTINCT piece_id, concat(piece_id, ' states no metre: all its onsets were kept') AS warning"
+    " FROM sonorities WHERE sonority <> '' AND piece_id IN ('u3', 'u7')",
 )
 _register("sonority_rows", _introduced, _GRAMS + oracle.INTRODUCED + oracle.INTRODUCED_ROWS)
 _register(
