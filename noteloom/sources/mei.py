@@ -1,24 +1,27 @@
 """Ingest of MEI score documents.
 
-Python only flattens one XML document into rows, in document order; what the
-rows mean (durations, pitches, time, ties, header fields) is worked out by Spark.
+Python walks one XML document and flattens it into rows, in document order. What only the walk knows for free goes
+along: an event's number in its part, how long it lasts, and where it and its measure begin. What the rows mean
+otherwise (pitches, ties, header fields) is worked out by Spark.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
+import re
 import sys
 import xml.etree.ElementTree as ET
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark import cloudpickle
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from noteloom.functions import pitch
 from noteloom.operators.notes import PART, merge_ties
-from noteloom.operators.ordered import BLOCK_ROWS, block_of, halo, neighbours, running, settle
+from noteloom.operators.ordered import BLOCK_ROWS, halo, neighbours, settle
 from noteloom.operators.repeats import ending_numbers
 from noteloom.sources.tables import store
 
@@ -33,6 +36,11 @@ TIMED = {"note", "chord", "rest", "mRest", "space", "mSpace"}
 DEFAULT_PPQ = 480
 NAMED_DURATIONS = {"breve": 2, "long": 4, "maxima": 8}
 
+# Ways to give an event its length: what is written fills in for unstated ticks, or only what is encoded counts.
+TIMINGS = ("written", "encoded")
+_WHOLE = re.compile(r"[+-]?[0-9]{1,18}")
+_DECIMAL = re.compile(r"[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?")
+
 # Rows of finished documents are handed on once there are this many.
 BATCH_ROWS = 5_000
 
@@ -40,9 +48,11 @@ ELEMENTS = (
     "piece_id string, kind string, pos bigint, tag string, measure_seq bigint, section_seq bigint,"
     " ending_seq bigint, after_other boolean, staff string, layer string, part int, ppq int, piece_ppq int,"
     " meter_count int, meter_unit int, num int, numbase int, attrs map<string,string>, text string,"
-    " notes array<map<string,string>>"
+    " notes array<map<string,string>>, seq bigint, "
+    + ", ".join(f"{timing} struct<ticks:bigint,start:bigint,earlier:bigint>" for timing in TIMINGS)
 )
 _strings = pa.map_(pa.string(), pa.string())
+_spans = pa.struct([("ticks", pa.int64()), ("start", pa.int64()), ("earlier", pa.int64())])
 _ARROW = pa.schema(
     [
         ("piece_id", pa.string()), ("kind", pa.string()), ("pos", pa.int64()), ("tag", pa.string()),
@@ -50,7 +60,7 @@ _ARROW = pa.schema(
         ("after_other", pa.bool_()), ("staff", pa.string()), ("layer", pa.string()), ("part", pa.int32()),
         ("ppq", pa.int32()), ("piece_ppq", pa.int32()), ("meter_count", pa.int32()), ("meter_unit", pa.int32()),
         ("num", pa.int32()), ("numbase", pa.int32()), ("attrs", _strings), ("text", pa.string()),
-        ("notes", pa.list_(_strings)),
+        ("notes", pa.list_(_strings)), ("seq", pa.int64()), *[(timing, _spans) for timing in TIMINGS],
     ]
 )
 
@@ -71,6 +81,35 @@ def _number(value: str | None) -> int | None:
     return number if number < 1 << 31 else None
 
 
+def _lengths(
+    tag: str, fields: dict[str, str], ppq: int, ratio: tuple[int | None, int | None], metre: dict[str, int | None]
+) -> tuple[int | None, int | None]:
+    """Length of an event in its staff's ticks, as written and as encoded; nothing where it has none."""
+    text = fields.get("dur.ppq", "").strip()
+    if _WHOLE.fullmatch(text):
+        return int(text), int(text)
+    if tag in ("mRest", "mSpace"):
+        return _metric(ppq, metre), ppq * 4
+    if "grace" in fields:
+        return None, None
+    dur, dots = fields.get("dur", "").strip(), fields.get("dots", "").strip()
+    wholes: float | None = NAMED_DURATIONS.get(dur)
+    if wholes is None and _DECIMAL.fullmatch(dur) and float(dur):
+        wholes = 1 / float(dur)
+    if wholes is None:
+        return None, None
+    num, numbase = ratio
+    stretch = 2 - 0.5 ** (int(dots) if _WHOLE.fullmatch(dots) and len(dots) < 4 else 0)
+    ticks = ppq * 4 * wholes * stretch * (numbase / num if num and numbase is not None else 1.0)
+    return (math.floor(ticks + 0.5) if abs(ticks) < 1 << 53 else None), None
+
+
+def _metric(ppq: int, metre: dict[str, int | None]) -> int:
+    """Ticks of a measure of the metre in force, or of four quarters."""
+    count, unit = metre["meter_count"], metre["meter_unit"]
+    return ppq * 4 * count // unit if count and unit else ppq * 4
+
+
 def _pointed(root: ET.Element, tag: str, attribute: str) -> set[str]:
     return {e.get(attribute, "").lstrip("#") for e in root.iter() if _name(e) == tag}
 
@@ -112,10 +151,13 @@ def _rows(root: ET.Element, piece_id: str) -> Iterator[dict]:
     tied, held = _pointed(root, "tie", "endid"), _pointed(root, "fermata", "startid")
     metre: dict[str, int | None] = {"meter_count": None, "meter_unit": None}
     parts: dict[tuple[str, str], int] = {}
+    heard: dict[int, int] = {}  # events of each part so far
+    starts = [0] * len(TIMINGS)  # where the next measure begins, by each timing
     pos = measure_seq = section_seq = ending_seq = 0
 
-    def events(layer: ET.Element, place: dict) -> Iterator[dict]:
+    def events(layer: ET.Element, place: dict, filled: list[int]) -> Iterator[dict]:
         nonlocal pos
+        part, ppq, whole = place["part"], place["ppq"], shared["piece_ppq"]
         todo: list[tuple[ET.Element, tuple]] = [(child, (None, None)) for child in reversed(layer)]
         while todo:
             element, ratio = todo.pop()
@@ -127,16 +169,25 @@ def _rows(root: ET.Element, piece_id: str) -> Iterator[dict]:
             elif tag in TIMED:
                 pos += 1
                 notes = [element] if tag == "note" else [c for c in element if _name(c) == "note"]
-                yield place | {
-                    "kind": "event", "pos": pos, "tag": tag, "num": ratio[0], "numbase": ratio[1],
-                    "attrs": _attributes(element), "notes": [_note(n, tied, held) for n in notes],
+                fields = _attributes(element)
+                lengths = _lengths(tag, dict(reversed(fields)), ppq, ratio, metre)
+                times = {}
+                for i, length in enumerate(lengths):
+                    ticks = int((length or 0) * whole / ppq)
+                    times[TIMINGS[i]] = {"ticks": ticks, "start": starts[i], "earlier": filled[i]}
+                    filled[i] += ticks
+                heard[part] = heard.get(part, 0) + 1
+                yield place | times | {
+                    "kind": "event", "pos": pos, "tag": tag, "num": ratio[0], "numbase": ratio[1], "seq": heard[part],
+                    "attrs": fields, "notes": [_note(n, tied, held) for n in notes],
                 }
 
     def measure(element: ET.Element, place: dict) -> Iterator[dict]:
         ending = place.get("ending")
         named = [] if ending is None else [(f"ending.{k}", v) for k, v in _attributes(ending)]
         here = {k: v for k, v in place.items() if k != "ending"} | {"measure_seq": measure_seq} | metre
-        yield shared | here | {"kind": "measure", "pos": pos, "attrs": _attributes(element) + named}
+        row = shared | here | {"kind": "measure", "pos": pos, "attrs": _attributes(element) + named}
+        filled: dict[int, list[int]] = {}  # ticks of each part in this measure
         for staff in (c for c in element if _name(c) == "staff"):
             n = staff.get("n", "")
             for layer in (c for c in staff if _name(c) == "layer"):
@@ -145,7 +196,14 @@ def _rows(root: ET.Element, piece_id: str) -> Iterator[dict]:
                 yield from events(layer, shared | here | {
                     "staff": n, "layer": voice[1], "part": part,
                     "ppq": staff_ppq.get(n, default), "text": element.get("n", "0"),
-                })
+                }, filled.setdefault(part, [0] * len(TIMINGS)))
+        # As long as its longest voice; one that no voice fills has the length of the metre.
+        for i, timing in enumerate(TIMINGS):
+            longest = max((ticks[i] for ticks in filled.values()), default=0)
+            length = longest if longest > 0 else _metric(shared["piece_ppq"], metre)
+            row[timing] = {"ticks": length, "start": starts[i], "earlier": 0}
+            starts[i] += length
+        yield row
 
     # Elements still to visit, with the tags above them, where they stand, and the sibling before an ending.
     todo: list[tuple[ET.Element, tuple, dict]] = [(root, (), {})]
@@ -278,67 +336,35 @@ def measures(rows: DataFrame) -> DataFrame:
     )
 
 
-def _ticks(timing: str) -> Column:
-    """Length of an event in its staff's ticks; null when it has none."""
-    attr, tag, ppq = F.col("attrs"), F.col("tag"), F.col("ppq")
-    stated = F.element_at(attr, "dur.ppq").try_cast("bigint")
-    whole_measure = tag.isin("mRest", "mSpace")
-    if timing == "encoded":
-        return F.coalesce(stated, F.when(whole_measure, ppq * 4))
-    if timing != "written":
+def _times(timing: str) -> Column:
+    if timing not in TIMINGS:
         raise ValueError("timing must be 'written' or 'encoded'")
-    dur = F.element_at(attr, "dur")
-    wholes = F.coalesce(
-        1 / dur.try_cast("double"), *[F.when(dur == name, F.lit(float(n))) for name, n in NAMED_DURATIONS.items()]
-    )
-    dots = F.coalesce(F.element_at(attr, "dots").try_cast("int"), F.lit(0))
-    stretch = (2 - F.pow(F.lit(0.5), dots)) * F.coalesce(F.col("numbase") / F.col("num"), F.lit(1.0))
-    derived = F.when(F.element_at(attr, "grace").isNull(), F.round(ppq * 4 * wholes * stretch).cast("bigint"))
-    metric = F.coalesce((ppq * 4 * F.col("meter_count") / F.col("meter_unit")).cast("bigint"), ppq * 4)
-    return F.coalesce(stated, F.when(whole_measure, metric).otherwise(derived))
-
-
-def _timed(rows: DataFrame, timing: str) -> DataFrame:
-    """Events with their length in the piece's ticks; one whose length nobody knows (a grace note, say) lasts none."""
-    ticks = (_ticks(timing) * F.col("piece_ppq") / F.col("ppq")).cast("bigint")
-    return rows.filter("kind = 'event'").withColumn("dur_ppq", F.coalesce(ticks, F.lit(0).cast("bigint")))
+    return F.col(timing)
 
 
-def timeline(rows: DataFrame, timing: str = "written", block_rows: int = BLOCK_ROWS) -> DataFrame:
+def timeline(rows: DataFrame, timing: str = "written") -> DataFrame:
     """Where each measure of a piece starts and how long it is, over all its parts.
 
     A measure is as long as its longest voice, before ties are merged, so pickups are short; one that no
     voice fills has the length of the metre in force, or four quarters.
     """
-    filled = _timed(rows, timing).groupBy("piece_id", "measure_seq", "part").agg(F.sum("dur_ppq").alias("ticks"))
-    longest = filled.groupBy("piece_id", "measure_seq").agg(F.max("ticks").alias("ticks"))
-    ppq = F.col("piece_ppq")
-    metric = F.coalesce((ppq * 4 * F.col("meter_count") / F.col("meter_unit")).cast("bigint"), (ppq * 4).cast("bigint"))
-    sized = (
-        rows.filter("kind = 'measure'").select("piece_id", "measure_seq", metric.alias("metric"))
-        .join(longest, ["piece_id", "measure_seq"], "left")
-        .select("piece_id", "measure_seq", F.coalesce(F.when(F.col("ticks") > 0, F.col("ticks")), "metric").alias("length_ppq"))
-    )
-    placed = running(
-        sized, ["piece_id"], ["measure_seq"], block_of("measure_seq", block_rows), sums={"start_ppq": F.col("length_ppq")}
+    times = _times(timing)
+    return rows.filter("kind = 'measure'").select(
+        "piece_id", "measure_seq", times["start"].alias("start_ppq"), times["ticks"].alias("length_ppq")
     )
-    return placed.select("piece_id", "measure_seq", F.col("start_ppq").cast("bigint").alias("start_ppq"), "length_ppq")
 
 
-def note_events(
-    rows: DataFrame, timing: str = "written", block_rows: int = BLOCK_ROWS, measures: DataFrame | None = None
-) -> DataFrame:
+def note_events(rows: DataFrame, timing: str = "written", block_rows: int = BLOCK_ROWS) -> DataFrame:
     """The note-event table of flattened documents, ties merged.
 
-    An event starts where its measure does (``measures``, by default the ``timeline`` of the rows) plus what comes
+    An event starts where its measure does (see ``timeline``) plus what comes
     before it in its own layer, so voices that enter late or pause meet the others.
     ``timing='written'`` gives events without stated ticks a length from their
     note value and rests of a whole measure the length of the measure;
     ``'encoded'`` skips the former and makes the latter four quarters. Events of unknown length are kept with
     length 0 and ``missing_dur``.
     """
-    timed = _timed(rows, timing)
-    starts = timeline(rows, timing, block_rows) if measures is None else measures
+    times = _times(timing)
 
     def spelled(note: Column) -> Column:
         def get(name: str) -> Column:
@@ -362,28 +388,20 @@ def note_events(
         )
 
     pitched = F.filter(F.transform("notes", spelled), lambda p: p["midi"].isNotNull())
-    placed = running(
-        timed.withColumns({
-            "pitches": F.when(F.size(pitched) > 0, pitched),
-            "written_ids": F.filter(F.transform("notes", lambda n: F.element_at(n, "id")), lambda x: x.isNotNull()),
-            "tied": F.exists("notes", lambda n: F.element_at(n, "tied").isNotNull()
-                             | F.coalesce(F.element_at(n, "tie").isin("m", "t"), F.lit(False))),
-            "fermata": F.element_at("attrs", "fermata").isNotNull()
-            | F.exists("notes", lambda n: F.element_at(n, "held").isNotNull() | F.element_at(n, "fermata").isNotNull()),
-        }),
-        PART, ["pos"], block_of("pos", block_rows), sums={"earlier": F.lit(1)},
-    )
+    located = rows.filter("kind = 'event'").withColumns({
+        "pitches": F.when(F.size(pitched) > 0, pitched),
+        "written_ids": F.filter(F.transform("notes", lambda n: F.element_at(n, "id")), lambda x: x.isNotNull()),
+        "tied": F.exists("notes", lambda n: F.element_at(n, "tied").isNotNull()
+                         | F.coalesce(F.element_at(n, "tie").isin("m", "t"), F.lit(False))),
+        "fermata": F.element_at("attrs", "fermata").isNotNull()
+        | F.exists("notes", lambda n: F.element_at(n, "held").isNotNull() | F.element_at(n, "fermata").isNotNull()),
+        "missing_dur": F.element_at("attrs", "dur.ppq").isNull() & ~F.col("tag").isin("mRest", "mSpace"),
+        "dur_ppq": times["ticks"],
+        "measure_onset_ppq": times["earlier"],
+        "onset_ppq": times["start"] + times["earlier"],
+    }).drop("attrs", "notes", *TIMINGS)
     top = F.array_max(F.transform("pitches", lambda p: F.struct(p["midi"].alias("midi"), p["dpos"].alias("dpos"))))
-    # One measure of one part: a bounded group by nature.
-    earlier = Window.partitionBy(*PART, "measure_seq").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
-    placed = placed.join(starts.select("piece_id", "measure_seq", "start_ppq"), ["piece_id", "measure_seq"]).withColumn(
-        "measure_onset_ppq", F.coalesce(F.sum("dur_ppq").over(earlier), F.lit(0))
-    )
-    located = placed.withColumns({
-        "top": top,
-        "onset_ppq": F.col("start_ppq") + F.col("measure_onset_ppq"),
-        "seq": (F.col("earlier") + 1).cast("bigint"),
-    })
+    located = located.withColumn("top", top)
     window = neighbours(PART, "seq")
     linked = settle(
         halo(located, "seq", before=1, size=block_rows).withColumns({
@@ -392,19 +410,14 @@ def note_events(
         })
     )
     events = linked.select(
-        "piece_id", "part", "staff", "seq",
-        F.col("onset_ppq").cast("bigint").alias("onset_ppq"),
-        "dur_ppq",
+        "piece_id", "part", "staff", "seq", "onset_ppq", "dur_ppq",
         F.col("piece_ppq").alias("ppq"),
         F.coalesce(F.col("text").try_cast("double"), F.lit(0.0)).alias("measure"),
-        "measure_seq",
-        F.col("measure_onset_ppq").cast("bigint").alias("measure_onset_ppq"),
-        "meter_count", "meter_unit",
+        "measure_seq", "measure_onset_ppq", "meter_count", "meter_unit",
         F.col("top.midi").alias("midi"),
         F.col("top.dpos").alias("dpos"),
         "pitches",
         F.when(F.col("top").isNotNull(), F.col("written_ids")).alias("note_ids"),
-        "fermata", "section_start", "tied_from_prev",
-        (F.element_at("attrs", "dur.ppq").isNull() & ~F.col("tag").isin("mRest", "mSpace")).alias("missing_dur"),
+        "fermata", "section_start", "tied_from_prev", "missing_dur",
     )
     return merge_ties(store(events, "untied-events"), block_rows)

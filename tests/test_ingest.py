@@ -161,7 +161,7 @@ def test_late_and_pausing_voices_meet_the_others(ingest):
         measure(5), measure(6, line("g4:480", "d")),
     ]) + "</section>"
     rows = ingest(one=score(body, '<scoreDef ppq="480" meter.count="3" meter.unit="4"/>'))
-    found = mei.timeline(rows, block_rows=2).orderBy("measure_seq").collect()
+    found = mei.timeline(rows).orderBy("measure_seq").collect()
     assert [(r.start_ppq, r.length_ppq) for r in found] == [
         (0, 480), (480, 1920), (2400, 1920), (4320, 1920), (6240, 1440), (7680, 480)
     ]
