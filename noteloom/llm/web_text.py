@@ -51,10 +51,12 @@ PLACES = frozenset(
     "section site slot top unit wrap wrapper".split()
 )
 COMMENTS = frozenset("comments commentlist disqus respond".split())
+#: A whole name of these on an article element makes it a reader's comment.
+REMARKS = COMMENTS | frozenset(("comment", "reply"))
 #: A class such as no-sidebar speaks of other elements.
 STATES = frozenset("no has have with without is not hide hides show shows".split())
-#: Evidence that an element is furniture: a word that may mean something else, a name that says so.
-WEAK, SURE, GONE = 1, 2, 3
+#: Evidence that an element is furniture: a word that may mean something else, a name that says so, readers' comments.
+WEAK, SURE, GONE, READERS = 1, 2, 3, 4
 #: Loosely named elements outside an article stay with so many characters a block and this share of the page's text.
 PROSE = 80
 SOME = 0.1
@@ -111,17 +113,28 @@ def _named(key: str, value: str, name: str) -> int:
         topic = key == "id" and name == "section" and not words & COMMENTS
         whole = all(word in found or word in PLACES or word.isdigit() for word in words)
         sure = whole and not topic and (len(found) > 1 or not found.isdisjoint(FURNITURE))
-        doubt = max(doubt, SURE if sure else WEAK)
+        listed = "comment" in words and not words.isdisjoint(PLACES)
+        readers = whole and not topic and (listed or not words.isdisjoint(COMMENTS))
+        doubt = max(doubt, READERS if readers else SURE if sure else WEAK)
     return doubt
 
 
+def _is_remark(value: str) -> bool:
+    """Whether a class or id of an article element names a reader's comment."""
+    boxed = PLACES | frozenset(("div", "body"))
+    return any(
+        words & REMARKS and all(word in REMARKS or word in boxed or word.isdigit() for word in words)
+        for words in (frozenset(_WORD.findall(token)) for token in value.split())
+    )
+
+
 def _doubt(name: str, attributes: str, in_article: bool) -> int:
     """How surely an element is furniture by its tag and attributes."""
     if name in LEFT_OUT or (name == "header" and not in_article):
         return GONE
     if name == "form":
         return SURE
-    if not attributes or name in ("html", "body") or name in ARTICLE:
+    if not attributes or name in ("html", "body", "main"):
         return 0
     doubt, seen = 0, set()
     for found in _ATTRIBUTE.finditer(attributes):
@@ -129,6 +142,10 @@ def _doubt(name: str, attributes: str, in_article: bool) -> int:
         if key in seen:  # the first of equal attributes holds
             continue
         seen.add(key)
+        if name == "article":
+            if key in ("class", "id") and _is_remark(value):
+                return READERS
+            continue
         if (
             key == "hidden"
             or (key == "aria-hidden" and value.strip() == "true")
@@ -232,12 +249,26 @@ def _count(nodes: list[Node]) -> None:
             up.link_tags += node.link_tags
 
 
+def _is_prose(node: Node) -> bool:
+    """Whether a node's own letters are neither in a heading nor in a link."""
+    while node.parent is not None:
+        if node.name == "a" or node.name in HEADINGS:
+            return False
+        if node.name in BLOCK:
+            return True
+        node = node.parent
+    return True
+
+
 def prune(body: Node) -> None:
     """Take furniture out of the tree, by its names and by the text it holds.
 
     A subtree with most of the page's text outside links stays whatever its name, unless an article or
     main element with text stands beside it. A loosely named one also stays where its text outweighs its links and
-    it lies in an article, is a section, or has long blocks that are a good share of the page.
+    it lies in an article, is a section, or has long blocks that are a good share of the page, unless it is a list of teasers:
+    several links with a good share of its letters, or articles inside. Readers' comments go however long they are, if
+    the page has any text besides, outside headings and doubtful elements; so an element that holds an article of
+    another kind is not taken for them.
     """
     nodes = _in_order(body)
     if not any(node.doubt for node in nodes):
@@ -245,6 +276,11 @@ def prune(body: Node) -> None:
     _count(nodes)
     whole = body.chars - body.link_chars
     doubted: set[int] = set()  # nodes in or under a doubtful one
+    articles: Counter[int] = Counter()  # articles inside a node that are nobody's comment
+    for node in reversed(nodes):
+        if node.parent is not None:
+            articles[id(node.parent)] += articles[id(node)] + (node.name == "article" and not node.doubt)
+    besides = 0  # letters of the page that nothing speaks against
     above: dict[int, int] = {}  # articles above a node that lie under no doubtful one
     clear = 0
     for node in nodes:
@@ -255,6 +291,8 @@ def prune(body: Node) -> None:
         if up is not None:
             above[id(node)] = above[id(up)] + (up.name in ARTICLE and id(up) not in doubted)
         clear += node.name in ARTICLE and id(node) not in doubted and node.chars > 0
+        if id(node) not in doubted:
+            besides += sum(len("".join(part.split())) for part in node.parts if isinstance(part, str)) * _is_prose(node)
     inside, poorer = {id(body): False}, {}
     for node in nodes[1:]:
         up = node.parent
@@ -263,7 +301,12 @@ def prune(body: Node) -> None:
             continue
         words = node.chars - node.link_chars
         stays = 2 * words > whole and clear <= above[id(node)]
-        if node.doubt == WEAK and words > node.link_chars:
+        teasers = node.link_tags > 1 and 4 * node.link_chars >= words or articles[id(node)] > 1
+        if node.doubt == READERS and besides and not articles[id(node)]:
+            stays = False
+        elif node.doubt == WEAK and teasers and besides:
+            stays = False
+        elif node.doubt == WEAK and words > node.link_chars:
             in_text = inside[id(node)] or node.name == "section"
             long = words >= PROSE * max(node.tags - node.link_tags, 1) and words >= SOME * whole
             stays = stays or in_text or long

@@ -268,6 +268,25 @@ def test_one_name_does_not_take_article_text():
     assert web_text.article(f"<div class=ad>{LONG}</div><article><h1>Ave</h1><p>Ave</article>") == "Ave\n\nAve"
 
 
+def test_comments_and_teasers_go_whatever_their_length():
+    some = f"<div class=comment><p>{LONG}</p></div>" * 8
+    assert web_text.article(f"<article><p>{LONG}</p><div class=comments>{some}</div></article>") == LONG
+    assert web_text.article(f"<article><p>{LONG}</p><ol class='comment-list'><li>{LONG} And more.</li></ol></article>") == LONG
+    assert web_text.article(f"<div><p>{LONG}</p><div id=comments>{some}</div></div>") == LONG
+    remark = f"<article id='div-comment-7' class=comment-body><p>{LONG} {LONG}</p></article>"
+    for name in ("class=comment", "class='comment reply'"):
+        page = f"<main><article class=post><p>{LONG}</p></article><article {name}><p>{LONG} {LONG}</p></article>{remark}</main>"
+        assert web_text.article(page) == LONG, name
+    teaser = f"<h3><a href=/x>Another piece of which much could be said here</a></h3><p>{LONG}</p>"
+    for teasers in (teaser * 3, f"<article>{teaser}</article>" * 3):
+        assert web_text.article(f"<main><p>{LONG}</p><p>{LONG}</p><section class=related>{teasers}</section></main>") == f"{LONG}\n\n{LONG}"
+    # A page of comments alone keeps them, and a wrapper with such a name keeps its article.
+    assert web_text.article(f"<h1>Ave</h1><div class=comments><p>{LONG}</p></div>").endswith(LONG)
+    assert LONG in web_text.article(f"<p>Ave</p><div class=comments><article><p>{LONG}</p></article></div>")
+    cited = f"<section class=related><p>{LONG} <a href=#1>1</a> <a href=#2>2</a></p></section>"
+    assert web_text.article(f"<main><p>{LONG}</p>{cited}</main>") == f"{LONG}\n\n{LONG} 1 2"
+
+
 def test_density_chooses_with_and_without_articles():
     more, menu = "Another part of the text, a little shorter.", "<ul>" + "<li><a href=/x>Link</a>" * 8 + "</ul>"
     first, second = f"<p>{LONG}</p><p>{LONG}</p>", f"<h2>B</h2><p>{more}</p><p>{more}</p>"
