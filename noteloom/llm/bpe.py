@@ -18,11 +18,14 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
+from tokenizers import Regex, normalizers, pre_tokenizers
 
 from noteloom.llm.columns import plain, text_of
 from noteloom.llm.shipping import map_arrow, ship
 
 WORD_CACHE = 1 << 19
+#: Longer words are encoded each time, so that the cache is bounded in bytes.
+CACHED_LETTERS = 64
 
 # Unicode white space, which the vocabulary's patterns know as \s.
 _SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -36,6 +39,14 @@ def latin_words() -> re.Pattern:
     return re.compile(rf"{_ENDINGS}|[{letters}]+|[{digits}]|[^\t-\r \x85\xa0{letters}{digits}]+")
 
 
+@lru_cache(1)
+def newer_points() -> re.Pattern:
+    """Code points that the pattern module knows and ``unicodedata`` does not yet, as one class."""
+    unassigned = "".join(chr(c) if unicodedata.category(chr(c)) == "Cn" else " " for c in range(0x110000))
+    newer = [run.group() for run in regex.finditer(r"[^\p{Cn} ]+", unassigned)]
+    return re.compile("[" + "".join(f"{run[0]}-{run[-1]}" for run in newer) + "]" if newer else "(?!)")
+
+
 def byte_letters() -> list[str]:
     """The printable letter that stands for each byte: itself where it is printable, else one from 256 on."""
     shown = {*range(ord("!"), ord("~") + 1), *range(ord("¡"), ord("¬") + 1), *range(ord("®"), ord("ÿ") + 1)}
@@ -78,17 +89,24 @@ class WordEncoder:
         self._cut = regex.compile("|".join(map(regex.escape, self.special))) if self.special else None
         self._words = regex.compile(rf"{_ENDINGS}|\p{{L}}+|\p{{N}}|[^{_SPACE}\p{{L}}\p{{N}}]+")
         self._latin_words = latin_words()
-        self.packed = lru_cache(cache)(self._packed)
+        # Whether points newer than Python's tables are letters, only the vocabulary's own library can say.
+        self._newer = newer_points()
+        self._lower = normalizers.Sequence([normalizers.NFC(), normalizers.Lowercase()])
+        own = Regex(rf"{_ENDINGS}|[\p{{L}}]+|[\p{{N}}]|[^\s\p{{L}}\p{{N}}]+")
+        self._split = pre_tokenizers.Split(own, "removed", invert=True)
+        self._cached = lru_cache(cache)(self._packed)
 
     def words(self, text: str) -> list[str]:
         # Lowering is by character: a capital sigma never becomes a final one.
-        text = text if text.isascii() else unicodedata.normalize("NFC", text).replace("Σ", "σ")
-        text = text.lower()
+        lower = text if text.isascii() else unicodedata.normalize("NFC", text).replace("Σ", "σ")
+        lower = lower.lower()
         try:
-            text.encode("latin-1")
+            lower.encode("latin-1")
         except UnicodeEncodeError:
-            return self._words.findall(text)
-        return self._latin_words.findall(text)
+            if self._newer.search(text):
+                return [word for word, _ in self._split.pre_tokenize_str(self._lower.normalize_str(text))]
+            return self._words.findall(lower)
+        return self._latin_words.findall(lower)
 
     def word_ids(self, word: str) -> list[int]:
         data = word.encode()
@@ -123,19 +141,22 @@ class WordEncoder:
                 heapq.heappush(queue, rank * count + near)
         return [i for i in ids if i >= 0]
 
+    def packed(self, words: list[str]) -> list[bytes]:
+        return [self._cached(word) if len(word) <= CACHED_LETTERS else self._packed(word) for word in words]
+
     def _packed(self, word: str) -> bytes:
         return struct.pack(f"<{len(ids := self.word_ids(word))}I", *ids)
 
     def encode(self, text: str) -> bytes:
         """Ids of a text, each as four little-endian bytes."""
         if not self._cut or "<" not in text:
-            return b"".join(map(self.packed, self.words(text)))
+            return b"".join(self.packed(self.words(text)))
         out, start = [], 0
         for found in self._cut.finditer(text):
-            out += map(self.packed, self.words(text[start : found.start()]))
+            out += self.packed(self.words(text[start : found.start()]))
             out.append(self.special[found.group()].to_bytes(4, "little"))
             start = found.end()
-        out += map(self.packed, self.words(text[start:]))
+        out += self.packed(self.words(text[start:]))
         return b"".join(out)
 
     def decode(self, ids: bytes) -> str:

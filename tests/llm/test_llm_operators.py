@@ -438,6 +438,14 @@ def test_ids_and_text_are_those_of_the_tokenizer(texts):
         assert codec.decode(packed) == other.decode(ids, skip_special_tokens=False)
 
 
+def test_every_code_point_is_encoded_as_the_tokenizer_does():
+    other, codec = Tokenizer.from_file(WORDS), bpe.encoder(WORDS)
+    points = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    some = [" ".join(f"a{c}b 1{c}2" for c in points[start : start + 100]) for start in range(0, len(points), 100)]
+    for text, want in zip(some, other.encode_batch(some, add_special_tokens=False), strict=True):
+        assert np.frombuffer(codec.encode(text), "<u4").tolist() == want.ids, ascii(text[:20])
+
+
 def test_encoded_pieces_decode(spark, documents):
     encoded = bpe.encode_pieces(documents, WORDS)
     assert encoded.columns == ["piece_id", "token_ids"]
