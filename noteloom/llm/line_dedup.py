@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from noteloom.llm.columns import BLANKS, plain, stored, text_of
+from noteloom.llm.columns import BLANKS, forget, plain, stored, text_of
 from noteloom.llm.shipping import map_arrow
 from noteloom.session import shared_folder
 
@@ -21,6 +21,7 @@ BATCH_ROWS = 1 << 16
 
 _STRIP = BLANKS.encode()
 _HASH = "line_hi long, line_lo long"
+_KEY = ["line_hi", "line_lo"]
 _TEXT = "text_hi long, text_lo long"
 
 
@@ -69,14 +70,17 @@ class Run:
 class LineRuns:
     """Levelled runs of (line hash, number of documents) under one folder.
 
-    A batch adds one run at level 0. When a level holds ``fanout`` runs they are
-    merged into one run of the next level, so a line is rewritten once per level.
+    A batch is reduced to one row per line and meets the runs before it in a sort-merge anti-join: lines that no run
+    has are new, with the documents of this batch; the others are added counts of lines that an earlier run has. Both go into
+    one run at level 0, told apart by ``is_new``, so a line is new in exactly one run. When a level holds ``fanout``
+    runs they are merged into one run of the next level, so a line is rewritten once per level.
     Every run is written by line hash and sorted inside its files. The list of
     runs is a small table of its own that is written after the run, under a rising version: a job that
-    dies leaves at most a run that nobody lists, and the folder can be opened again.
+    dies leaves at most a run that nobody lists, and the folder can be opened again. Without a ``folder`` the runs
+    are those of one application and go with its stored tables.
     """
 
-    SCHEMA = f"{_HASH}, n_pieces long"
+    SCHEMA = f"{_HASH}, n_pieces long, is_new boolean"
 
     def __init__(self, spark: SparkSession, folder: str | None = None, fanout: int = FANOUT):
         if fanout < 2:
@@ -85,7 +89,7 @@ class LineRuns:
         if root is None:
             raise ValueError("set spark.checkpoint.dir to a folder that every executor reaches")
         self.spark, self.fanout = spark, fanout
-        self.folder = folder or f"{root}/noteloom/lines-{uuid.uuid4().hex}"
+        self.folder = folder or f"{root}/noteloom/{spark.sparkContext.applicationId}/lines-{uuid.uuid4().hex}"
         self.version, self.runs = self._listed()
 
     def _listed(self) -> tuple[int, list[Run]]:
@@ -109,27 +113,52 @@ class LineRuns:
         counts.sortWithinPartitions("line_hi", "line_lo").write.parquet(path)
         return Run(level, path)
 
-    def read(self, runs: list[Run] | None = None) -> DataFrame:
-        """Counts over all runs (or the given ones), one row per line hash."""
-        runs = self.runs if runs is None else runs
+    def _rows(self, runs: list[Run]) -> DataFrame:
         if not runs:
             return self.spark.createDataFrame([], self.SCHEMA)
-        rows = self.spark.read.schema(self.SCHEMA).parquet(*[run.path for run in runs])
-        return rows.groupBy("line_hi", "line_lo").agg(F.sum("n_pieces").alias("n_pieces"))
+        return self.spark.read.schema(self.SCHEMA).parquet(*[run.path for run in runs])
+
+    @staticmethod
+    def _merged(rows: DataFrame) -> DataFrame:
+        return rows.groupBy(*_KEY).agg(F.sum("n_pieces").alias("n_pieces"), F.bool_or("is_new").alias("is_new"))
+
+    def read(self, runs: list[Run] | None = None) -> DataFrame:
+        """Counts over all runs (or the given ones), one row per line hash."""
+        return self._merged(self._rows(self.runs if runs is None else runs)).drop("is_new")
+
+    def against_runs(self, counts: DataFrame) -> DataFrame:
+        """The run that a batch's ``counts`` (one row per line) add: new lines by an anti-join, counts of known ones beside them."""
+        if not self.runs:
+            return counts.withColumn("is_new", F.lit(True))
+        known = self._rows(self.runs).filter("is_new").select(*_KEY).hint("merge")
+        new = counts.join(known, _KEY, "left_anti").withColumn("is_new", F.lit(True))
+        return new.unionByName(counts.join(known, _KEY, "left_semi").withColumn("is_new", F.lit(False)))
 
     def add(self, scores: DataFrame) -> None:
-        """Count a batch of scores (piece_id, content) as one new run and compact full levels."""
-        seen = _hashed(scores.select("content"), "").groupBy("line_hi", "line_lo")
-        self._list([*self.runs, self._write(seen.agg(F.count("*").alias("n_pieces")), 0)])
+        """Add a batch of scores (piece_id, content) as one new run and compact full levels."""
+        counts = _hashed(scores.select("content"), "").groupBy(*_KEY).agg(F.count("*").alias("n_pieces"))
+        if self.runs:
+            # Stored, so that texts are split once and lines are reduced before they meet the runs.
+            counts = stored(counts, "batch-lines")
+            self._list([*self.runs, self._write(self.against_runs(counts), 0)])
+            forget(counts)
+        else:
+            self._list([self._write(self.against_runs(counts), 0)])
         level = 0
         while len(full := [run for run in self.runs if run.level == level]) >= self.fanout:
-            merged = self._write(self.read(full), level + 1)
+            merged = self._write(self._merged(self._rows(full)), level + 1)
             self._list([run for run in self.runs if run.level != level] + [merged])
             level += 1
 
     def common(self, min_pieces: int) -> DataFrame:
-        """Hashes of the lines found in at least ``min_pieces`` documents of all batches."""
-        return self.read().filter(F.col("n_pieces") >= min_pieces).select("line_hi", "line_lo")
+        """Hashes of the lines found in at least ``min_pieces`` documents of all batches.
+
+        A line is new in one run; only what later batches added to known lines is summed before it meets them.
+        """
+        rows = self._rows(self.runs)
+        added = rows.filter(~F.col("is_new")).groupBy(*_KEY).agg(F.sum("n_pieces").alias("added"))
+        counted = rows.filter("is_new").join(added, _KEY, "left")
+        return counted.filter(F.col("n_pieces") + F.coalesce("added", F.lit(0)) >= min_pieces).select(*_KEY)
 
 
 def _hashed(df: DataFrame, others: str) -> DataFrame:
@@ -166,8 +195,8 @@ def drop_common_lines(
     ``scores`` has ``piece_id`` and ``content``. A line's key has the blanks at
     both ends stripped and A-Z lowered; lines without a key always stay. A row is
     a document, also when its id repeats. The documents are first added to ``runs``
-    in ``batches`` runs, so earlier batches count too; then the lines
-    meet the merged runs. Returns ``piece_id``, ``n_lines``, ``n_dropped``,
+    in ``batches`` runs, each anti-joined with those before it, so earlier batches count too; then the
+    lines meet what the runs have in common. Returns ``piece_id``, ``n_lines``, ``n_dropped``,
     ``kept`` (the other lines joined by line feeds) and the columns named in
     ``carry``. Null or empty content is one empty line.
 
@@ -184,7 +213,7 @@ def drop_common_lines(
     common = stored(runs.common(min_pieces), "common-lines")
     lines = _hashed(work.select(*[col.alias(name) for name, col in keys.items()], "content"), _TEXT)
     gone = stored(
-        lines.join(common, ["line_hi", "line_lo"], "left_semi")
+        lines.join(common, _KEY, "left_semi")
         .groupBy("text_hi", "text_lo")
         .agg(F.collect_set(F.struct(F.col("line_hi").alias("hi"), F.col("line_lo").alias("lo"))).alias("drops")),
         "dropped-lines",

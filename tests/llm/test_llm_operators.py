@@ -419,6 +419,31 @@ def test_runs_are_levelled_and_reopened(spark, tmp_path):
     assert counts == {1, 5} and again.common(5).count() == 1
 
 
+def test_batches_are_anti_joined_with_the_runs(spark):
+    rng = random.Random(11)
+    batches = [[[rng.choice("abcdefghijkl") + rng.choice(["", "x", "y"]) for _ in range(rng.randrange(6))] for _ in range(12)]
+               for _ in range(7)]
+    runs = line_dedup.LineRuns(spark, fanout=3)
+    schema = "piece_id long, content string"
+    for texts in batches:
+        counts = line_dedup._hashed(spark.createDataFrame([(0, "\n".join(t)) for t in texts], schema).select("content"), "")
+        counts = counts.groupBy("line_hi", "line_lo").agg(F.count("*").alias("n_pieces"))
+        if runs.runs:
+            plan = runs.against_runs(counts)._jdf.queryExecution().toString()
+            assert "SortMergeJoin" in plan and "LeftAnti" in plan
+        runs.add(spark.createDataFrame([(0, "\n".join(t)) for t in texts], schema))
+    rows = runs._rows(runs.runs)
+    assert {run.level for run in runs.runs} == {0, 1}
+    assert rows.filter("is_new").groupBy("line_hi", "line_lo").count().filter("count > 1").isEmpty()
+    held = {}
+    for text in (t for texts in batches for t in texts):
+        for line in set(text):
+            held[line_dedup.line_hash(line.encode())] = held.get(line_dedup.line_hash(line.encode()), 0) + 1
+    assert {(r[0], r[1]): r[2] for r in runs.read().select("line_hi", "line_lo", "n_pieces").collect()} == held
+    for least in (1, 3, 9, 20):
+        assert {tuple(r) for r in runs.common(least).collect()} == {key for key, n in held.items() if n >= least}
+
+
 def test_earlier_batches_count(spark, tmp_path):
     runs = line_dedup.LineRuns(spark, f"file://{tmp_path}/lines")
     schema = "piece_id long, content string"
