@@ -1,19 +1,24 @@
 """Performed order of measures: repeats and numbered endings written out.
 
-The walk through a section is a state that depends on the measures before, so
-it is expressed with running values: which repeat sign came last, and which
-numbered ending is in force. No group of measures is gathered in one place.
+The walk through a section is a small state: where the region in force began, which
+region still takes endings after its ``rptend``, and the ending in force. What a
+block of measures does to that state fits in one row, whatever its length, and two such
+rows make one again. So every block is walked by itself from an unknown state, the
+rows of the blocks are composed in order, and each block takes what it needs from the
+state before it. Measures are shuffled once for the walk and once to be numbered.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.window import WindowSpec
 
 from noteloom.operators.ordered import BLOCK_ROWS, block_of, running
 from noteloom.sources.tables import store
 
 SECTION = ["piece_id", "section_seq"]
+_BLOCK = [*SECTION, "block"]
 
 
 def ending_numbers(n: Column, label: Column) -> Column:
@@ -23,6 +28,148 @@ def ending_numbers(n: Column, label: Column) -> Column:
     )
 
 
+def _latest(value: str | Column, rows: WindowSpec) -> Column:
+    return F.last(value, ignorenulls=True).over(rows)
+
+
+def _before(keys: list[str], order: str) -> WindowSpec:
+    return Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+
+
+def _through(keys: list[str], order: str) -> WindowSpec:
+    return Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+
+
+def _after(place: str | Column, other: str | Column) -> Column:
+    """Whether the first of two places exists and lies behind the second, or the second does not exist."""
+    return F.coalesce(F.col(place) if isinstance(place, str) else place, F.lit(-1)) > F.coalesce(other, F.lit(-1))
+
+
+def _signs(measures: DataFrame, block_rows: int) -> DataFrame:
+    """What the walk needs of each measure: the places of its signs and the pass of its ending."""
+    place, plain = F.col("measure_seq"), F.col("ending_seq").isNull()
+    passes = F.coalesce("ending_passes", F.array().cast("array<int>"))
+    first = F.when(F.array_contains(passes, 1), 1).when(F.array_contains(passes, 2), 2)
+    return measures.select(
+        *SECTION, "measure_seq", "n", block_of("measure_seq", block_rows).alias("block"),
+        F.when(plain, place).alias("plain"),
+        F.when(plain & F.col("left").contains("rptstart"), place).alias("open"),
+        F.when(plain & F.col("right").contains("rptend"), place).alias("close"),
+        F.when(~plain & F.col("after_other"), place).alias("break"),
+        F.when(~plain, first).alias("ending_pass"),
+        (~plain & (F.size(passes) > 0)).alias("has_number"),
+    )
+
+
+def _walked(signs: DataFrame) -> DataFrame:
+    """Every block walked by itself, as if nothing came before it: all windows share one shuffle and one sort."""
+    before, through = _before(_BLOCK, "measure_seq"), _through(_BLOCK, "measure_seq")
+    ending = F.when(F.col("ending_pass").isNotNull(), F.struct(F.col("measure_seq").alias("at"), "ending_pass"))
+    seen = signs.withColumns(
+        {
+            "close_before": _latest("close", before),
+            "closes_before": F.count("close").over(before),
+            "open_before": _latest("open", before),
+            "plain_before": _latest("plain", before),
+            "broken": _latest("break", through),
+            "ending": ending,
+        }
+    ).withColumn("ending_before", _latest("ending", before))
+    # Of the rptstarts between two rptends the first one counts.
+    opening = F.when(~_after("open_before", "close_before"), F.col("open"))
+    seen = seen.withColumn("opened", _latest(opening, through))
+    seen = seen.withColumn("start", F.when(_after("opened", "close_before"), F.col("opened")))
+    return seen.withColumn("closed", _latest(F.when(F.col("close").isNotNull(), F.struct("start")), before)["start"])
+
+
+def _states(walked: DataFrame) -> DataFrame:
+    """The state before each block: one row a block, composed over the blocks of a section in order."""
+    effect = walked.groupBy(*_BLOCK).agg(
+        F.max_by(F.when(F.col("close").isNull(), F.col("start")), "measure_seq").alias("start"),
+        F.max_by("start", "close").alias("closed"),
+        F.min("close").alias("first_close"),
+        F.max("close").alias("last_close"),
+        F.max("plain").alias("last_plain"),
+        F.max("break").alias("last_break"),
+        F.max_by("ending", F.when(F.col("ending").isNotNull(), F.col("measure_seq"))).alias("ending"),
+    )
+    before = _before(SECTION, "block")
+    # An rptend forgets what was open; from there on the first block that leaves a region open counts.
+    composed = effect.withColumn("resets", F.count("last_close").over(_through(SECTION, "block")))
+    composed = composed.withColumn(
+        "open_after", F.first("start", ignorenulls=True).over(_through([*SECTION, "resets"], "block"))
+    ).withColumn("state_start", F.lag("open_after").over(Window.partitionBy(*SECTION).orderBy("block")))
+    only = F.col("first_close") == F.col("last_close")
+    closed = F.when(only, F.coalesce("state_start", "closed")).otherwise(F.col("closed"))
+    takes_endings = (F.col("last_plain") == F.col("last_close")) & ~_after("last_break", "last_close")
+    # A block of endings alone leaves the region that takes them as it is.
+    decided = F.when(
+        F.coalesce("last_plain", "last_break").isNotNull(), F.struct(F.when(takes_endings, closed).alias("region"))
+    )
+    return composed.withColumn("decided", decided).select(
+        *_BLOCK, "state_start",
+        _latest("decided", before)["region"].alias("state_tail"),
+        _latest("ending", before).alias("state_ending"),
+        F.max("last_close").over(Window.partitionBy(*SECTION)).alias("section_close"),
+    )
+
+
+def _regions(signs: DataFrame) -> DataFrame:
+    """Each measure with its region, the ending in force there, and the rows of the region in its block."""
+    walked = _walked(signs)
+    row = walked.join(_states(walked), _BLOCK)
+    nothing_closed = F.col("close_before").isNull()
+    start = F.when(nothing_closed, F.coalesce("state_start", "start")).otherwise(F.col("start"))
+    closed = F.when(F.col("closes_before") == 1, F.coalesce("state_start", "closed")).otherwise(F.col("closed"))
+    # Endings right after an rptend still belong to the region it closes.
+    tail = F.when(F.col("plain_before").isNull() & F.col("broken").isNull(), F.col("state_tail")).when(
+        (F.col("plain_before") == F.col("close_before")) & ~_after("broken", "close_before"), closed
+    )
+    placed = row.withColumn(
+        "region",
+        F.coalesce(
+            # What no rptend follows is no region.
+            F.when(F.col("measure_seq") <= F.col("section_close"), start),
+            F.when(F.col("plain").isNull(), tail),
+        ),
+    )
+    earlier = F.coalesce("ending_before", "state_ending")
+    in_force = F.when(F.col("plain").isNull(), F.col("ending_pass")).when(
+        earlier["at"] > F.col("region"), earlier["ending_pass"]
+    )
+    here = Window.partitionBy(*_BLOCK, "region")
+    return placed.select(
+        *_BLOCK, "measure_seq", "n", "region", in_force.alias("in_force"),
+        F.col("plain").isNotNull().alias("plain"),
+        F.max("has_number").over(here).alias("numbered"),
+        F.count(F.lit(1)).over(here).alias("region_rows"),
+    )
+
+
+def _with_totals(regions: DataFrame, block_rows: int) -> DataFrame:
+    """``numbered`` and ``region_rows`` of whole regions: only regions that pass a block's edge are added up.
+
+    At most one region enters a block and one leaves it, so those meet the measures with at most two rows a block.
+    """
+    cut = [*_BLOCK, "region"]
+    entering = regions.filter(block_of("region", block_rows) < F.col("block"))
+    crossing = entering.select(*SECTION, "region").distinct()
+    parts = (
+        regions.join(crossing, [*SECTION, "region"], "left_semi")
+        .groupBy(*cut).agg(F.max("numbered").alias("numbered"), F.max("region_rows").alias("region_rows"))
+    )
+    whole = Window.partitionBy(*SECTION, "region")
+    totals = parts.select(
+        *cut, F.max("numbered").over(whole).alias("any_numbered"), F.sum("region_rows").over(whole).alias("all_rows")
+    )
+    return regions.join(totals, cut, "left").withColumns(
+        {
+            "numbered": F.coalesce("any_numbered", "numbered"),
+            "region_rows": F.coalesce("all_rows", "region_rows"),
+        }
+    )
+
+
 def performed_measures(measures: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """Place every measure in performed order.
 
@@ -35,91 +182,27 @@ def performed_measures(measures: DataFrame, block_rows: int = BLOCK_ROWS) -> Dat
     plus the endings that follow directly. It is played twice; with endings
     numbered 1 or 2 the part before them is played, then ending 1, then that part
     again, then ending 2. Endings outside a region are not played.
-    """
-    plain = F.col("ending_seq").isNull()
-    opens = plain & F.coalesce(F.col("left").contains("rptstart"), F.lit(False))
-    closes = plain & F.coalesce(F.col("right").contains("rptend"), F.lit(False))
-    place = F.col("measure_seq")
-    block = block_of("measure_seq", block_rows)
-    marked = measures.withColumns({"opens": opens, "closes": closes, "plain": plain})
-
-    # Which signs came before, and where in the stretch between two rptends we are.
-    seen = running(
-        marked, SECTION, ["measure_seq"], block,
-        sums={"stretch": F.col("closes").cast("bigint")},
-        lasts={
-            "last_open": F.when(F.col("opens"), place),
-            "last_close": F.when(F.col("closes"), place),
-            "last_plain": F.when(F.col("plain"), place),
-            "last_break": F.when(~F.col("plain") & F.col("after_other"), place),
-        },
-        totals={"stretches": ("sum", F.col("closes").cast("bigint"))},
-        keep_block=True,
-    )
-    since_close = F.coalesce(F.col("last_close"), F.lit(-1))
-    opened_before = F.coalesce(F.col("last_open") > since_close, F.lit(False))
-    # Endings right after an rptend still belong to the region it closes.
-    unbroken = ~F.col("after_other") & (F.coalesce("last_break", F.lit(-1)) <= since_close)
-    trailing = F.coalesce(~F.col("plain") & (F.col("last_plain") == F.col("last_close")) & unbroken, F.lit(False))
-    seen = seen.withColumns(
-        {
-            "starts_region": F.col("opens") & ~opened_before & (F.col("stretch") < F.col("stretches")),
-            "trailing": trailing,
-        }
-    )
-    # The opening measure in force (its own, or the latest one), and for the latest
-    # rptend the one before it.
-    region = running(
-        seen, SECTION, ["measure_seq"], None,
-        lasts={
-            "last_region": F.when(F.col("starts_region"), place),
-            "close_before_last": F.when(F.col("closes"), since_close),
-        },
-    )
-    current = F.when(F.col("starts_region"), place).otherwise(F.col("last_region"))
-    # A region is over once its rptend is passed, save for trailing endings; those
-    # belong to it only if that rptend did close a region.
-    open_region = (current > since_close) & (F.col("stretch") < F.col("stretches"))
-    region = region.withColumn(
-        "region",
-        F.when(F.col("trailing"), F.when(F.col("last_region") > F.col("close_before_last"), F.col("last_region")))
-        .when(open_region, current),
-    )
 
-    # Two walks of running values are done; later ones start from the stored rows.
-    region = store(region, "repeat-regions")
-    numbered = F.array_contains("ending_passes", 1), F.array_contains("ending_passes", 2)
-    pass_here = F.when(F.coalesce(numbered[0], F.lit(False)), 1).when(F.coalesce(numbered[1], F.lit(False)), 2)
-    staged = region.withColumns(
-        {
-            "ending_pass": F.when(~F.col("plain"), pass_here),
-            "has_number": ~F.col("plain") & (F.size(F.coalesce("ending_passes", F.array().cast("array<int>"))) > 0),
-        }
-    )
-    inside = staged.filter("region is not null")
-    outside = staged.filter("region is null and plain")
-    keys = [*SECTION, "region"]
-    walked = running(
-        inside, keys, ["measure_seq"], block,
-        lasts={"ending_before": F.col("ending_pass")},
-        totals={"numbered": ("max", F.col("has_number").cast("int")), "region_rows": ("sum", F.lit(1))},
-    )
-    in_force = F.when(F.col("plain"), F.col("ending_before")).otherwise(F.col("ending_pass"))
-    passes = (
-        F.when(F.col("numbered") == 0, F.array(F.lit(10), F.lit(20)))
-        .when(in_force == 1, F.array(F.lit(11)))
-        .when(in_force == 2, F.array(F.lit(21)))
-        .when(F.col("plain"), F.array(F.lit(10), F.lit(20)))
-    )
-    played = walked.select(*measures.columns, "region", "region_rows", F.explode(passes).alias("stage")).unionByName(
-        outside.select(
-            *measures.columns, place.alias("region"), F.lit(1).alias("region_rows"), F.lit(10).alias("stage")
-        )
-    )
-    return played.select(
-        "piece_id", "section_seq", "measure_seq", "n", "region", "region_rows", "stage",
-        F.expr("cast(stage div 10 as int)").alias("pass"),
+    Null signs are no signs, and a null ``after_other`` is false; a piece without signs is played as it stands,
+    and an empty table gives no rows.
+    """
+    # Both passes that follow read the stored rows, so that blocks are walked once.
+    regions = _with_totals(store(_regions(_signs(measures, block_rows)), "repeat-regions"), block_rows)
+    both = F.array(F.lit(10), F.lit(20))
+    inside = F.col("region").isNotNull()
+    stages = (
+        F.when(~inside, F.when(F.col("plain"), F.array(F.lit(10))))
+        .when(~F.col("numbered"), both)
+        .when(F.col("in_force") == 1, F.array(F.lit(11)))
+        .when(F.col("in_force") == 2, F.array(F.lit(21)))
+        .when(F.col("plain"), both)
     )
+    return regions.select(
+        *SECTION, "measure_seq", "n",
+        F.coalesce("region", "measure_seq").alias("region"),
+        F.when(inside, F.col("region_rows")).otherwise(F.lit(1)).alias("region_rows"),
+        F.explode(stages).alias("stage"),
+    ).withColumn("pass", F.expr("cast(stage div 10 as int)"))
 
 
 def performed_order(measures: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
