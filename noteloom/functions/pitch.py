@@ -54,14 +54,27 @@ def midi_to_diatonic(midi: Column) -> Column:
 
 
 def name_to_midi(token: Column) -> Column:
-    """C#4 or B-3 -> MIDI number; null when the token is not a pitch."""
+    """C#4 or B-3 -> MIDI number; null when the token is not a pitch, for the reason that ``pitch_fault`` gives."""
     text = F.trim(token)
     marks = F.regexp_extract(text, PITCH_TOKEN, 2)
     base = lookup(LETTER_SEMITONES, F.lower(F.regexp_extract(text, PITCH_TOKEN, 1)))
     sharps = F.length(F.replace(marks, F.lit("-"), F.lit("")))
     flats = F.length(F.replace(marks, F.lit("#"), F.lit("")))
-    number = F.regexp_extract(text, PITCH_TOKEN, 3).try_cast("int")
-    return F.when(text.rlike(PITCH_TOKEN), ((number + 1) * 12 + base + sharps - flats).cast("int"))
+    number = F.regexp_extract(text, PITCH_TOKEN, 3).try_cast("int").cast("bigint")
+    return F.when(text.rlike(PITCH_TOKEN), ((number + 1) * 12 + base + sharps - flats).try_cast("int"))
+
+
+def pitch_fault(token: Column) -> Column:
+    """Why a token is no pitch; null when it is one."""
+    text = F.coalesce(F.trim(token), F.lit(""))
+    return (
+        F.when(name_to_midi(token).isNotNull(), F.lit(None).cast("string"))
+        .when(text == "", "empty")
+        .when(text.rlike(PITCH_TOKEN), "octave out of range")
+        .when(~text.rlike("^[A-G]"), "unknown letter")
+        .when(~text.rlike("[0-9]$"), "no octave")
+        .otherwise("unknown accidental")
+    )
 
 
 def accidental_semitones(token: Column) -> Column:

@@ -148,9 +148,31 @@ def key_distribution(keys: DataFrame) -> DataFrame:
     return keys.groupBy("key_name").agg(F.count(F.lit(1)).alias("pieces")).orderBy(F.desc("pieces"), "key_name")
 
 
+def ranges_of_tokens(cells: DataFrame, rest: str = "Rest") -> tuple[DataFrame, DataFrame]:
+    """Voice ranges of written pitches, and the tokens that are none.
+
+    ``cells`` has ``piece_id``, ``part`` and ``token``, as ``notes.note_table`` gives them or a note table that was
+    read from a file. Null cells and rests are silent. One bad token stops nothing: the ranges are those of the
+    other tokens, and the second table has ``piece_id``, ``part``, ``token``, ``reason`` and how many ``times`` it stands
+    there. A part without any pitch has no range; an empty table gives two empty ones.
+    """
+    sounding = cells.filter(F.col("token").isNotNull() & (F.trim("token") != rest)).select(
+        "piece_id", "part", "token",
+        pitch.name_to_midi(F.col("token")).alias("midi"), pitch.pitch_fault(F.col("token")).alias("reason"),
+    )
+    bad = sounding.filter("reason is not null").groupBy("piece_id", "part", "token", "reason").agg(
+        F.count(F.lit(1)).alias("times")
+    )
+    return _ranges(sounding.filter("reason is null")), bad
+
+
 def voice_ranges(events: DataFrame) -> DataFrame:
     """Lowest and highest pitch of every part that sounds."""
-    spans = sounding_notes(events).groupBy("piece_id", "part").agg(
+    return _ranges(sounding_notes(events))
+
+
+def _ranges(pitches: DataFrame) -> DataFrame:
+    spans = pitches.groupBy("piece_id", "part").agg(
         F.min("midi").alias("lowest_midi"), F.max("midi").alias("highest_midi")
     )
     return spans.select(

@@ -674,6 +674,40 @@ SELECT piece_id, measure, beat, onset_ppq, max(CASE WHEN part = 1 THEN token END
 FROM (""" + NOTE_TABLE + """) GROUP BY piece_id, measure, beat, onset_ppq
 """
 
+NOTES_LONG = """
+SELECT piece_id, measure, beat, onset_ppq, 'p' || part AS part, token
+FROM (""" + NOTE_TABLE + """) WHERE token IS NOT NULL
+"""
+
+# Written cells by what they are made of: letter, accidental and octave.
+TOKENS = """
+WITH cells AS (
+  SELECT 'l' || l_orderkey % 100 AS piece_id, CAST(l_linenumber AS INTEGER) AS part, l_partkey % 9 AS letter,
+         l_suppkey % 4 AS mark, CAST(l_quantity AS BIGINT) % 8 AS octave
+  FROM lineitem WHERE l_partkey % 31 <> 0 AND l_partkey % 9 <> 8),
+judged AS (
+  SELECT *, CASE WHEN letter = 7 THEN 'unknown letter' WHEN octave = 6 THEN 'no octave'
+                 WHEN mark = 3 THEN 'unknown accidental' WHEN octave = 7 THEN 'octave out of range' END AS reason
+  FROM cells)
+"""
+
+TOKEN_RANGES = f"""
+, heights AS (
+  SELECT piece_id, part, CAST(12 + octave * 12 + [0, 2, 4, 5, 7, 9, 11][letter + 1] + [0, 1, -1][mark + 1] AS INTEGER) AS midi
+  FROM judged WHERE reason IS NULL),
+ends AS (SELECT piece_id, part, min(midi) AS lowest_midi, max(midi) AS highest_midi FROM heights GROUP BY piece_id, part)
+SELECT *, {CHROMATIC}[lowest_midi % 12 + 1] || CAST(lowest_midi // 12 - 1 AS VARCHAR) AS lowest_note,
+       {CHROMATIC}[highest_midi % 12 + 1] || CAST(highest_midi // 12 - 1 AS VARCHAR) AS highest_note,
+       highest_midi - lowest_midi AS range_semitones
+FROM ends
+"""
+
+UNREADABLE_TOKENS = """
+SELECT piece_id, part, ' ' || ['C','D','E','F','G','A','B','H'][letter + 1] || ['', '#', '-', 'x'][mark + 1]
+         || ['0','1','2','3','4','5','','4000000000'][octave + 1] AS token, reason, count(*) AS times
+FROM judged WHERE reason IS NOT NULL GROUP BY ALL
+"""
+
 # Catalogue ------------------------------------------------------------------
 
 SCORES = """

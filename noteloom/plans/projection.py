@@ -224,6 +224,30 @@ def removals(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Order lines as cells of a written note table, many of them spoiled: wrong letters and accidentals, no or huge octaves."""
+    def pick(values: list[str], index: Column) -> Column:
+        return F.element_at(F.array(*[F.lit(v) for v in values]), (index + 1).cast("int"))
+
+    letter = pick(["C", "D", "E", "F", "G", "A", "B", "H", "Rest"], F.col("l_partkey") % 9)
+    mark = pick(["", "#", "-", "x"], F.col("l_suppkey") % 4)
+    octave = pick(["0", "1", "2", "3", "4", "5", "", "4000000000"], F.expr("cast(l_quantity as bigint) % 8"))
+    return table(spark, sf_dir, "lineitem").select(
+        F.concat(F.lit("l"), F.col("l_orderkey") % 100).alias("piece_id"),
+        F.col("l_linenumber").cast("int").alias("part"),
+        F.when(F.col("l_partkey") % 31 == 0, None)
+        .when(F.col("l_partkey") % 9 == 8, "Rest")
+        .otherwise(F.concat(F.lit(" "), letter, mark, octave)).alias("token"),
+    )
+
+
+def texts_as_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts under the names of score files: whole contents that are no scores."""
+    return table(spark, sf_dir, "documents").select(
+        F.concat(F.lit("text_"), "doc_id", F.lit(".mei")).alias("piece_id"), F.encode("text", "utf-8").alias("content")
+    )
+
+
 def registry_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Registrations and removals of score files in one order: documents add names, benchmark items remove them."""
     def name(column: str, per: int) -> Column:

@@ -60,6 +60,13 @@ def _notes_wide(s: SparkSession, d: str) -> DataFrame:
 
 
 _register("notes_wide", _notes_wide, EVENTS + oracle.NOTES_WIDE)
+_register(
+    "notes_long",
+    lambda s, d: sinks.long(
+        _notes_wide(s, d), ["piece_id", "measure", "beat", "onset_ppq"], [f"p{p}" for p in range(1, 6)], "part", "token"
+    ),
+    EVENTS + oracle.NOTES_LONG,
+)
 
 for _kind in ("c", "z", "d", "q"):
     _register(
@@ -199,6 +206,16 @@ _register(
     ),
     EVENTS + oracle.RANGES + oracle.RANGE_AXIS,
 )
+_register(
+    "token_ranges",
+    lambda s, d: distribution.ranges_of_tokens(projection.tokens(s, d))[0],
+    oracle.TOKENS + oracle.TOKEN_RANGES,
+)
+_register(
+    "unreadable_tokens",
+    lambda s, d: distribution.ranges_of_tokens(projection.tokens(s, d))[1],
+    oracle.TOKENS + oracle.UNREADABLE_TOKENS,
+)
 _register(
     "pitch_names",
     lambda s, d: _events(s, d).filter("midi is not null").select(
@@ -539,6 +556,22 @@ def _document_events(s: SparkSession, d: str) -> DataFrame:
 
 
 _register("document_states", _document_states, oracle.DOCUMENTS + oracle.DOCUMENT_STATES)
+_register(
+    "document_hashes",
+    lambda s, d: mei.scores(mei.elements(projection.texts_as_scores(s, d))).select("piece_id", "is_valid", "sha256"),
+    "SELECT concat('text_', doc_id, '.mei') AS piece_id, false AS is_valid, sha256(text) AS sha256 FROM documents",
+)
+_register(
+    "raw_documents",
+    lambda s, d: catalogue.raw_documents(
+        projection.texts_as_scores(s, d),
+        projection.table(s, d, "benchmark").select(F.concat(F.lit("text_"), "item_id", F.lit(".mei")).alias("piece_id")),
+    ),
+    """
+SELECT concat('text_', doc_id, '.mei') AS piece_id, text AS document FROM documents
+WHERE doc_id IN (SELECT item_id FROM benchmark)
+""",
+)
 _register(
     "document_metadata",
     lambda s, d: _joined(mei.metadata(projection.document_rows(s, d)), "analysts").select(

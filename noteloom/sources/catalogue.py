@@ -119,6 +119,12 @@ def raw_document(documents: DataFrame, filename: str) -> DataFrame:
     )
 
 
+def raw_documents(documents: DataFrame, names: DataFrame) -> DataFrame:
+    """The documents whose name is among ``names`` (``piece_id``), as they were read; a name that repeats counts once."""
+    wanted = names.select("piece_id")
+    return documents.join(wanted, "piece_id", "left_semi").select("piece_id", F.col("content").cast("string").alias("document"))
+
+
 def piece_list(names: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """Number the distinct non-empty names of (pos, name) in order of first appearance.
 

@@ -16,6 +16,15 @@ def test_pitch_tokens(spark):
     assert got == [60, 61, 58, 79, 38, None, None, None, None, 141, 22]
 
 
+def test_pitch_faults(spark):
+    tokens = ["C4", " B-3 ", "H4", "c4", "Cx4", "C", "C#", "", "  ", None, "C2147483647", "D99999999999999999999"]
+    got = values(spark, pitch.pitch_fault(F.col("t")), [(t,) for t in tokens], "t string")
+    assert got == [None, None, "unknown letter", "unknown letter", "unknown accidental", "no octave", "no octave",
+                   "empty", "empty", "empty", "octave out of range", "octave out of range"]
+    got = values(spark, pitch.name_to_midi(F.col("t")), [(t,) for t in tokens], "t string")
+    assert got == [60, 58] + [None] * 10
+
+
 def test_pitch_names_and_steps(spark):
     got = values(spark, pitch.midi_to_name(F.col("m")), [(m,) for m in (36, 58, 60, 61, 63, 66, 68, 84)], "m int")
     assert got == ["C2", "B-3", "C4", "C#4", "E-4", "F#4", "A-4", "C6"]
