@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from array import array
 from collections.abc import Callable, Iterator
 from functools import reduce
 
@@ -51,14 +50,17 @@ class _Words(dict):
 
     def __init__(self):
         super().__init__({_BREAK: 0})
-        self.hashes = array("Q", (0, 0))
+        self._digests = bytearray(16)
 
     def __missing__(self, word: bytes) -> int:
-        value = xxhash.xxh3_128_intdigest(word)
-        self.hashes.extend((value >> 64, value & ((1 << 64) - 1)))
-        self[word] = number = len(self.hashes) // 2 - 1
+        self._digests += xxhash.xxh3_128_digest(word)
+        self[word] = number = len(self)
         return number
 
+    def hashes(self) -> np.ndarray:
+        """A row of two hashes for each number."""
+        return np.frombuffer(self._digests, ">u8").astype(np.uint64).reshape(-1, 2)
+
 
 def _powers(base: int, count: int) -> np.ndarray:
     steps = np.full(count, base, np.uint64)
@@ -140,7 +142,7 @@ def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         numbers = np.concatenate(parts)
         document = np.repeat(np.arange(len(parts)), sizes)
         salts = np.array([_salt(language) for language in languages], np.uint64)
-        grams = _Grams(numbers, np.array(vocabulary.hashes, np.uint64).reshape(-1, 2), salts[document])
+        grams = _Grams(numbers, vocabulary.hashes(), salts[document])
         return grams, numbers, document, np.cumsum(sizes) - sizes, np.array(keys, np.int64), languages, vocabulary
 
     for batch in batches:
