@@ -93,3 +93,23 @@ def test_no_signs_no_change(spark):
     order = repeats.performed_order(spark.createDataFrame(rows, SCHEMA), 4).orderBy("performed_seq").collect()
     assert [r.measure_seq for r in order] == list(range(1, 30))
     assert {r["pass"] for r in order} == {1}
+
+
+def test_measures_are_dealt_by_block(spark):
+    rows = [("p", 1, k, float(k), None, None, None, None, False) for k in range(1, 30)]
+    regions = repeats._regions(repeats._signs(spark.createDataFrame(rows, SCHEMA), 4))
+    plan = regions._jdf.queryExecution().executedPlan().toString()
+    dealt = {line.split("hashpartitioning")[1].split(", ENSURE")[0] for line in plan.splitlines() if "hashpartitioning" in line}
+    # Measures go by block; only the block states go by section.
+    assert any("block#" in keys for keys in dealt) and all("block#" in keys or keys.count("#") == 2 for keys in dealt), plan
+    assert "CartesianProduct" not in plan and "Python" not in plan
+
+
+def test_nulls_and_empty_tables(spark):
+    nothing = spark.createDataFrame([], SCHEMA)
+    assert repeats.performed_order(nothing).count() == 0
+    rows = [("p", 1, 1, None, "rptstart", None, None, None, None), ("p", 1, 2, None, None, "rptend", None, None, None),
+            ("p", 1, 3, None, None, None, 1, None, None), ("p", None, 4, None, "rptend", "rptstart", None, None, None)]
+    order = repeats.performed_order(spark.createDataFrame(rows, SCHEMA), 2).orderBy("performed_seq").collect()
+    # An ending without numbers right after the repeat belongs to it and is played both times.
+    assert [r.measure_seq for r in order if r.measure_seq < 4] == [1, 2, 3, 1, 2, 3]
